@@ -32,6 +32,17 @@ def r6(c: Column | str) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
+def q6(c: Column | str) -> Column:
+    """6-decimal rounding by IEEE arithmetic (floor(x*1e6 + 0.5) / 1e6) so that Spark and SQL give the
+    same double even where the shortest decimal form of x ends exactly in a 5."""
+    x = F.col(c) if isinstance(c, str) else c
+    return F.floor(x * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6)
+
+
+def sql_q6(expr: str) -> str:
+    return f"(floor(({expr}) * 1000000.0 + 0.5) / 1000000.0)"
+
+
 def load_all() -> None:
     # importing the modules registers their queries
     from runloom.plans import (q_corpus, q_formats, q_registry, q_sources, q_streams,  # noqa: F401

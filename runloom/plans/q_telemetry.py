@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from runloom.operators import telemetry as tel
 from runloom.plans import standins as st
-from runloom.plans.catalog import query, r6
+from runloom.plans.catalog import q6, query, r6, sql_q6
 from runloom.plans.oracle_views import with_views as W
 
 # operations per token of the reference configuration (depth 4, seq 256, vocab 1024, window L)
@@ -17,7 +17,8 @@ TINCL = _T.format(end="CURRENT ROW")
 TBEFORE = f"coalesce({_T.format(end='1 PRECEDING')}, 0)"
 
 EMA_SQL = W(["training_steps"], """
-SELECT experiment_id, step, round(s, 6) AS smooth_loss, round(s / (1 - pow(CAST(0.9 AS DOUBLE), step + 1)), 6) AS ema_loss FROM e""",
+SELECT experiment_id, step, """ + sql_q6("s") + " AS smooth_loss, " + sql_q6("s / (1 - pow(CAST(0.9 AS DOUBLE), step + 1))")
+            + " AS ema_loss FROM e",
             recursive=True, extra=[("e", """
 SELECT experiment_id, step, (CAST(1 AS DOUBLE) - CAST(0.9 AS DOUBLE)) * loss AS s FROM training_steps WHERE step = 0
 UNION ALL
@@ -28,7 +29,7 @@ SELECT t.experiment_id, t.step, e.s * CAST(0.9 AS DOUBLE) + (CAST(1 AS DOUBLE) -
 @query("loss_ema", "W3", EMA_SQL)
 def loss_ema(spark, d):
     e = tel.loss_ema(st.training_steps(spark, d))
-    return e.select("experiment_id", "step", r6("smooth_loss").alias("smooth_loss"), r6("ema_loss").alias("ema_loss"))
+    return e.select("experiment_id", "step", q6("smooth_loss").alias("smooth_loss"), q6("ema_loss").alias("ema_loss"))
 
 
 @query("training_progress", "W4", W(["training_steps"], f"""
