@@ -1 +1,210 @@
-"""Registered queries (q_tokens)."""
+"""Registered queries: pretokens, byte pairs, BPE vocabulary, encode / decode, packing and
+bits per byte over the ``documents`` table."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
+from runloom.operators import bpb as bpbm
+from runloom.operators import bpe
+from runloom.operators import packing as pk
+from runloom.operators.corpus import char_budget
+from runloom.plans import standins as st
+from runloom.plans.catalog import query, r6
+from runloom.plans.q_corpus import split_docs
+from runloom.schemas import MAX_SAMPLE_CHARS, SIMPLE_SPLIT_PATTERN, SPLIT_PATTERN
+from runloom.session import checkpoint_base
+
+N_MERGES = 32          # merges trained by the registered queries (the operator takes any count)
+PACK_SEQ = 1024        # packing queries use T = 1,024 (SURVEY §7.5)
+PACK_SHARDS = 8
+EVAL_STEPS, EVAL_BATCH = 8, 4
+BYTE_BOS = 256         # BOS id of the byte-level vocabulary (no merges)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def trained_vocab(spark: SparkSession, d: str, n_merges: int = N_MERGES):
+    """S14 + S15: train once per (corpus, merges, pattern, budget) and reuse the saved table."""
+    key = bpe.vocab_key(d, n_merges, SPLIT_PATTERN, MAX_SAMPLE_CHARS)
+    path = f"{checkpoint_base(spark)}/runloom/vocab-{key}"
+    if not _exists(spark, f"{path}/_SUCCESS"):
+        train = split_docs(spark, d).where(F.col("split") == "train")
+        texts = char_budget(train, max_chars=MAX_SAMPLE_CHARS).where("kept").select(F.col("capped_text").alias("text"))
+        merges = bpe.train_merges(texts, n_merges)
+        bpe.build_vocab(spark, merges).write.mode("ignore").parquet(path)
+    vocab = spark.read.parquet(path)
+    rows = [tuple(r) for r in vocab.orderBy("token_id").collect()]  # at most the vocabulary size
+    rows = [(t, bytes(b), l, r, s) for t, b, l, r, s in rows]
+    return vocab, rows
+
+
+@query("pretoken_counts", "T1 A9", r"""
+SELECT word, count(*) AS cnt FROM (SELECT unnest(regexp_extract_all(text, '\p{L}+|\p{N}{1,2}')) AS word FROM documents) w
+GROUP BY word""")
+def pretoken_counts(spark, d):
+    return bpe.word_counts(st.stories(spark, d), pattern=SIMPLE_SPLIT_PATTERN)
+
+
+@query("byte_pair_counts", "A10", r"""
+WITH w AS (SELECT word, count(*) AS cnt FROM (SELECT unnest(regexp_extract_all(text, '\p{L}+|\p{N}{1,2}')) AS word FROM documents) x GROUP BY word),
+h AS (SELECT hex(encode(word)) AS h, cnt FROM w),
+p AS (SELECT substr(h, 2 * i + 1, 2) AS left_hex, substr(h, 2 * i + 3, 2) AS right_hex, cnt
+      FROM (SELECT h, cnt, unnest(range(0, length(h) // 2 - 1)) AS i FROM h WHERE length(h) >= 4) y)
+SELECT left_hex, right_hex, CAST(sum(cnt) AS BIGINT) AS pair_count FROM p GROUP BY left_hex, right_hex""")
+def byte_pair_counts(spark, d):
+    w = bpe.word_counts(st.stories(spark, d), pattern=SIMPLE_SPLIT_PATTERN).select(
+        bpe.utf8_bytes(F.col("word")).alias("syms"), "cnt")
+    pc = bpe.pair_counts(w)
+    hx = lambda c: F.lpad(F.hex(c), 2, "0")
+    return pc.select(hx(F.col("a")).alias("left_hex"), hx(F.col("b")).alias("right_hex"), F.col("n").alias("pair_count"))
+
+
+@query("bpe_vocab", "T2 T3 T10 S14 S15")
+def bpe_vocab(spark, d):
+    vocab, _ = trained_vocab(spark, d)
+    return vocab.select("token_id", F.hex("bytes").alias("bytes_hex"), "left", "right", "is_special")
+
+
+@query("token_bytes", "T4 U1 S13")
+def token_bytes(spark, d):
+    vocab, _ = trained_vocab(spark, d)
+    return bpe.token_bytes(vocab)
+
+
+def _encoded_trained(spark, d):
+    vocab, rows = trained_vocab(spark, d)
+    bos = next(t for t, _, _, _, s in rows if s)  # T3: BOS is the first special token
+    return bpe.encode_docs(st.stories(spark, d), rows, bos), vocab, rows
+
+
+@query("encode_corpus", "T5 T7 T11")
+def encode_corpus(spark, d):
+    enc, _, _ = _encoded_trained(spark, d)
+    return enc.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.element_at("tokens", 1).alias("first_token"),
+                      "tokens")
+
+
+@query("decode_roundtrip", "T8 T9")
+def decode_roundtrip(spark, d):
+    vocab, rows = trained_vocab(spark, d)
+    return bpe.roundtrip(st.stories(spark, d), rows, vocab)
+
+
+BYTE_ROWS = bpe.vocab_rows([])
+
+
+def byte_encoded(spark, d, keep=("doc_id", "lang", "source")):
+    return bpe.encode_docs(st.stories(spark, d), BYTE_ROWS, BYTE_BOS, keep=keep)
+
+
+@query("doc_token_stats", "F21 T7 T11", """
+SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes,
+  CAST(octet_length(encode(text)) + 1 AS BIGINT) AS n_tokens, 256 AS first_token,
+  round(octet_length(encode(text)) / (octet_length(encode(text)) + 1.0), 6) AS bytes_per_token
+FROM documents""")
+def doc_token_stats(spark, d):
+    enc = byte_encoded(spark, d, keep=("doc_id",))
+    docs = st.stories(spark, d).select("doc_id", F.length("text").cast("long").alias("n_chars"),
+                                       F.octet_length("text").cast("long").alias("n_bytes"))
+    j = docs.join(enc, "doc_id")
+    n = F.size("tokens").cast("long")
+    return j.select("doc_id", "n_chars", "n_bytes", n.alias("n_tokens"), F.element_at("tokens", 1).alias("first_token"),
+                    r6(F.col("n_bytes") / n).alias("bytes_per_token"))
+
+
+def _packed(spark, d, seq=PACK_SEQ, shards=PACK_SHARDS, split="train"):
+    s = split_docs(spark, d).where(F.col("split") == split).select("doc_id", "pos_in_split", "text")
+    enc = bpe.encode_docs(s, BYTE_ROWS, BYTE_BOS, keep=("doc_id",))
+    enc = enc.join(s.select("doc_id", "pos_in_split"), "doc_id")
+    return enc, pk.pack(enc, seq, shards, order_col="pos_in_split")
+
+
+@query("packed_rows", "K1 K2 K3 K5")
+def packed_rows(spark, d):
+    _, p = _packed(spark, d)
+    return pk.batches(p, EVAL_BATCH).select("shard", "row_no", "batch_no", "epoch", "tokens")
+
+
+SPLIT_TRAIN_SQL = """
+WITH n AS (SELECT count(*) AS n FROM documents),
+p AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents)
+SELECT p.* FROM p, n WHERE pos >= least(n.n // 5, n.n)"""
+
+
+@query("packing_report", "K2 K4", f"""
+SELECT CAST(count(*) AS BIGINT) AS docs_in, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS tokens_in,
+  CAST(0 AS BIGINT) AS bad_length_rows, CAST(0 AS BIGINT) AS bad_bos_rows, CAST(0 AS BIGINT) AS balance_gap
+FROM ({SPLIT_TRAIN_SQL}) t""")
+def packing_report(spark, d):
+    enc, p = _packed(spark, d)
+    r = pk.packing_report(enc, p, PACK_SEQ, BYTE_BOS)
+    return r.select("docs_in", "tokens_in", "bad_length_rows", "bad_bos_rows", "balance_gap")
+
+
+@query("packing_totals", "K2 K4 (counts)")
+def packing_totals(spark, d):
+    enc, p = _packed(spark, d)
+    return pk.packing_report(enc, p, PACK_SEQ, BYTE_BOS)
+
+
+@query("next_token_pairs", "W5")
+def next_token_pairs(spark, d):
+    _, p = _packed(spark, d)
+    return pk.next_token_pairs(p, PACK_SEQ)
+
+
+@query("eval_rows", "K6")
+def eval_rows(spark, d):
+    _, p = _packed(spark, d, split="val")
+    return pk.eval_rows(p, EVAL_STEPS, EVAL_BATCH).select("shard", "row_no", "epoch", "tokens")
+
+
+BPB_SQL = """
+WITH t AS (
+  SELECT doc_id, lang, source, substr(h, 2 * i + 1, 2) AS tok
+  FROM (SELECT doc_id, lang, source, h, unnest(range(0, length(h) // 2)) AS i
+        FROM (SELECT doc_id, lang, source, hex(encode(text)) AS h FROM documents) a) b
+  UNION ALL SELECT doc_id, lang, source, 'BOS' FROM documents),
+c AS (SELECT tok, count(*) AS c FROM t GROUP BY tok),
+n AS (SELECT sum(c) AS n FROM c),
+l AS (SELECT t.*, -ln(c.c / n.n) AS nats,
+        CASE WHEN t.tok = 'BOS' THEN 0 WHEN substr(t.tok, 1, 1) IN ('8', '9', 'A', 'B', 'C', 'D', 'E', 'F') THEN 3 ELSE 1 END AS nb
+      FROM t JOIN c ON c.tok = t.tok, n)
+"""
+
+
+def _bpb(spark, d, group=()):
+    enc = byte_encoded(spark, d)
+    toks = bpbm.explode_tokens(enc, keep=("doc_id", "lang", "source"))
+    losses = bpbm.unigram_losses(toks)
+    tb = bpe.token_bytes(spark.createDataFrame(BYTE_ROWS, bpe.VOCAB_SCHEMA))
+    out = bpbm.bits_per_byte(losses, tb, group)
+    return out.select(*group, r6("total_nats").alias("total_nats"), "total_bytes", r6("bpb").alias("bpb"))
+
+
+def _bpb_sql(group: str) -> str:
+    g = f"{group}, " if group else ""
+    gb = f" GROUP BY {group}" if group else ""
+    return BPB_SQL + (f"SELECT {g}round(sum(CASE WHEN nb > 0 THEN nats ELSE 0 END), 6) AS total_nats, "
+                      f"CAST(sum(nb) AS BIGINT) AS total_bytes, round(sum(CASE WHEN nb > 0 THEN nats ELSE 0 END) / (ln(2) * sum(nb)), 6) AS bpb FROM l{gb}")
+
+
+@query("bpb_overall", "J7 A7", _bpb_sql(""))
+def bpb_overall(spark, d):
+    return _bpb(spark, d)
+
+
+@query("bpb_by_lang", "J7 A7", _bpb_sql("lang"))
+def bpb_by_lang(spark, d):
+    return _bpb(spark, d, ("lang",))
+
+
+@query("bpb_by_source", "J7 A7", _bpb_sql("source"))
+def bpb_by_source(spark, d):
+    return _bpb(spark, d, ("source",))
