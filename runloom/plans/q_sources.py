@@ -1 +1,118 @@
-"""Registered queries (q_sources)."""
+"""Registered queries for sources and sinks: result JSON files, split files, run logs, registry
+tables and the results log. Each writes data that Spark derives from the given tables into a fresh
+folder under the shared checkpoint folder, reads it back and answers from what was read."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from runloom.operators import telemetry as tel
+from runloom.plans import standins as st
+from runloom.plans.catalog import query
+from runloom.plans.oracle_views import with_views as W
+from runloom.plans.q_corpus import SPLIT_SQL, split_docs
+from runloom.plans.q_formats import results_log_frame
+from runloom.plans.q_telemetry import FLOPS, STOP_CTE, TINCL
+from runloom.session import work_dir
+from runloom.sources import corpus_files, logs, registry_io, results
+
+
+@query("json_results_latest", "S1 S2 S3", W(["payloads"], """
+SELECT experiment_id, status, val_bpb, num_params, checkpoint_path, configuration, (SELECT count(*) FROM payloads) AS n_results
+FROM payloads ORDER BY strftime(ingest_ts, '%Y-%m') DESC, experiment_id DESC LIMIT 1"""))
+def json_results_latest(spark, d):
+    path = work_dir(spark, "results")
+    results.write_results(st.payloads(spark, d), path)
+    latest = results.latest_result(results.read_results(spark, path))
+    return latest.select("experiment_id", "status", "val_bpb", "num_params", "checkpoint_path", "configuration",
+                         "n_results")
+
+
+@query("corpus_files", "S4 S6 S7 S15", SPLIT_SQL + """
+SELECT split, count(*) AS n_rows, CAST(sum(length(text)) AS BIGINT) AS n_chars, false AS written_again FROM s GROUP BY split""")
+def corpus_files_q(spark, d):
+    path = work_dir(spark, "corpus")
+    s = split_docs(spark, d)
+    corpus_files.write_splits(s, path)
+    corpus_files.write_raw(st.stories(spark, d), path)
+    corpus_files.touch(spark, f"{path}/split=train/leftover.parquet.tmp")  # a stray download leftover
+    again = corpus_files.write_splits(s, path)                              # S15: output exists, skipped
+    r = corpus_files.read_data_files(spark, path)
+    return r.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.length("text")).cast("long").alias("n_chars"),
+                                  F.lit(again).alias("written_again"))
+
+
+def _write_run_logs(spark, d):
+    steps = st.training_steps(spark, d)
+    stops = tel.stop_steps(steps)
+    done = steps.join(stops.select("experiment_id", "num_steps"), "experiment_id").where(F.col("step") < F.col("num_steps"))
+    from runloom.functions import config as cfg
+    ema = tel.loss_ema(steps).select("experiment_id", "step", "ema_loss")
+    prog = tel.training_progress(steps).select("experiment_id", "step", "pct_done", "remaining", "progress")
+    thr = tel.throughput(steps, FLOPS).select("experiment_id", "step", "tok_per_sec", "mfu")
+    lines = (done.select("experiment_id", "step", "dt").join(ema, ["experiment_id", "step"])
+             .join(prog, ["experiment_id", "step"]).join(thr, ["experiment_id", "step"])
+             .withColumn("lrm", cfg.lr_multiplier(F.col("progress"))).withColumn("epoch", F.lit(1)))
+    summ = tel.run_summary(steps, FLOPS)
+    totals = done.groupBy("experiment_id").agg(F.sum("dt").alias("total_seconds"))
+    summ = (summ.join(totals, "experiment_id", "left")
+            .select("experiment_id", F.lit(None).cast("double").alias("val_bpb"), "training_seconds",
+                    F.coalesce("total_seconds", F.lit(0.0)).alias("total_seconds"), "peak_vram_mb", "mfu_percent",
+                    "total_tokens", "num_steps", F.lit(4194440).alias("num_params"), F.lit(4).alias("depth")))
+    path = work_dir(spark, "logs")
+    logs.write_logs(logs.step_lines(lines), logs.summary_lines(summ), path)
+    return path
+
+
+@query("log_summary", "S16", W(["training_steps"], f"""
+SELECT s.experiment_id, s.num_steps, 4 AS depth, round(coalesce(a.t, 0), 1) AS training_seconds,
+  round(s.num_steps * 16384 / 1e6, 1) AS total_tokens_M, false AS crashed, false AS scored
+FROM stops s LEFT JOIN (
+  SELECT ts.experiment_id, sum(CASE WHEN ts.step > 10 THEN ts.dt END) AS t
+  FROM training_steps ts JOIN stops s2 ON s2.experiment_id = ts.experiment_id WHERE ts.step < s2.num_steps
+  GROUP BY ts.experiment_id) a ON a.experiment_id = s.experiment_id""", extra=[STOP_CTE]))
+def log_summary(spark, d):
+    path = _write_run_logs(spark, d)
+    s = logs.read_summary(spark, path)
+    return s.select("experiment_id", "num_steps", "depth", "training_seconds", "total_tokens_M", "crashed", "scored")
+
+
+@query("log_steps", "S17", W(["training_steps"], """
+SELECT t.experiment_id, t.step, CASE WHEN t.dt > 0 THEN CAST(floor(16384 / t.dt) AS BIGINT) ELSE 0 END AS tok_per_sec, 1 AS epoch
+FROM training_steps t JOIN stops s ON s.experiment_id = t.experiment_id WHERE t.step < s.num_steps""", extra=[STOP_CTE]))
+def log_steps(spark, d):
+    path = _write_run_logs(spark, d)
+    s = logs.read_steps(spark, path)
+    return s.select("experiment_id", "step", "tok_per_sec", "epoch")
+
+
+@query("registry_tables", "S9 S10 V3", W(["runs", "metrics", "checkpoints"], """
+SELECT 'experiment_metrics' AS table_name, count(*) AS n_rows FROM metrics
+UNION ALL SELECT 'checkpoints', count(*) FROM checkpoints
+UNION ALL SELECT 'experiments', count(*) FROM runs"""))
+def registry_tables(spark, d):
+    base = work_dir(spark, "registry")
+    runs, metrics, ckpts = st.runs(spark, d), st.metrics(spark, d), st.checkpoints(spark, d)
+    registry_io.append_tables(runs, metrics, ckpts, base, batch_id=0)
+    registry_io.append_tables(runs, metrics, ckpts, base, batch_id=0)  # a replayed batch changes nothing
+    out = None
+    for name in registry_io.TABLES:
+        c = registry_io.read_table(spark, base, name).agg(F.count(F.lit(1)).alias("n_rows")) \
+            .select(F.lit(name).alias("table_name"), "n_rows")
+        out = c if out is None else out.unionByName(c)
+    return out
+
+
+@query("results_log_tsv", "S11", W(["payloads"], """
+SELECT commit, val_bpb, memory_gb, status, description FROM (""" + """
+SELECT CASE WHEN git_commit IS NULL OR git_commit = '' THEN '—' ELSE substr(git_commit, 1, 7) END AS commit,
+  printf('%.6f', coalesce(v, 0.0)) AS val_bpb, round(peak_vram_mb / 1024, 1) AS memory_gb,
+  CASE WHEN v IS NULL THEN 'crash' WHEN best_before IS NULL OR v < best_before THEN 'keep' ELSE 'discard' END AS status,
+  'depth ' || coalesce(CAST(depth AS VARCHAR), '—') || ' window ' || coalesce(json_extract_string(configuration, '$.window_pattern'), '—') AS description
+FROM (SELECT *, min(v) OVER (ORDER BY ingest_ts, experiment_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best_before
+      FROM (SELECT *, CASE WHEN val_bpb IS NOT NULL AND NOT isnan(val_bpb) AND status = 'ok' AND total_seconds <= 600
+                           THEN val_bpb END AS v FROM payloads) a) b) x"""))
+def results_log_tsv(spark, d):
+    path = work_dir(spark, "results-log")
+    registry_io.write_results_log(results_log_frame(st.payloads(spark, d)), path)
+    return registry_io.read_results_log(spark, path)

@@ -7,7 +7,6 @@ On a cluster the working folder is the shared checkpoint folder the cluster name
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -67,7 +66,4 @@ def work_dir(spark: SparkSession, name: str, fresh: bool = True) -> str:
     """A folder under the shared checkpoint base; ``fresh`` gives a new unique one."""
     base = checkpoint_base(spark)
     sub = f"{name}-{uuid.uuid4().hex[:12]}" if fresh else name
-    path = f"{base}/runloom/{sub}"
-    if path.startswith("/") or path.startswith("file:"):
-        os.makedirs(path.replace("file:", ""), exist_ok=True)
-    return path
+    return f"{base}/runloom/{sub}"
