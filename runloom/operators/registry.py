@@ -154,14 +154,15 @@ def summary(runs: DataFrame) -> DataFrame:
     return runs.select(*SUMMARY_COLUMNS)
 
 
-NEWEST_FIRST = [F.col("created_at").desc(), F.col("experiment_id").asc()]
+def newest_first() -> list[Column]:
+    return [F.col("created_at").desc(), F.col("experiment_id").asc()]
 
 
 def page(df: DataFrame, limit: int, offset: int, order: list[Column] | None = None) -> DataFrame:
     """O1 / O2: newest first with a stable tie-break, then offset + limit. Planned as a
     TakeOrderedAndProject: each task keeps only its top (offset + limit) rows."""
     check_page(limit, offset)
-    return df.orderBy(*(order or NEWEST_FIRST)).offset(offset).limit(limit)
+    return df.orderBy(*(order or newest_first())).offset(offset).limit(limit)
 
 
 def list_runs(runs: DataFrame, limit: int = 50, offset: int = 0, status: str | None = None) -> DataFrame:
@@ -264,7 +265,7 @@ def overview(runs: DataFrame, max_rows: int | None = None) -> DataFrame:
     of the newest 200 runs (O3)."""
     src = runs
     if max_rows is not None:
-        src = runs.orderBy(*NEWEST_FIRST).limit(max_rows)
+        src = runs.orderBy(*newest_first()).limit(max_rows)
     scored = is_scored(F.col("val_bpb"))
     best = F.min_by(F.when(scored, F.struct("experiment_id", "val_bpb", "num_params", "depth")),
                     F.when(scored, best_key()))

@@ -1 +1,93 @@
-"""Registered queries (q_streams)."""
+"""Registered streaming queries (M1-M5). Each writes data derived from the given tables as files
+into a fresh folder, runs the stream to completion (``availableNow``) and returns what the sink
+holds; the oracle is the SQL of the batch twin."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from runloom.plans import standins as st
+from runloom.plans.catalog import q6, query, r6
+from runloom.plans.q_registry import SUMMARY, _overview_sql
+from runloom.plans.q_telemetry import EMA_SQL
+from runloom.plans.oracle_views import with_views as W
+from runloom.session import work_dir
+from runloom.sources import registry_io
+from runloom.streaming import ingest as sing
+from runloom.streaming import telemetry_state as sts
+
+DELIVERIES = ((None, "1995-01-01"), ("1995-01-01", "1998-01-01"), ("1998-01-01", None))
+
+
+def _deliver_payloads(spark, d, src):
+    p = st.payloads(spark, d)
+    for lo, hi in DELIVERIES:
+        part = p
+        if lo:
+            part = part.where(F.col("ingest_ts") >= F.lit(lo).cast("timestamp_ntz"))
+        if hi:
+            part = part.where(F.col("ingest_ts") < F.lit(hi).cast("timestamp_ntz"))
+        part.write.mode("append").option("ignoreNullFields", False).json(src)
+    return p
+
+
+def _ingested(spark, d):
+    src, base, cp = work_dir(spark, "stream-src"), work_dir(spark, "stream-registry"), work_dir(spark, "stream-cp")
+    p = _deliver_payloads(spark, d, src)
+    sing.start_ingest(spark, src, base, cp)
+    # a second delivery of known runs with other values, then a restart from the checkpoint
+    dup = (p.where(F.col("status") == "ok").withColumn("status", F.lit("fail"))
+           .withColumn("val_bpb", F.lit(None).cast("double")))
+    dup.write.mode("append").option("ignoreNullFields", False).json(src)
+    sing.start_ingest(spark, src, base, cp)
+    return base
+
+
+@query("stream_ingest", "M1 M2", W(["runs"], f"SELECT {SUMMARY} FROM runs"))
+def stream_ingest(spark, d):
+    base = _ingested(spark, d)
+    runs = registry_io.read_table(spark, base, "experiments")
+    return runs.select(*SUMMARY.split(", "))
+
+
+@query("stream_overview", "M3", _overview_sql("runs"))
+def stream_overview(spark, d):
+    base = _ingested(spark, d)
+    sink, cp = work_dir(spark, "overview-sink"), work_dir(spark, "overview-cp")
+    sts.start_overview(spark, f"{base}/experiments", sink, cp)
+    o = spark.read.parquet(sink)
+    return o.withColumn("total_training_seconds", r6("total_training_seconds"))
+
+
+STEP_CHUNK = 32
+
+
+def _deliver_steps(spark, d):
+    """Step telemetry as files, one file set per range of steps, each run's rows of a range in one
+    file: micro-batches then see every run's steps in order."""
+    src = work_dir(spark, "steps-src")
+    steps = st.training_steps(spark, d)
+    top = steps.agg(F.max("step")).first()[0] or 0
+    for lo in range(0, top + 1, STEP_CHUNK):
+        (steps.where((F.col("step") >= lo) & (F.col("step") < lo + STEP_CHUNK))
+         .repartition("experiment_id").sortWithinPartitions("experiment_id", "step")
+         .write.mode("append").parquet(src))
+    return src
+
+
+@query("stream_loss_ema", "M4", EMA_SQL)
+def stream_loss_ema(spark, d):
+    src = _deliver_steps(spark, d)
+    sink, cp = work_dir(spark, "ema-sink"), work_dir(spark, "ema-cp")
+    sts.start_loss_ema(spark, src, sink, cp)
+    out = spark.read.parquet(sink)
+    return out.select("experiment_id", "step", q6("smooth_loss").alias("smooth_loss"), q6("ema_loss").alias("ema_loss"))
+
+
+@query("stream_failures", "M5 P14", W(["training_steps"], """
+SELECT experiment_id, step, loss FROM training_steps WHERE isnan(loss) OR loss > 100"""))
+def stream_failures(spark, d):
+    src = _deliver_steps(spark, d)
+    sink, cp = work_dir(spark, "fail-sink"), work_dir(spark, "fail-cp")
+    sts.start_failures(spark, src, sink, cp)
+    return spark.read.parquet(sink).select("experiment_id", "step", "loss")
