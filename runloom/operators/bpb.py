@@ -17,19 +17,25 @@ def explode_tokens(encoded: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> D
     return encoded.select(*keep, F.posexplode("tokens").alias("pos", "token_id"))
 
 
-def unigram_losses(tokens: DataFrame) -> DataFrame:
-    """Our own test feed (not a scorer of the reference): nats = -ln(count(token) / all tokens)."""
-    counts = tokens.groupBy("token_id").agg(F.count(F.lit(1)).alias("c"))
-    counts = counts.withColumn("nats", -F.log(F.col("c") / F.sum("c").over(Window.partitionBy())))
+def unigram_losses(tokens: DataFrame, group_cols: tuple[str, ...] = ()) -> DataFrame:
+    """Our own test feed (not a scorer of the reference): nats = -ln(count(token) / all tokens).
+    Returned pre-aggregated as (group..., token_id, n, nats): the loss depends on the token only, so
+    occurrences are counted map-side before any shuffle (millions of rows become thousands)."""
+    per = tokens.groupBy(*group_cols, "token_id").agg(F.count(F.lit(1)).alias("n"))
+    counts = per.groupBy("token_id").agg(F.sum("n").alias("c"))
     # at most one row per vocabulary entry
-    return tokens.join(F.broadcast(counts.select("token_id", "nats")), "token_id")
+    counts = counts.withColumn("nats", -F.log(F.col("c") / F.sum("c").over(Window.partitionBy())))
+    return per.join(F.broadcast(counts.select("token_id", "nats")), "token_id")
 
 
-def bits_per_byte(losses: DataFrame, token_bytes: DataFrame, group_cols: tuple[str, ...] = ()) -> DataFrame:
-    """A7 (+ J7 broadcast join on token_id)."""
+def bits_per_byte(losses: DataFrame, token_bytes: DataFrame, group_cols: tuple[str, ...] = (),
+                  weight: str | None = None) -> DataFrame:
+    """A7 (+ J7 broadcast join on token_id). ``losses`` is one row per token, or pre-aggregated rows
+    with an occurrence count in ``weight``."""
     j = losses.join(F.broadcast(token_bytes), "token_id", "left")
     nb = F.coalesce(F.col("n_bytes"), F.lit(0))
+    w = F.col(weight) if weight else F.lit(1)
     agg = j.groupBy(*group_cols).agg(
-        F.sum(F.when(nb > 0, F.col("nats")).otherwise(F.lit(0.0))).alias("total_nats"),
-        F.sum(nb).cast("long").alias("total_bytes"))
+        F.sum(F.when(nb > 0, F.col("nats") * w).otherwise(F.lit(0.0))).alias("total_nats"),
+        F.sum(nb * w).cast("long").alias("total_bytes"))
     return agg.withColumn("bpb", F.col("total_nats") / (F.lit(math.log(2)) * F.nullif(F.col("total_bytes"), F.lit(0))))

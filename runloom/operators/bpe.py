@@ -6,8 +6,9 @@
   their counts: count adjacent pairs (A10, partially aggregated), take the top pair (one row to the
   driver), rewrite every word with a higher-order fold, checkpoint (lineage cut every merge).
   Tie-break: highest count, then the smallest (left, right) ids.
-- Encoding (T5) encodes each distinct word once (Arrow-batched helper, the merges table is at most
-  the vocabulary size), joins the ids back to the pretoken positions and regroups per document.
+- Encoding (T5) pretokenises natively and maps each document's words to ids with an Arrow-batched
+  helper that caches encoded words per worker (the merges table is at most the vocabulary size);
+  a narrow plan without any shuffle.
 - Decoding (T8) joins ids to the broadcast vocabulary and concatenates bytes in position order.
 """
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,23 +42,23 @@ def word_counts(docs: DataFrame, text_col: str = "text", pattern: str = SPLIT_PA
 
 
 def utf8_bytes(word: Column) -> Column:
-    """The UTF-8 bytes of a string as an array of ints 0..255."""
-    h = F.hex(F.encode(word, "UTF-8"))
-    n = F.octet_length(F.encode(word, "UTF-8"))
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1),
-                                     lambda i: F.conv(F.substr(h, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
-                  ).otherwise(F.array().cast(INT_ARRAY))
+    """The UTF-8 bytes of a string as an array of ints 0..255. The hex text is split once and the
+    lambda only sees its own element (an input expression referenced inside a lambda would be
+    re-evaluated for every element)."""
+    pairs = F.regexp_extract_all(F.hex(F.encode(word, "UTF-8")), F.lit("(..)"), F.lit(1))
+    return F.transform(pairs, lambda x: F.conv(x, 16, 10).cast("int"))
 
 
 def adjacent_pairs(syms: Column) -> Column:
-    n = F.size(syms)
-    return F.transform(F.sequence(F.lit(1), n - 1),
-                       lambda i: F.struct(F.element_at(syms, i).alias("a"), F.element_at(syms, i + 1).alias("b")))
+    """Adjacent (a, b) pairs as two shifted slices zipped together (no per-element lookups)."""
+    n = F.greatest(F.size(syms) - 1, F.lit(0))
+    return F.arrays_zip(F.slice(syms, 1, n).alias("a"), F.slice(syms, 2, n).alias("b"))
 
 
 def pair_counts(words: DataFrame, syms: str = "syms", weight: str = "cnt") -> DataFrame:
-    """A10: adjacent symbol pairs weighted by word count (words of length >= 2 only)."""
-    w = words.where(F.size(syms) >= 2)
+    """A10: adjacent symbol pairs weighted by word count. No filter on the symbols here: Catalyst
+    would push it below the word-count aggregate and evaluate the byte arrays per occurrence."""
+    w = words
     return (w.select(F.explode(adjacent_pairs(F.col(syms))).alias("p"), F.col(weight))
             .groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.sum(weight).alias("n")))
 
@@ -76,9 +78,9 @@ def merge_pair(syms: Column, a: int, b: int, new: int) -> Column:
 def train_merges(texts: DataFrame, n_merges: int, text_col: str = "text", pattern: str = SPLIT_PATTERN,
                  log=None) -> list[tuple[int, int, int, int]]:
     """Returns [(token_id, left, right, count)] for up to ``n_merges`` merges."""
-    words = (word_counts(texts, text_col, pattern)
-             .select(utf8_bytes(F.col("word")).alias("syms"), "cnt")
-             .where(F.size("syms") >= 2))
+    # octet_length(word) >= 2 is the cheap form of "at least two symbols"
+    words = (word_counts(texts, text_col, pattern).where(F.octet_length("word") >= 2)
+             .select(utf8_bytes(F.col("word")).alias("syms"), "cnt"))
     words = words.checkpoint(eager=True)
     merges: list[tuple[int, int, int, int]] = []
     for m in range(n_merges):
@@ -90,7 +92,9 @@ def train_merges(texts: DataFrame, n_merges: int, text_col: str = "text", patter
         merges.append((new, a, b, n))
         if log:
             log(f"merge {m}: ({a}, {b}) -> {new} x{n}")
-        words = (words.withColumn("syms", merge_pair(F.col("syms"), a, b, new))
+        # only words holding both symbols can change; the others skip the fold
+        cand = F.array_contains("syms", a) & F.array_contains("syms", b)
+        words = (words.withColumn("syms", F.when(cand, merge_pair(F.col("syms"), a, b, new)).otherwise(F.col("syms")))
                  .where(F.size("syms") >= 2).checkpoint(eager=True))
     return merges
 
@@ -153,56 +157,89 @@ def encode_word(word: str, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts]
 
 
-def word_encoder(rows: list[tuple]):
-    """An Arrow-batched column function word -> ids for a fixed vocabulary (at most vocab-size
-    entries travel to the executors with the function)."""
+_WORKER_CACHE: dict[str, dict[str, np.ndarray]] = {}
+_CACHE_LIMIT = 1 << 20
+_EMPTY = np.zeros(0, dtype=np.int32)
+
+
+def is_byte_level(rows: list[tuple]) -> bool:
+    """No merges: every token is one byte, so the ids of a text are its UTF-8 bytes."""
+    return all(l is None for _, _, l, _, s in rows if not s)
+
+
+def doc_encoder(rows: list[tuple]):
+    """An Arrow-batched column function array<word> -> array<int> for a fixed vocabulary. The ranks
+    (at most vocabulary-size entries) travel with the function; every Python worker keeps a cache of
+    words it has already encoded, so frequent words are encoded once per worker, not per use."""
     ranks = _ranks(rows)
+    key = vocab_key(*sorted(ranks.items()))
 
     @pandas_udf(INT_ARRAY)
-    def enc(words: pd.Series) -> pd.Series:
-        return words.map(lambda w: encode_word(w, ranks))
+    def enc(docs: pd.Series) -> pd.Series:
+        cache = _WORKER_CACHE.setdefault(key, {})
+        out = []
+        for words in docs:
+            parts = []
+            for w in words:
+                t = cache.get(w)
+                if t is None:
+                    t = np.asarray(encode_word(w, ranks), dtype=np.int32)
+                    if len(cache) < _CACHE_LIMIT:
+                        cache[w] = t
+                parts.append(t)
+            out.append(np.concatenate(parts) if parts else _EMPTY)
+        return pd.Series(out)
     return enc
 
 
+@pandas_udf(INT_ARRAY)
+def _utf8_ids(texts: pd.Series) -> pd.Series:
+    return pd.Series([np.frombuffer(t.encode("utf-8"), dtype=np.uint8).astype(np.int32) for t in texts])
+
+
 def encode_docs(docs: DataFrame, rows: list[tuple], bos_id: int | None, text_col: str = "text",
                 pattern: str = SPLIT_PATTERN, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """T5 + T7: (keep..., tokens) with the BOS id prepended when given. Each distinct word is encoded
-    once; the word -> ids table is joined back on the word (a shuffle join; a hot word is a skewed
-    key that AQE splits) and ids are regrouped per document in position order."""
-    pre = pretokenize(docs, text_col, pattern, keep=keep)
-    dictionary = pre.select("word").distinct().withColumn("ids", word_encoder(rows)(F.col("word")))
-    j = pre.join(dictionary, "word")
-    per_doc = j.groupBy(*keep).agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("_p"))
-    toks = F.flatten(F.transform("_p", lambda s: s["ids"]))
+    """T5 + T7: (keep..., tokens) with the BOS id prepended when given. Pretokenisation is the native
+    regex; the words of each document are mapped to ids by an Arrow-batched helper with a per-worker
+    word cache (a byte-level vocabulary needs no pretokens at all: ids are the UTF-8 bytes). A narrow
+    plan: no shuffle, every document encoded where it was read."""
+    if is_byte_level(rows):
+        toks = _utf8_ids(F.col(text_col))
+    else:
+        words = F.regexp_extract_all(F.col(text_col), F.lit("(?U)" + pattern), F.lit(0))
+        toks = doc_encoder(rows)(words)
     if bos_id is not None:
         toks = F.concat(F.array(F.lit(bos_id)), toks)
-    out = per_doc.select(*keep, toks.alias("tokens"))
-    # documents without any pretoken (empty text) still get a row
-    empty = docs.select(*keep).join(out.select(*keep), list(keep), "left_anti")
-    first = F.array(F.lit(bos_id)) if bos_id is not None else F.array().cast(INT_ARRAY)
-    return out.unionByName(empty.select(*keep, first.cast(INT_ARRAY).alias("tokens")))
+    return docs.select(*keep, toks.alias("tokens"))
 
 
 # ---- T8 / T9 -------------------------------------------------------------------------------------
-def decode_docs(encoded: DataFrame, vocab: DataFrame, keep: tuple[str, ...] = ("doc_id",),
+def vocab_hex_array(rows: list[tuple]) -> Column:
+    """The vocabulary as an array literal of hex strings indexed by token id (ids are dense and the
+    array has at most vocabulary-size entries)."""
+    by_id = {t: b.hex().upper() for t, b, *_ in rows}
+    return F.array(*[F.lit(by_id.get(i, "")) for i in range(max(by_id) + 1)])
+
+
+def decode_tokens(tokens: Column, rows: list[tuple]) -> Column:
+    """T8 as a native expression: ids -> bytes (array lookup) concatenated in order, invalid UTF-8
+    replaced (decoding never throws on a cut character)."""
+    table = vocab_hex_array(rows)
+    hx = F.array_join(F.transform(tokens, lambda t: F.element_at(table, t + 1)), "")
+    return F.make_valid_utf8(F.unhex(hx).cast("string"))
+
+
+def decode_docs(encoded: DataFrame, rows: list[tuple], keep: tuple[str, ...] = ("doc_id",),
                 tokens_col: str = "tokens") -> DataFrame:
-    """Ids back to text. Bytes are concatenated in position order as hex text (linear), then
-    invalid UTF-8 is replaced (decoding never throws on a cut character)."""
-    v = F.broadcast(vocab.select("token_id", F.hex("bytes").alias("hx")))  # bounded by the vocabulary size
-    ex = encoded.select(*keep, F.posexplode(tokens_col).alias("i", "token_id"))
-    j = ex.join(v, "token_id", "left")
-    g = j.groupBy(*keep).agg(F.array_sort(F.collect_list(F.struct("i", "hx"))).alias("_p"))
-    hx = F.array_join(F.transform("_p", lambda s: s["hx"]), "")
-    return g.select(*keep, F.make_valid_utf8(F.unhex(hx).cast("string")).alias("decoded"))
-
-
-def roundtrip(docs: DataFrame, rows: list[tuple], vocab: DataFrame, text_col: str = "text",
-              pattern: str = SPLIT_PATTERN) -> DataFrame:
-    """Encode without BOS, decode, compare with the text."""
-    enc = encode_docs(docs, rows, None, text_col, pattern)
-    dec = decode_docs(enc, vocab)
-    return docs.select("doc_id", F.col(text_col).alias("text")).join(dec, "doc_id", "left").select(
-        "doc_id", (F.coalesce(F.col("decoded"), F.lit("")) == F.col("text")).alias("roundtrip_ok"))
+    """T8 over a table of token arrays; a narrow projection."""
+    return encoded.select(*keep, decode_tokens(F.col(tokens_col), rows).alias("decoded"))
+
+
+def roundtrip(docs: DataFrame, rows: list[tuple], text_col: str = "text", pattern: str = SPLIT_PATTERN) -> DataFrame:
+    """Encode without BOS, decode, compare with the text, in one projection per document."""
+    enc = encode_docs(docs.select("doc_id", F.col(text_col).alias("_text"), F.col(text_col)), rows, None,
+                      text_col, pattern, keep=("doc_id", "_text"))
+    return enc.select("doc_id", (decode_tokens(F.col("tokens"), rows) == F.col("_text")).alias("roundtrip_ok"))
 
 
 def vocab_key(*parts) -> str:

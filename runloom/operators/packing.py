@@ -127,7 +127,7 @@ def _pack_partitions(row_len: int, buffer_size: int, batch: int):
         for shard, grp in itertools.groupby(rows(), key=lambda x: x[0]):
             docs = ((e, t) for _, e, t in grp)
             for n, (e, r, c, ok) in enumerate(pack_stream(docs, row_len, buffer_size, batch)):
-                out.append((shard, n, e, r.tolist(), c, ok))
+                out.append((shard, n, e, r, c, ok))
                 if len(out) >= 4096:
                     yield pd.DataFrame(out, columns=cols)
                     out = []

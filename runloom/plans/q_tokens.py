@@ -92,8 +92,8 @@ def encode_corpus(spark, d):
 
 @query("decode_roundtrip", "T8 T9")
 def decode_roundtrip(spark, d):
-    vocab, rows = trained_vocab(spark, d)
-    return bpe.roundtrip(st.stories(spark, d), rows, vocab)
+    _, rows = trained_vocab(spark, d)
+    return bpe.roundtrip(st.stories(spark, d), rows)
 
 
 BYTE_ROWS = bpe.vocab_rows([])
@@ -182,9 +182,9 @@ l AS (SELECT t.*, -ln(c.c / n.n) AS nats,
 def _bpb(spark, d, group=()):
     enc = byte_encoded(spark, d)
     toks = bpbm.explode_tokens(enc, keep=("doc_id", "lang", "source"))
-    losses = bpbm.unigram_losses(toks)
+    losses = bpbm.unigram_losses(toks, group)
     tb = bpe.token_bytes(spark.createDataFrame(BYTE_ROWS, bpe.VOCAB_SCHEMA))
-    out = bpbm.bits_per_byte(losses, tb, group)
+    out = bpbm.bits_per_byte(losses, tb, group, weight="n")
     # total_nats is a sum of millions of doubles: its 6th decimal depends on summation order, so
     # only the ratio and the integer byte total are compared
     return out.select(*group, "total_bytes", r6("bpb").alias("bpb"))
