@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 DASH = "—"
 
@@ -127,7 +128,7 @@ def log_val_bpb(v: Column) -> Column:
     return F.format_string("%.6f", F.coalesce(F.when(~_missing(v), v), F.lit(0.0)))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _pretty_json(s: pd.Series) -> pd.Series:
     def one(x):
         if x is None:
