@@ -120,8 +120,7 @@ def doc_token_stats(spark, d):
 
 def _packed(spark, d, seq=PACK_SEQ, shards=PACK_SHARDS, split="train"):
     s = split_docs(spark, d).where(F.col("split") == split).select("doc_id", "pos_in_split", "text")
-    enc = bpe.encode_docs(s, BYTE_ROWS, BYTE_BOS, keep=("doc_id",))
-    enc = enc.join(s.select("doc_id", "pos_in_split"), "doc_id")
+    enc = bpe.encode_docs(s, BYTE_ROWS, BYTE_BOS, keep=("doc_id", "pos_in_split"))
     return enc, pk.pack(enc, seq, shards, order_col="pos_in_split")
 
 
