@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def explode_tokens(encoded: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    return encoded.select(*keep, F.posexplode("tokens").alias("pos", "token_id"))
+def explode_tokens(encoded: DataFrame, keep: tuple[str, ...] = ("doc_id",), with_pos: bool = True) -> DataFrame:
+    if with_pos:
+        return encoded.select(*keep, F.posexplode("tokens").alias("pos", "token_id"))
+    return encoded.select(*keep, F.explode("tokens").alias("token_id"))
 
 
 def unigram_losses(tokens: DataFrame, group_cols: tuple[str, ...] = ()) -> DataFrame:

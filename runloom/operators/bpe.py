@@ -76,15 +76,22 @@ def merge_pair(syms: Column, a: int, b: int, new: int) -> Column:
 
 # ---- T2 / T3 -------------------------------------------------------------------------------------
 def train_merges(texts: DataFrame, n_merges: int, text_col: str = "text", pattern: str = SPLIT_PATTERN,
-                 log=None) -> list[tuple[int, int, int, int]]:
-    """Returns [(token_id, left, right, count)] for up to ``n_merges`` merges."""
+                 log=None, checkpoint_every: int = 8) -> list[tuple[int, int, int, int]]:
+    """Returns [(token_id, left, right, count)] for up to ``n_merges`` merges.
+
+    One job per merge: the pair count over the rewritten words also materialises them (persisted);
+    lineage is cut with a reliable ``checkpoint()`` every ``checkpoint_every`` merges."""
     # octet_length(word) >= 2 is the cheap form of "at least two symbols"
     words = (word_counts(texts, text_col, pattern).where(F.octet_length("word") >= 2)
              .select(utf8_bytes(F.col("word")).alias("syms"), "cnt"))
     words = words.checkpoint(eager=True)
     merges: list[tuple[int, int, int, int]] = []
+    held = None  # the persisted table the current `words` was derived from
     for m in range(n_merges):
         top = pair_counts(words).orderBy(F.col("n").desc(), "a", "b").limit(1).collect()
+        if held is not None:
+            held.unpersist()
+            held = None
         if not top:
             break
         a, b, n = int(top[0]["a"]), int(top[0]["b"]), int(top[0]["n"])
@@ -94,8 +101,17 @@ def train_merges(texts: DataFrame, n_merges: int, text_col: str = "text", patter
             log(f"merge {m}: ({a}, {b}) -> {new} x{n}")
         # only words holding both symbols can change; the others skip the fold
         cand = F.array_contains("syms", a) & F.array_contains("syms", b)
-        words = (words.withColumn("syms", F.when(cand, merge_pair(F.col("syms"), a, b, new)).otherwise(F.col("syms")))
-                 .where(F.size("syms") >= 2).checkpoint(eager=True))
+        nxt = (words.withColumn("syms", F.when(cand, merge_pair(F.col("syms"), a, b, new)).otherwise(F.col("syms")))
+               .where(F.size("syms") >= 2))
+        if (m + 1) % checkpoint_every == 0:
+            nxt = nxt.checkpoint(eager=True)
+        else:
+            nxt = nxt.persist()
+        if words.is_cached:
+            held = words
+        words = nxt
+    if words.is_cached:
+        words.unpersist()
     return merges
 
 

@@ -235,9 +235,11 @@ def child_counts(runs: DataFrame, metrics: DataFrame, checkpoints: DataFrame) ->
 def metrics_wide(metrics: DataFrame, runs: DataFrame, names: list[str]) -> DataFrame:
     """Latest value per (run, metric) as one column per name. 'Latest' = highest step, then
     highest value. Names are fixed, so the pivot needs no extra job to discover them."""
-    latest = (metrics.groupBy("experiment_uuid", "metric_name")
-              .agg(F.max_by("metric_value", F.struct("step", "metric_value")).alias("v")))
-    wide = latest.groupBy("experiment_uuid").pivot("metric_name", names).agg(F.first("v"))
+    # one aggregation per run (a pivot over fixed names without a second shuffle)
+    def latest(n: str) -> Column:
+        hit = F.col("metric_name") == n
+        return F.max_by(F.when(hit, F.col("metric_value")), F.when(hit, F.struct("step", "metric_value"))).alias(n)
+    wide = metrics.groupBy("experiment_uuid").agg(*[latest(n) for n in names])
     r = runs.select("id", "experiment_id")
     return (r.join(wide, r["id"] == wide["experiment_uuid"], "inner")
             .select("experiment_id", *[F.col(n).alias(n) for n in names]))

@@ -243,8 +243,9 @@ def run_times(spark, d):
 @query("ingest_first_wins", "W9", W(["first_submissions"], """
 SELECT experiment_id, status, val_bpb, git_commit, training_seconds, num_steps FROM first_submissions"""))
 def ingest_first_wins(spark, d):
-    f = reg.first_submission(st.submissions(spark, d), st.SUBMISSION_ARRIVAL)
-    return f.select("experiment_id", "status", "val_bpb", "git_commit", "training_seconds", "num_steps")
+    cols = ["experiment_id", "status", "val_bpb", "git_commit", "training_seconds", "num_steps"]
+    f = reg.first_submission(st.submissions(spark, d).select(*cols, *st.SUBMISSION_ARRIVAL), st.SUBMISSION_ARRIVAL)
+    return f.select(*cols)
 
 
 EXISTING_BEFORE = "1998-01-01 00:00:00"
@@ -382,7 +383,9 @@ UNION ALL SELECT experiment_id, 'checkpoint' FROM j WHERE found AND coalesce(che
     FROM first_submissions f LEFT JOIN runs r USING (experiment_id)
     LEFT JOIN (SELECT DISTINCT experiment_uuid FROM checkpoints) c ON c.experiment_uuid = r.id""")]))
 def verify_registration(spark, d):
-    src = reg.first_submission(st.submissions(spark, d), st.SUBMISSION_ARRIVAL)
+    # only the compared fields travel through the first-wins aggregate
+    cols = ["experiment_id", "val_bpb", "git_commit", "checkpoint_path"]
+    src = reg.first_submission(st.submissions(spark, d).select(*cols, *st.SUBMISSION_ARRIVAL), st.SUBMISSION_ARRIVAL)
     return reg.verify_registration(src, st.runs(spark, d), st.checkpoints(spark, d))
 
 

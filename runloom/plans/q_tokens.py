@@ -180,7 +180,7 @@ l AS (SELECT t.*, -ln(c.c / n.n) AS nats,
 
 def _bpb(spark, d, group=()):
     enc = byte_encoded(spark, d)
-    toks = bpbm.explode_tokens(enc, keep=("doc_id", "lang", "source"))
+    toks = bpbm.explode_tokens(enc, keep=("lang", "source"), with_pos=False)
     losses = bpbm.unigram_losses(toks, group)
     tb = bpe.token_bytes(spark.createDataFrame(BYTE_ROWS, bpe.VOCAB_SCHEMA))
     out = bpbm.bits_per_byte(losses, tb, group, weight="n")

@@ -98,14 +98,15 @@ METRIC_NAMES = ("quantity", "extendedprice", "discount", "tax")
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem")
     eid = F.concat(F.lit("exp_"), F.col("l_orderkey").cast("string"))
-    wide = li.select(eid.alias("experiment_id"), F.col("l_linenumber").alias("step"),
-                     F.col("l_shipdate").alias("recorded_at"),
+    # the run uuid is computed once per line, before the 4x unpivot
+    wide = li.select(eid.alias("experiment_id"), reg.run_uuid(eid).alias("experiment_uuid"),
+                     F.col("l_linenumber").alias("step"), F.col("l_shipdate").alias("recorded_at"),
                      *[F.col(f"l_{n}").alias(n) for n in METRIC_NAMES])
-    long = wide.unpivot(["experiment_id", "step", "recorded_at"], list(METRIC_NAMES), "metric_name", "metric_value")
+    long = wide.unpivot(["experiment_id", "experiment_uuid", "step", "recorded_at"], list(METRIC_NAMES),
+                        "metric_name", "metric_value")
     long = long.where(F.col("metric_value").isNotNull())
     return long.select(reg.metric_uuid(F.col("experiment_id"), F.col("metric_name"), F.col("step")).alias("id"),
-                       reg.run_uuid(F.col("experiment_id")).alias("experiment_uuid"),
-                       "metric_name", "metric_value", "step", "recorded_at")
+                       "experiment_uuid", "metric_name", "metric_value", "step", "recorded_at")
 
 
 SUBMISSION_ARRIVAL = ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
