@@ -18,7 +18,12 @@ from runloom.session import checkpoint_base
 
 N_MERGES = 32          # merges trained by the registered queries (the operator takes any count)
 PACK_SEQ = 1024        # packing queries use T = 1,024 (SURVEY §7.5)
-PACK_SHARDS = 8
+
+def pack_shards(spark) -> int:
+    """Packing parallelism follows the cluster (one shard per core slot; 1 reproduces the single
+    stream exactly)."""
+    return max(1, spark.sparkContext.defaultParallelism)
+
 EVAL_STEPS, EVAL_BATCH = 8, 4
 BYTE_BOS = 256         # BOS id of the byte-level vocabulary (no merges)
 
@@ -31,14 +36,16 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def trained_vocab(spark: SparkSession, d: str, n_merges: int = N_MERGES):
     """S14 + S15: train once per (corpus, merges, pattern, budget) and reuse the saved table."""
-    key = bpe.vocab_key(d, n_merges, SPLIT_PATTERN, MAX_SAMPLE_CHARS)
-    path = f"{checkpoint_base(spark)}/runloom/vocab-{key}"
-    if not _exists(spark, f"{path}/_SUCCESS"):
+    path = _vocab_path(spark, d, n_merges)
+    if not _exists(spark, f"{path}/vocab/_SUCCESS"):
+        # the training sample is bounded by the character budget (W2), whatever the corpus size
         train = split_docs(spark, d).where(F.col("split") == "train")
         texts = char_budget(train, max_chars=MAX_SAMPLE_CHARS).where("kept").select(F.col("capped_text").alias("text"))
         merges = bpe.train_merges(texts, n_merges)
-        bpe.build_vocab(spark, merges).write.mode("ignore").parquet(path)
-    vocab = spark.read.parquet(path)
+        v = bpe.build_vocab(spark, merges)
+        v.write.mode("ignore").parquet(f"{path}/vocab")                          # S14
+        bpe.token_bytes(v).write.mode("ignore").parquet(f"{path}/token_bytes")  # S13
+    vocab = spark.read.parquet(f"{path}/vocab")
     rows = [tuple(r) for r in vocab.orderBy("token_id").collect()]  # at most the vocabulary size
     rows = [(t, bytes(b), l, r, s) for t, b, l, r, s in rows]
     return vocab, rows
@@ -71,10 +78,24 @@ def bpe_vocab(spark, d):
     return vocab.select("token_id", F.hex("bytes").alias("bytes_hex"), "left", "right", "is_special")
 
 
+def _vocab_path(spark, d, n_merges=N_MERGES):
+    return f"{checkpoint_base(spark)}/runloom/vocab-{bpe.vocab_key(d, n_merges, SPLIT_PATTERN, MAX_SAMPLE_CHARS)}"
+
+
 @query("token_bytes", "T4 U1 S13")
 def token_bytes(spark, d):
+    trained_vocab(spark, d)
+    return spark.read.parquet(f"{_vocab_path(spark, d)}/token_bytes")
+
+
+@query("vocab_summary", "T10 T3")
+def vocab_summary(spark, d):
+    """Vocabulary size and BOS id (the first special token) from the saved table."""
     vocab, _ = trained_vocab(spark, d)
-    return bpe.token_bytes(vocab)
+    return vocab.agg(F.count(F.lit(1)).alias("vocab_size"),
+                     F.min(F.when(F.col("is_special"), F.col("token_id"))).alias("bos_id"),
+                     F.count_if("is_special").alias("n_special"),
+                     F.count_if(F.col("left").isNotNull()).alias("n_merges"))
 
 
 def _encoded_trained(spark, d):
@@ -118,7 +139,8 @@ def doc_token_stats(spark, d):
                     r6(F.col("n_bytes") / n).alias("bytes_per_token"))
 
 
-def _packed(spark, d, seq=PACK_SEQ, shards=PACK_SHARDS, split="train"):
+def _packed(spark, d, seq=PACK_SEQ, shards=None, split="train"):
+    shards = shards or pack_shards(spark)
     s = split_docs(spark, d).where(F.col("split") == split).select("doc_id", "pos_in_split", "text")
     enc = bpe.encode_docs(s, BYTE_ROWS, BYTE_BOS, keep=("doc_id", "pos_in_split"))
     return enc, pk.pack(enc, seq, shards, order_col="pos_in_split")
