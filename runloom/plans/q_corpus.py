@@ -24,11 +24,12 @@ def split_docs(spark, d):
 
 SPLIT_SQL = """
 WITH n AS (SELECT count(*) AS n FROM documents),
-b AS (SELECT least(n // 10, least(n // 5, n)) AS vs, least(n // 5, n) AS ve, least(n // 5, n) AS ts FROM n),
-p AS (SELECT doc_id, text, lang, source, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents),
-s AS (SELECT p.*, CASE WHEN pos >= ts THEN 'train' ELSE 'val' END AS split,
+p AS (SELECT doc_id, text, lang, source, row_number() OVER (ORDER BY doc_id) - 1 AS pos,
+        (SELECT least(n // 10, least(n // 5, n)) FROM n) AS vs, (SELECT least(n // 5, n) FROM n) AS ve,
+        (SELECT least(n // 5, n) FROM n) AS ts FROM documents),
+s AS (SELECT doc_id, text, lang, source, pos, CASE WHEN pos >= ts THEN 'train' ELSE 'val' END AS split,
         CASE WHEN pos >= ts THEN pos - ts ELSE pos - vs END AS pos_in_split
-      FROM p, b WHERE (pos >= vs AND pos < ve) OR pos >= ts)
+      FROM p WHERE (pos >= vs AND pos < ve) OR pos >= ts)
 """
 
 
@@ -54,7 +55,7 @@ def doc_batches(spark, d):
 
 
 @query("epoch_stream", "U2", SPLIT_SQL + """
-SELECT doc_id, e.epoch, pos_in_split FROM s, (SELECT unnest(range(1, 3)) AS epoch) e WHERE split = 'val'""")
+SELECT doc_id, unnest(range(1, 3)) AS epoch, pos_in_split FROM s WHERE split = 'val'""")
 def epoch_stream(spark, d):
     v = split_docs(spark, d).where(F.col("split") == "val")
     return cp.epoch_stream(v, 2).select("doc_id", F.col("epoch").cast("long").alias("epoch"), "pos_in_split")

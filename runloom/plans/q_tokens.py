@@ -155,7 +155,7 @@ def packed_rows(spark, d):
 SPLIT_TRAIN_SQL = """
 WITH n AS (SELECT count(*) AS n FROM documents),
 p AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents)
-SELECT p.* FROM p, n WHERE pos >= least(n.n // 5, n.n)"""
+SELECT p.* FROM p WHERE pos >= (SELECT least(n // 5, n) FROM n)"""
 
 
 @query("packing_report", "K2 K4", f"""
@@ -194,9 +194,9 @@ WITH t AS (
   UNION ALL SELECT doc_id, lang, source, 'BOS' FROM documents),
 c AS (SELECT tok, count(*) AS c FROM t GROUP BY tok),
 n AS (SELECT sum(c) AS n FROM c),
-l AS (SELECT t.*, -ln(c.c / n.n) AS nats,
+l AS (SELECT t.*, -ln(c.c / (SELECT n FROM n)) AS nats,
         CASE WHEN t.tok = 'BOS' THEN 0 WHEN substr(t.tok, 1, 1) IN ('8', '9', 'A', 'B', 'C', 'D', 'E', 'F') THEN 3 ELSE 1 END AS nb
-      FROM t JOIN c ON c.tok = t.tok, n)
+      FROM t JOIN c ON c.tok = t.tok)
 """
 
 
