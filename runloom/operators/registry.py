@@ -403,7 +403,9 @@ def lineage(runs: DataFrame) -> DataFrame:
     chain from the root to each run."""
     spark = runs.sparkSession
     name = f"_lineage_runs_{id(runs)}"
-    runs.select("experiment_id", "parent_experiment_id", "val_bpb").createOrReplaceTempView(name)
+    # every recursion step joins this narrow table: materialise it once (reliable checkpoint)
+    links = runs.select("experiment_id", "parent_experiment_id", "val_bpb").checkpoint(eager=True)
+    links.createOrReplaceTempView(name)
     return spark.sql(f"""
         WITH RECURSIVE chain(experiment_id, root_id, depth, best_val_bpb) AS (
           SELECT r.experiment_id, r.experiment_id, 0,

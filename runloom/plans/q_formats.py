@@ -123,8 +123,10 @@ def run_id_roundtrip(spark, d):
 def results_log_frame(payloads):
     """S11 + W7 + P15 + F12 + F13: the tab-separated results log rows (commit, val_bpb, memory_gb,
     status keep/discard/crash, description). Runs over the hard time limit count as crashes."""
+    from runloom.operators.telemetry import overtime_status
     from runloom.schemas import HARD_TIME_LIMIT
-    scored = reg.is_scored(F.col("val_bpb")) & (F.col("status") == "ok") & (F.col("total_seconds") <= HARD_TIME_LIMIT)
+    status = overtime_status(F.col("status"), F.col("total_seconds"), HARD_TIME_LIMIT)   # P15
+    scored = reg.is_scored(F.col("val_bpb")) & (status == "ok")
     base = payloads.select("experiment_id", F.col("ingest_ts").alias("created_at"),
                            F.when(scored, F.col("val_bpb")).alias("val_bpb"),
                            "git_commit", "peak_vram_mb", "depth",

@@ -130,10 +130,10 @@ SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, CAST(octet_length(encode
   round(octet_length(encode(text)) / (octet_length(encode(text)) + 1.0), 6) AS bytes_per_token
 FROM documents""")
 def doc_token_stats(spark, d):
-    enc = byte_encoded(spark, d, keep=("doc_id",))
-    docs = st.stories(spark, d).select("doc_id", F.length("text").cast("long").alias("n_chars"),
+    # one narrow projection: lengths and tokens of each document together, no join
+    docs = st.stories(spark, d).select("doc_id", "text", F.length("text").cast("long").alias("n_chars"),
                                        F.octet_length("text").cast("long").alias("n_bytes"))
-    j = docs.join(enc, "doc_id")
+    j = bpe.encode_docs(docs, BYTE_ROWS, BYTE_BOS, keep=("doc_id", "n_chars", "n_bytes"))
     n = F.size("tokens").cast("long")
     return j.select("doc_id", "n_chars", "n_bytes", n.alias("n_tokens"), F.element_at("tokens", 1).alias("first_token"),
                     r6(F.col("n_bytes") / n).alias("bytes_per_token"))

@@ -132,3 +132,21 @@ def test_schedules(spark):
     assert [x.l for x in r] == [1.0, 0.5, 0.0]
     assert [round(x.m, 6) for x in r] == [0.85, 0.9, 0.95]
     assert [round(x.w, 6) for x in r] == [0.2, 0.05, 0.0]
+
+
+def test_order_and_tie_rules(spark):
+    from datetime import datetime
+    rows = [("exp_b", datetime(2026, 1, 2), 0.5, "ok"), ("exp_a", datetime(2026, 1, 2), 0.5, "ok"),
+            ("exp_c", datetime(2026, 1, 1), 0.5, "ok"), ("exp_d", datetime(2026, 1, 3), None, "crash")]
+    runs = spark.createDataFrame(rows, "experiment_id STRING, created_at TIMESTAMP, val_bpb DOUBLE, status STRING") \
+        .withColumn("duration_seconds", F.lit(10.0)).withColumn("num_params", F.lit(1).cast("long")) \
+        .withColumn("depth", F.lit(4))
+    # newest first, ties by id
+    assert [r.experiment_id for r in runs.orderBy(*reg.newest_first()).collect()] == ["exp_d", "exp_a", "exp_b", "exp_c"]
+    # best: lowest val_bpb, ties go to the newest run (first in the list), then the smaller id
+    assert reg.best_run(runs).first().experiment_id == "exp_a"
+    o = reg.overview(runs).first()
+    assert (o.total_runs, o.ok_runs, o.rejected_runs, o.total_training_seconds) == (4, 3, 1, 40.0)
+    assert o.latest_experiment_id == "exp_d" and o.best_experiment_id == "exp_a"
+    kd = {r.experiment_id: r.decision for r in reg.keep_discard(runs).collect()}
+    assert kd == {"exp_c": "keep", "exp_a": "discard", "exp_b": "discard", "exp_d": "crash"}
