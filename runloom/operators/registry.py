@@ -252,13 +252,13 @@ def is_scored(c: Column) -> Column:
 
 def best_key() -> Column:
     """A4 order: lowest val_bpb; ties go to the newest run, then the smaller id."""
-    return F.struct(F.col("val_bpb"), (-F.unix_micros(F.col("created_at").cast("timestamp"))),
+    return F.struct(F.col("val_bpb"), (-cfg.epoch_micros(F.col("created_at"))),
                     F.col("experiment_id"))
 
 
 def latest_key() -> Column:
     """A5 order: newest created_at, then the smaller id (same as the list order)."""
-    return F.struct((-F.unix_micros(F.col("created_at").cast("timestamp"))), F.col("experiment_id"))
+    return F.struct((-cfg.epoch_micros(F.col("created_at"))), F.col("experiment_id"))
 
 
 def overview(runs: DataFrame, max_rows: int | None = None) -> DataFrame:
@@ -359,7 +359,7 @@ def keep_discard(runs: DataFrame) -> DataFrame:
     minimum is computed in two levels (chunks of time, then inside a chunk)."""
     from runloom.operators.ordered import prefix_agg
     d = runs.select("experiment_id", "created_at", "val_bpb").withColumn(
-        "_t", F.unix_micros(F.col("created_at").cast("timestamp")))
+        "_t", cfg.epoch_micros(F.col("created_at")))
     scored = is_scored(F.col("val_bpb"))
     d = prefix_agg(d, order_col="_t", tiebreak=["experiment_id"], value=F.when(scored, F.col("val_bpb")),
                    how="min", out="best_before", inclusive=False, width=86_400_000_000 * 30)

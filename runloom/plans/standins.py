@@ -31,6 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from runloom.functions.config import epoch_micros
 from runloom.operators import registry as reg
 from runloom.sources.tables import read_table
 
@@ -148,7 +149,7 @@ def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def training_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    us = epoch_micros(F.col("ts"))
     return e.select(
         F.concat(F.lit("run_"), F.col("user_id").cast("string")).alias("experiment_id"),
         (F.row_number().over(w) - 1).cast("int").alias("step"),
