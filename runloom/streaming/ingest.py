@@ -25,13 +25,22 @@ def registry_runs_before(spark: SparkSession, base: str, batch_id: int) -> DataF
 
 def ingest_batch(batch: DataFrame, batch_id: int, base: str, arrival: list[str]) -> None:
     spark = batch.sparkSession
-    good = batch.where(F.col("experiment_id").isNotNull() & F.col("status").isNotNull())
-    bad = batch.where(F.col("experiment_id").isNull() | F.col("status").isNull())
-    bad.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-        .partitionBy("batch_id").parquet(f"{base}/quarantine")
-    existing = registry_runs_before(spark, base, batch_id)
-    out = reg.ingest(good, existing, arrival, "ingest_ts")
-    registry_io.append_tables(out["runs"], out["metrics"], out["checkpoints"], base, batch_id)
+    batch = batch.persist()  # four writes below read the micro-batch; read its files once
+    try:
+        good = batch.where(F.col("experiment_id").isNotNull() & F.col("status").isNotNull())
+        bad = batch.where(F.col("experiment_id").isNull() | F.col("status").isNull())
+        bad.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+            .partitionBy("batch_id").parquet(f"{base}/quarantine")
+        existing = registry_runs_before(spark, base, batch_id)
+        accepted = reg.ingest(good, existing, arrival, "ingest_ts", bounded_batch=True)["accepted"].persist()
+        try:
+            registry_io.append_tables(reg.payload_to_runs(accepted, "ingest_ts"),
+                                      reg.payload_to_metrics(accepted, "ingest_ts"),
+                                      reg.payload_to_checkpoints(accepted, "ingest_ts"), base, batch_id)
+        finally:
+            accepted.unpersist()
+    finally:
+        batch.unpersist()
 
 
 def start_ingest(spark: SparkSession, source: str, base: str, checkpoint: str, max_files: int = 2,
