@@ -205,14 +205,19 @@ def doc_encoder(rows: list[tuple]):
                 parts.append(t)
             out.append(np.concatenate(parts) if parts else _EMPTY)
         return pd.Series(out)
-    return enc
+    # marked non-deterministic only so that Catalyst never duplicates the call (an inferred
+    # `size(tokens) > 0` filter of a later explode would otherwise evaluate it twice)
+    return enc.asNondeterministic()
 
 
 @pandas_udf(INT_ARRAY)
-def _utf8_ids(texts: pd.Series) -> pd.Series:
+def _utf8_ids_fn(texts: pd.Series) -> pd.Series:
     return pd.Series([np.frombuffer(t.encode("utf-8"), dtype=np.uint8).astype(np.int32) for t in texts])
 
 
+_utf8_ids = _utf8_ids_fn.asNondeterministic()
+
+
 def encode_docs(docs: DataFrame, rows: list[tuple], bos_id: int | None, text_col: str = "text",
                 pattern: str = SPLIT_PATTERN, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """T5 + T7: (keep..., tokens) with the BOS id prepended when given. Pretokenisation is the native
