@@ -221,8 +221,10 @@ def detail_long(runs: DataFrame, metrics: DataFrame, checkpoints: DataFrame) ->
     c = checkpoints.select(F.col("experiment_uuid").alias("run_uuid"), F.lit("checkpoint").alias("child_kind"),
                            F.col("checkpoint_path").alias("child_name"), F.lit(None).cast("long").alias("child_step"),
                            F.lit(None).cast("double").alias("child_value"))
-    rm = base.join(m, "run_uuid", "left").withColumn("child_kind", F.coalesce("child_kind", F.lit("metric")))
-    rc = base.join(c, "run_uuid", "left").withColumn("child_kind", F.coalesce("child_kind", F.lit("checkpoint")))
+    # children drive the join (right outer keeps runs without children): the run side is the one a
+    # planner may broadcast, the large child side is streamed
+    rm = m.join(base, "run_uuid", "right").withColumn("child_kind", F.coalesce("child_kind", F.lit("metric")))
+    rc = c.join(base, "run_uuid", "right").withColumn("child_kind", F.coalesce("child_kind", F.lit("checkpoint")))
     return rm.unionByName(rc).drop("run_uuid")
 
 
