@@ -7,7 +7,7 @@ callers may ask for.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runloom.functions import config as cfg

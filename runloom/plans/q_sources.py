@@ -12,7 +12,7 @@ from runloom.plans.catalog import query
 from runloom.plans.oracle_views import with_views as W
 from runloom.plans.q_corpus import SPLIT_SQL, split_docs
 from runloom.plans.q_formats import results_log_frame
-from runloom.plans.q_telemetry import FLOPS, STOP_CTE, TINCL
+from runloom.plans.q_telemetry import FLOPS, STOP_CTE
 from runloom.session import work_dir
 from runloom.sources import corpus_files, logs, registry_io, results
 

@@ -35,9 +35,6 @@ from runloom.functions.config import epoch_micros
 from runloom.operators import registry as reg
 from runloom.sources.tables import read_table
 
-PATTERNS = ("L", "SL", "SSSL")
-
-
 def _status(code: Column, ok: str, fail: str) -> Column:
     return F.when(code == ok, F.lit("ok")).when(code == fail, F.lit("fail")).otherwise(F.lit("crash"))
 
