@@ -84,6 +84,9 @@ def train_merges(texts: DataFrame, n_merges: int, text_col: str = "text", patter
     # octet_length(word) >= 2 is the cheap form of "at least two symbols"
     words = (word_counts(texts, text_col, pattern).where(F.octet_length("word") >= 2)
              .select(utf8_bytes(F.col("word")).alias("syms"), "cnt"))
+    # the distinct-word table is small, so AQE would coalesce it into very few partitions; every
+    # merge scans it, so spread it once over the cluster's task slots
+    words = words.repartition(max(1, texts.sparkSession.sparkContext.defaultParallelism))
     words = words.checkpoint(eager=True)
     merges: list[tuple[int, int, int, int]] = []
     held = None  # the persisted table the current `words` was derived from
