@@ -11,11 +11,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from runloom.operators import registry as reg
 from runloom.sources import registry_io
 from runloom.sources.results import RESULT_FILE_SCHEMA
 
+STREAM_SCHEMA = StructType(list(RESULT_FILE_SCHEMA.fields) + [StructField("_corrupt_record", StringType())])
+
 
 def registry_runs_before(spark: SparkSession, base: str, batch_id: int) -> DataFrame | None:
     if not registry_io.table_exists(spark, base, "experiments"):
@@ -25,10 +28,16 @@ def registry_runs_before(spark: SparkSession, base: str, batch_id: int) -> DataF
 
 def ingest_batch(batch: DataFrame, batch_id: int, base: str, arrival: list[str]) -> None:
     spark = batch.sparkSession
+    # completed_at is the ingest time; without an arrival time in the payload it is the
+    # micro-batch's processing time (one value per batch)
+    batch = batch.withColumn("ingest_ts", F.coalesce(F.col("ingest_ts"), F.current_timestamp().cast("timestamp_ntz")))
     batch = batch.persist()  # four writes below read the micro-batch; read its files once
     try:
-        good = batch.where(F.col("experiment_id").isNotNull() & F.col("status").isNotNull())
-        bad = batch.where(F.col("experiment_id").isNull() | F.col("status").isNull())
+        corrupt = F.col("_corrupt_record").isNotNull()
+        reason = (F.when(corrupt, F.lit("not_json")).when(F.col("experiment_id").isNull(), F.lit("missing_experiment_id"))
+                  .when(F.col("status").isNull(), F.lit("missing_status")))
+        good = batch.where(reason.isNull()).drop("_corrupt_record")
+        bad = batch.where(reason.isNotNull()).withColumn("reason", reason)
         bad.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
             .partitionBy("batch_id").parquet(f"{base}/quarantine")
         existing = registry_runs_before(spark, base, batch_id)
@@ -46,8 +55,8 @@ def ingest_batch(batch: DataFrame, batch_id: int, base: str, arrival: list[str])
 def start_ingest(spark: SparkSession, source: str, base: str, checkpoint: str, max_files: int = 2,
                  arrival: tuple[str, ...] = ("ingest_ts", "git_commit")):
     """Run the file stream until the files present now are processed (``availableNow``)."""
-    src = (spark.readStream.schema(RESULT_FILE_SCHEMA).option("maxFilesPerTrigger", max_files)
-           .option("mode", "PERMISSIVE").json(source))
+    src = (spark.readStream.schema(STREAM_SCHEMA).option("maxFilesPerTrigger", max_files)
+           .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(source))
     q = (src.writeStream.foreachBatch(lambda df, bid: ingest_batch(df, bid, base, list(arrival)))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()

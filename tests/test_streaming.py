@@ -50,3 +50,21 @@ def test_stream_state_equals_batch(spark):
     j = s.join(b, ["experiment_id", "step"]).join(t, ["experiment_id", "step"])
     assert j.count() == b.count()
     assert j.where((F.abs(F.col("s") - F.col("b")) > 1e-9) | (F.abs(F.col("st") - F.col("training_time")) > 1e-9)).count() == 0
+
+
+def test_stream_quarantines_bad_payloads(spark):
+    import os
+    src, base, cp = work_dir(spark, "t-bad-src"), work_dir(spark, "t-bad-reg"), work_dir(spark, "t-bad-cp")
+    local = src.replace("file:", "")
+    os.makedirs(local, exist_ok=True)
+    with open(os.path.join(local, "batch1.json"), "w") as f:
+        f.write('{"experiment_id": "exp_1", "status": "ok", "val_bpb": 0.9, "ingest_ts": "2026-01-01T00:00:00"}\n')
+        f.write('{"status": "ok"}\n')
+        f.write('this is not json\n')
+        f.write('{"experiment_id": "exp_2", "status": "fail"}\n')
+    sing.start_ingest(spark, src, base, cp)
+    runs = {r.experiment_id: r for r in registry_io.read_table(spark, base, "experiments").collect()}
+    assert set(runs) == {"exp_1", "exp_2"}
+    assert runs["exp_2"].completed_at is not None          # no arrival time: the batch's processing time
+    q = {r.reason for r in registry_io.read_table(spark, base, "quarantine").collect()}
+    assert q == {"missing_experiment_id", "not_json"}
