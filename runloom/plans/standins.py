@@ -143,15 +143,28 @@ def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+STEP_CHUNK_MICROS = 7 * 86_400_000_000  # one week of events per (user, chunk)
+
+
 def training_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps per user in (ts, event_id) order, numbered without a per-user window: events are cut
+    into (user, week) chunks, the chunk table carries the counts and the last timestamp of earlier
+    chunks, and rows are numbered inside their chunk. A user with a third of all events is spread
+    over many tasks."""
     e = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    us = epoch_micros(F.col("ts"))
-    return e.select(
+    d = e.withColumn("_us", epoch_micros(F.col("ts"))).withColumn("_ch", F.floor(F.col("_us") / F.lit(STEP_CHUNK_MICROS)))
+    tot = d.groupBy("user_id", "_ch").agg(F.count(F.lit(1)).alias("_n"), F.max("_us").alias("_mx"))
+    before = Window.partitionBy("user_id").orderBy("_ch").rowsBetween(Window.unboundedPreceding, -1)
+    tot = tot.select("user_id", "_ch", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_nb"),
+                     F.max("_mx").over(before).alias("_mb"))
+    d = d.join(tot, ["user_id", "_ch"], "left")
+    w = Window.partitionBy("user_id", "_ch").orderBy("_us", "event_id")
+    prev = F.coalesce(F.lag("_us").over(w), F.col("_mb"))
+    return d.select(
         F.concat(F.lit("run_"), F.col("user_id").cast("string")).alias("experiment_id"),
-        (F.row_number().over(w) - 1).cast("int").alias("step"),
+        (F.col("_nb") + F.row_number().over(w) - 1).cast("int").alias("step"),
         F.col("value").alias("loss"),
-        F.coalesce((us - F.lag(us).over(w)) / F.lit(1e9), F.lit(0.0)).alias("dt"),
+        F.coalesce((F.col("_us") - prev) / F.lit(1e9), F.lit(0.0)).alias("dt"),
         (F.col("event_id") * 1048576).alias("vram_bytes"),
     )
 
