@@ -64,13 +64,15 @@ class _Buffer:
 
 
 def pack_stream(docs: Iterator[tuple[int, np.ndarray]], row_len: int, buffer_size: int = PACK_BUFFER,
-                batch: int = DOC_BATCH) -> Iterator[tuple[int, np.ndarray, int, bool]]:
-    """Pack one ordered stream of (epoch, tokens). Yields (epoch, row, cropped_tokens, complete)."""
+                batch: int = DOC_BATCH, counts: list[int] | None = None) -> Iterator[tuple[int, np.ndarray, int, bool]]:
+    """Pack one ordered stream of (epoch, tokens). Yields (epoch, row, cropped_tokens, complete).
+    ``counts`` (a two-item list), when given, accumulates documents and tokens taken from the input."""
     buf = _Buffer()
     it = iter(docs)
     exhausted = False
     epoch = 1
     pending: tuple[int, np.ndarray] | None = None
+    counts = counts if counts is not None else [0, 0]
 
     def refill() -> None:
         nonlocal exhausted, epoch, pending
@@ -88,6 +90,8 @@ def pack_stream(docs: Iterator[tuple[int, np.ndarray]], row_len: int, buffer_siz
                 return  # an epoch boundary ends the batch
             epoch = e
             buf.add(toks)
+            counts[0] += 1
+            counts[1] += len(toks)
             pending = None
             got += 1
 
@@ -114,7 +118,7 @@ def pack_stream(docs: Iterator[tuple[int, np.ndarray]], row_len: int, buffer_siz
 
 
 def _pack_partitions(row_len: int, buffer_size: int, batch: int):
-    cols = ["shard", "row_no", "epoch", "tokens", "cropped", "complete"]
+    cols = ["shard", "row_no", "epoch", "tokens", "cropped", "complete", "docs_in", "tokens_in"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # rows arrive sorted by (shard, epoch, order): each shard is one contiguous run, streamed
@@ -126,8 +130,10 @@ def _pack_partitions(row_len: int, buffer_size: int, batch: int):
         out: list[tuple] = []
         for shard, grp in itertools.groupby(rows(), key=lambda x: x[0]):
             docs = ((e, t) for _, e, t in grp)
-            for n, (e, r, c, ok) in enumerate(pack_stream(docs, row_len, buffer_size, batch)):
-                out.append((shard, n, e, r, c, ok))
+            counts = [0, 0]  # input taken since the previous emitted row (every document ends in a row)
+            for n, (e, r, c, ok) in enumerate(pack_stream(docs, row_len, buffer_size, batch, counts)):
+                out.append((shard, n, e, r, c, ok, counts[0], counts[1]))
+                counts[0] = counts[1] = 0
                 if len(out) >= 4096:
                     yield pd.DataFrame(out, columns=cols)
                     out = []
@@ -147,25 +153,21 @@ def pack(encoded: DataFrame, seq_len: int, shards: int, order_col: str = "pos",
     return d.mapInPandas(_pack_partitions(seq_len + 1, buffer_size, batch), PACKED_SCHEMA)
 
 
-def packing_report(encoded: DataFrame, packed: DataFrame, seq_len: int, bos_id: int) -> DataFrame:
-    """K2 + K4 invariants in one aggregate over documents and rows together: every complete row has
-    T+1 tokens and starts with BOS; tokens in = packed + cropped + tail."""
-    docs = encoded.select(F.lit(True).alias("_doc"), F.size("tokens").cast("long").alias("_n"),
-                          F.lit(None).cast("boolean").alias("complete"), F.lit(0).cast("long").alias("cropped"),
-                          F.lit(None).cast("int").alias("_first"))
-    rows = packed.select(F.lit(False).alias("_doc"), F.size("tokens").cast("long").alias("_n"), "complete",
-                         F.col("cropped").cast("long").alias("cropped"), F.element_at("tokens", 1).alias("_first"))
-    u = docs.unionByName(rows)
-    isrow = ~F.col("_doc")
-    out = u.agg(
-        F.count_if("_doc").alias("docs_in"),
-        F.coalesce(F.sum(F.when(F.col("_doc"), F.col("_n"))), F.lit(0)).cast("long").alias("tokens_in"),
-        F.count_if(isrow & F.col("complete")).alias("rows"),
-        F.coalesce(F.sum(F.when(isrow & F.col("complete"), F.col("_n"))), F.lit(0)).cast("long").alias("packed_tokens"),
-        F.coalesce(F.sum(F.when(isrow, F.col("cropped"))), F.lit(0)).cast("long").alias("cropped_tokens"),
-        F.coalesce(F.sum(F.when(isrow & ~F.col("complete"), F.col("_n"))), F.lit(0)).cast("long").alias("tail_tokens"),
-        F.count_if(isrow & F.col("complete") & (F.col("_n") != seq_len + 1)).alias("bad_length_rows"),
-        F.count_if(isrow & (F.col("_first") != F.lit(bos_id))).alias("bad_bos_rows"))
+def packing_report(packed: DataFrame, seq_len: int, bos_id: int) -> DataFrame:
+    """K2 + K4 in one aggregate over the packed rows: input documents and tokens (as counted by the
+    packer), every complete row has T+1 tokens and starts with BOS, and tokens in = packed + cropped
+    + tail."""
+    c = F.col("complete")
+    n = F.size("tokens").cast("long")
+    out = packed.agg(
+        F.coalesce(F.sum("docs_in"), F.lit(0)).cast("long").alias("docs_in"),
+        F.coalesce(F.sum("tokens_in"), F.lit(0)).cast("long").alias("tokens_in"),
+        F.count_if(c).alias("rows"),
+        F.coalesce(F.sum(F.when(c, n)), F.lit(0)).cast("long").alias("packed_tokens"),
+        F.coalesce(F.sum("cropped"), F.lit(0)).cast("long").alias("cropped_tokens"),
+        F.coalesce(F.sum(F.when(~c, n)), F.lit(0)).cast("long").alias("tail_tokens"),
+        F.count_if(c & (n != seq_len + 1)).alias("bad_length_rows"),
+        F.count_if(F.element_at("tokens", 1) != F.lit(bos_id)).alias("bad_bos_rows"))
     return out.withColumn("balance_gap", F.col("tokens_in") - F.col("packed_tokens") - F.col("cropped_tokens")
                           - F.col("tail_tokens"))
 

@@ -163,15 +163,15 @@ SELECT CAST(count(*) AS BIGINT) AS docs_in, CAST(sum(octet_length(encode(text))
   CAST(0 AS BIGINT) AS bad_length_rows, CAST(0 AS BIGINT) AS bad_bos_rows, CAST(0 AS BIGINT) AS balance_gap
 FROM ({SPLIT_TRAIN_SQL}) t""")
 def packing_report(spark, d):
-    enc, p = _packed(spark, d)
-    r = pk.packing_report(enc, p, PACK_SEQ, BYTE_BOS)
+    _, p = _packed(spark, d)
+    r = pk.packing_report(p, PACK_SEQ, BYTE_BOS)
     return r.select("docs_in", "tokens_in", "bad_length_rows", "bad_bos_rows", "balance_gap")
 
 
 @query("packing_totals", "K2 K4 (counts)")
 def packing_totals(spark, d):
-    enc, p = _packed(spark, d)
-    return pk.packing_report(enc, p, PACK_SEQ, BYTE_BOS)
+    _, p = _packed(spark, d)
+    return pk.packing_report(p, PACK_SEQ, BYTE_BOS)
 
 
 @query("next_token_pairs", "W5")

@@ -132,6 +132,8 @@ PACKED_SCHEMA = StructType([
     StructField("tokens", ArrayType(IntegerType())),
     StructField("cropped", LongType()),
     StructField("complete", BooleanType()),
+    StructField("docs_in", LongType()),
+    StructField("tokens_in", LongType()),
 ])
 
 TS = TimestampType()

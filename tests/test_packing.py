@@ -73,9 +73,9 @@ def test_spark_packing_invariants(spark):
     enc = spark.createDataFrame(rows, "doc_id LONG, pos LONG, tokens ARRAY<INT>")
     for shards in (1, 4):
         packed = pk.pack(enc, 15, shards, buffer_size=50, batch=8)
-        rep = pk.packing_report(enc, packed, 15, 99).first()
+        rep = pk.packing_report(packed, 15, 99).first()
         assert rep.bad_length_rows == 0 and rep.bad_bos_rows == 0 and rep.balance_gap == 0
-        assert rep.docs_in == 500
+        assert rep.docs_in == 500 and rep.tokens_in == sum(len(t) for _, _, t in rows)
     one = pk.pack(enc, 15, 1, buffer_size=50, batch=8).where("complete").orderBy("row_no")
     lengths = [len(t) for _, _, t in rows]
     assert one.count() == len(direct_pack(lengths, 16, 50, 8))
