@@ -116,3 +116,19 @@ def results_log_tsv(spark, d):
     path = work_dir(spark, "results-log")
     registry_io.write_results_log(results_log_frame(st.payloads(spark, d)), path)
     return registry_io.read_results_log(spark, path)
+
+
+@query("registry_bucketed_counts", "A8 J1 J2 on a bucketed registry (S10 layout)", W(["runs", "metrics", "checkpoints"], """
+SELECT r.experiment_id, CAST(coalesce(m.n, 0) AS BIGINT) AS n_metrics, CAST(coalesce(c.n, 0) AS BIGINT) AS n_checkpoints
+FROM runs r
+LEFT JOIN (SELECT experiment_uuid, count(*) AS n FROM metrics GROUP BY 1) m ON m.experiment_uuid = r.id
+LEFT JOIN (SELECT experiment_uuid, count(*) AS n FROM checkpoints GROUP BY 1) c ON c.experiment_uuid = r.id"""))
+def registry_bucketed_counts(spark, d):
+    import uuid as _uuid
+    from runloom.operators import registry as reg
+    base = work_dir(spark, "registry-bucketed")
+    prefix = f"runloom_{_uuid.uuid4().hex[:10]}"
+    n = max(1, spark.sparkContext.defaultParallelism)
+    t = registry_io.write_bucketed(st.runs(spark, d), st.metrics(spark, d), st.checkpoints(spark, d), base, n, prefix)
+    return reg.child_counts(spark.table(t["experiments"]), spark.table(t["experiment_metrics"]),
+                            spark.table(t["checkpoints"]))

@@ -41,3 +41,19 @@ def write_results_log(log_rows: DataFrame, path: str) -> None:
 def read_results_log(spark: SparkSession, path: str) -> DataFrame:
     return (spark.read.option("sep", "\t").option("header", True)
             .schema("commit STRING, val_bpb STRING, memory_gb DOUBLE, status STRING, description STRING").csv(path))
+
+
+def write_bucketed(runs: DataFrame, metrics: DataFrame, checkpoints: DataFrame, base: str, n_buckets: int,
+                   prefix: str) -> dict[str, str]:
+    """The registry at rest bucketed (and sorted) on the run key: runs by ``id``, children by
+    ``experiment_uuid``, all with the same bucket count, so per-run aggregates and run-child joins
+    read co-located buckets without any shuffle. The tables are registered in the session catalog
+    with an explicit path under ``base`` (no metastore service involved)."""
+    names = {}
+    for name, df, key in (("experiments", runs, "id"), ("experiment_metrics", metrics, "experiment_uuid"),
+                          ("checkpoints", checkpoints, "experiment_uuid")):
+        table = f"{prefix}_{name}"
+        (df.write.mode("overwrite").bucketBy(n_buckets, key).sortBy(key)
+         .option("path", f"{base}/{name}").saveAsTable(table))
+        names[name] = table
+    return names
