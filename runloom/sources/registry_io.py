@@ -49,11 +49,19 @@ def write_bucketed(runs: DataFrame, metrics: DataFrame, checkpoints: DataFrame,
     ``experiment_uuid``, all with the same bucket count, so per-run aggregates and run-child joins
     read co-located buckets without any shuffle. The tables are registered in the session catalog
     with an explicit path under ``base`` (no metastore service involved)."""
+    spark = runs.sparkSession
+    # bucket metadata lives in the catalog; only the in-memory session catalog is used (a Hive
+    # catalog would mean a metastore database), otherwise plain parquet views with the same content
+    in_memory = spark.conf.get("spark.sql.catalogImplementation", "in-memory") == "in-memory"
     names = {}
     for name, df, key in (("experiments", runs, "id"), ("experiment_metrics", metrics, "experiment_uuid"),
                           ("checkpoints", checkpoints, "experiment_uuid")):
         table = f"{prefix}_{name}"
-        (df.write.mode("overwrite").bucketBy(n_buckets, key).sortBy(key)
-         .option("path", f"{base}/{name}").saveAsTable(table))
+        if in_memory:
+            (df.write.mode("overwrite").bucketBy(n_buckets, key).sortBy(key)
+             .option("path", f"{base}/{name}").saveAsTable(table))
+        else:
+            df.write.mode("overwrite").parquet(f"{base}/{name}")
+            spark.read.parquet(f"{base}/{name}").createOrReplaceTempView(table)
         names[name] = table
     return names
