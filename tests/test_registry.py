@@ -150,3 +150,13 @@ def test_order_and_tie_rules(spark):
     assert o.latest_experiment_id == "exp_d" and o.best_experiment_id == "exp_a"
     kd = {r.experiment_id: r.decision for r in reg.keep_discard(runs).collect()}
     assert kd == {"exp_c": "keep", "exp_a": "discard", "exp_b": "discard", "exp_d": "crash"}
+
+
+def test_split_valid_parses_good_rows_and_quarantines_the_rest(spark):
+    rows = [(1, json.dumps({"experiment_id": "exp_1", "status": "ok", "val_bpb": 0.81, "num_params": 7})),
+            (2, "{broken"), (3, json.dumps({"experiment_id": "exp_3"}))]
+    df = spark.createDataFrame(rows, "k INT, payload STRING")
+    good, bad = checks.split_valid(df, "payload")
+    g = good.collect()
+    assert [(r.k, r.experiment_id, r.val_bpb, r.num_params) for r in g] == [(1, "exp_1", 0.81, 7)]
+    assert {r.k: r.reason for r in bad.collect()} == {2: "not_json", 3: "missing_status"}
