@@ -24,10 +24,11 @@ def unigram_losses(tokens: DataFrame, group_cols: tuple[str, ...] = ()) -> DataF
     Returned pre-aggregated as (group..., token_id, n, nats): the loss depends on the token only, so
     occurrences are counted map-side before any shuffle (millions of rows become thousands)."""
     per = tokens.groupBy(*group_cols, "token_id").agg(F.count(F.lit(1)).alias("n"))
-    counts = per.groupBy("token_id").agg(F.sum("n").alias("c"))
-    # at most one row per vocabulary entry
-    counts = counts.withColumn("nats", -F.log(F.col("c") / F.sum("c").over(Window.partitionBy())))
-    return per.join(F.broadcast(counts.select("token_id", "nats")), "token_id")
+    # `per` has at most (groups x vocabulary) rows: token totals and the grand total are windows over
+    # it, so the token stream is aggregated once and never joined back
+    c = F.sum("n").over(Window.partitionBy("token_id"))
+    total = F.sum("n").over(Window.partitionBy())
+    return per.withColumn("nats", -F.log(c / total))
 
 
 def bits_per_byte(losses: DataFrame, token_bytes: DataFrame, group_cols: tuple[str, ...] = (),
