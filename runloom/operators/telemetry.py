@@ -61,7 +61,10 @@ def stop_steps(steps: DataFrame, budget: float = TIME_BUDGET) -> DataFrame:
     """W8 + P14: the first blow-up step (the run fails there, that step is not counted) or the first
     step from step 10 on whose running time reaches the budget (counted, then stop); a plain
     aggregate per run, partially aggregated before the shuffle."""
-    d = with_training_time(steps)
+    return _stops_from(with_training_time(steps), budget)
+
+
+def _stops_from(d: DataFrame, budget: float) -> DataFrame:
     agg = d.groupBy("experiment_id").agg(
         F.min(F.when(blowup(F.col("loss")), F.col("step"))).alias("fail_step"),
         F.min(F.when((F.col("step") >= WARMUP_STEPS_EXCLUDED) & (F.col("t_incl") >= F.lit(float(budget))), F.col("step")))
@@ -76,9 +79,11 @@ def stop_steps(steps: DataFrame, budget: float = TIME_BUDGET) -> DataFrame:
 
 def run_summary(steps: DataFrame, flops_per_token: int, budget: float = TIME_BUDGET,
                 batch: int = TOTAL_BATCH_SIZE) -> DataFrame:
-    """The printed summary per run from its executed steps (step < num_steps)."""
-    stops = stop_steps(steps, budget)
-    d = steps.join(stops.select("experiment_id", "num_steps", "stop_reason"), "experiment_id")
+    """The printed summary per run from its executed steps (step < num_steps). The step
+    table with running time is built once and feeds both the stop rule and the summary."""
+    timed = with_training_time(steps)
+    stops = _stops_from(timed, budget)
+    d = timed.join(stops.select("experiment_id", "num_steps", "stop_reason"), "experiment_id")
     d = d.where(F.col("step") < F.col("num_steps"))
     agg = d.groupBy("experiment_id", "num_steps", "stop_reason").agg(
         F.coalesce(F.sum(counted_dt()), F.lit(0.0)).alias("training_seconds"),
@@ -110,10 +115,3 @@ def throughput(steps: DataFrame, flops_per_token: int, batch: int = TOTAL_BATCH_
 def overtime_status(status, total_seconds, limit: float = 600.0):
     """A run over the hard limit counts as a crash."""
     return F.when(total_seconds > limit, F.lit("crash")).otherwise(status)
-
-
-def step_line(df: DataFrame, budget: float = TIME_BUDGET) -> F.Column:
-    """The printed step line (S17 source): step, percent, smoothed loss, dt, tokens/s."""
-    return F.format_string("step %05d (%.1f%%) | loss: %.6f | dt: %.0fms | tok/sec: %d | remaining: %.0fs",
-                           F.col("step"), F.col("pct_done"), F.col("ema_loss"), F.col("dt") * 1000,
-                           F.coalesce(F.col("tok_per_sec"), F.lit(0)), F.col("remaining"))
