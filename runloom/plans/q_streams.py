@@ -68,8 +68,9 @@ def _deliver_steps(spark, d):
     src = work_dir(spark, "steps-src")
     steps = st.training_steps(spark, d)
     top = steps.agg(F.max("step")).first()[0] or 0
-    for lo in range(0, top + 1, STEP_CHUNK):
-        (steps.where((F.col("step") >= lo) & (F.col("step") < lo + STEP_CHUNK))
+    width = max(STEP_CHUNK, -(-(top + 1) // 8))  # at most about 8 deliveries however long the runs are
+    for lo in range(0, top + 1, width):
+        (steps.where((F.col("step") >= lo) & (F.col("step") < lo + width))
          .repartition("experiment_id").sortWithinPartitions("experiment_id", "step")
          .write.mode("append").parquet(src))
     return src
