@@ -64,14 +64,12 @@ def pair_counts(words: DataFrame, syms: str = "syms", weight: str = "cnt") -> Da
 
 
 def merge_pair(syms: Column, a: int, b: int, new: int) -> Column:
-    """Replace non-overlapping (a, b) occurrences left to right by ``new`` (a fold, native)."""
-    empty = F.array().cast(INT_ARRAY)
-
-    def step(acc, x):
-        last = F.try_element_at(acc, F.lit(-1))
-        hit = (F.size(acc) > 0) & (last == F.lit(a)) & (x == F.lit(b))
-        return F.when(hit, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.lit(new)))).otherwise(F.concat(acc, F.array(x)))
-    return F.aggregate(syms, empty, step)
+    """Replace non-overlapping (a, b) occurrences left to right by ``new``, in linear time: the
+    symbols are written as space-separated text, one regular-expression replacement (lookarounds keep
+    whole symbols and leave separators for the next match) rewrites them, and the text is split back."""
+    text = F.concat(F.lit(" "), F.array_join(syms, " "), F.lit(" "))
+    out = F.regexp_replace(text, F.lit(f"(?<= ){a} {b}(?= )"), F.lit(str(new)))
+    return F.split(F.trim(out), " ").cast(INT_ARRAY)
 
 
 # ---- T2 / T3 -------------------------------------------------------------------------------------
