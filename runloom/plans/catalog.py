@@ -3,11 +3,14 @@ operator is expressible in SQL, the equivalent DuckDB SQL used as an oracle."""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runloom.session import ship_package
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, QueryFn] = {}
@@ -15,11 +18,20 @@ ORACLE: dict[str, str] = {}
 OPS: dict[str, str] = {}
 
 
+def shipped(fn: QueryFn) -> QueryFn:
+    """The query, with the package sent to the Python workers first: they need not have it on their path."""
+    @functools.wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return fn(spark, sf_dir)
+    return run
+
+
 def query(name: str, ops: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
     def deco(fn: QueryFn) -> QueryFn:
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = fn
+        QUERIES[name] = shipped(fn)
         OPS[name] = ops
         if sql is not None:
             ORACLE[name] = sql

@@ -1,18 +1,22 @@
 """Session construction and the shared working folder.
 
 On a cluster the working folder is the shared checkpoint folder the cluster names in
-``spark.checkpoint.dir``; a local fallback is created only when that setting is absent
-(tests, laptops).
+``spark.checkpoint.dir``; a local fallback is created only when that setting is absent and the
+master is local (tests, laptops).
 """
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
 _LOCAL_FALLBACK: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def build_session(master: str | None = None, app: str = "runloom", shuffle_partitions: int = 8,
@@ -42,22 +46,41 @@ def build_session(master: str | None = None, app: str = "runloom", shuffle_parti
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers of the application, once."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    name = os.path.basename(root)
+    archive = os.path.join(tempfile.mkdtemp(prefix=f"{name}-ship-"), f"{name}-package.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, dirs, files in os.walk(root):
+            dirs[:] = sorted(d for d in dirs if d != "__pycache__")
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    z.write(os.path.join(folder, f), os.path.join(name, os.path.relpath(os.path.join(folder, f), root)))
+    sc.addPyFile(archive)
+    _SHIPPED.add(sc.applicationId)
+
+
 def checkpoint_base(spark: SparkSession) -> str:
-    """The shared folder for checkpoints and written tables.
+    """The shared folder for checkpoints and written tables: ``spark.checkpoint.dir`` or the context's own.
 
-    Read from the session (``spark.checkpoint.dir`` or the context's checkpoint dir);
-    only when neither is set (local tests) is a local folder created and registered.
+    Where neither is set, a local master gets a folder of its own; on a cluster that would scatter the data over the
+    executors' disks, so it is an error there.
     """
     sc = spark.sparkContext
     cp = sc.getCheckpointDir()
     if not cp:
         cp = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
         if not cp:
-            key = sc.applicationId
-            cp = _LOCAL_FALLBACK.get(key)
+            if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            cp = _LOCAL_FALLBACK.get(sc.applicationId)
             if cp is None:
-                cp = tempfile.mkdtemp(prefix="runloom-ckpt-", dir="/tmp")
-                _LOCAL_FALLBACK[key] = cp
+                cp = tempfile.mkdtemp(prefix="runloom-ckpt-")
+                _LOCAL_FALLBACK[sc.applicationId] = cp
         sc.setCheckpointDir(cp)
         cp = sc.getCheckpointDir() or cp
     return cp.rstrip("/")
