@@ -39,7 +39,7 @@ TRAIN_DOCS = 10_000
 NEAR = 4
 CAP = 3
 #: A learned insult: in at least LEAST_DOCS toxic learning texts and LEAST_SHARE of them, at LEAST_RATIO times the rate of others.
-LEAST_DOCS, LEAST_SHARE, LEAST_RATIO = 4, 0.02, 15.0
+LEAST_DOCS, LEAST_SHARE, LEAST_RATIO = 10, 0.02, 15.0
 
 #: Fixed word classes.
 INSULTS = ("idiot idiots moron morons scum trash worthless pathetic stupid loser losers clown clowns disgusting imbecile dumb "
