@@ -19,5 +19,5 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     import importlib
-    for name in ("mixing", "token_counts", "pieces", "langid", "fingerprints", "toxicity", "dedup_embeddings", "html_main", "ngram_join"):
+    for name in ("mixing", "token_counts", "pieces", "langid", "fingerprints", "toxicity", "dedup_embeddings", "html_main", "ngram_join", "licenses"):
         importlib.import_module(f"runloom.llm.{name}")

@@ -85,7 +85,7 @@ def learn(labelled: DataFrame, train_docs: int = TRAIN_DOCS, size: int = PROFILE
     return out
 
 
-def _predict(profiles: dict[str, list[int]], size: int, id_col: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _judge(profiles: dict[str, list[int]], size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str], list[float]]]:
     names = sorted(profiles)
     codes = np.unique(np.concatenate([np.array(profiles[n], np.int64) for n in names]).view(np.uint64)) if names else np.zeros(0, np.uint64)
     place = np.full((len(names), len(codes) + 1), -1, np.int64)
@@ -106,15 +106,30 @@ def _predict(profiles: dict[str, list[int]], size: int, id_col: str, batches: It
             best = int(far.argmin())
             langs.append(names[best])
             scores.append(max(0.0, 1.0 - float(far[best]) / (size * len(own))))
+        yield batch, langs, scores
+
+
+def _predict(profiles: dict[str, list[int]], size: int, id_col: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, langs, scores in _judge(profiles, size, batches):
         yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [id_col, "lang_pred", "score"])
 
 
+def _keep(profiles: dict[str, list[int]], least: float, size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, langs, scores in _judge(profiles, size, batches):
+        yield batch.filter(pa.array([name != UNDETERMINED and s >= least for name, s in zip(langs, scores, strict=True)], pa.bool_()))
+
+
 def predict(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE, id_col: str = "doc_id") -> DataFrame:
     """(id, text) -> id, lang_pred, score."""
     schema = T.StructType([docs.schema[id_col], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return docs.select(id_col, "text").mapInArrow(lambda it: _predict(profiles, size, id_col, it), schema)
 
 
+def keep(docs: DataFrame, profiles: dict[str, list[int]], least: float = 0.0, size: int = PROFILE) -> DataFrame:
+    """The rows of docs, all columns, whose text is in a learned language with at least that score."""
+    return docs.mapInArrow(lambda it: _keep(profiles, least, size, it), docs.schema)
+
+
 @query("op9_language_id")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")

@@ -16,6 +16,10 @@ an empty table gives no rows; other columns are left alone.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -127,6 +131,36 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_RE
     return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "rank", "start"), rows
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text cut to its words [word_lo, word_hi); whole texts stay as they are."""
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        for i, (lo, hi, size) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("word_lo", "word_hi", "size")), strict=True)):
+            if lo or hi < size:
+                found = list(re.finditer(WORD, texts[i]))
+                texts[i] = texts[i][found[lo].start():found[hi - 1].end()]
+        names = [n for n in batch.schema.names if n not in ("word_lo", "word_hi", "size")]
+        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names], names)
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, block: int = BLOCK_TOKENS) -> DataFrame:
+    """The mix itself, in the columns of docs: a row for each document and pass that the schedule takes it in, its text
+    cut to the words taken. n_chars, where docs has it, is that of the row's text. Rows of one id, source and size that
+    differ are told apart by their text; rows equal in these are copies."""
+    of_doc, rows = mix(docs, weights, most, block)
+    part = rows.groupBy("rank", "start", "pass_no").agg(F.min("word_lo").alias("word_lo"), F.max("word_hi").alias("word_hi"))
+    taken = of_doc.where("size > 0").join(part, ["rank", "start"]).select("doc_id", "source", "size", "start", "pass_no", "word_lo", "word_hi")
+    # the i-th of several rows of one (id, source, size) goes with the i-th place of it in the shuffled order
+    place = W.partitionBy("doc_id", "source", "size")
+    at = taken.withColumn("i", F.dense_rank().over(place.orderBy("start"))).select(
+        F.struct(F.col("doc_id").alias("d"), F.col("source").alias("s")).alias("k"), F.col("size").alias("m"), "i", "pass_no", "word_lo", "word_hi")
+    own = docs.withColumn("size", words()).where("size > 0")
+    own = own.withColumn("i", F.row_number().over(W.partitionBy("doc_id", "source", "size").orderBy(F.xxhash64("text"))))
+    joined = own.join(at, F.struct(F.col("doc_id").alias("d"), F.col("source").alias("s")).eqNullSafe(F.col("k")) & (own["size"] == at.m) & (own.i == at.i))
+    cut = joined.select(*docs.columns, "size", "word_lo", "word_hi").mapInArrow(_cut, docs.schema)
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
+
+
 ORACLE = r"""
 WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 src AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),

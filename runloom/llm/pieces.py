@@ -296,21 +296,23 @@ def decode(coded: DataFrame, path: str | None = None, id_col: str = "doc_id") ->
     return coded.select(id_col, "ids").mapInArrow(lambda it: _decode(path, id_col, it), schema)
 
 
-def _round(path: str, id_col: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _round(path: str, id_cols: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Encoding and decoding in one pass over the texts."""
     own = model(path)
     for batch in steps(batches, "text", STEP):
-        coded = next(_encode(path, id_col, iter([batch])))
+        coded = next(_encode(path, id_cols[0], iter([batch])))
         lists, texts = coded.column("ids"), batch.column("text").to_pylist()
         same = [own.decode(x) == (t or "").replace(MARK, " ") for x, t in zip(lists.to_pylist(), texts, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(id_col), lists, pa.array(same, pa.bool_())], [id_col, "ids", "round_trip"])
+        yield pa.RecordBatch.from_arrays([*map(batch.column, id_cols), lists, pa.array(same, pa.bool_())], [*id_cols, "ids", "round_trip"])
 
 
-def encode_checked(docs: DataFrame, path: str | None = None, id_col: str = "doc_id") -> DataFrame:
-    """(id, text) -> id, ids, round_trip: whether the ids decode to the text (a word mark in it: to a space)."""
+def encode_checked(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, text, ...) -> id, the columns of `keep`, ids, round_trip: whether the ids decode to the text (a word mark in
+    it: to a space)."""
     path = path or public_tokenizers.path(MODEL)
-    schema = T.StructType([docs.schema[id_col], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())])
-    return docs.select(id_col, "text").mapInArrow(lambda it: _round(path, id_col, it), schema)
+    id_cols = [id_col, *keep]
+    schema = T.StructType([*(docs.schema[c] for c in id_cols), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())])
+    return docs.select(*id_cols, "text").mapInArrow(lambda it: _round(path, id_cols, it), schema)
 
 
 @query("op1_piece_codes")

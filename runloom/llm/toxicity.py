@@ -172,11 +172,20 @@ def fit(marks: list[list[int]], toxic: list[int], n: list[int]) -> list[float]:
     return w.tolist()
 
 
-def _score(insults: list[str], weights: list[float], id_col: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _judge(insults: list[str], weights: list[float], batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     scan, w = Scanner(insults), np.array(weights)
     for batch in steps(batches, "text"):
         marks = np.array([scan.counts(t or "") for t in batch.column("text").to_pylist()], float)
-        scores = 1 / (1 + np.exp(-np.clip(w[0] + marks @ w[1:], -30, 30)))
+        yield batch, 1 / (1 + np.exp(-np.clip(w[0] + marks @ w[1:], -30, 30)))
+
+
+def _keep(insults: list[str], weights: list[float], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, scores in _judge(insults, weights, batches):
+        yield batch.filter(pa.array(scores < 0.5))
+
+
+def _score(insults: list[str], weights: list[float], id_col: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, scores in _judge(insults, weights, batches):
         yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], [id_col, "score", "predicted"])
 
 
@@ -186,6 +195,11 @@ def score(docs: DataFrame, insults: list[str], weights: list[float], id_col: str
     return docs.select(id_col, "text").mapInArrow(lambda it: _score(insults, weights, id_col, it), schema)
 
 
+def keep(docs: DataFrame, insults: list[str], weights: list[float]) -> DataFrame:
+    """The rows of docs, all columns, that are not predicted toxic."""
+    return docs.mapInArrow(lambda it: _keep(insults, weights, it), docs.schema)
+
+
 @query("op8_toxicity")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
