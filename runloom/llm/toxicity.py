@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runloom.llm.catalog import query
-from runloom.llm.common import fold, read, steps
+from runloom.llm.common import fold, read, steps, written
 
 TRAIN_DOCS = 10_000
 NEAR = 4
@@ -117,12 +117,12 @@ class Scanner:
 
 
 def _learning(docs: DataFrame, labels: DataFrame, train_docs: int) -> DataFrame:
-    """(text, toxic) of the learning rows, about train_docs of each label at most."""
+    """(text, toxic) of the learning rows, about train_docs of each label at most: their ids are broadcast."""
     y = labels.where("toxic in (0, 1) and doc_id is not null").where(fold("doc_id") != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    share = y.groupBy("toxic").count().select("toxic", (F.lit(float(train_docs)) / F.col("count")).alias("share"))
+    share = {r.toxic: min(1.0, train_docs / r["count"]) for r in y.groupBy("toxic").count().collect()}
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = y.join(share, "toxic").where(draw < F.col("share")).select("doc_id", "toxic")
-    return docs.select("doc_id", "text").where("text is not null").where(fold("doc_id") != 0).join(drawn, "doc_id").select("text", "toxic")
+    drawn = y.where(draw < F.when(F.col("toxic") == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0)))
+    return docs.select("doc_id", "text").where("text is not null").where(fold("doc_id") != 0).join(F.broadcast(drawn), "doc_id").select("text", "toxic")
 
 
 def _word_tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,9 +146,9 @@ def _marks(insults: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa
 def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str], list[float]]:
     """(insults, weights). What reaches the driver is bounded: words above the thresholds (at most 1 / LEAST_SHARE a
     text) and the distinct vectors of capped counts."""
-    rows = _learning(docs, labels, train_docs)
-    words = rows.mapInArrow(_word_tally, "word string, toxic int, n long").groupBy("word").agg(
-        F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b"))
+    rows = written(_learning(docs, labels, train_docs), "toxic-learning")
+    words = written(rows.mapInArrow(_word_tally, "word string, toxic int, n long").groupBy("word").agg(
+        F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b")), "toxic-words")
     total = words.where("word = ''").first()
     if total is None:
         return [], PRIOR.tolist()
