@@ -73,9 +73,11 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(labelled: DataFrame, train_docs: int = TRAIN_DOCS, size: int = PROFILE) -> dict[str, list[int]]:
     """(doc_id, text, lang) -> profile of each language; its size is bounded by languages times profile length."""
     rows = labelled.where("lang is not null and text is not null")
-    share = rows.groupBy("lang").count().select("lang", (F.lit(float(train_docs)) / F.col("count")).alias("share"))
+    share = {r.lang: min(1.0, train_docs / r["count"]) for r in rows.groupBy("lang").count().collect()}  # one row a language
+    if not share:
+        return {}
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = rows.join(share, "lang").where(draw < F.col("share")).select("text", "lang")
+    drawn = rows.where(draw < F.create_map(*(F.lit(x) for pair in share.items() for x in pair))[F.col("lang")]).select("text", "lang")
     counts = drawn.mapInArrow(_tally, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     best = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "code"))
     kept = counts.withColumn("place", best).where(F.col("place") <= size)
