@@ -23,6 +23,7 @@ from itertools import repeat
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,7 +33,7 @@ from runloom.llm.common import read, steps
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 #: Characters of a unit beyond which merges are taken from a heap instead of in rounds; the ids are the same.
 LONG = 48
 STEP = 4_000_000
@@ -59,7 +60,10 @@ class Pieces:
         joined = {c for n in self.names if len(n) > 1 for c in n}
         alone = "".join(re.escape(c) for c in "\n\t\r" if c not in joined)
         self.units = re.compile(f"{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+" + (f"|[{alone}]" if alone else ""))
-        self.bytes = [bytes([int(n[3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else n.encode() for i, n in enumerate(names)]
+        spelled = [bytes([int(n[3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else n.encode() for i, n in enumerate(names)]
+        self.blob = np.frombuffer(b"".join(spelled), np.uint8)
+        self.lengths = np.array([len(x) for x in spelled])
+        self.offsets = np.cumsum(self.lengths) - self.lengths
         self.forget()
 
     def forget(self) -> None:
@@ -87,20 +91,22 @@ class Pieces:
 
     def suffix_array(self, text: np.ndarray, depth: int) -> np.ndarray:
         """Positions of text (small codes, 0 between units) in the order of their next `depth` characters or more."""
-        rank, width = text.astype(np.int64), 1
+        bits = int(text.max(initial=0)).bit_length() or 1
+        width = max(1, min(62 // bits, depth))
+        rank = np.zeros(len(text), np.int64)
+        for k in range(width):  # as many characters as fit make the first rank
+            rank <<= bits
+            rank[:len(text) - k] |= text[k:]
         while True:
-            after = np.zeros_like(rank)
-            after[:-width or None] = rank[width:] if width < len(rank) else 0
-            if width >= len(rank):
-                after[:] = 0
-            key = rank * (int(rank.max(initial=0)) + 1) + after
-            order = np.argsort(key, kind="stable")
-            ordered = key[order]
-            rank = np.empty_like(rank)
-            rank[order] = np.cumsum(np.concatenate([[1], ordered[1:] != ordered[:-1]])) if len(order) else 0
-            width *= 2
+            order = np.argsort(rank)
             if width >= depth or width >= len(rank):
                 return order
+            ordered = rank[order]
+            rank[order] = np.cumsum(np.concatenate([[1], ordered[1:] != ordered[:-1]]))
+            after = np.zeros_like(rank)
+            after[:-width] = rank[width:]
+            rank = rank * (len(rank) + 2) + after
+            width *= 2
 
     def edges(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """text: code points, 0 between units -> keys (position * 64 + length, sorted) and ids of all occurrences."""
@@ -249,9 +255,22 @@ class Pieces:
         kept = [i for i in range(len(begin)) if live[i]]
         return np.array([begin[i] for i in kept]), np.array([end[i] for i in kept])
 
+    def spell(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The bytes of the pieces of each row, word marks as they are; row i has the ids up to ends[i]."""
+        n = self.lengths[ids]
+        at = np.cumsum(n)
+        text = self.blob[np.repeat(self.offsets[ids] - at + n, n) + np.arange(int(n.sum()))].tobytes()
+        cuts = np.concatenate([[0], at])[np.concatenate([[0], ends])].tolist()
+        return [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
     def decode(self, ids: list[int]) -> str:
-        text = b"".join([self.bytes[i] for i in ids]).decode("utf-8", "replace").replace(MARK, " ")
-        return text[1:] if text.startswith(" ") else text
+        return plain(self.spell(np.array(ids, np.int64), np.array([len(ids)]))[0])
+
+
+def plain(spelled: bytes) -> str:
+    """Word marks to spaces; without the mark that encoding adds."""
+    text = spelled.decode("utf-8", "replace").replace(MARK, " ")
+    return text[1:] if text.startswith(" ") else text
 
 
 _MODELS: dict[str, Pieces] = {}
@@ -285,7 +304,9 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id") ->
 def _decode(path: str, id_col: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     own = model(path)
     for batch in batches:
-        texts = [own.decode(x or []) for x in batch.column("ids").to_pylist()]
+        lists = pc.fill_null(batch.column("ids"), []).cast(pa.list_(pa.int64()))
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        texts = [plain(x) for x in own.spell(lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes))]
         yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(texts, pa.string())], [id_col, "text"])
 
 
@@ -301,8 +322,10 @@ def _round(path: str, id_cols: list[str], batches: Iterator[pa.RecordBatch]) ->
     own = model(path)
     for batch in steps(batches, "text", STEP):
         coded = next(_encode(path, id_cols[0], iter([batch])))
-        lists, texts = coded.column("ids"), batch.column("text").to_pylist()
-        same = [own.decode(x) == (t or "").replace(MARK, " ") for x, t in zip(lists.to_pylist(), texts, strict=True)]
+        lists, mark = coded.column("ids"), MARK.encode()
+        spelled = own.spell(lists.values.to_numpy(), lists.offsets.to_numpy()[1:])
+        texts = batch.column("text").cast(pa.binary()).to_pylist()
+        same = [x == (mark + t.replace(b" ", mark) if t else b"") for x, t in zip(spelled, texts, strict=True)]
         yield pa.RecordBatch.from_arrays([*map(batch.column, id_cols), lists, pa.array(same, pa.bool_())], [*id_cols, "ids", "round_trip"])
 
 
