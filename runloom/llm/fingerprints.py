@@ -1,6 +1,7 @@
 """Document fingerprints (operator 10): digests of statistically improbable features.
 
-Every window of WINDOW bytes has an entropy; entropies that are rare over all windows of the corpus are improbable.
+Every window of WINDOW bytes has an entropy (of order 2, -log2 of the sum of squared byte frequencies); entropies that
+are rare over all windows of the corpus are improbable.
 In every run of RUN neighbouring windows the leftmost of the rarest wins; windows that win at least VOTES times are the
 text's features. Features are hashed and inserted, in order, into a chain of Bloom filters of FILTER_BITS bits that
 take FILTER_FEATURES features each. Two digests are compared filter by filter: the overlap of set bits, normalised so
@@ -36,7 +37,8 @@ VOTES = 5
 FILTER_BITS = 2048
 FILTER_FEATURES = 160
 HASHES = 5
-ENTROPY_BINS = 256
+#: Equal pairs of bytes in a window: 0 to WINDOW * (WINDOW - 1) / 2. The entropy of order 2 is a falling function of them.
+ENTROPY_BINS = WINDOW * (WINDOW - 1) // 2 + 1
 
 
 def entropies(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,22 +46,15 @@ def entropies(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     n = len(raw)
     if n < WINDOW:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    f = np.concatenate([[0.0], np.arange(1, WINDOW + 1) * np.log2(np.arange(1, WINDOW + 1))])
     m = n - WINDOW + 1
-    # sum of c * log2(c) over a window = sum over its bytes of f(k) - f(k - 1), the byte being its k-th in the window
-    same = np.ones(m, np.uint8)
-    gain = np.diff(f)
-    total = np.zeros(m, np.float32)
-    for i in range(WINDOW):
-        same[:] = 1
-        here = raw[i:i + m]
-        for j in range(i):
-            same += raw[j:j + m] == here
-        total += gain.astype(np.float32)[same - 1]
-    bins = np.minimum((total * (ENTROPY_BINS / float(f[-1]))).astype(np.int64), ENTROPY_BINS - 1)
+    # equal pairs in a window = sum over its bytes i of the equal bytes among the i before
+    before, pairs = np.zeros(n, np.uint8), np.zeros(m, np.uint8)
+    for i in range(1, WINDOW):
+        before[i:] += raw[i:] == raw[:n - i]
+        pairs += before[i:i + m]
     ends = np.repeat(offsets[1:], np.diff(offsets))
     at = np.flatnonzero(np.arange(m) + WINDOW <= ends[:m])
-    return bins[at], at
+    return pairs[at].astype(np.int64), at
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
