@@ -15,7 +15,7 @@ from runloom.session import work_dir
 #: A word: a run of bytes other than space and the controls 9 to 13 (pattern of every word count here).
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one numpy step works on; a longer text makes a step of its own.
-STEP_BYTES = 2_000_000
+STEP_BYTES = 1_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -33,10 +33,10 @@ from runloom.llm.common import read, steps
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 #: Characters of a unit beyond which merges are taken from a heap instead of in rounds; the ids are the same.
 LONG = 48
-STEP = 4_000_000
+STEP = 2_000_000
 
 
 class Pieces:

@@ -33,7 +33,7 @@ from runloom.llm.common import flat, read, steps, word_spans
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
 #: Distinct words a worker remembers; beyond it the memory starts anew (speed only).
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 
 class Words:
