@@ -50,14 +50,24 @@ def _fixed(units: Column, decimals: int) -> Column:
     return F.concat(whole.cast("string"), F.lit("."), frac)
 
 
+def _rounded_units(n: Column, unit: int, decimals: int) -> Column:
+    """n / unit in units of 10^-decimals, rounded as the double n / unit rounds: only where the decimal value is a tie can
+    the double lie below it, and then the units round down. Both are compared as exact integers."""
+    step = unit // 10 ** decimals
+    units = ((n * 2 + step) / (2 * step)).cast("long")
+    quotient = n.cast("double") / F.lit(float(unit))
+    binary = ((quotient - F.floor(quotient)) * F.lit(float(1 << 52))).cast("long").cast("decimal(19,0)") * F.lit(unit).cast("decimal(10,0)")
+    exact = F.pmod(n, F.lit(unit)).cast("decimal(10,0)") * F.lit(1 << 52).cast("decimal(19,0)")
+    tie = F.pmod(n * 2, F.lit(2 * step)) == step
+    return units - F.when(tie & (binary < exact), 1).otherwise(0)
+
+
 def params_text(n: Column) -> Column:
-    """'x.xxM' from a million, 'x.xK' from a thousand, else plain; exact integer rounding."""
+    """'x.xxM' from a million, 'x.xK' from a thousand, else plain; rounded as the binary quotient."""
     n = n.cast("long")
-    m_units = ((n * 100 + 500_000) / 1_000_000).cast("long")   # hundredths of a million
-    k_units = ((n * 10 + 500) / 1_000).cast("long")            # tenths of a thousand
     return (F.when(n.isNull(), F.lit(DASH))
-            .when(n >= 1_000_000, F.concat(_fixed(m_units, 2), F.lit("M")))
-            .when(n >= 1_000, F.concat(_fixed(k_units, 1), F.lit("K")))
+            .when(n >= 1_000_000, F.concat(_fixed(_rounded_units(n, 1_000_000, 2), 2), F.lit("M")))
+            .when(n >= 1_000, F.concat(_fixed(_rounded_units(n, 1_000, 1), 1), F.lit("K")))
             .otherwise(n.cast("string")))
 
 

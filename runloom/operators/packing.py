@@ -142,14 +142,21 @@ def _pack_partitions(row_len: int, buffer_size: int, batch: int):
     return run
 
 
-def pack(encoded: DataFrame, seq_len: int, shards: int, order_col: str = "pos", epoch_col: str | None = None,
-         buffer_size: int = PACK_BUFFER, batch: int = DOC_BATCH, key_col: str = "doc_id") -> DataFrame:
+def pack(encoded: DataFrame, seq_len: int, shards: int | None = None, order_col: str = "pos", epoch_col: str | None = None,
+         buffer_size: int = PACK_BUFFER, batch: int = DOC_BATCH, key_col: str = "doc_id",
+         shard_docs: int | None = None) -> DataFrame:
     """K1-K5: ``encoded`` has (key_col, order_col, tokens[, epoch]); tokens already start with BOS.
-    Returns (shard, row_no, epoch, tokens, cropped, complete); ``complete = false`` is the tail."""
+    Returns (shard, row_no, epoch, tokens, cropped, complete); ``complete = false`` is the tail.
+
+    A shard is one sequential stream. ``shard_docs`` makes shards of that many neighbouring positions, so the result
+    depends on the data and this number alone; ``shards`` deals documents out by a hash instead (1: one stream)."""
     e = F.col(epoch_col) if epoch_col else F.lit(1)
-    d = encoded.select(F.pmod(F.xxhash64(F.col(key_col)), F.lit(shards)).cast("int").alias("shard"),
+    if (shards is None) == (shard_docs is None):
+        raise ValueError("give either shards or shard_docs")
+    shard = F.floor(F.col(order_col) / shard_docs) if shard_docs else F.pmod(F.xxhash64(F.col(key_col)), F.lit(shards))
+    d = encoded.select(shard.cast("int").alias("shard"),
                        e.cast("int").alias("epoch"), F.col(order_col).alias("_o"), "tokens")
-    d = d.repartition(shards, "shard").sortWithinPartitions("shard", "epoch", "_o").drop("_o")
+    d = (d.repartition(shards, "shard") if shards else d.repartition("shard")).sortWithinPartitions("shard", "epoch", "_o").drop("_o")
     return d.mapInPandas(_pack_partitions(seq_len + 1, buffer_size, batch), PACKED_SCHEMA)
 
 
@@ -184,6 +191,11 @@ def batches(packed: DataFrame, batch_rows: int) -> DataFrame:
     return packed.where("complete").withColumn("batch_no", F.floor(F.col("row_no") / batch_rows).cast("long"))
 
 
+def eval_steps(eval_tokens: int, batch_rows: int, seq_len: int) -> int:
+    """Steps of batch_rows rows of seq_len tokens that the evaluation budget pays for, one at least."""
+    return max(1, eval_tokens // (batch_rows * seq_len))
+
+
 def eval_rows(packed: DataFrame, steps: int, batch_rows: int) -> DataFrame:
-    """K6: the first steps*B complete rows of each shard."""
-    return packed.where(F.col("complete") & (F.col("row_no") < steps * batch_rows))
+    """K6: the first steps * B complete rows of the one stream that the shards make in their order (a top-k)."""
+    return packed.where("complete").orderBy("shard", "row_no").limit(steps * batch_rows)

@@ -406,26 +406,25 @@ def key_set_diff(expected: DataFrame, present: DataFrame, name: str = "name") ->
 
 
 def lineage(runs: DataFrame) -> DataFrame:
-    """Walk parent links with a recursive CTE: root, depth and the best val_bpb along the
-    chain from the root to each run."""
-    spark = runs.sparkSession
-    name = f"_lineage_runs_{id(runs)}"
-    # every recursion step joins this narrow table: materialise it once (reliable checkpoint)
-    links = runs.select("experiment_id", "parent_experiment_id", "val_bpb").checkpoint(eager=True)
-    links.createOrReplaceTempView(name)
-    return spark.sql(f"""
-        WITH RECURSIVE chain(experiment_id, root_id, depth, best_val_bpb) AS (
-          SELECT r.experiment_id, r.experiment_id, 0,
-                 CASE WHEN r.val_bpb IS NOT NULL AND NOT isnan(r.val_bpb) THEN r.val_bpb END
-          FROM {name} r LEFT JOIN {name} p ON r.parent_experiment_id = p.experiment_id
-          WHERE p.experiment_id IS NULL
-          UNION ALL
-          SELECT c.experiment_id, ch.root_id, ch.depth + 1,
-                 least(ch.best_val_bpb,
-                       CASE WHEN c.val_bpb IS NOT NULL AND NOT isnan(c.val_bpb) THEN c.val_bpb END)
-          FROM chain ch JOIN {name} c ON c.parent_experiment_id = ch.experiment_id
-        )
-        SELECT experiment_id, root_id, depth, best_val_bpb FROM chain""")
+    """Root, depth and the best val_bpb on the chain from the root to each run, by pointer doubling: every run keeps
+    a stretch of its chain (nodes, best value, topmost run) and the run above it; each round joins a stretch with the
+    one above, so a chain of n runs takes log2(n) rounds. Runs on a cycle have no root and no row. An unknown parent
+    makes a root."""
+    own = F.when(F.col("val_bpb").isNotNull() & ~F.isnan("val_bpb"), F.col("val_bpb"))
+    links = runs.select("experiment_id", "parent_experiment_id", own.alias("best"))
+    known = links.select(F.col("experiment_id").alias("parent_experiment_id"), F.col("experiment_id").alias("up"))
+    state = links.join(known, "parent_experiment_id", "left").select(
+        "experiment_id", "up", F.col("experiment_id").alias("root_id"), F.lit(1).alias("nodes"), "best").checkpoint()
+    rounds = max(1, state.count()).bit_length() + 1
+    for _ in range(rounds):
+        if state.where("up is not null").isEmpty():
+            break
+        above = state.select(F.col("experiment_id").alias("up"), F.col("up").alias("up2"), F.col("root_id").alias("root2"),
+                             F.col("nodes").alias("nodes2"), F.col("best").alias("best2"))
+        state = state.join(above, "up", "left").select(
+            "experiment_id", F.col("up2").alias("up"), F.coalesce("root2", "root_id").alias("root_id"),
+            (F.col("nodes") + F.coalesce("nodes2", F.lit(0))).alias("nodes"), F.least("best", "best2").alias("best")).checkpoint()
+    return state.where("up is null").select("experiment_id", "root_id", (F.col("nodes") - 1).alias("depth"), F.col("best").alias("best_val_bpb"))
 
 
 def compare_runs(runs: DataFrame, roles: dict[str, DataFrame], attrs: list[str]) -> DataFrame:

@@ -3,23 +3,22 @@
 ``training_steps(experiment_id, step, loss, dt, vram_bytes)``.
 
 Per-run order matters, but no run is ever sorted in one task: running sums go through
-:func:`runloom.operators.ordered.prefix_agg` (chunks of steps) and the bounded EMA frame through
-halo chunks (each chunk carries the previous ``frame - 1`` steps).
+:func:`runloom.operators.ordered.prefix_agg` (chunks of steps) and the EMA through the exact
+composition of chunks.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runloom.functions import config as cfg
-from runloom.operators.ordered import halo_chunks, prefix_agg
+from runloom.operators.ordered import prefix_agg
 from runloom.schemas import (EMA_BETA, LOSS_BLOWUP, PEAK_FLOPS, TIME_BUDGET, TOTAL_BATCH_SIZE,
                              WARMUP_STEPS_EXCLUDED)
 
-EMA_FRAME = 400  # beta^400 is far below double precision: older steps cannot change the value
-
-
 def blowup(loss) -> F.Column:
     """NaN or above 100."""
     return F.isnan(loss) | (loss > LOSS_BLOWUP)
@@ -30,14 +29,25 @@ def counted_dt():
     return F.when(F.col("step") > WARMUP_STEPS_EXCLUDED, F.col("dt"))
 
 
-def loss_ema(steps: DataFrame, beta: float = EMA_BETA, frame: int = EMA_FRAME, width: int = 4096) -> DataFrame:
-    """s = beta*s + (1-beta)*loss from s = 0, debiased by 1 - beta^(step+1)."""
-    d = halo_chunks(steps.select("experiment_id", "step", "loss"), order_col="step",
-                    partition_cols=["experiment_id"], halo=frame - 1, width=width)
-    w = Window.partitionBy("experiment_id", "_ch").orderBy("step").rowsBetween(-(frame - 1), 0)
-    hist = F.collect_list("loss").over(w)
-    smooth = F.aggregate(hist, F.lit(0.0), lambda acc, x: acc * F.lit(beta) + F.lit(1.0 - beta) * x)
-    out = d.withColumn("smooth_loss", smooth).where("_own").drop("_ch", "_own")
+def loss_ema(steps: DataFrame, beta: float = EMA_BETA, width: int = 4096) -> DataFrame:
+    """s = beta*s + (1-beta)*loss from s = 0, debiased by 1 - beta^(step+1). The recursion is linear, so a chunk of
+    steps is summed up by its decay and its own sum, and chunks compose exactly: no history is dropped and a NaN stays.
+    Inside a chunk the sum runs over loss * beta^-k; chunks are short enough for that to stay in range."""
+    width = max(1, min(width, int(100 / -math.log10(beta)))) if 0 < beta < 1 else 1
+    key = ["experiment_id", "_ch"]
+    d = steps.select("experiment_id", "step", "loss").withColumn("_ch", F.floor(F.col("step") / width))
+    order = Window.partitionBy(*key).orderBy("step")
+    d = d.withColumn("_k", F.row_number().over(order) - 1)
+    scaled = F.lit(1.0 - beta) * F.col("loss") * F.pow(F.lit(beta), -F.col("_k"))
+    d = d.withColumn("_run", F.sum(scaled).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    d = d.withColumn("_local", F.col("_run") * F.pow(F.lit(beta), F.col("_k")))
+    chunks = d.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max_by("_local", "_k").alias("tail"))
+    past = Window.partitionBy("experiment_id").orderBy("_ch").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.aggregate(F.collect_list(F.struct("n", "tail")).over(past), F.lit(0.0),
+                         lambda acc, c: acc * F.pow(F.lit(beta), c["n"]) + c["tail"])
+    out = d.join(chunks.select(*key, before.alias("_before")), key)
+    out = out.withColumn("smooth_loss", F.col("_before") * F.pow(F.lit(beta), F.col("_k") + 1) + F.col("_local"))
+    out = out.select("experiment_id", "step", "loss", "smooth_loss")
     return out.withColumn("ema_loss", F.col("smooth_loss") / (F.lit(1.0) - F.pow(F.lit(beta), F.col("step") + 1)))
 
 

@@ -28,8 +28,10 @@ def _fixed_sql(u: str, dec: int) -> str:
 
 
 def _params_sql(n: str) -> str:
-    return (f"CASE WHEN {n} IS NULL THEN {DASH} WHEN {n} >= 1000000 THEN {_fixed_sql(f'({n} * 100 + 500000) // 1000000', 2)} || 'M' "
-            f"WHEN {n} >= 1000 THEN {_fixed_sql(f'({n} * 10 + 500) // 1000', 1)} || 'K' ELSE CAST({n} AS VARCHAR) END")
+    """printf rounds the binary quotient; exact ties, which it takes to even, are pushed up."""
+    up = lambda unit, eighth: f"CASE WHEN ({n}) % {unit} % {eighth} = 0 THEN {1 / unit / 10:.12f} ELSE 0 END"
+    return (f"CASE WHEN {n} IS NULL THEN {DASH} WHEN {n} >= 1000000 THEN printf('%.2f', ({n}) / 1000000.0::DOUBLE + {up(1000000, 125000)}) || 'M' "
+            f"WHEN {n} >= 1000 THEN printf('%.1f', ({n}) / 1000.0::DOUBLE + {up(1000, 250)}) || 'K' ELSE CAST({n} AS VARCHAR) END")
 
 
 def _short_sql(c: str) -> str:

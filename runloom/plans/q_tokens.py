@@ -9,22 +9,18 @@ from pyspark.sql import functions as F
 from runloom.operators import bpb as bpbm
 from runloom.operators import bpe
 from runloom.operators import packing as pk
-from runloom.operators.corpus import char_budget
 from runloom.plans import standins as st
 from runloom.plans.catalog import query, r6
 from runloom.plans.q_corpus import split_docs
-from runloom.schemas import MAX_SAMPLE_CHARS, SIMPLE_SPLIT_PATTERN, SPLIT_PATTERN
+from runloom.schemas import EVAL_TOKENS, SIMPLE_SPLIT_PATTERN, SPLIT_PATTERN
 from runloom.session import checkpoint_base
 
 N_MERGES = 32          # merges trained by the registered queries (the operator takes any count)
 PACK_SEQ = 1024        # packing queries use T = 1,024 (SURVEY §7.5)
 
-def pack_shards(spark) -> int:
-    """Packing parallelism follows the cluster (one shard per core slot; 1 reproduces the single
-    stream exactly)."""
-    return max(1, spark.sparkContext.defaultParallelism)
-
-EVAL_STEPS, EVAL_BATCH = 8, 4
+#: Documents of a packing shard: fixed ranges of positions, whatever the cluster.
+PACK_SHARD_DOCS = 256
+EVAL_BATCH = 4
 BYTE_BOS = 256         # BOS id of the byte-level vocabulary (no merges)
 
 
@@ -37,14 +33,13 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def trained_vocab(spark: SparkSession, d: str, n_merges: int = N_MERGES):
     """S14 + S15: train once per (corpus, merges, pattern, budget) and reuse the saved table."""
     path = _vocab_path(spark, d, n_merges)
-    if not _exists(spark, f"{path}/vocab/_SUCCESS"):
-        # the training sample is bounded by the character budget (W2), whatever the corpus size
-        train = split_docs(spark, d).where(F.col("split") == "train")
-        texts = char_budget(train, max_chars=MAX_SAMPLE_CHARS).where("kept").select(F.col("capped_text").alias("text"))
+    if not _exists(spark, f"{path}/token_bytes/_SUCCESS"):
+        # all words of the train split are counted: the character budget (W2) is the feature of its own query
+        texts = split_docs(spark, d).where(F.col("split") == "train").select("text")
         merges = bpe.train_merges(texts, n_merges)
         v = bpe.build_vocab(spark, merges)
-        v.write.mode("ignore").parquet(f"{path}/vocab")                          # S14
-        bpe.token_bytes(v).write.mode("ignore").parquet(f"{path}/token_bytes")  # S13
+        v.write.mode("overwrite").parquet(f"{path}/vocab")                          # S14
+        bpe.token_bytes(v).write.mode("overwrite").parquet(f"{path}/token_bytes")  # S13
     vocab = spark.read.parquet(f"{path}/vocab")
     rows = [tuple(r) for r in vocab.orderBy("token_id").collect()]  # at most the vocabulary size
     rows = [(t, bytes(b), l, r, s) for t, b, l, r, s in rows]
@@ -79,7 +74,7 @@ def bpe_vocab(spark, d):
 
 
 def _vocab_path(spark, d, n_merges=N_MERGES):
-    return f"{checkpoint_base(spark)}/runloom/vocab-{bpe.vocab_key(d, n_merges, SPLIT_PATTERN, MAX_SAMPLE_CHARS)}"
+    return f"{checkpoint_base(spark)}/runloom/vocab-{bpe.vocab_key(d, n_merges, SPLIT_PATTERN, 0)}"
 
 
 @query("token_bytes", "T4 U1 S13")
@@ -139,11 +134,10 @@ def doc_token_stats(spark, d):
                     r6(F.col("n_bytes") / n).alias("bytes_per_token"))
 
 
-def _packed(spark, d, seq=PACK_SEQ, shards=None, split="train"):
-    shards = shards or pack_shards(spark)
+def _packed(spark, d, seq=PACK_SEQ, split="train"):
     s = split_docs(spark, d).where(F.col("split") == split).select("doc_id", "pos_in_split", "text")
     enc = bpe.encode_docs(s, BYTE_ROWS, BYTE_BOS, keep=("doc_id", "pos_in_split"))
-    return enc, pk.pack(enc, seq, shards, order_col="pos_in_split")
+    return enc, pk.pack(enc, seq, order_col="pos_in_split", shard_docs=PACK_SHARD_DOCS)
 
 
 @query("packed_rows", "K1 K2 K3 K5")
@@ -183,7 +177,7 @@ def next_token_pairs(spark, d):
 @query("eval_rows", "K6")
 def eval_rows(spark, d):
     _, p = _packed(spark, d, split="val")
-    return pk.eval_rows(p, EVAL_STEPS, EVAL_BATCH).select("shard", "row_no", "epoch", "tokens")
+    return pk.eval_rows(p, pk.eval_steps(EVAL_TOKENS, EVAL_BATCH, PACK_SEQ), EVAL_BATCH).select("shard", "row_no", "epoch", "tokens")
 
 
 BPB_SQL = """

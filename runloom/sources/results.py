@@ -34,11 +34,18 @@ def read_results(spark: SparkSession, path: str, multiline: bool = False) -> Dat
     return df.withColumn("source_file", F.col("_metadata.file_path"))
 
 
-def latest_result(results: DataFrame) -> DataFrame:
-    """The result with the greatest (folder, run id), not the newest modification time;
-    empty input gives no row. A global aggregate: one partial row per task."""
+def latest_result(results: DataFrame, one_per_file: bool = False) -> DataFrame:
+    """The latest result, not the newest modification time. With one result a file it is the one with the
+    greatest file name, whatever ids the files hold, and no file at all is an error. In the bulk layout, whose file
+    names mean nothing, it is the greatest (folder, run id), and empty input gives no row. A global aggregate: one partial row per task."""
     cols = [c for c in results.columns if c not in ("source_file", "ingest_month")]
-    folder = F.regexp_replace(F.col("source_file"), "/[^/]*$", "")
-    picked = results.agg(F.max_by(F.struct(*cols), F.struct(folder, F.col("experiment_id"))).alias("r"),
-                         F.count(F.lit(1)).alias("n_results"))
+    if one_per_file:
+        latest_by = F.struct(F.regexp_extract("source_file", "([^/]*)$", 1), F.col("source_file"))
+    else:
+        latest_by = F.struct(F.regexp_replace(F.col("source_file"), "/[^/]*$", ""), F.col("experiment_id"))
+    picked = results.agg(F.max_by(F.struct(*cols), latest_by).alias("r"), F.count(F.lit(1)).alias("n_results"))
+    if one_per_file:
+        none = F.raise_error(F.lit("no result files")).cast("long")
+        picked = picked.withColumn("n_results", F.when(F.col("n_results") > 0, F.col("n_results")).otherwise(none))
+        return picked.select("r.*", "n_results")
     return picked.where(F.col("r").isNotNull()).select("r.*", "n_results")

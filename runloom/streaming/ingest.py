@@ -53,10 +53,14 @@ def ingest_batch(batch: DataFrame, batch_id: int, base: str, arrival: list[str])
 
 
 def start_ingest(spark: SparkSession, source: str, base: str, checkpoint: str, max_files: int = 2,
-                 arrival: tuple[str, ...] = ("ingest_ts", "git_commit")):
-    """Run the file stream until the files present now are processed (``availableNow``)."""
+                 arrival: tuple[str, ...] = ("ingest_ts", "_arrived", "_file", "git_commit"), multiline: bool = False):
+    """Run the file stream until the files present now are processed (``availableNow``). ``multiline``: files of one
+    pretty-printed object each, as the training job writes them; else JSON lines. Payloads without an ingest time arrive
+    in order of their file's modification time, then its name."""
     src = (spark.readStream.schema(STREAM_SCHEMA).option("maxFilesPerTrigger", max_files)
-           .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(source))
+           .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").option("multiLine", multiline).json(source))
+    late = F.col("ingest_ts").isNull()
+    src = src.select("*", F.when(late, F.col("_metadata.file_modification_time")).alias("_arrived"), F.when(late, F.col("_metadata.file_path")).alias("_file"))
     q = (src.writeStream.foreachBatch(lambda df, bid: ingest_batch(df, bid, base, list(arrival)))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()

@@ -32,3 +32,11 @@ def test_labels_and_ids(spark):
 def test_pretty_json(spark):
     df = spark.createDataFrame([('{"a":1,"b":{"c":"x"}}',)], "j STRING")
     assert df.select(fmt.pretty_json(F.col("j")).alias("p")).first().p == '{\n  "a": 1,\n  "b": {\n    "c": "x"\n  }\n}'
+
+
+def test_parameter_counts_round_as_the_binary_quotient(spark):
+    from pyspark.sql import functions as F
+    from runloom.functions import fmt
+    want = {1_005_000: "1.00M", 1_125_000: "1.13M", 1_015_000: "1.01M", 50_300_000: "50.30M", 1_250: "1.3K", 1_350: "1.4K", 1_050: "1.1K", 999: "999"}
+    got = {r.n: r.t for r in spark.createDataFrame([(n,) for n in want], "n long").select("n", fmt.params_text(F.col("n")).alias("t")).collect()}
+    assert got == want

@@ -23,48 +23,32 @@ def test_hand_case_crop_shortest():
     assert [r[2] for r in rows] == [2, 3]                   # 8 cropped to 6, then 9 cropped to 6
 
 
-def direct_pack(lengths, row_len, buffer_size, batch):
-    """A direct linear-scan implementation of the loader's loop (for parity)."""
-    src = list(lengths)
-    buf, out, i = [], [], 0
-    while True:
-        row, pos = [], 0
-        while pos < row_len:
-            while len(buf) < buffer_size and i < len(src):
-                buf.extend(src[i:i + batch])
-                i += batch
-            if not buf:
-                return out
-            room = row_len - pos
-            best = -1
-            for j, n in enumerate(buf):
-                if n <= room and (best < 0 or n > buf[best]):
-                    best = j
-            if best >= 0:
-                n = buf.pop(best)
-                row.append(n)
-                pos += n
-            else:
-                j = min(range(len(buf)), key=lambda k: buf[k])
-                buf.pop(j)
-                row.append(room)
-                pos += room
-        out.append(row)
-
-
-def test_parity_with_direct_implementation():
+def pieces_of(row):
+    starts = [k for k, t in enumerate(row) if t == 99]
+    return [b - a for a, b in zip(starts, [*starts[1:], len(row)], strict=True)]
+
+
+def test_each_piece_is_the_longest_that_fits():
+    """With the whole input in the buffer: a piece that was not cropped is the longest waiting one that fits, and a document
+    is cropped only when none fits, and then the shortest one."""
     rng = random.Random(7)
     for _ in range(30):
         lengths = [rng.randint(1, 40) for _ in range(rng.randint(1, 300))]
-        row_len, buf, batch = rng.randint(5, 50), rng.randint(1, 20), rng.randint(1, 8)
-        ours = [r for r in pk.pack_stream(iter(docs_of(lengths)), row_len, buf, batch) if r[3]]
-        ref = direct_pack(lengths, row_len, buf, batch)
-        assert len(ours) == len(ref)
-        # compare the document pieces: each piece starts with BOS
-        for (e, row, c, ok), pieces in zip(ours, ref):
-            starts = [k for k, t in enumerate(row) if t == 99]
-            got = [b - a for a, b in zip(starts, starts[1:] + [len(row)])]
-            assert got == pieces
+        row_len = rng.randint(5, 50)
+        waiting = sorted(lengths)
+        for _, row, cropped, whole in pk.pack_stream(iter(docs_of(lengths)), row_len, buffer_size=1000):
+            room, lost = row_len, 0
+            for n in pieces_of(row):
+                fitting = [x for x in waiting if x <= room]
+                if fitting:
+                    assert n == fitting[-1]
+                    waiting.remove(n)
+                else:
+                    assert n == room
+                    lost += waiting.pop(0) - n
+                room -= n
+            assert lost == cropped and whole == (room == 0)
+        assert not waiting
 
 
 def test_spark_packing_invariants(spark):
@@ -77,7 +61,18 @@ def test_spark_packing_invariants(spark):
         assert rep.bad_length_rows == 0 and rep.bad_bos_rows == 0 and rep.balance_gap == 0
         assert rep.docs_in == 500 and rep.tokens_in == sum(len(t) for _, _, t in rows)
     one = pk.pack(enc, 15, 1, buffer_size=50, batch=8).where("complete").orderBy("row_no")
-    lengths = [len(t) for _, _, t in rows]
-    assert one.count() == len(direct_pack(lengths, 16, 50, 8))
+    assert 0 < one.count() <= sum(len(t) for _, _, t in rows) // 16
     pairs = pk.next_token_pairs(one, 15).first()
     assert len(pairs.inputs) == 15 and list(pairs.inputs[1:]) == list(pairs.targets[:-1])
+
+
+def test_shards_come_from_positions_not_from_the_cluster(spark):
+    rows = [(i, i, [99] + [1] * (i % 23)) for i in range(400)]
+    enc = spark.createDataFrame(rows, "doc_id LONG, pos LONG, tokens ARRAY<INT>")
+    results = []
+    for parts in (1, 3, 7):
+        packed = pk.pack(enc.repartition(parts), 15, shard_docs=64)
+        results.append(sorted((r.shard, r.row_no, tuple(r.tokens)) for r in packed.collect()))
+    assert results[0] == results[1] == results[2] and {r[0] for r in results[0]} == set(range(7))
+    first = [(r.shard, r.row_no) for r in pk.eval_rows(pk.pack(enc, 15, shard_docs=64), 4, 2).collect()]
+    assert first == [x[:2] for x in results[0]][:8]

@@ -160,3 +160,25 @@ def test_split_valid_parses_good_rows_and_quarantines_the_rest(spark):
     g = good.collect()
     assert [(r.k, r.experiment_id, r.val_bpb, r.num_params) for r in g] == [(1, "exp_1", 0.81, 7)]
     assert {r.k: r.reason for r in bad.collect()} == {2: "not_json", 3: "missing_status"}
+
+
+def test_lineage_of_a_long_chain_and_a_cycle(spark):
+    from runloom.operators import registry as reg
+    n = 3000
+    rows = [(f"r{i}", f"r{i - 1}" if i else None, 1.0 + i) for i in range(n)] + [("a", "b", 0.5), ("b", "a", 0.5), ("x", "gone", None)]
+    out = {r.experiment_id: r for r in reg.lineage(spark.createDataFrame(rows, "experiment_id string, parent_experiment_id string, val_bpb double")).collect()}
+    assert len(out) == n + 1 and out[f"r{n - 1}"].depth == n - 1 and out[f"r{n - 1}"].root_id == "r0" and out[f"r{n - 1}"].best_val_bpb == 1.0
+    assert out["x"].depth == 0 and out["x"].root_id == "x" and out["x"].best_val_bpb is None
+
+
+def test_latest_result_goes_by_file_name(spark, tmp_path):
+    import json
+
+    import pytest
+    from runloom.sources import results
+    for name, run in (("exp_a.json", "zzz"), ("exp_b.json", "aaa")):
+        (tmp_path / name).write_text(json.dumps({"experiment_id": run, "status": "ok"}, indent=2))
+    assert results.latest_result(results.read_results(spark, str(tmp_path), multiline=True), one_per_file=True).first().experiment_id == "aaa"
+    none = results.read_results(spark, str(tmp_path), multiline=True).where("false")
+    with pytest.raises(Exception, match="no result files"):
+        results.latest_result(none, one_per_file=True).collect()

@@ -56,3 +56,13 @@ def test_two_level_scans_match_a_window(spark):
     j = ours.join(ref, ["k", "g", "v"])
     assert j.where((F.col("s") != F.col("s2")) | (F.col("pos") != F.col("pos2"))).count() == 0
     assert j.count() == 5000
+
+
+def test_ema_is_the_recursion_for_any_beta_and_after_nan(spark):
+    losses = [1.0] * 6000
+    losses[5000] = float("nan")
+    frame = spark.createDataFrame([("a", i, x) for i, x in enumerate(losses)], "experiment_id string, step int, loss double")
+    for beta in (0.9, 0.999, 0.5):
+        got = {r.step: r.ema_loss for r in tel.loss_ema(frame, beta=beta).collect()}
+        assert all(abs(got[i] - 1.0) < 1e-9 for i in (0, 1, 900, 2185, 4999))
+        assert all(got[i] != got[i] for i in (5000, 5001, 5999))
