@@ -180,7 +180,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if label is None:
             label = parent
         else:
-            root = parent.withColumnsRenamed({"node": "up", "up": "top"})
+            root = parent.select(F.col("node").alias("up"), F.col("up").alias("top"))
             label = label.join(root, "up", "left").select("node", F.coalesce("top", "up").alias("up"))
     if label is None:
         return live.select(F.col("u").alias("node"), F.col("v").alias("component"))

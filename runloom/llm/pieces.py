@@ -92,7 +92,7 @@ class Pieces:
     def suffix_array(self, text: np.ndarray, depth: int) -> np.ndarray:
         """Positions of text (small codes, 0 between units) in the order of their next `depth` characters or more."""
         bits = int(text.max(initial=0)).bit_length() or 1
-        width = max(1, min(62 // bits, depth))
+        width = max(1, min(62 // bits, depth, len(text)))
         rank = np.zeros(len(text), np.int64)
         for k in range(width):  # as many characters as fit make the first rank
             rank <<= bits
