@@ -6,7 +6,7 @@ every piece by binary search, and sorts the occurrences by position: these are t
 in every unit at once, the best edge that joins two neighbouring symbols, the leftmost of equal ones, until none is
 left. For a BPE model this is the library's result; the model's type is checked.
 
-Units once encoded are remembered by the worker, within a bound. Characters without a piece become the pieces of
+Units once encoded are remembered within a task, up to a bound. Characters without a piece become the pieces of
 their bytes. Decoding joins the bytes of the pieces, turns word marks to spaces and drops the one that encoding adds.
 
 Cases: null or empty text has no ids and decodes to the empty text; texts of any length are taken whole; repeated
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runloom.llm.catalog import query
-from runloom.llm.common import read, steps
+from runloom.llm.common import read, settle, steps
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -327,6 +327,9 @@ def _round(path: str, id_cols: list[str], batches: Iterator[pa.RecordBatch]) ->
         texts = batch.column("text").cast(pa.binary()).to_pylist()
         same = [x == (mark + t.replace(b" ", mark) if t else b"") for x, t in zip(spelled, texts, strict=True)]
         yield pa.RecordBatch.from_arrays([*map(batch.column, id_cols), lists, pa.array(same, pa.bool_())], [*id_cols, "ids", "round_trip"])
+        del coded, lists, spelled, texts, same
+    own.forget()
+    settle()
 
 
 def encode_checked(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:

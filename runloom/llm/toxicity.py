@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runloom.llm.catalog import query
-from runloom.llm.common import fold, read, steps, written
+from runloom.llm.common import fold, read, settle, steps, written
 
 TRAIN_DOCS = 10_000
 NEAR = 4
@@ -177,6 +177,7 @@ def _judge(insults: list[str], weights: list[float], batches: Iterator[pa.Record
     for batch in steps(batches, "text"):
         marks = np.array([scan.counts(t or "") for t in batch.column("text").to_pylist()], float)
         yield batch, 1 / (1 + np.exp(-np.clip(w[0] + marks @ w[1:], -30, 30)))
+    settle()
 
 
 def _keep(insults: list[str], weights: list[float], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
