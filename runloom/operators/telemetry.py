@@ -9,8 +9,6 @@ composition of chunks.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,25 +27,25 @@ def counted_dt():
     return F.when(F.col("step") > WARMUP_STEPS_EXCLUDED, F.col("dt"))
 
 
-def loss_ema(steps: DataFrame, beta: float = EMA_BETA, width: int = 4096) -> DataFrame:
-    """s = beta*s + (1-beta)*loss from s = 0, debiased by 1 - beta^(step+1). The recursion is linear, so a chunk of
-    steps is summed up by its decay and its own sum, and chunks compose exactly: no history is dropped and a NaN stays.
-    Inside a chunk the sum runs over loss * beta^-k; chunks are short enough for that to stay in range."""
-    width = max(1, min(width, int(100 / -math.log10(beta)))) if 0 < beta < 1 else 1
+def loss_ema(steps: DataFrame, beta: float = EMA_BETA, width: int = 256) -> DataFrame:
+    """s = beta*s + (1-beta)*loss from s = 0, debiased by 1 - beta^(step+1). Inside a chunk of steps the recursion
+    is folded step by step; it is linear, so a whole chunk is summed up by its length and its fold from 0, and chunks
+    compose exactly: no history is dropped and a NaN stays."""
     key = ["experiment_id", "_ch"]
+
+    def fold(losses, start):
+        return F.aggregate(losses, start, lambda acc, x: acc * F.lit(beta) + F.lit(1.0 - beta) * x)
+
+    order = Window.partitionBy(*key).orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     d = steps.select("experiment_id", "step", "loss").withColumn("_ch", F.floor(F.col("step") / width))
-    order = Window.partitionBy(*key).orderBy("step")
-    d = d.withColumn("_k", F.row_number().over(order) - 1)
-    scaled = F.lit(1.0 - beta) * F.col("loss") * F.pow(F.lit(beta), -F.col("_k"))
-    d = d.withColumn("_run", F.sum(scaled).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    d = d.withColumn("_local", F.col("_run") * F.pow(F.lit(beta), F.col("_k")))
-    chunks = d.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max_by("_local", "_k").alias("tail"))
+    d = d.withColumn("_seen", F.collect_list("loss").over(order))
+    chunks = d.groupBy(*key).agg(F.max_by("_seen", "step").alias("all"))
+    chunks = chunks.select(*key, F.size("all").alias("n"), fold(F.col("all"), F.lit(0.0)).alias("tail"))
     past = Window.partitionBy("experiment_id").orderBy("_ch").rowsBetween(Window.unboundedPreceding, -1)
     before = F.aggregate(F.collect_list(F.struct("n", "tail")).over(past), F.lit(0.0),
                          lambda acc, c: acc * F.pow(F.lit(beta), c["n"]) + c["tail"])
     out = d.join(chunks.select(*key, before.alias("_before")), key)
-    out = out.withColumn("smooth_loss", F.col("_before") * F.pow(F.lit(beta), F.col("_k") + 1) + F.col("_local"))
-    out = out.select("experiment_id", "step", "loss", "smooth_loss")
+    out = out.select("experiment_id", "step", "loss", fold(F.col("_seen"), F.col("_before")).alias("smooth_loss"))
     return out.withColumn("ema_loss", F.col("smooth_loss") / (F.lit(1.0) - F.pow(F.lit(beta), F.col("step") + 1)))
 
 
