@@ -3,9 +3,8 @@
 - Pretokenisation (T1) is a native ``regexp_extract_all`` with the split pattern; ``(?U)`` makes
   Java's ``\\s`` and friends Unicode-aware like the Rust regex engine.
 - Training (T2) is a driver loop of small Spark jobs over the table of *distinct* pretokens with
-  their counts: count adjacent pairs (A10, partially aggregated), take the top pair (one row to the
-  driver), rewrite every word with a higher-order fold, checkpoint (lineage cut every merge).
-  Tie-break: highest count, then the smallest (left, right) ids.
+  their counts: the adjacent pairs (A10) are counted once, then each job returns what the next merges
+  change in them. Tie-break: highest count, then the smallest (left, right) ids.
 - Encoding (T5) pretokenises natively and maps each document's words to ids with an Arrow-batched
   helper that caches encoded words per worker (the merges table is at most the vocabulary size);
   a narrow plan without any shuffle.
@@ -15,9 +14,11 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -63,56 +64,167 @@ def pair_counts(words: DataFrame, syms: str = "syms", weight: str = "cnt") -> Da
             .groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.sum(weight).alias("n")))
 
 
-def merge_pair(syms: Column, a: int, b: int, new: int) -> Column:
-    """Replace non-overlapping (a, b) occurrences left to right by ``new``, in linear time: the
-    symbols are written as space-separated text, one regular-expression replacement (lookarounds keep
-    whole symbols and leave separators for the next match) rewrites them, and the text is split back."""
-    text = F.concat(F.lit(" "), F.array_join(syms, " "), F.lit(" "))
-    out = F.regexp_replace(text, F.lit(f"(?<= ){a} {b}(?= )"), F.lit(str(new)))
-    return F.split(F.trim(out), " ").cast(INT_ARRAY)
+# ---- T2 / T3 -------------------------------------------------------------------------------------
+#: Merges guessed ahead in one job, and accepted merges after which the word table is rewritten. Neither changes a result.
+AHEAD, REWRITE_EVERY = 32, 64
+#: Most frequent words that the driver holds to guess merges by; what is accepted rests on exact counts over all words.
+GUESS_WORDS = 20_000
+_DELTAS = "step INT, pair LONG, n LONG"
+
+
+def _tally(pairs: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of ``n`` per pair, in ascending order of the pairs; zero sums go."""
+    if not len(pairs):
+        return pairs, n
+    order = np.argsort(pairs, kind="stable")
+    pairs, n = pairs[order], n[order]
+    first = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
+    pairs, n = pairs[first], np.add.reduceat(n, first)
+    return pairs[n != 0], n[n != 0]
+
+
+def _add(counts, pairs, n):
+    return _tally(np.concatenate([counts[0], pairs]), np.concatenate([counts[1], n]))
+
+
+def _joined(syms: pa.Array, cnt: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The words of a batch as one array of symbols, a -1 after each word, and the word's count at every place."""
+    sizes = np.diff(syms.offsets.to_numpy())
+    ends = np.cumsum(sizes + 1) - 1
+    flat = np.full(int(sizes.sum()) + len(sizes), -1, dtype=np.int64)
+    inside = np.ones(len(flat), dtype=bool)
+    inside[ends] = False
+    flat[inside] = syms.flatten().to_numpy()
+    return flat, np.repeat(cnt.to_numpy().astype(np.int64), sizes + 1)
+
+
+def _pairs_at(flat, weight, places, sign):
+    places = np.unique(places)
+    places = places[(places >= 0) & (places < len(flat) - 1)]
+    l, r = flat[places], flat[places + 1]
+    both = (l >= 0) & (r >= 0)
+    return (l[both] << 32) | r[both], sign * weight[places[both]]
+
+
+def _merge(flat, weight, left: int, right: int, new: int):
+    """Replace (left, right) by ``new``, left to right without overlap: the arrays after it, and what it changed in
+    the pair counts. Only pairs that touch a replaced symbol are looked at."""
+    at = np.flatnonzero((flat[:-1] == left) & (flat[1:] == right))
+    if left == right and len(at):  # of a run of matches, every second one from its start
+        place = np.arange(len(at))
+        start = np.maximum.accumulate(np.where(np.r_[True, np.diff(at) != 1], place, 0))
+        at = at[(place - start) % 2 == 0]
+    if not len(at):
+        none = np.zeros(0, dtype=np.int64)
+        return flat, weight, none, none
+    lost = _pairs_at(flat, weight, np.concatenate([at - 1, at, at + 1]), -1)
+    flat = flat.copy()
+    flat[at] = new
+    flat, weight = np.delete(flat, at + 1), np.delete(weight, at + 1)
+    now = at - np.arange(len(at))
+    won = _pairs_at(flat, weight, np.concatenate([now - 1, now]), 1)
+    return flat, weight, *_tally(np.concatenate([lost[0], won[0]]), np.concatenate([lost[1], won[1]]))
+
+
+def _change_job(words: DataFrame, done: list, ahead: list) -> list[tuple[np.ndarray, np.ndarray]]:
+    """What each merge of ``ahead`` changes in the pair counts of all words, after ``done`` and those before it. Comes
+    to the driver summed: a merge changes at most four times the vocabulary size of pairs."""
+    def changes(batches):
+        for batch in batches:
+            flat, weight = _joined(batch.column("syms"), batch.column("cnt"))
+            for a, b, new in done:
+                flat, weight, _, _ = _merge(flat, weight, a, b, new)
+            for i, (a, b, new) in enumerate(ahead):
+                flat, weight, pairs, n = _merge(flat, weight, a, b, new)
+                if len(pairs):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), i, dtype=np.int32)), pa.array(pairs), pa.array(n)],
+                                                     names=["step", "pair", "n"])
+
+    got = words.mapInArrow(changes, _DELTAS).groupBy("step", "pair").agg(F.sum("n").alias("n")).toArrow()
+    step, pair, n = (got.column(c).to_numpy() for c in ("step", "pair", "n"))
+    return [(pair[step == i], n[step == i]) for i in range(len(ahead))]
+
+
+def _rewritten(words: DataFrame, done: list) -> DataFrame:
+    """The word table with the merges of ``done`` in it; words of a single symbol go."""
+    def rewrite(batches):
+        for batch in batches:
+            flat, weight = _joined(batch.column("syms"), batch.column("cnt"))
+            for a, b, new in done:
+                flat, weight, _, _ = _merge(flat, weight, a, b, new)
+            ends = np.flatnonzero(flat < 0)
+            offsets = np.r_[0, ends - np.arange(len(ends))]
+            syms = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat[flat >= 0].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([syms, pa.array(weight[ends])], names=["syms", "cnt"])
+
+    return words.mapInArrow(rewrite, "syms ARRAY<INT>, cnt LONG").where(F.size("syms") >= 2).checkpoint(eager=True)
+
+
+def _best(counts) -> tuple[int, int, int] | None:
+    """The pair with the highest count; on ties the smallest (left, right), as the pairs ascend."""
+    if not len(counts[0]):
+        return None
+    i = int(np.argmax(counts[1]))
+    pair = int(counts[0][i])
+    return pair >> 32, pair & 0xFFFFFFFF, int(counts[1][i])
+
+
+def _guess(counts, sample, first: int, n: int) -> list[tuple[int, int, int]]:
+    """The next ``n`` merges as the sample's words would have them, the first of them exact. Each guessed merge changes
+    the counts as it does in the sample, scaled to the pair's count."""
+    flat, weight = sample
+    out = []
+    for new in range(first, first + n):
+        top = _best(counts)
+        if top is None or top[2] <= 0:
+            break
+        a, b, count = top
+        out.append((a, b, new))
+        flat, weight, pairs, change = _merge(flat, weight, a, b, new)
+        pair = (a << 32) | b
+        seen = -int(change[pairs == pair].sum())
+        scaled = np.round(change * (count / seen)).astype(np.int64) if seen > 0 else change
+        counts = _add(counts, np.r_[pairs, pair], np.r_[scaled, -count + (count if seen > 0 else 0)])
+        counts = tuple(c[counts[0] != pair] for c in counts)
+    return out
 
 
-# ---- T2 / T3 -------------------------------------------------------------------------------------
 def train_merges(texts: DataFrame, n_merges: int, text_col: str = "text", pattern: str = SPLIT_PATTERN,
-                 log=None, checkpoint_every: int = 8) -> list[tuple[int, int, int, int]]:
-    """Returns [(token_id, left, right, count)] for up to ``n_merges`` merges.
+                 log=None) -> list[tuple[int, int, int, int]]:
+    """Returns [(token_id, left, right, count)] for up to ``n_merges`` merges over all words of ``texts``.
 
-    One job per merge: the pair count over the rewritten words also materialises them (persisted);
-    lineage is cut with a reliable ``checkpoint()`` every ``checkpoint_every`` merges."""
+    The pair counts are taken once and then only changed: a job over the word table returns what the next merges change
+    (a few rows a merge), and the driver holds at most vocabulary size squared pairs. One job tries several merges ahead,
+    guessed from the most frequent words; a guess counts only if the exact counts make it the best pair, so the result
+    is that of one merge at a time. The word table is rewritten and checkpointed every REWRITE_EVERY merges."""
     # octet_length(word) >= 2 is the cheap form of "at least two symbols"
     words = (word_counts(texts, text_col, pattern).where(F.octet_length("word") >= 2)
              .select(utf8_bytes(F.col("word")).alias("syms"), "cnt"))
     # the distinct-word table is small, so AQE would coalesce it into very few partitions; every
-    # merge scans it, so spread it once over the cluster's task slots
-    words = words.repartition(max(1, texts.sparkSession.sparkContext.defaultParallelism))
-    words = words.checkpoint(eager=True)
+    # job scans it, so spread it once over the cluster's task slots
+    words = words.repartition(max(1, texts.sparkSession.sparkContext.defaultParallelism)).checkpoint(eager=True)
+    start = pair_counts(words).select((F.shiftleft(F.col("a").cast("long"), 32) + F.col("b")).alias("pair"), "n").toArrow()
+    counts = _tally(start.column("pair").to_numpy(), start.column("n").to_numpy())
+    top = words.orderBy(F.desc("cnt"), "syms").limit(GUESS_WORDS).toArrow().combine_chunks()
+    sample = (np.zeros(0, dtype=np.int64),) * 2
+    if top.num_rows:
+        sample = _joined(*(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in top.columns))
     merges: list[tuple[int, int, int, int]] = []
-    held = None  # the persisted table the current `words` was derived from
-    for m in range(n_merges):
-        top = pair_counts(words).orderBy(F.col("n").desc(), "a", "b").limit(1).collect()
-        if held is not None:
-            held.unpersist()
-            held = None
-        if not top:
-            break
-        a, b, n = int(top[0]["a"]), int(top[0]["b"]), int(top[0]["n"])
-        new = 256 + m
-        merges.append((new, a, b, n))
-        if log:
-            log(f"merge {m}: ({a}, {b}) -> {new} x{n}")
-        # only words holding both symbols can change; the others skip the fold
-        cand = F.array_contains("syms", a) & F.array_contains("syms", b)
-        nxt = (words.withColumn("syms", F.when(cand, merge_pair(F.col("syms"), a, b, new)).otherwise(F.col("syms")))
-               .where(F.size("syms") >= 2))
-        if (m + 1) % checkpoint_every == 0:
-            nxt = nxt.checkpoint(eager=True)
-        else:
-            nxt = nxt.persist()
-        if words.is_cached:
-            held = words
-        words = nxt
-    if words.is_cached:
-        words.unpersist()
+    done: list[tuple[int, int, int]] = []
+    while len(merges) < n_merges and _best(counts) is not None:
+        ahead = _guess(counts, sample, 256 + len(merges), min(AHEAD, n_merges - len(merges)))
+        for (a, b, new), change in zip(ahead, _change_job(words, done, ahead)):
+            best = _best(counts)
+            if best is None or best[:2] != (a, b):
+                break
+            merges.append((new, *best))
+            done.append((a, b, new))
+            counts = _add(counts, *change)
+            sample = _merge(*sample, a, b, new)[:2]
+            if log:
+                log(f"merge {len(merges) - 1}: ({a}, {b}) -> {new} x{best[2]}")
+        if len(done) >= REWRITE_EVERY and len(merges) < n_merges:
+            words, done = _rewritten(words, done), []
     return merges
 
 
@@ -159,19 +271,34 @@ def _ranks(rows: list[tuple]) -> dict[bytes, int]:
 
 
 def encode_word(word: str, ranks: dict[bytes, int]) -> list[int]:
-    """Encode one pretoken: repeatedly merge the adjacent pair whose concatenation has the lowest
-    rank (the leftmost on ties) until none is in the vocabulary."""
-    parts = [bytes([b]) for b in word.encode("utf-8")]
-    while len(parts) > 1:
-        best, at = None, -1
-        for i in range(len(parts) - 1):
-            r = ranks.get(parts[i] + parts[i + 1])
-            if r is not None and (best is None or r < best):
-                best, at = r, i
-        if best is None:
-            break
-        parts[at:at + 2] = [parts[at] + parts[at + 1]]
-    return [ranks[p] for p in parts]
+    """Encode one pretoken: merge the adjacent pair whose concatenation has the lowest rank (the leftmost on ties) until
+    none is in the vocabulary. A heap holds the pairs as (rank, start, middle, end) byte places; an entry whose pieces
+    have grown since is passed over, so a word of n bytes takes n log n steps."""
+    data = word.encode("utf-8")
+    size = len(data)
+    end, before = list(range(1, size + 1)), list(range(-1, size - 1))  # by the start of a piece; end 0: merged away
+    heap: list[tuple[int, int, int, int]] = []
+
+    def offer(start: int) -> None:
+        mid = end[start]
+        if mid < size:
+            rank = ranks.get(data[start:end[mid]])
+            if rank is not None:
+                heapq.heappush(heap, (rank, start, mid, end[mid]))
+
+    for i in range(size - 1):
+        offer(i)
+    while heap:
+        _, start, mid, stop = heapq.heappop(heap)
+        if end[start] != mid or end[mid] != stop:
+            continue
+        end[start], end[mid] = stop, 0
+        if stop < size:
+            before[stop] = start
+        offer(start)
+        if before[start] >= 0:
+            offer(before[start])
+    return [ranks[data[i:e]] for i, e in enumerate(end) if e]
 
 
 _WORKER_CACHE: dict[str, dict[str, np.ndarray]] = {}
@@ -223,9 +350,10 @@ def encode_docs(docs: DataFrame, rows: list[tuple], bos_id: int | None, text_col
                 pattern: str = SPLIT_PATTERN, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """T5 + T7: (keep..., tokens) with the BOS id prepended when given. Pretokenisation is the native
     regex; the words of each document are mapped to ids by an Arrow-batched helper with a per-worker
-    word cache (a byte-level vocabulary needs no pretokens at all: ids are the UTF-8 bytes). A narrow
+    word cache. A byte-level vocabulary needs no pretokens under the standard pattern, which covers every
+    character: ids are the UTF-8 bytes. A narrow
     plan: no shuffle, every document encoded where it was read."""
-    if is_byte_level(rows):
+    if is_byte_level(rows) and pattern == SPLIT_PATTERN:
         toks = _utf8_ids(F.col(text_col))
     else:
         words = F.regexp_extract_all(F.col(text_col), F.lit("(?U)" + pattern), F.lit(0))

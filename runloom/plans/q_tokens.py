@@ -15,7 +15,7 @@ from runloom.plans.q_corpus import split_docs
 from runloom.schemas import EVAL_TOKENS, SIMPLE_SPLIT_PATTERN, SPECIAL_TOKENS, SPLIT_PATTERN
 from runloom.session import checkpoint_base
 
-N_MERGES = 32          # merges trained by the registered queries (the operator takes any count)
+N_MERGES = bpe.merges_for_vocab()  # merges of the full vocabulary
 PACK_SEQ = 1024        # packing queries use T = 1,024 (SURVEY §7.5)
 
 #: Documents of a packing shard: fixed ranges of positions, whatever the cluster.
@@ -30,10 +30,17 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def trained_vocab(spark: SparkSession, d: str, n_merges: int = N_MERGES):
-    """S14 + S15: train once per (corpus, merges, pattern, budget) and reuse the saved table."""
+def _state(spark: SparkSession, path: str) -> str:
+    """Names, sizes and times of the files of a table: changed data gets a vocabulary of its own."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)
+    return "|".join(sorted(f"{f.getPath().getName()} {f.getLen()} {f.getModificationTime()}" for f in files))
+
+
+def trained_vocab(spark: SparkSession, d: str, n_merges: int = N_MERGES, rebuild: bool = False):
+    """S14 + S15: train once per (corpus, merges, pattern) and reuse the saved table; ``rebuild`` trains anew."""
     path = _vocab_path(spark, d, n_merges)
-    if not _exists(spark, f"{path}/token_bytes/_SUCCESS"):
+    if rebuild or not _exists(spark, f"{path}/token_bytes/_SUCCESS"):
         # all words of the train split are counted: the character budget (W2) is the feature of its own query
         texts = split_docs(spark, d).where(F.col("split") == "train").select("text")
         merges = bpe.train_merges(texts, n_merges)
@@ -74,7 +81,7 @@ def bpe_vocab(spark, d):
 
 
 def _vocab_path(spark, d, n_merges=N_MERGES):
-    return f"{checkpoint_base(spark)}/runloom/vocab-{bpe.vocab_key(d, n_merges, SPLIT_PATTERN, 0)}"
+    return f"{checkpoint_base(spark)}/runloom/vocab-{bpe.vocab_key(_state(spark, f'{d}/documents.parquet'), n_merges, SPLIT_PATTERN)}"
 
 
 @query("token_bytes", "T4 U1 S13")

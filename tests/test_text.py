@@ -1,3 +1,7 @@
+import collections
+import random
+import time
+
 import regex
 import tiktoken
 from pyspark.sql import functions as F
@@ -5,7 +9,7 @@ from pyspark.sql import functions as F
 from conftest import SF_SMALL
 from runloom.operators import bpe
 from runloom.operators.corpus import smoke_stories
-from runloom.schemas import SPLIT_PATTERN
+from runloom.schemas import SIMPLE_SPLIT_PATTERN, SPLIT_PATTERN
 
 
 def test_pretokens_match_python_regex(spark):
@@ -49,6 +53,68 @@ def test_merge_tie_break_and_counts(spark):
     assert merges[1] == (257, 97, 98, 3)
 
 
+def one_merge_at_a_time(counts: dict[str, int], n: int) -> list[tuple]:
+    """Training by recounting all pairs for every merge."""
+    words = {w: list(w.encode("utf-8")) for w in counts}
+    merges = []
+    while len(merges) < n:
+        pairs = collections.Counter()
+        for w, syms in words.items():
+            for pair in zip(syms, syms[1:]):
+                pairs[pair] += counts[w]
+        if not pairs:
+            break
+        best = min(pairs, key=lambda p: (-pairs[p], p))
+        new = 256 + len(merges)
+        merges.append((new, *best, pairs[best]))
+        for w, syms in words.items():
+            out = []
+            for x in syms:
+                if out and (out[-1], x) == best:
+                    out[-1] = new
+                else:
+                    out.append(x)
+            words[w] = out
+    return merges
+
+
+def test_training_equals_one_merge_at_a_time(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("text").limit(40)
+    pat = regex.compile(SPLIT_PATTERN)
+    counts = collections.Counter(w for r in docs.collect() for w in pat.findall(r.text))
+    expected = one_merge_at_a_time(counts, 150)
+    assert bpe.train_merges(docs, 150) == expected
+    # a poor sample and frequent rewriting change the number of jobs, not the merges
+    monkeypatch.setattr(bpe, "GUESS_WORDS", 3)
+    monkeypatch.setattr(bpe, "REWRITE_EVERY", 1)
+    assert bpe.train_merges(docs, 40) == expected[:40]
+
+
+def test_training_on_runs_of_one_letter_and_on_nothing(spark):
+    df = spark.createDataFrame([(0, "aaaaa aaaa aaa aaaaaaaaaaaaaaa"), (1, ""), (2, None)], "doc_id LONG, text STRING")
+    counts = collections.Counter(["aaaaa", " aaaa", " aaa", " aaaaaaaaaaaaaaa"])
+    assert bpe.train_merges(df, 30) == one_merge_at_a_time(counts, 30)
+    assert bpe.train_merges(df.where("doc_id > 0"), 30) == []
+
+
+def test_long_words_encode_in_good_time():
+    ranks = {bytes([i]): i for i in range(256)} | {b"ab": 256, b"abab": 257, b"ba": 258, b"aba": 259}
+    enc = tiktoken.Encoding(name="few", pat_str=r"\p{L}+", mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(4)
+    for n in (1, 2, 7, 50, 50_000):
+        word = "".join(rng.choice("aab") for _ in range(n))
+        began = time.perf_counter()
+        got = bpe.encode_word(word, ranks)
+        assert time.perf_counter() - began < 2
+        assert got == enc.encode_ordinary(word)
+
+
+def test_pieces_outside_the_pattern_go_with_and_without_merges(spark):
+    df = spark.createDataFrame([(0, "a b")], "doc_id LONG, text STRING")
+    for merges in ([], [(256, 97, 97, 1)]):
+        assert list(bpe.encode_docs(df, bpe.vocab_rows(merges), None, pattern=SIMPLE_SPLIT_PATTERN).first().tokens) == [97, 98]
+
+
 def test_bos_and_specials(spark):
     rows = bpe.vocab_rows([])
     df = spark.createDataFrame([(0, "hi")], "doc_id LONG, text STRING")
