@@ -9,8 +9,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 
 def explode_tokens(encoded: DataFrame, keep: tuple[str, ...] = ("doc_id",), with_pos: bool = True) -> DataFrame:
@@ -19,11 +23,37 @@ def explode_tokens(encoded: DataFrame, keep: tuple[str, ...] = ("doc_id",), with
     return encoded.select(*keep, F.explode("tokens").alias("token_id"))
 
 
-def unigram_losses(tokens: DataFrame, group_cols: tuple[str, ...] = ()) -> DataFrame:
+def count_tokens(encoded: DataFrame, group_cols: tuple[str, ...] = ()) -> DataFrame:
+    """(group..., token_id, n) over token arrays. Each Arrow batch is counted as a whole before any row is made, so a
+    batch gives at most (its groups x vocabulary) rows, however long its documents are."""
+    fields = [encoded.schema[c] for c in group_cols]
+    schema = StructType([*fields, StructField("token_id", IntegerType()), StructField("n", LongType())])
+
+    def counted(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tokens = batch.column("tokens")
+            sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+            group = np.zeros(batch.num_rows, dtype=np.int64)
+            if group_cols:
+                frame = batch.select(list(group_cols)).to_pandas()
+                group = frame.groupby(list(group_cols), dropna=False, sort=False).ngroup().to_numpy()
+            keys, n = np.unique((np.repeat(group, sizes) << 32) | tokens.flatten().to_numpy(zero_copy_only=False).astype(np.int64),
+                                return_counts=True)
+            ids, first = np.unique(group, return_index=True)
+            row = pa.array(first[np.searchsorted(ids, keys >> 32)])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in group_cols), pa.array((keys & 0xFFFFFFFF).astype(np.int32)),
+                                              pa.array(n.astype(np.int64))], names=[*group_cols, "token_id", "n"])
+
+    return (encoded.select(*group_cols, "tokens").mapInArrow(counted, schema)
+            .groupBy(*group_cols, "token_id").agg(F.sum("n").alias("n")))
+
+
+def unigram_losses(encoded: DataFrame, group_cols: tuple[str, ...] = ()) -> DataFrame:
     """Our own test feed (not a scorer of the reference): nats = -ln(count(token) / all tokens).
-    Returned pre-aggregated as (group..., token_id, n, nats): the loss depends on the token only, so
-    occurrences are counted map-side before any shuffle (millions of rows become thousands)."""
-    per = tokens.groupBy(*group_cols, "token_id").agg(F.count(F.lit(1)).alias("n"))
+    Returned pre-aggregated as (group..., token_id, n, nats): the loss depends on the token only."""
+    per = count_tokens(encoded, group_cols)
     # `per` has at most (groups x vocabulary) rows: token totals and the grand total are windows over
     # it, so the token stream is aggregated once and never joined back
     c = F.sum("n").over(Window.partitionBy("token_id"))

@@ -9,34 +9,58 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runloom.schemas import LENGTH_LIMITS, NOT_NULL, RESULT_SCHEMA
+from runloom.schemas import JSON_FIELDS, LENGTH_LIMITS, NOT_NULL, RESULT_SCHEMA, STATUS_OK
+
+
+def _accepts(v, name: str, kind: str):
+    """Whether the value of a payload's field can be read as ``kind`` without loss; an absent field or a JSON null can.
+    Numbers may come as text; text may not come as a number; a whole number may be written with a zero fraction."""
+    path = f"$.{name}"
+    given = F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+    number = F.try_variant_get(v, path, "double")
+    if name in JSON_FIELDS:  # an object, or one as text, as our own sink writes it
+        inner = F.schema_of_variant(F.try_parse_json(F.try_variant_get(v, path, "string")))
+        fits = given.startswith("OBJECT") | ((given == "STRING") & F.coalesce(inner.startswith("OBJECT"), F.lit(False)))
+    elif kind == "string":
+        fits = given == "STRING"
+    elif kind == "boolean":
+        fits = F.when(given.isin("BOOLEAN", "STRING"), F.try_variant_get(v, path, "boolean").isNotNull()).otherwise(number.isin(0.0, 1.0))
+    elif kind == "double":
+        fits = number.isNotNull()
+    else:
+        fits = (number == F.floor(number)) & F.try_variant_get(v, path, kind).isNotNull()
+    return F.when(given.isNull() | (given == "VOID"), True).otherwise(F.coalesce(fits, F.lit(False)))
+
+
+def _payload_fields(v) -> dict:
+    return {f.name: F.try_variant_get(v, f"$.{f.name}", f.dataType.simpleString()) for f in RESULT_SCHEMA}
 
 
 def validate_payload_text(df: DataFrame, text_col: str) -> DataFrame:
-    """V1 + V2 + P13 over raw JSON text: adds ``experiment_id``, ``status``, ``reason`` (NULL when the
-    payload is accepted for ingest) and ``accepted`` (status ok with a numeric val_bpb)."""
-    t = F.col(text_col)
-    ok_json = F.try_parse_json(t).isNotNull()
-    eid = F.get_json_object(t, "$.experiment_id")
-    status = F.get_json_object(t, "$.status")
-    raw_bpb = F.get_json_object(t, "$.val_bpb")
-    bpb = raw_bpb.try_cast("double")
-    reason = (F.when(~ok_json, F.lit("not_json"))
-              .when(eid.isNull(), F.lit("missing_experiment_id"))
-              .when(status.isNull(), F.lit("missing_status"))
-              .when(raw_bpb.isNotNull() & bpb.isNull(), F.lit("bad_val_bpb")))
-    return df.select("*", F.when(ok_json, eid).alias("experiment_id"), F.when(ok_json, status).alias("status"),
-                     reason.alias("reason"),
-                     (ok_json & eid.isNotNull() & (F.coalesce(status, F.lit("")) == "ok") & bpb.isNotNull()).alias("accepted"))
+    """V1 + V2 + P13 over raw JSON text: adds ``experiment_id``, ``status``, ``reason`` (NULL when the payload is accepted
+    for ingest: an object with id and status whose fields all have their types) and ``accepted`` (status ok with a numeric
+    val_bpb). The reason of a payload with several faults is the first: not_json, missing_<field>, bad_<field> in the
+    order of the result's columns."""
+    d = df.withColumn("_v", F.try_parse_json(F.col(text_col)))
+    v = F.col("_v")
+    got = _payload_fields(v)
+    reason = F.when(v.isNull(), F.lit("not_json"))
+    for name in NOT_NULL:
+        reason = reason.when(got[name].isNull(), F.lit(f"missing_{name}"))
+    for f in RESULT_SCHEMA:
+        reason = reason.when(~_accepts(v, f.name, f.dataType.simpleString()), F.lit(f"bad_{f.name}"))
+    d = d.select("*", got["experiment_id"].alias("experiment_id"), got["status"].alias("status"), reason.alias("reason"))
+    ok = F.col("reason").isNull() & (F.col("status") == STATUS_OK) & got["val_bpb"].isNotNull()
+    return d.withColumn("accepted", F.coalesce(ok, F.lit(False))).drop("_v")
 
 
 def split_valid(df: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Good payloads parsed into the result schema, and the quarantine (with ``reason``)."""
     v = validate_payload_text(df, text_col)
-    good = v.where(F.col("reason").isNull()).select(F.from_json(F.col(text_col), RESULT_SCHEMA).alias("p"), *[
-        c for c in df.columns if c != text_col]).select("p.*", *[c for c in df.columns if c != text_col])
-    bad = v.where(F.col("reason").isNotNull())
-    return good, bad
+    rest = [c for c in df.columns if c != text_col]
+    good = v.where(F.col("reason").isNull()).withColumn("_v", F.try_parse_json(F.col(text_col)))
+    good = good.select(*[c.alias(n) for n, c in _payload_fields(F.col("_v")).items()], *rest)
+    return good, v.where(F.col("reason").isNotNull())
 
 
 def key_violations(runs: DataFrame, metrics: DataFrame) -> DataFrame:

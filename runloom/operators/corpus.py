@@ -45,14 +45,28 @@ def split_corpus(docs: DataFrame, bounds: dict[str, int], order_col: str = "doc_
     return d.withColumn("split", split).withColumn("pos_in_split", pos_in.cast("long"))
 
 
-def char_budget(split_docs: DataFrame, max_chars: int = MAX_SAMPLE_CHARS, doc_cap: int = DOC_CHAR_CAP,
-                width: int = 4096) -> DataFrame:
+def capped(text: str = "text", doc_cap: int = DOC_CHAR_CAP):
+    """the first ``doc_cap`` characters."""
+    return F.substring(text, 1, doc_cap)
+
+
+def char_budget(docs: DataFrame, max_chars: int = MAX_SAMPLE_CHARS, doc_cap: int = DOC_CHAR_CAP,
+                order_col: str = "pos_in_split", width: int = 4096) -> DataFrame:
     """W2 + F20: documents in order until the running total of capped lengths reaches the budget;
-    the document that crosses the budget is kept. Only lengths travel through the running sum."""
-    d = split_docs.withColumn("capped_len", F.least(F.length("text"), F.lit(doc_cap)).cast("long"))
-    d = prefix_agg(d, order_col="pos_in_split", value="capped_len", how="sum", out="cum_chars", width=width)
-    return (d.withColumn("kept", (F.col("cum_chars") - F.col("capped_len")) < F.lit(max_chars))
-             .withColumn("capped_text", F.substring("text", 1, doc_cap)))
+    the document that crosses the budget is kept. ``docs`` has a length ``n_chars`` (and then needs no text here), or
+    the text, which then travels with the running sum."""
+    n = F.col("n_chars") if "n_chars" in docs.columns else F.length("text")
+    d = docs.withColumn("capped_len", F.least(n, F.lit(doc_cap)).cast("long"))
+    d = prefix_agg(d, order_col=order_col, value="capped_len", how="sum", out="cum_chars", width=width)
+    return d.withColumn("kept", (F.col("cum_chars") - F.col("capped_len")) < F.lit(max_chars))
+
+
+def budget_texts(docs: DataFrame, max_chars: int = MAX_SAMPLE_CHARS, doc_cap: int = DOC_CHAR_CAP) -> DataFrame:
+    """The capped texts within the budget, in the order of ``doc_id``: the running total is monotone, so the last kept
+    id (one row) is found from lengths and the texts are then filtered by it."""
+    sizes = docs.select("doc_id", F.length("text").alias("n_chars"))
+    last = char_budget(sizes, max_chars, doc_cap, order_col="doc_id").where("kept").agg(F.max("doc_id").alias("id")).first()["id"]
+    return docs.where(F.col("doc_id") <= F.lit(last)).withColumn("capped_text", capped("text", doc_cap))
 
 
 def doc_batches(split_docs: DataFrame, batch: int = DOC_BATCH) -> DataFrame:

@@ -22,6 +22,12 @@ def split_docs(spark, d):
     return cp.split_corpus(docs, bounds_for(n))
 
 
+def train_docs(spark, d):
+    """The documents of the train split by the id it starts at: ids alone are numbered, texts stay where they were read."""
+    first = split_docs(spark, d).where("split = 'train' and pos_in_split = 0").select("doc_id").first()
+    return st.stories(spark, d).where(F.col("doc_id") >= first["doc_id"])
+
+
 SPLIT_SQL = """
 WITH n AS (SELECT count(*) AS n FROM documents),
 p AS (SELECT doc_id, text, lang, source, row_number() OVER (ORDER BY doc_id) - 1 AS pos,
@@ -44,9 +50,10 @@ FROM (SELECT doc_id, CAST(least(length(text), 10000) AS BIGINT) AS capped_len, s
         CAST(sum(least(length(text), 10000)) OVER (ORDER BY pos_in_split ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cum_chars
       FROM s WHERE split = 'train') t""")
 def char_budget(spark, d):
-    s = split_docs(spark, d).where(F.col("split") == "train")
-    b = cp.char_budget(s, max_chars=BUDGET_CHARS)
-    return b.select("doc_id", "capped_len", "cum_chars", "kept", F.length("capped_text").alias("capped_text_len"))
+    # lengths are taken where the text is read: no text passes a shuffle
+    docs = train_docs(spark, d).select("doc_id", F.length("text").alias("n_chars"), F.length(cp.capped("text")).alias("capped_text_len"))
+    b = cp.char_budget(docs, max_chars=BUDGET_CHARS, order_col="doc_id")
+    return b.select("doc_id", "capped_len", "cum_chars", "kept", "capped_text_len")
 
 
 @query("doc_batches", "W6", SPLIT_SQL + "SELECT doc_id, split, CAST(pos_in_split // 128 AS BIGINT) AS batch_no FROM s")

@@ -9,6 +9,7 @@ from runloom.operators import registry as reg
 from runloom.plans import standins as st
 from runloom.plans.catalog import query, r6
 from runloom.plans.oracle_views import with_views as W
+from runloom.schemas import JSON_FIELDS, RESULT_SCHEMA
 
 SUMMARY = ", ".join(["id", "experiment_id", "status", "git_commit", "git_dirty", "parent_experiment_id", "val_bpb",
                      "duration_seconds", "num_params", "depth", "vocab_size", "max_seq_len", "window_pattern",
@@ -261,38 +262,57 @@ def ingest_created_flag(spark, d):
     return out["created"]
 
 
-@query("payload_quarantine", "V1 V2 P13", """
+#: A wrong value for each result field, by event_id modulo their number.
+WRONG_VALUES = {"experiment_id": "5", "git_commit": "17", "git_dirty": '"maybe"', "status": "7", "crash_message": "[1]",
+                "val_bpb": '"n/a"', "training_seconds": '"long"', "total_seconds": "{}", "peak_vram_mb": '"?"',
+                "mfu_percent": "[]", "total_tokens": "1.5", "num_steps": '"2.5"', "num_params": '"many"', "depth": '"four"',
+                "checkpoint_path": "false", "configuration": "3", "parent_experiment_id": "9"}
+_WRONG = [f'"{k}": {v}' for k, v in WRONG_VALUES.items()]
+_NUMBER = "TRY_CAST(json_extract_string(payload, '$.{c}') AS DOUBLE)"
+_FAULTS = {"string": "t <> 'VARCHAR'", "double": _NUMBER + " IS NULL", "bigint": "coalesce(" + _NUMBER + " % 1 <> 0, true)",
+           "int": "coalesce(" + _NUMBER + " % 1 <> 0, true)", "boolean": "t <> 'BOOLEAN'"}
+
+
+def _fault_sql(field) -> str:
+    rule = "t <> 'OBJECT'" if field.name in JSON_FIELDS else _FAULTS[field.dataType.simpleString()]
+    kind = f"coalesce(json_type(payload, '$.{field.name}'), 'NULL')"
+    return f"WHEN {kind} <> 'NULL' AND ({rule.format(c=field.name).replace('t <>', kind + ' <>')}) THEN 'bad_{field.name}'"
+
+
+@query("payload_quarantine", "V1 V2 P13", f"""
 WITH p AS (SELECT event_id, CASE
-    WHEN event_type = 'error' THEN '{"status": "ok", "val_bpb": ' || CAST(value AS VARCHAR) || '}'
-    WHEN event_type = 'signup' THEN '{"experiment_id": "exp_e' || CAST(event_id AS VARCHAR) || '"}'
+    WHEN event_type = 'error' THEN '{{"status": "ok", "val_bpb": ' || CAST(value AS VARCHAR) || '}}'
+    WHEN event_type = 'signup' THEN '{{"experiment_id": "exp_e' || CAST(event_id AS VARCHAR) || '"}}'
     WHEN event_type = 'click' AND value > 90 THEN 'not json ' || CAST(event_id AS VARCHAR)
-    WHEN event_type = 'purchase' AND value > 50 THEN '{"experiment_id": "exp_e' || CAST(event_id AS VARCHAR) || '", "status": "ok", "val_bpb": "n/a"}'
-    ELSE '{"experiment_id": "exp_e' || CAST(event_id AS VARCHAR) || '", "status": "' || CASE WHEN value > 20 THEN 'ok' ELSE 'fail' END
-         || '", "val_bpb": ' || CAST(value AS VARCHAR) || '}' END AS payload FROM events),
-v AS (SELECT event_id, json_valid(payload) AS ok_json,
-        CASE WHEN json_valid(payload) THEN json_extract_string(payload, '$.experiment_id') END AS experiment_id,
-        CASE WHEN json_valid(payload) THEN json_extract_string(payload, '$.status') END AS status,
-        CASE WHEN json_valid(payload) THEN json_extract_string(payload, '$.val_bpb') END AS raw_bpb FROM p)
-SELECT event_id, CASE WHEN ok_json THEN experiment_id END AS experiment_id,
-  CASE WHEN NOT ok_json THEN 'not_json' WHEN experiment_id IS NULL THEN 'missing_experiment_id'
-       WHEN status IS NULL THEN 'missing_status'
-       WHEN raw_bpb IS NOT NULL AND TRY_CAST(raw_bpb AS DOUBLE) IS NULL THEN 'bad_val_bpb' END AS reason,
-  (ok_json AND experiment_id IS NOT NULL AND status = 'ok' AND TRY_CAST(raw_bpb AS DOUBLE) IS NOT NULL) AS accepted
-FROM v""")
+    WHEN event_type = 'purchase' AND value > 50 THEN
+      '{{' || CASE WHEN event_id % {len(_WRONG)} = 0 THEN '' ELSE '"experiment_id": "exp_e' || CAST(event_id AS VARCHAR) || '", ' END
+      || CASE WHEN event_id % {len(_WRONG)} = 3 THEN '' ELSE '"status": "ok", ' END
+      || list_extract({[w for w in _WRONG]}, event_id % {len(_WRONG)} + 1) || '}}'
+    ELSE '{{"experiment_id": "exp_e' || CAST(event_id AS VARCHAR) || '", "status": "' || CASE WHEN value > 20 THEN 'ok' ELSE 'fail' END
+         || '", "val_bpb": ' || CAST(value AS VARCHAR) || ', "depth": 4, "num_steps": 12.0, "git_dirty": false, "configuration": {{"n": 1}}}}' END AS payload FROM events),
+j AS (SELECT event_id, CASE WHEN json_valid(payload) THEN payload END AS payload FROM p),
+v AS (SELECT *, json_extract_string(payload, '$.experiment_id') AS experiment_id, json_extract_string(payload, '$.status') AS status FROM j),
+r AS (SELECT *, CASE WHEN payload IS NULL THEN 'not_json' WHEN experiment_id IS NULL THEN 'missing_experiment_id'
+       WHEN status IS NULL THEN 'missing_status' {" ".join(_fault_sql(f) for f in RESULT_SCHEMA)} END AS reason FROM v)
+SELECT event_id, experiment_id, reason,
+  (reason IS NULL AND status = 'ok' AND {_NUMBER.format(c="val_bpb")} IS NOT NULL) AS accepted
+FROM r""")
 def payload_quarantine(spark, d):
     from runloom.sources.tables import read_table
     e = read_table(spark, d, "events").select("event_id", "event_type", "value")
-    eid = F.concat(F.lit('"experiment_id": "exp_e'), F.col("event_id").cast("string"), F.lit('"'))
+    key = F.col("event_id").cast("string")
+    eid = F.concat(F.lit('"experiment_id": "exp_e'), key, F.lit('"'))
     val = F.col("value").cast("string")
+    turn = F.col("event_id") % len(_WRONG)
+    wrong = F.element_at(F.array(*[F.lit(w) for w in _WRONG]), (turn + 1).cast("int"))
     payload = (F.when(F.col("event_type") == "error", F.concat(F.lit('{"status": "ok", "val_bpb": '), val, F.lit("}")))
                .when(F.col("event_type") == "signup", F.concat(F.lit("{"), eid, F.lit("}")))
-               .when((F.col("event_type") == "click") & (F.col("value") > 90),
-                     F.concat(F.lit("not json "), F.col("event_id").cast("string")))
+               .when((F.col("event_type") == "click") & (F.col("value") > 90), F.concat(F.lit("not json "), key))
                .when((F.col("event_type") == "purchase") & (F.col("value") > 50),
-                     F.concat(F.lit("{"), eid, F.lit(', "status": "ok", "val_bpb": "n/a"}')))
-               .otherwise(F.concat(F.lit("{"), eid, F.lit(', "status": "'),
-                                   F.when(F.col("value") > 20, F.lit("ok")).otherwise(F.lit("fail")),
-                                   F.lit('", "val_bpb": '), val, F.lit("}"))))
+                     F.concat(F.lit("{"), F.when(turn == 0, F.lit("")).otherwise(F.concat(eid, F.lit(", "))),
+                              F.when(turn == 3, F.lit("")).otherwise(F.lit('"status": "ok", ')), wrong, F.lit("}")))
+               .otherwise(F.concat(F.lit("{"), eid, F.lit(', "status": "'), F.when(F.col("value") > 20, F.lit("ok")).otherwise(F.lit("fail")),
+                                   F.lit('", "val_bpb": '), val, F.lit(', "depth": 4, "num_steps": 12.0, "git_dirty": false, "configuration": {"n": 1}}'))))
     v = checks.validate_payload_text(e.select("event_id", payload.alias("payload")), "payload")
     return v.select("event_id", "experiment_id", "reason", "accepted")
 

@@ -11,7 +11,7 @@ from runloom.operators import bpe
 from runloom.operators import packing as pk
 from runloom.plans import standins as st
 from runloom.plans.catalog import query, r6
-from runloom.plans.q_corpus import split_docs
+from runloom.plans.q_corpus import split_docs, train_docs
 from runloom.schemas import EVAL_TOKENS, SIMPLE_SPLIT_PATTERN, SPECIAL_TOKENS, SPLIT_PATTERN
 from runloom.session import checkpoint_base
 
@@ -42,8 +42,7 @@ def trained_vocab(spark: SparkSession, d: str, n_merges: int = N_MERGES, rebuild
     path = _vocab_path(spark, d, n_merges)
     if rebuild or not _exists(spark, f"{path}/token_bytes/_SUCCESS"):
         # all words of the train split are counted: the character budget (W2) is the feature of its own query
-        texts = split_docs(spark, d).where(F.col("split") == "train").select("text")
-        merges = bpe.train_merges(texts, n_merges)
+        merges = bpe.train_merges(train_docs(spark, d).select("text"), n_merges)
         v = bpe.build_vocab(spark, merges)
         v.write.mode("overwrite").parquet(f"{path}/vocab")                          # S14
         bpe.token_bytes(v).write.mode("overwrite").parquet(f"{path}/token_bytes")  # S13
@@ -134,13 +133,12 @@ SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, CAST(octet_length(encode
   round(octet_length(encode(text)) / (octet_length(encode(text)) + 1.0), 6) AS bytes_per_token
 FROM documents""")
 def doc_token_stats(spark, d):
-    # one narrow projection: lengths and tokens of each document together, no join
-    docs = st.stories(spark, d).select("doc_id", "text", F.length("text").cast("long").alias("n_chars"),
+    # a byte-level vocabulary gives a token a byte, after the BOS: counts need no token ids
+    docs = st.stories(spark, d).select("doc_id", F.length("text").cast("long").alias("n_chars"),
                                        F.octet_length("text").cast("long").alias("n_bytes"))
-    j = bpe.encode_docs(docs, BYTE_ROWS, BYTE_BOS, keep=("doc_id", "n_chars", "n_bytes"))
-    n = F.size("tokens").cast("long")
-    return j.select("doc_id", "n_chars", "n_bytes", n.alias("n_tokens"), F.element_at("tokens", 1).alias("first_token"),
-                    r6(F.col("n_bytes") / n).alias("bytes_per_token"))
+    n = F.col("n_bytes") + 1
+    return docs.select("doc_id", "n_chars", "n_bytes", n.alias("n_tokens"), F.lit(BYTE_BOS).alias("first_token"),
+                       r6(F.col("n_bytes") / n).alias("bytes_per_token"))
 
 
 def _packed(spark, d, seq=PACK_SEQ, split="train"):
@@ -204,11 +202,12 @@ l AS (SELECT t.*, -ln(c.c / (SELECT n FROM n)) AS nats,
 
 
 def _bpb(spark, d, group=()):
-    enc = byte_encoded(spark, d)
-    toks = bpbm.explode_tokens(enc, keep=("lang", "source"), with_pos=False)
-    losses = bpbm.unigram_losses(toks, group)
-    tb = bpe.token_bytes(spark.createDataFrame(BYTE_ROWS, bpe.VOCAB_SCHEMA))
-    out = bpbm.bits_per_byte(losses, tb, group, weight="n")
+    return _bpb_of(byte_encoded(spark, d), spark.createDataFrame(BYTE_ROWS, bpe.VOCAB_SCHEMA), group)
+
+
+def _bpb_of(enc, vocab, group):
+    losses = bpbm.unigram_losses(enc, group)
+    out = bpbm.bits_per_byte(losses, bpe.token_bytes(vocab), group, weight="n")
     # total_nats is a sum of millions of doubles: its 6th decimal depends on summation order, so
     # only the ratio and the integer byte total are compared
     return out.select(*group, "total_bytes", r6("bpb").alias("bpb"))
@@ -233,3 +232,11 @@ def bpb_by_lang(spark, d):
 @query("bpb_by_source", "J7 A7", _bpb_sql("source"))
 def bpb_by_source(spark, d):
     return _bpb(spark, d, ("source",))
+
+
+@query("bpb_trained_by_lang", "T2 T5 J7 A7")
+def bpb_trained_by_lang(spark, d):
+    """The whole chain: trained vocabulary, encoding, token losses, bits per byte by language."""
+    vocab, rows = trained_vocab(spark, d)
+    bos = next(t for t, _, _, _, s in rows if s)
+    return _bpb_of(bpe.encode_docs(st.stories(spark, d), rows, bos, keep=("lang",)), vocab, ("lang",))

@@ -108,6 +108,8 @@ CHECKPOINT_COLUMNS = ("id", "experiment_uuid", "checkpoint_path", "metadata", "c
 LENGTH_LIMITS = {"experiment_id": 128, "parent_experiment_id": 128, "status": 32, "git_commit": 64,
                  "window_pattern": 32, "metric_name": 64}
 NOT_NULL = ("experiment_id", "status")
+# result fields that hold an object
+JSON_FIELDS = ("configuration",)
 
 VOCAB_SCHEMA = StructType([
     StructField("token_id", IntegerType(), False),

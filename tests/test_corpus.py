@@ -29,6 +29,8 @@ def test_char_budget_keeps_the_crossing_document(spark):
     assert b[6] == (6, 15, True)            # crosses the budget: kept
     assert b[9] == (10000, 10015, False)    # capped at 10,000 characters, after the budget
     assert b[12][2] is False
+    t = {r.doc_id: len(r.capped_text) for r in cp.budget_texts(d, max_chars=10, doc_cap=5).collect()}
+    assert t == {0: 4, 3: 5, 6: 5}           # the texts up to the crossing document, capped
 
 
 def test_batches_and_epochs(spark):

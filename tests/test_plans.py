@@ -43,6 +43,12 @@ def test_positions_read_only_the_key(spark, q):
     assert set(re.findall(r"ReadSchema: (struct<[^>]*>)", p)) == {"struct<doc_id:bigint>"}
 
 
+def test_budget_moves_lengths_not_texts(spark, q):
+    p = plan_of(spark, q["char_budget"](spark, SF_SMALL))
+    for block in re.findall(r"^\(\d+\) Exchange\n(.*?)\n\n", p, flags=re.M | re.S):
+        assert "text#" not in block.replace("capped_text_len", "")
+
+
 def test_bucketed_registry_joins_without_shuffle(spark, q):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:

@@ -91,6 +91,23 @@ def test_bad_payloads_are_quarantined(spark):
     assert v[5] == (None, True)
 
 
+def test_every_payload_field_has_its_type(spark):
+    ok = {"experiment_id": "e", "status": "ok", "val_bpb": 0.9}
+    wrong = {"experiment_id": 5, "git_commit": 1, "git_dirty": "maybe", "status": 7, "crash_message": ["x"], "val_bpb": {}, "training_seconds": "long",
+             "total_seconds": [], "peak_vram_mb": "?", "mfu_percent": {}, "total_tokens": 1.5, "num_steps": "2.5", "num_params": "many", "depth": "four",
+             "checkpoint_path": False, "configuration": 3, "parent_experiment_id": 9}
+    fine = [{"depth": "4"}, {"num_steps": 12.0}, {"git_dirty": True}, {"configuration": {"n": [1]}}, {"configuration": '{"n": 1}'}, {"git_commit": None},
+            {"val_bpb": "0.9"}, {"unknown": 1}]
+    texts = [json.dumps(ok | {k: v}) for k, v in wrong.items()] + [json.dumps(ok | f) for f in fine] + ["[1]", "null", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "k INT, payload STRING")
+    got = {r.k: (r.reason, r.accepted) for r in checks.validate_payload_text(df, "payload").collect()}
+    assert [got[i] for i in range(len(wrong))] == [(f"bad_{k}", False) for k in wrong]
+    assert [got[len(wrong) + i] for i in range(len(fine))] == [(None, True)] * len(fine)
+    assert [got[len(texts) - 3 + i][0] for i in range(3)] == ["missing_experiment_id", "missing_experiment_id", "not_json"]
+    good = {r.k: r for r in checks.split_valid(df, "payload")[0].collect()}
+    assert good[len(wrong)].depth == 4 and good[len(wrong) + 1].num_steps == 12 and json.loads(good[len(wrong) + 3].configuration) == {"n": [1]}
+
+
 def test_verify_registration_passes_for_the_sample(spark):
     p = payload_frame(spark, [SAMPLE_RESULT])
     out = reg.ingest(p, None, ["ingest_ts"])
