@@ -132,15 +132,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_RE
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text cut to its words [word_lo, word_hi); whole texts stay as they are."""
+    """(row, words, word_lo, word_hi) -> the rows, each text cut to its words [word_lo, word_hi); whole texts stay as they are."""
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for i, (lo, hi, size) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("word_lo", "word_hi", "size")), strict=True)):
+        row = batch.column("row")
+        names = [f.name for f in row.type]
+        columns = dict(zip(names, row.flatten(), strict=True))
+        texts = columns["text"].to_pylist()
+        for i, (lo, hi, size) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("word_lo", "word_hi", "words")), strict=True)):
             if lo or hi < size:
                 found = list(re.finditer(WORD, texts[i]))
                 texts[i] = texts[i][found[lo].start():found[hi - 1].end()]
-        names = [n for n in batch.schema.names if n not in ("word_lo", "word_hi", "size")]
-        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names], names)
+        columns["text"] = pa.array(texts, pa.string())
+        yield pa.RecordBatch.from_arrays([columns[n] for n in names], names)
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, block: int = BLOCK_TOKENS) -> DataFrame:
@@ -154,10 +157,12 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_
     place = W.partitionBy("doc_id", "source", "size")
     at = taken.withColumn("i", F.dense_rank().over(place.orderBy("start"))).select(
         F.struct(F.col("doc_id").alias("d"), F.col("source").alias("s")).alias("k"), F.col("size").alias("m"), "i", "pass_no", "word_lo", "word_hi")
-    own = docs.withColumn("size", words()).where("size > 0")
-    own = own.withColumn("i", F.row_number().over(W.partitionBy("doc_id", "source", "size").orderBy(F.xxhash64("text"))))
-    joined = own.join(at, F.struct(F.col("doc_id").alias("d"), F.col("source").alias("s")).eqNullSafe(F.col("k")) & (own["size"] == at.m) & (own.i == at.i))
-    cut = joined.select(*docs.columns, "size", "word_lo", "word_hi").mapInArrow(_cut, docs.schema)
+    # the documents' own columns travel as one struct: names of theirs can't clash with ours
+    key = F.struct(F.col("doc_id").alias("d"), F.col("source").alias("s"))
+    own = docs.select(F.struct(*docs.columns).alias("row"), key.alias("own"), words().alias("words"), F.xxhash64("text").alias("h")).where("words > 0")
+    own = own.withColumn("nth", F.row_number().over(W.partitionBy("own", "words").orderBy("h")))
+    joined = own.join(at, F.col("own").eqNullSafe(F.col("k")) & (F.col("words") == F.col("m")) & (F.col("nth") == F.col("i")))
+    cut = joined.select("row", "words", "word_lo", "word_hi").mapInArrow(_cut, docs.schema)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 
