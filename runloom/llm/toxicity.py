@@ -11,8 +11,10 @@ The outputs of all clauses are counted per kind; the score is a logistic functio
 get no score of their own: only what the clause's last state writes counts.
 
 Word classes start from short fixed lists. The insult class is extended by words that the learning rows show far more
-often in toxic than in other texts; the weights of the marks are fitted on the learning rows by maximum a posteriori
-with the prior weights below (an aimed insult weighs more, a negated or reported one less). At most about TRAIN_DOCS
+often in toxic than in other texts: at LEAST_RATIO times the rate, and more often than chance allows. The test asks how
+likely so many of a word's texts are toxic if the word says nothing; it needs no share of all toxic texts, so that the
+words of a rare language count by their own texts. The weights of the marks are fitted on the learning rows by maximum a
+posteriori with the prior weights below (an aimed insult weighs more, a negated or reported one less). At most about TRAIN_DOCS
 rows of each label are learned from, drawn evenly by a hash of the id. Scoring reads whole texts.
 
 Cases: null or empty text has no marks and gets the score of a text without marks; labels that are null or neither 0
@@ -22,6 +24,7 @@ prior weights are used; repeated rows repeat; an empty table gives no rows; othe
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -38,8 +41,8 @@ from runloom.llm.common import fold, read, settle, steps, written
 TRAIN_DOCS = 10_000
 NEAR = 4
 CAP = 3
-#: A learned insult: in at least LEAST_DOCS toxic learning texts and LEAST_SHARE of them, at LEAST_RATIO times the rate of others.
-LEAST_DOCS, LEAST_SHARE, LEAST_RATIO = 10, 0.02, 15.0
+#: Learned insults: at LEAST_RATIO times the rate of other texts, and at most this share of them expected to be there by chance.
+LEAST_RATIO, FALSE_SHARE = 15.0, 0.05
 
 #: Fixed word classes.
 INSULTS = ("idiot idiots moron morons scum trash worthless pathetic stupid loser losers clown clowns disgusting imbecile dumb "
@@ -57,6 +60,7 @@ KINDS = ("insult", "aimed_insult", "threat_plain", "aimed_threat", "negated", "r
 PRIOR = np.array([-3.0, 2.5, 3.5, 0.2, 3.0, 0.3, 0.3])  # of a text without marks, then of each kind's capped count
 PRIOR_STRENGTH = 0.5
 
+LETTERS = re.compile(r"[^\W\d_]+")
 WORDS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;\n\"“”«»]")
 ENDS = frozenset(".!?;\n")
 QUOTES = frozenset("\"“”«»")
@@ -98,15 +102,16 @@ class Scanner:
 
     def __init__(self, insults: list[str]):
         self.kind = grammar(insults)
-        hot = sorted((w for w, k in self.kind.items() if k in "IK"), key=lambda w: (-len(w), w))
-        self.hot = re.compile(r"(?<![^\W\d_])(?:" + "|".join(map(re.escape, hot)) + r")(?![^\W\d_])")
+        self.hot = {w for w, k in self.kind.items() if k in "IK"}
 
     def counts(self, text: str) -> tuple[int, ...]:
         text = text.lower()
+        if self.hot.isdisjoint(LETTERS.findall(text)):
+            return (0,) * len(KINDS)
         total: Counter[str] = Counter()
         done = 0
-        for hit in self.hot.finditer(text):
-            if hit.start() < done:
+        for hit in LETTERS.finditer(text):
+            if hit.start() < done or hit.group() not in self.hot:
                 continue
             begin = max(text.rfind(c, done, hit.start()) for c in ENDS) + 1 or done
             end = min((e for c in ENDS if (e := text.find(c, hit.end())) >= 0), default=len(text))
@@ -143,9 +148,20 @@ def _marks(insults: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([pa.array([list(k) for k in seen], pa.list_(pa.int32())), pa.array(list(seen.values()), pa.int64())], ["marks", "n"])
 
 
+def least_surprise(found: list[tuple[float, int]], tested: int) -> float:
+    """The surprise (-log of a chance) from which words are taken, so that FALSE_SHARE of them at most is expected to be
+    chance (Benjamini-Hochberg). found: surprise, words that have it; tested: words in all."""
+    least, n = math.inf, 0
+    for surprise, words in sorted(found, reverse=True):
+        n += words
+        if surprise >= math.log(tested / (FALSE_SHARE * n)):
+            least = surprise
+    return least
+
+
 def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str], list[float]]:
-    """(insults, weights). What reaches the driver is bounded: words above the thresholds (at most 1 / LEAST_SHARE a
-    text) and the distinct vectors of capped counts."""
+    """(insults, weights). What reaches the driver: the learned words, the distinct pairs of text counts of words above
+    the ratio, at most the square of train_docs over the ratio, and the distinct vectors of capped counts."""
     rows = written(_learning(docs, labels, train_docs), "toxic-learning")
     words = written(rows.mapInArrow(_word_tally, "word string, toxic int, n long").groupBy("word").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b")), "toxic-words")
@@ -153,7 +169,13 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> t
     if total is None:
         return [], PRIOR.tolist()
     rate = ((F.col("a") + 0.5) / (total.a + 1.0)) / ((F.col("b") + 0.5) / (total.b + 1.0))
-    picked = words.where("word <> ''").where((F.col("a") >= max(LEAST_DOCS, LEAST_SHARE * total.a)) & (rate >= LEAST_RATIO))
+    share, texts = (total.a + 1.0) / (total.a + total.b + 2.0), F.col("a") + F.col("b")
+    tested = words.where("word <> '' and a + b > 1")
+    # Chernoff's bound of the binomial tail, exact for words in toxic texts only.
+    surprise = F.col("a") * F.log(F.col("a") / (texts * share)) + F.when(F.col("b") > 0, F.col("b") * F.log(F.col("b") / (texts * (1 - share)))).otherwise(0.0)
+    found = tested.where((rate >= LEAST_RATIO) & (F.col("a") > texts * share)).withColumn("surprise", surprise)
+    least = least_surprise([(r.surprise, r.n) for r in found.groupBy("a", "b").agg(F.first("surprise").alias("surprise"), F.count("*").alias("n")).collect()], tested.count())
+    picked = found.where(F.col("surprise") >= least - 1e-9)
     insults = sorted(r.word for r in picked.select("word").collect())
     kinds = rows.mapInArrow(lambda it: _marks(insults, it), "marks array<int>, n long").groupBy("marks").agg(F.sum("n").alias("n")).collect()
     return insults, fit([r.marks[:-1] for r in kinds], [r.marks[-1] for r in kinds], [r.n for r in kinds])

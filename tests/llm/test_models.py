@@ -38,6 +38,49 @@ def test_toxicity_on_held_out_rows(spark, odd_docs, no_docs):
     assert toxicity.score(odd_docs, *model).count() == 11 and toxicity.score(no_docs, *model).count() == 0
 
 
+def test_insults_of_a_rare_language(spark):
+    """2,000 toxic learning texts and more of one language, 20 toxic and 160 others of the other, label noise in both."""
+    docs, labels, langs = [], [], []
+    for i in range(6000):
+        rare, bad = i % 25 == 0, i % 3 == 0 if i % 25 else i % 9 == 0
+        words = [f"{'lo' if rare else 'th'}{chr(97 + (i * k) % 26)}{chr(97 + (i + k * k) % 26)}n" for k in range(12)]
+        if bad and i % 29:  # one in 29 toxic labels without an insult
+            words.insert(5, ("bomenterr" if rare else ("zwonk", "yarrp")[i % 2]))
+        docs.append((i, " ".join(words) + "."))
+        labels.append((i, int(bad)))
+        langs.append("rare" if rare else "common")
+    docs_df = spark.createDataFrame(docs, "doc_id long, text string")
+    insults, weights = toxicity.learn(docs_df, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert insults == ["bomenterr", "yarrp", "zwonk"]
+    got = {r.doc_id: r for r in toxicity.score(docs_df, insults, weights).withColumn("held_out", toxicity.fold("doc_id") == 0).collect()}
+    for lang in ("rare", "common"):
+        held = [(got[i].predicted, y) for i, y in labels if got[i].held_out and langs[i] == lang]
+        assert sum(p for p, y in held if y) >= 0.8 * sum(y for _, y in held) > 0 and not any(p for p, y in held if not y)
+
+
+def test_toxicity_recall_of_each_language(spark):
+    """For reporting only: lang is not read by the operator."""
+    sf = "/root/testdata/sf0.1"
+    got = {r.doc_id: r for r in labelled("op8_toxicity")(spark, sf).collect()}
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
+    held = [(lang[r.doc_id], r.toxic, got[r.doc_id].predicted) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.doc_id in got and got[r.doc_id].held_out]
+    for name in ("en", "de", "fr", "es"):
+        toxic, other = ([p for n, y, p in held if n == name and y == k] for k in (1, 0))
+        print(name, f"recall {sum(toxic)}/{len(toxic)}, false {sum(other)}/{len(other)}")
+        assert sum(toxic) >= 0.8 * len(toxic) and sum(other) <= 0.05 * len(other)
+
+
+def test_least_surprise():
+    assert toxicity.least_surprise([], 10) == float("inf") and toxicity.least_surprise([(5.0, 1)], 10) == float("inf")
+    assert toxicity.least_surprise([(5.0, 3), (9.0, 4), (6.0, 2)], 100) == 6.0
+
+
+def test_scanner_finds_whole_words():
+    scan = toxicity.Scanner(["zwonk"])
+    assert scan.counts("Zwonk_ zwonk2 zwonker idiotic \u00e9idiot") == (2, 0, 0, 0, 0, 0)
+    assert scan.counts("you idiot. IDIOT! I said idiot") == (1, 1, 0, 0, 0, 1)
+
+
 def test_clause_marks():
     assert toxicity.clause_marks(list("T..I")) == ["aimed_insult"]
     assert toxicity.clause_marks(list("I.....T")) == ["insult"]
