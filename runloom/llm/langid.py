@@ -8,6 +8,10 @@ wins, ties go to the smaller name. The score is 1 - distance / largest possible
 Profiles are learned from at most about TRAIN_DOCS documents of each language, drawn evenly by a hash of the id;
 prediction reads whole texts. Nothing but text and the language of learning rows is used.
 
+What scores below the limit of its nearest language is far from every learned language. The limit is MARGIN of the score
+that all but LOW of that language's learning rows reach, learned like the profiles. A text of fewer than SHORT distinct
+n-grams shows less: its limit is less in that proportion.
+
 Cases: null text or a text without letters is `und` with score 0; rows without a language teach nothing; without any
 learning row all documents are `und`; repeated rows repeat; an empty table gives no rows; other columns are not read.
 """
@@ -29,6 +33,8 @@ from runloom.llm.common import fold, read, steps
 TRAIN_DOCS = 2_000
 PROFILE = 300
 UNDETERMINED = "und"
+#: The limit of a language: a quantile of its learning rows' scores, the part of it that must be reached, n-grams from which on all of it.
+LOW, MARGIN, SHORT = 0.01, 0.75, 60
 
 #: Case-folded code point of each code point where it is a letter, 0 elsewhere; filled when first needed.
 _FOLD = np.zeros(0, np.uint32)
@@ -70,14 +76,21 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes.view(np.int64)), pa.array(n)], ["lang", "code", "n"])
 
 
-def learn(labelled: DataFrame, train_docs: int = TRAIN_DOCS, size: int = PROFILE) -> dict[str, list[int]]:
-    """(doc_id, text, lang) -> profile of each language; its size is bounded by languages times profile length."""
+def _drawn(labelled: DataFrame, train_docs: int) -> DataFrame | None:
+    """(text, lang) of the learning rows, about train_docs of each language at most; None if there are none."""
     rows = labelled.where("lang is not null and text is not null")
     share = {r.lang: min(1.0, train_docs / r["count"]) for r in rows.groupBy("lang").count().collect()}  # one row a language
     if not share:
-        return {}
+        return None
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = rows.where(draw < F.create_map(*(F.lit(x) for pair in share.items() for x in pair))[F.col("lang")]).select("text", "lang")
+    return rows.where(draw < F.create_map(*(F.lit(x) for pair in share.items() for x in pair))[F.col("lang")]).select("text", "lang")
+
+
+def learn(labelled: DataFrame, train_docs: int = TRAIN_DOCS, size: int = PROFILE) -> dict[str, list[int]]:
+    """(doc_id, text, lang) -> profile of each language; its size is bounded by languages times profile length."""
+    drawn = _drawn(labelled, train_docs)
+    if drawn is None:
+        return {}
     counts = drawn.mapInArrow(_tally, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     best = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "code"))
     kept = counts.withColumn("place", best).where(F.col("place") <= size)
@@ -87,16 +100,28 @@ def learn(labelled: DataFrame, train_docs: int = TRAIN_DOCS, size: int = PROFILE
     return out
 
 
-def _judge(profiles: dict[str, list[int]], size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str], list[float]]]:
+def limits(labelled: DataFrame, profiles: dict[str, list[int]], train_docs: int = TRAIN_DOCS, size: int = PROFILE) -> dict[str, float]:
+    """Least score of each language, from the learning rows that are nearest to it and labelled so."""
+    drawn = _drawn(labelled, train_docs)
+    if drawn is None:
+        return {}
+    scores = predict(drawn, profiles, size, "lang").where("lang = lang_pred and score > 0")
+    rows = scores.groupBy("lang").agg(F.percentile("score", F.lit(LOW)).alias("low")).collect()  # one row a language
+    return {r.lang: MARGIN * r.low for r in rows}
+
+
+def _judge(profiles: dict[str, list[int]], size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str], list[float], list[int]]]:
+    """Batches with nearest language, score and number of distinct n-grams (of the profile) of their texts."""
     names = sorted(profiles)
     codes = np.unique(np.concatenate([np.array(profiles[n], np.int64) for n in names]).view(np.uint64)) if names else np.zeros(0, np.uint64)
     place = np.full((len(names), len(codes) + 1), -1, np.int64)
     for i, name in enumerate(names):
         place[i, np.searchsorted(codes, np.array(profiles[name], np.int64).view(np.uint64))] = np.arange(len(profiles[name]))
     for batch in steps(batches, "text"):
-        langs, scores = [], []
+        langs, scores, lengths = [], [], []
         for text in batch.column("text").to_pylist():
             own = profile(text or "", size)
+            lengths.append(len(own))
             if not len(own) or not names:
                 langs.append(UNDETERMINED)
                 scores.append(0.0)
@@ -108,17 +133,18 @@ def _judge(profiles: dict[str, list[int]], size: int, batches: Iterator[pa.Recor
             best = int(far.argmin())
             langs.append(names[best])
             scores.append(max(0.0, 1.0 - float(far[best]) / (size * len(own))))
-        yield batch, langs, scores
+        yield batch, langs, scores, lengths
 
 
 def _predict(profiles: dict[str, list[int]], size: int, id_col: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, langs, scores in _judge(profiles, size, batches):
+    for batch, langs, scores, _ in _judge(profiles, size, batches):
         yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [id_col, "lang_pred", "score"])
 
 
-def _keep(profiles: dict[str, list[int]], least: float, size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, langs, scores in _judge(profiles, size, batches):
-        yield batch.filter(pa.array([name != UNDETERMINED and s >= least for name, s in zip(langs, scores, strict=True)], pa.bool_()))
+def _keep(profiles: dict[str, list[int]], least: dict[str, float], size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, langs, scores, lengths in _judge(profiles, size, batches):
+        yield batch.filter(pa.array([name != UNDETERMINED and s >= least.get(name, 0.0) * min(1.0, n / SHORT)
+                                     for name, s, n in zip(langs, scores, lengths, strict=True)], pa.bool_()))
 
 
 def predict(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE, id_col: str = "doc_id") -> DataFrame:
@@ -127,9 +153,9 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE
     return docs.select(id_col, "text").mapInArrow(lambda it: _predict(profiles, size, id_col, it), schema)
 
 
-def keep(docs: DataFrame, profiles: dict[str, list[int]], least: float = 0.0, size: int = PROFILE) -> DataFrame:
-    """The rows of docs, all columns, whose text is in a learned language with at least that score."""
-    return docs.mapInArrow(lambda it: _keep(profiles, least, size, it), docs.schema)
+def keep(docs: DataFrame, profiles: dict[str, list[int]], least: dict[str, float] | None = None, size: int = PROFILE) -> DataFrame:
+    """The rows of docs, all columns, whose text is in a learned language with at least the limit's score, if one is given."""
+    return docs.mapInArrow(lambda it: _keep(profiles, least or {}, size, it), docs.schema)
 
 
 @query("op9_language_id")
