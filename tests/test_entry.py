@@ -4,7 +4,7 @@ import sys
 import duckdb
 import pytest
 
-from conftest import SF_SMALL
+from shared_values import SF_SMALL
 
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 from check_oracle import TABLES, digest  # noqa: E402

@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from conftest import SF_SMALL
+from shared_values import SF_SMALL
 
 import __spark_entry__ as E
 

@@ -5,7 +5,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SAMPLE_RESULT
+from shared_values import SAMPLE_RESULT
 from runloom.functions import config as cfg
 from runloom.operators import checks
 from runloom.operators import registry as reg

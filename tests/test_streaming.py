@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from shared_values import SF_SMALL
 from runloom.operators import telemetry as tel
 from runloom.plans import standins as st
 from runloom.plans.q_streams import _deliver_payloads, _deliver_steps

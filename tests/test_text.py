@@ -6,7 +6,7 @@ import regex
 import tiktoken
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from shared_values import SF_SMALL
 from runloom.operators import bpe
 from runloom.operators.corpus import smoke_stories
 from runloom.schemas import SIMPLE_SPLIT_PATTERN, SPLIT_PATTERN

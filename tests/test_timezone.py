@@ -1,7 +1,7 @@
 """Results must not depend on the session time zone (wall-clock timestamps are TIMESTAMP_NTZ)."""
 import pytest
 
-from conftest import SF_SMALL
+from shared_values import SF_SMALL
 
 import __spark_entry__ as E
 
