@@ -19,5 +19,6 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     import importlib
-    for name in ("mixing", "token_counts", "pieces", "langid", "fingerprints", "toxicity", "dedup_embeddings", "html_main", "ngram_join", "licenses"):
+    for name in ("mixing", "token_counts", "pieces", "langid", "fingerprints", "toxicity", "dedup_embeddings", "html_main", "ngram_join", "licenses", "collocations",
+                 "hard_negatives", "url_filters"):
         importlib.import_module(f"runloom.llm.{name}")
