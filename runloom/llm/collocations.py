@@ -1,14 +1,16 @@
 """Phrase collocation mining (operator 11): Toivonen's method over contiguous phrases of 1 to 4 words.
 
-A sample of a quarter of the documents, drawn by hash, proposes: phrases seen LEAST_IN_SAMPLE times there enter a filter of
-fixed size. The full pass counts a phrase exactly if the two phrases one word shorter inside it are in the filter (single
-words always): those are the proposed phrases and their negative border. A border phrase, or any other counted one, that
-is frequent but not in the filter is a border failure: failures enter the filter, and a further pass counts what the larger
-filter adds. Without failures all frequent phrases have been counted: of an uncounted frequent one some part would be the
-shortest uncounted, its own parts counted, frequent and, uncounted as it is, not all in the filter: a failure.
-
-The filter only ever adds phrases to be counted, so neither its size (FILTER_BITS; when it fills up, less is pruned)
-nor the sample changes the result. Counts are added per step of text by hash, and per phrase text after that.
+An eighth of the documents, drawn by hash, proposes: phrases seen LEAST_IN_SAMPLE times there enter a filter. The full pass
+counts a phrase if both phrases one word shorter inside it are in the filter (single words always): those are the
+proposed phrases and their negative border. Counted phrases that are frequent but not in the filter are border failures.
+They trigger an expansion pass, which counts every uncounted phrase whose parts are, as far as they have been counted,
+frequent; a part that hasn't been counted is judged by its own parts. That closes the search: all parts of a frequent
+phrase are frequent, so it is counted in the first pass or in this one.
+
+These passes count by 64-bit hash of language and phrase, so a count is exact or, where hashes collide, too high: no
+frequent phrase is missed. A last pass counts the phrases of frequent hashes by their text, which makes counts exact. All
+filters have a fixed size (FILTER_BITS). They only ever add phrases to be counted, so neither their size (once they fill
+up, less is pruned) nor the sample changes the result.
 
 Scores, containment and ranks are joins and aggregates over the frequent phrases.
 
@@ -29,12 +31,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from runloom.llm.catalog import query
-from runloom.llm.common import _powers, flat, mix, read, steps, word_spans, written
+from runloom.llm.common import _powers, flat, mix, read, settle, steps, word_spans, written
 
 LEAST, LONGEST, TOP, COVERED = 30, 4, 2_000, 80
-SAMPLED, LEAST_IN_SAMPLE = 4, 2
+SAMPLED, LEAST_IN_SAMPLE = 8, 2
 FILTER_BITS = 1 << 27
-STEP = 2_000_000
 UNKNOWN = "und"
 
 _BYTES = np.arange(256, dtype=np.uint8)
@@ -76,13 +77,25 @@ class Phrases:
             self.at.append(at)
             self.hashes.append(mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64) ^ salt[self.lang[at]]))
 
-    def inner(self, n: int, held: np.ndarray) -> np.ndarray:
-        """Whether both phrases of n - 1 words inside the n-word phrases pass the filter."""
-        passes = in_filter(self.hashes[n - 2], held)
+    def both(self, n: int, flags: np.ndarray) -> np.ndarray:
+        """Of the n-word phrases those whose two phrases of n - 1 words have their flag."""
         all_ = np.zeros(len(self.starts) + 1, bool)
-        all_[self.at[n - 2]] = passes
+        all_[self.at[n - 2]] = flags
         return all_[self.at[n - 1]] & all_[self.at[n - 1] + 1]
 
+    def proposed(self, held: np.ndarray) -> list[np.ndarray]:
+        """For every number of words: the phrases that the full pass counts under the filter."""
+        return [np.ones(len(self.at[0]), bool), *(self.both(n, in_filter(self.hashes[n - 2], held)) for n in range(2, LONGEST + 1))]
+
+    def expanded(self, held: np.ndarray, frequent: np.ndarray) -> list[np.ndarray]:
+        """The phrases that the expansion pass counts, given the filters of the full pass and of its frequent phrases."""
+        counted, out, fine = self.proposed(held), [], np.ones(0, bool)
+        for n in range(1, LONGEST + 1):
+            parts = self.both(n, fine) if n > 1 else np.ones(len(self.at[0]), bool)
+            out.append(parts & ~counted[n - 1])
+            fine = np.where(counted[n - 1], in_filter(self.hashes[n - 1], frequent), parts)
+        return out
+
     def texts(self, n: int, at: np.ndarray) -> pa.Array:
         a, b = self.starts[at], self.ends[at + n - 1]
         offsets = np.concatenate([[0], np.cumsum(b - a)])
@@ -119,62 +132,59 @@ def _filter(hashes: DataFrame, bits: int) -> np.ndarray:
     return words.view(np.uint8)
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in steps(batches, "text", STEP):
-        phrases = Phrases(batch)
-        h, n = np.unique(np.concatenate(phrases.hashes[:-1]), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+def _hashed(chosen):
+    """Counts by hash of the phrases that chosen(phrases) flags."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, "text"):
+            phrases = Phrases(batch)
+            h, n = np.unique(np.concatenate([h[f] for h, f in zip(phrases.hashes, chosen(phrases), strict=False)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+        settle()
+    return run
 
 
-def _counted(held, before):
-    """Phrases counted under the filter `held` but not under `before` (None: the first pass, which counts words too)."""
+def _texts(frequent):
+    """Counts by language and text of the phrases in the filter, and all words of each language."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, "text", STEP):
+        for batch in steps(batches, "text"):
             phrases = Phrases(batch)
-            if before is None:
-                n = np.bincount(phrases.lang, minlength=len(phrases.langs))
-                yield _rows([phrases.langs[i] for i in np.flatnonzero(n)], 0, pa.array([""] * int((n > 0).sum()), pa.string()), np.zeros(int((n > 0).sum()), np.int64), n[n > 0])
-            for n in range(1 if before is None else 2, LONGEST + 1):
-                at, h = phrases.at[n - 1], phrases.hashes[n - 1]
-                if n > 1:
-                    new = phrases.inner(n, held.value)
-                    if before is not None:
-                        new &= ~phrases.inner(n, before.value)
-                    at, h = at[new], h[new]
-                if len(at):
-                    codes, first, times = np.unique(h, return_index=True, return_counts=True)
-                    own = at[first]
-                    yield _rows(pa.DictionaryArray.from_arrays(pa.array(phrases.lang[own].astype(np.int32)), pa.array(phrases.langs, pa.string())).cast(pa.string()), n, phrases.texts(n, own), codes.view(np.int64), times)
+            langs = pa.array(phrases.langs, pa.string())
+            n = np.bincount(phrases.lang, minlength=len(langs))
+            yield _rows(langs, 0, pa.array([""] * len(langs), pa.string()), n)
+            for size, (at, h) in enumerate(zip(phrases.at, phrases.hashes, strict=True), 1):
+                known = in_filter(h, frequent.value)
+                at = at[known]
+                _, first, n = np.unique(h[known], return_index=True, return_counts=True)
+                yield _rows(langs.take(pa.array(phrases.lang[at[first]])), size, phrases.texts(size, at[first]), n)
+        settle()
     return run
 
 
-def _rows(langs, n: int, texts: pa.Array, codes: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
-    langs = pa.array(langs, pa.string()) if isinstance(langs, list) else langs
-    return pa.RecordBatch.from_arrays([langs, pa.array(np.full(len(texts), n, np.int32)), texts, pa.array(codes), pa.array(times.astype(np.int64))], ["lang", "size", "phrase", "h", "f"])
+def _rows(langs: pa.Array, size: int, texts: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([langs, pa.array(np.full(len(texts), size, np.int32)), texts, pa.array(n.astype(np.int64))], ["lang", "size", "phrase", "f"])
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, sampled: int = SAMPLED, least_in_sample: int = LEAST_IN_SAMPLE, bits: int = FILTER_BITS,
                      id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, text, lang) -> lang, size, phrase, f of all phrases of 1 to 4 words with f >= least, and a row of size 0 for each
     language with all its words counted."""
-    spark = docs.sparkSession
+    ship = docs.sparkSession.sparkContext.broadcast
     texts = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"))
     drawn = texts.where(F.pmod(F.xxhash64("id"), F.lit(sampled)) == 0).select("text", "lang")
     texts = texts.select("text", "lang")
-    seen = drawn.mapInArrow(_sampled, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least_in_sample)
-    held, before = _filter(seen, bits), None
-    found: DataFrame | None = None
-    while True:
-        shipped = [None if f is None else spark.sparkContext.broadcast(f) for f in (held, before)]
-        rows = texts.mapInArrow(_counted(*shipped), "lang string, size int, phrase string, h long, f long")
-        rows = rows.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"), F.first("h").alias("h"))
-        rows = written(rows.where((F.col("f") >= least) | (F.col("size") == 0)), "phrases")
-        found = rows if found is None else found.unionByName(rows)
-        failures = rows.where((F.col("size") > 0) & (F.col("size") < LONGEST)).select("h").mapInArrow(_missing(shipped[0]), "h long")
-        failures = written(failures, "phrase-failures")
-        if failures.isEmpty():
-            return found.drop("h")
-        before, held = held, held | _filter(failures, bits)
+
+    def counted(rows: DataFrame, chosen, least: int) -> DataFrame:
+        return rows.mapInArrow(_hashed(chosen), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h")
+
+    every = counted(drawn, lambda p: [np.ones(len(h), bool) for h in p.hashes[:-1]], least_in_sample)
+    held = ship(_filter(every, bits))
+    known = written(counted(texts, lambda p: p.proposed(held.value), least), "phrase-hashes")
+    frequent = _filter(known, bits)
+    if not known.mapInArrow(_missing(held), "h long").isEmpty():
+        first = ship(frequent)
+        frequent = frequent | _filter(counted(texts, lambda p: p.expanded(held.value, first.value), least), bits)
+    rows = texts.mapInArrow(_texts(ship(frequent)), "lang string, size int, phrase string, f long").groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"))
+    return written(rows.where((F.col("f") >= least) | ((F.col("size") == 0) & (F.col("f") > 0))), "phrases")
 
 
 def _missing(held):
