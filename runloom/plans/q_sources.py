@@ -53,28 +53,39 @@ def _write_run_logs(spark, d):
     lines = (done.select("experiment_id", "step", "dt").join(ema, ["experiment_id", "step"])
              .join(prog, ["experiment_id", "step"]).join(thr, ["experiment_id", "step"])
              .withColumn("lrm", cfg.lr_multiplier(F.col("progress"))).withColumn("epoch", F.lit(1)))
+    # of seven runs one is killed (its log just ends) and one crashes; a blown-up run says so
+    user = F.substring("experiment_id", 5, 20).cast("long")
+    how = F.when(user % 7 == 3, F.lit("killed")).when(user % 7 == 5, F.lit("crash")).otherwise(F.col("status"))
     summ = tel.run_summary(steps, FLOPS)
     totals = done.groupBy("experiment_id").agg(F.sum("dt").alias("total_seconds"))
     summ = (summ.join(totals, "experiment_id", "left")
-            .select("experiment_id", F.lit(None).cast("double").alias("val_bpb"), "training_seconds",
+            .select("experiment_id", F.when(how == "ok", (user % 1000) / F.lit(1000.0) + F.lit(0.5)).alias("val_bpb"), how.alias("how"),
+                    F.lit("out of memory").alias("message"), "training_seconds",
                     F.coalesce("total_seconds", F.lit(0.0)).alias("total_seconds"), "peak_vram_mb", "mfu_percent",
                     "total_tokens", "num_steps", F.lit(4194440).alias("num_params"), F.lit(4).alias("depth")))
     path = work_dir(spark, "logs")
-    logs.write_logs(logs.step_lines(lines), logs.summary_lines(summ), path)
+    logs.write_logs(logs.step_lines(lines), summ, path)
     return path
 
 
 @query("log_summary", "S16", W(["training_steps"], f"""
-SELECT s.experiment_id, s.num_steps, 4 AS depth, round(coalesce(a.t, 0), 1) AS training_seconds,
-  round(s.num_steps * 16384 / 1e6, 1) AS total_tokens_M, false AS crashed, false AS scored
-FROM stops s LEFT JOIN (
-  SELECT ts.experiment_id, sum(CASE WHEN ts.step > 10 THEN ts.dt END) AS t
-  FROM training_steps ts JOIN stops s2 ON s2.experiment_id = ts.experiment_id WHERE ts.step < s2.num_steps
-  GROUP BY ts.experiment_id) a ON a.experiment_id = s.experiment_id""", extra=[STOP_CTE]))
+SELECT experiment_id, status, CASE WHEN status = 'ok' THEN u % 1000 / 1000.0 + 0.5 END AS val_bpb,
+  CASE WHEN status <> 'killed' THEN num_steps END AS num_steps, CASE WHEN status <> 'killed' THEN 4 END AS depth,
+  CASE WHEN status <> 'killed' THEN round(t, 1) END AS training_seconds,
+  CASE WHEN status <> 'killed' THEN round(num_steps * 16384 / 1e6, 1) END AS total_tokens_M,
+  CASE WHEN status = 'crash' THEN 'out of memory' END AS crash_message, CASE WHEN num_steps > 0 THEN num_steps - 1 END AS last_step,
+  status = 'killed' AS crashed, status = 'ok' AS scored
+FROM (SELECT s.experiment_id, s.num_steps, coalesce(a.t, 0) AS t, CAST(substr(s.experiment_id, 5) AS BIGINT) AS u,
+        CASE WHEN u % 7 = 3 THEN 'killed' WHEN u % 7 = 5 THEN 'crash' WHEN s.stop_reason = 'fail' THEN 'fail' ELSE 'ok' END AS status
+      FROM stops s LEFT JOIN (
+        SELECT ts.experiment_id, sum(CASE WHEN ts.step > 10 THEN ts.dt END) AS t
+        FROM training_steps ts JOIN stops s2 ON s2.experiment_id = ts.experiment_id WHERE ts.step < s2.num_steps
+        GROUP BY ts.experiment_id) a ON a.experiment_id = s.experiment_id) x""", extra=[STOP_CTE]))
 def log_summary(spark, d):
     path = _write_run_logs(spark, d)
     s = logs.read_summary(spark, path)
-    return s.select("experiment_id", "num_steps", "depth", "training_seconds", "total_tokens_M", "crashed", "scored")
+    return s.select("experiment_id", "status", "val_bpb", "num_steps", "depth", "training_seconds", "total_tokens_M", "crash_message",
+                    F.col("last_step").cast("long").alias("last_step"), "crashed", "scored")
 
 
 @query("log_steps", "S17", W(["training_steps"], """
