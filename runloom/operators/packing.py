@@ -1,17 +1,19 @@
 """Best-fit packing of token sequences into rows of T+1 tokens.
 
-Packing is sequential by nature, so documents are cut into ``shards`` by a hash of their id; each
-shard is streamed in document order through one Python function (``mapInPandas``) whose memory is
-bounded by the buffer (1,000 documents) plus one row, however large the shard. One shard reproduces
-the single-stream order exactly; more shards buy parallelism at the price of a different (equally
-valid) packing.
-
-Rules per shard (same as the single-stream loader): documents enter a buffer in batches of 128
+Packing is sequential by nature. :func:`pack_ranges` cuts the stream of documents into long ranges of positions (many
+times the buffer), each streamed in order through one Python function whose memory is bounded by the buffer (1,000
+documents) plus one row. A range doesn't drain its buffer: what is left in it when its input ends goes, in order of
+arrival, to the next level, where `fan` neighbouring ranges make one stream, and so on until one stream is left; that
+one drains. So every placement but the last thousand or so is made with a full buffer, no document is lost between
+ranges, and one unfinished row, the tail, is all that the whole table leaves. A stream that fits one range is packed
+exactly as by a single loader. (:func:`pack` makes independent streams, each with a tail of its own.)
+
+Rules of a stream (same as the single-stream loader): documents enter a buffer in batches of 128
 (per epoch, in order) whenever the buffer holds fewer than 1,000 documents, before every placement.
 A row is filled by repeatedly taking the longest buffered document that fits the remaining space
 (the earliest buffered on ties); if none fits, the shortest document (earliest on ties) is cropped
 to the remaining space and the rest of it is dropped. Every row starts with BOS because every
-document does. When the input ends, the buffer is drained; the last unfinished row is the tail.
+document does. A row's epoch is that of the latest batch taken when it is full.
 """
 
 from __future__ import annotations
@@ -25,28 +27,35 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from runloom.schemas import DOC_BATCH, PACK_BUFFER, PACKED_SCHEMA
+from runloom.session import saved
+
+#: Documents of a range, and ranges whose left documents make one stream of the next level.
+PACK_RANGE, PACK_FAN = 32_768, 32
 
 
 class _Buffer:
-    """Documents keyed by length: per-length FIFO queues plus the sorted list of lengths present."""
+    """Documents (arrival, epoch, tokens) keyed by length: per-length FIFO queues plus the sorted list of lengths present."""
 
     def __init__(self) -> None:
         self.by_len: dict[int, deque] = {}
         self.lengths: list[int] = []
         self.size = 0
+        self.arrived = 0
 
-    def add(self, toks: np.ndarray) -> None:
+    def add(self, epoch: int, toks: np.ndarray) -> None:
         n = len(toks)
         q = self.by_len.get(n)
         if q is None:
             q = self.by_len[n] = deque()
             bisect.insort(self.lengths, n)
-        q.append(toks)
+        q.append((self.arrived, epoch, toks))
+        self.arrived += 1
         self.size += 1
 
-    def _take(self, n: int) -> np.ndarray:
+    def _take(self, n: int) -> tuple[int, int, np.ndarray]:
         q = self.by_len[n]
         t = q.popleft()
         if not q:
@@ -55,18 +64,23 @@ class _Buffer:
         self.size -= 1
         return t
 
-    def take_best_fit(self, room: int) -> np.ndarray | None:
+    def take_best_fit(self, room: int) -> tuple[int, int, np.ndarray] | None:
         i = bisect.bisect_right(self.lengths, room)
         return self._take(self.lengths[i - 1]) if i > 0 else None
 
-    def take_shortest(self) -> np.ndarray:
+    def take_shortest(self) -> tuple[int, int, np.ndarray]:
         return self._take(self.lengths[0])
 
+    def waiting(self) -> list[tuple[int, int, np.ndarray]]:
+        return [t for q in self.by_len.values() for t in q]
+
 
 def pack_stream(docs: Iterator[tuple[int, np.ndarray]], row_len: int, buffer_size: int = PACK_BUFFER,
-                batch: int = DOC_BATCH, counts: list[int] | None = None) -> Iterator[tuple[int, np.ndarray, int, bool]]:
+                batch: int = DOC_BATCH, counts: list[int] | None = None,
+                left: list[tuple[int, np.ndarray]] | None = None) -> Iterator[tuple[int, np.ndarray, int, bool]]:
     """Pack one ordered stream of (epoch, tokens). Yields (epoch, row, cropped_tokens, complete).
-    ``counts`` (a two-item list), when given, accumulates documents and tokens taken from the input."""
+    ``counts`` (a two-item list), when given, accumulates documents placed in rows and their tokens, cropped ones whole.
+    ``left``, when given, takes the documents that wait when the input ends, by arrival; else they are packed too."""
     buf = _Buffer()
     it = iter(docs)
     exhausted = False
@@ -89,37 +103,42 @@ def pack_stream(docs: Iterator[tuple[int, np.ndarray]], row_len: int, buffer_siz
             if got and e != epoch:
                 return  # an epoch boundary ends the batch
             epoch = e
-            buf.add(toks)
-            counts[0] += 1
-            counts[1] += len(toks)
+            buf.add(e, toks)
             pending = None
             got += 1
 
     while True:
+        placed: list[tuple[int, int, np.ndarray]] = []
         row: list[np.ndarray] = []
         pos = 0
         cropped = 0
         while pos < row_len:
             while buf.size < buffer_size and not exhausted:
                 refill()
-            if buf.size == 0:
-                if pos:
-                    yield epoch, np.concatenate(row), cropped, False
+            if left is not None and exhausted and buf.size < buffer_size:
+                left += [(e, t) for _, e, t in sorted(placed + buf.waiting(), key=lambda d: d[0])]
                 return
+            if buf.size == 0:
+                break
             room = row_len - pos
-            t = buf.take_best_fit(room)
-            if t is None:
-                t = buf.take_shortest()
-                cropped += len(t) - room
-                t = t[:room]
-            row.append(t)
-            pos += len(t)
-        yield epoch, np.concatenate(row), cropped, True
+            doc = buf.take_best_fit(room) or buf.take_shortest()
+            placed.append(doc)
+            row.append(doc[2][:room])
+            cropped += max(0, len(doc[2]) - room)
+            pos += len(row[-1])
+        if not pos:
+            return
+        counts[0] += len(placed)
+        counts[1] += sum(len(t) for _, _, t in placed)
+        yield epoch, np.concatenate(row), cropped, pos == row_len
+
 
+_COLUMNS = [f.name for f in PACKED_SCHEMA.fields]
 
-def _pack_partitions(row_len: int, buffer_size: int, batch: int):
-    cols = ["shard", "row_no", "epoch", "tokens", "cropped", "complete", "docs_in", "tokens_in"]
 
+def _pack_partitions(row_len: int, buffer_size: int, batch: int, drain: bool = True, max_rows: int | None = None):
+    """Packed rows of each shard of a sorted partition, with ``left`` null; without ``drain``, behind them the documents that
+    are left (one a row, ``left`` counting from 0)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # rows arrive sorted by (shard, epoch, order): each shard is one contiguous run, streamed
         def rows():
@@ -127,21 +146,68 @@ def _pack_partitions(row_len: int, buffer_size: int, batch: int):
                 for s, e, t in zip(b["shard"].to_numpy(), b["epoch"].to_numpy(), b["tokens"]):
                     yield int(s), int(e), np.asarray(t, dtype=np.int32)
 
-        out: list[tuple] = []
-        for shard, grp in itertools.groupby(rows(), key=lambda x: x[0]):
-            docs = ((e, t) for _, e, t in grp)
-            counts = [0, 0]  # input taken since the previous emitted row (every document ends in a row)
-            for n, (e, r, c, ok) in enumerate(pack_stream(docs, row_len, buffer_size, batch, counts)):
-                out.append((shard, n, e, r, c, ok, counts[0], counts[1]))
-                counts[0] = counts[1] = 0
-                if len(out) >= 4096:
-                    yield pd.DataFrame(out, columns=cols)
-                    out = []
-        if out:
-            yield pd.DataFrame(out, columns=cols)
+        def records():
+            for shard, grp in itertools.groupby(rows(), key=lambda x: x[0]):
+                docs = ((e, t) for _, e, t in grp)
+                counts, left = [0, 0], None if drain else []
+                stream = pack_stream(docs, row_len, buffer_size, batch, counts, left)
+                for n, (e, r, c, ok) in enumerate(itertools.islice(stream, max_rows)):
+                    yield shard, n, e, r, c, ok, counts[0], counts[1], None
+                    counts[0] = counts[1] = 0
+                for i, (e, t) in enumerate(left or ()):
+                    yield shard, 0, e, t, 0, False, 0, 0, i
+
+        found = records()
+        while out := list(itertools.islice(found, 2_048)):
+            frame = pd.DataFrame(out, columns=[*_COLUMNS, "left"])
+            yield frame.assign(left=frame["left"].astype("Int32"))
     return run
 
 
+_PACKED = T.StructType([*PACKED_SCHEMA.fields, T.StructField("left", T.IntegerType())])
+
+
+def pack_ranges(encoded: DataFrame, seq_len: int, order_col: str = "pos", epoch_col: str | None = None, range_docs: int = PACK_RANGE,
+                fan: int = PACK_FAN, buffer_size: int = PACK_BUFFER, batch: int = DOC_BATCH, max_rows: int | None = None) -> DataFrame:
+    """K1-K5 over one stream: ``encoded`` has (order_col, tokens[, epoch]), order_col counting documents from 0 over all epochs.
+    Returns level, shard, row_no, epoch, tokens, cropped, complete, docs_in, tokens_in; one row at most isn't complete.
+    ``max_rows`` stops early: the first rows of the whole in order of (level, shard, row_no)."""
+    e = F.col(epoch_col) if epoch_col else F.lit(1)
+    top = encoded.agg(F.max(order_col)).first()[0]
+    shards = 1 if top is None else top // range_docs + 1
+    d = encoded.select(F.floor(F.col(order_col) / range_docs).cast("int").alias("shard"), e.cast("int").alias("epoch"), F.col(order_col).alias("_o"), "tokens")
+    done: DataFrame | None = None
+    level = 0
+    while True:
+        packed = (d.repartition("shard").sortWithinPartitions("shard", "epoch", "_o").drop("_o")
+                  .mapInPandas(_pack_partitions(seq_len + 1, buffer_size, batch, shards == 1, max_rows), _PACKED))
+        packed = packed.select(F.lit(level).alias("level"), "*")
+        if shards > 1:
+            packed = saved(packed, "packed")
+        rows = packed.where("left is null").drop("left")
+        done = rows if done is None else done.unionByName(rows)
+        if shards == 1:
+            return done if max_rows is None else done.orderBy("level", "shard", "row_no").limit(max_rows)
+        left = packed.where("left is not null")
+        d = left.select(F.floor(F.col("shard") / fan).cast("int").alias("shard"), "epoch", (F.col("shard") * F.lit(1 << 32) + F.col("left")).alias("_o"), "tokens")
+        shards, level = -(-shards // fan), level + 1
+
+
+def epochs_for(encoded: DataFrame, seq_len: int, max_rows: int) -> int:
+    """Epochs whose tokens surely fill ``max_rows`` rows: every row takes T+1 tokens and crops fewer than the longest document."""
+    r = encoded.agg(F.sum(F.size("tokens")).alias("n"), F.max(F.size("tokens")).alias("longest")).first()
+    if not r.n:
+        raise ValueError("no tokens to pack")
+    return -(-max_rows * (seq_len + 1 + r.longest) // r.n) + 1
+
+
+def pack_epochs(encoded: DataFrame, seq_len: int, n_docs: int, epochs: int, order_col: str = "pos", **options) -> DataFrame:
+    """K3 over the endless stream's first epochs (U2): a batch ends with its epoch, the buffer runs on across the border."""
+    every = encoded.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
+    every = every.withColumn("_stream_pos", (F.col("epoch") - 1) * F.lit(n_docs) + F.col(order_col))
+    return pack_ranges(every, seq_len, "_stream_pos", "epoch", **options)
+
+
 def pack(encoded: DataFrame, seq_len: int, shards: int | None = None, order_col: str = "pos", epoch_col: str | None = None,
          buffer_size: int = PACK_BUFFER, batch: int = DOC_BATCH, key_col: str = "doc_id",
          shard_docs: int | None = None) -> DataFrame:
@@ -157,7 +223,7 @@ def pack(encoded: DataFrame, seq_len: int, shards: int | None = None, order_col:
     d = encoded.select(shard.cast("int").alias("shard"),
                        e.cast("int").alias("epoch"), F.col(order_col).alias("_o"), "tokens")
     d = (d.repartition(shards, "shard") if shards else d.repartition("shard")).sortWithinPartitions("shard", "epoch", "_o").drop("_o")
-    return d.mapInPandas(_pack_partitions(seq_len + 1, buffer_size, batch), PACKED_SCHEMA)
+    return d.mapInPandas(_pack_partitions(seq_len + 1, buffer_size, batch), _PACKED).drop("left")
 
 
 def packing_report(packed: DataFrame, seq_len: int, bos_id: int) -> DataFrame:
@@ -173,6 +239,7 @@ def packing_report(packed: DataFrame, seq_len: int, bos_id: int) -> DataFrame:
         F.coalesce(F.sum(F.when(c, n)), F.lit(0)).cast("long").alias("packed_tokens"),
         F.coalesce(F.sum("cropped"), F.lit(0)).cast("long").alias("cropped_tokens"),
         F.coalesce(F.sum(F.when(~c, n)), F.lit(0)).cast("long").alias("tail_tokens"),
+        F.count_if(~c).alias("tails"), F.min("epoch").alias("first_epoch"), F.max("epoch").alias("last_epoch"),
         F.count_if(c & (n != seq_len + 1)).alias("bad_length_rows"),
         F.count_if(F.element_at("tokens", 1) != F.lit(bos_id)).alias("bad_bos_rows"))
     return out.withColumn("balance_gap", F.col("tokens_in") - F.col("packed_tokens") - F.col("cropped_tokens")
@@ -182,7 +249,8 @@ def packing_report(packed: DataFrame, seq_len: int, bos_id: int) -> DataFrame:
 def next_token_pairs(packed: DataFrame, seq_len: int) -> DataFrame:
     """inputs = row[:-1], targets = row[1:]."""
     c = packed.where("complete")
-    return c.select("shard", "row_no", "epoch", F.slice("tokens", 1, seq_len).alias("inputs"),
+    place = [n for n in ("level", "shard", "row_no") if n in packed.columns]
+    return c.select(*place, "epoch", F.slice("tokens", 1, seq_len).alias("inputs"),
                     F.slice("tokens", 2, seq_len).alias("targets"))
 
 
@@ -197,5 +265,6 @@ def eval_steps(eval_tokens: int, batch_rows: int, seq_len: int) -> int:
 
 
 def eval_rows(packed: DataFrame, steps: int, batch_rows: int) -> DataFrame:
-    """K6: the first steps * B complete rows of the one stream that the shards make in their order (a top-k)."""
-    return packed.where("complete").orderBy("shard", "row_no").limit(steps * batch_rows)
+    """K6: the first steps * B complete rows of the one stream that levels and shards make in their order (a top-k)."""
+    place = [n for n in ("level", "shard", "row_no") if n in packed.columns]
+    return packed.where("complete").orderBy(*place).limit(steps * batch_rows)

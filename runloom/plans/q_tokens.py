@@ -11,15 +11,14 @@ from runloom.operators import bpe
 from runloom.operators import packing as pk
 from runloom.plans import standins as st
 from runloom.plans.catalog import query, r6
-from runloom.plans.q_corpus import split_docs, train_docs
+from runloom.plans.q_corpus import SPLIT_SQL, split_docs, train_docs
 from runloom.schemas import EVAL_TOKENS, SIMPLE_SPLIT_PATTERN, SPECIAL_TOKENS, SPLIT_PATTERN
 from runloom.session import checkpoint_base
 
 N_MERGES = bpe.merges_for_vocab()  # merges of the full vocabulary
 PACK_SEQ = 1024        # packing queries use T = 1,024 (SURVEY §7.5)
 
-#: Documents of a packing shard: fixed ranges of positions, whatever the cluster.
-PACK_SHARD_DOCS = 256
+PACK_STOP_ROWS = 500   # rows of the early-stop query
 EVAL_BATCH = 4
 BYTE_BOS = 256         # BOS id of the byte-level vocabulary (no merges)
 
@@ -133,24 +132,25 @@ SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, CAST(octet_length(encode
   round(octet_length(encode(text)) / (octet_length(encode(text)) + 1.0), 6) AS bytes_per_token
 FROM documents""")
 def doc_token_stats(spark, d):
-    # a byte-level vocabulary gives a token a byte, after the BOS: counts need no token ids
-    docs = st.stories(spark, d).select("doc_id", F.length("text").cast("long").alias("n_chars"),
-                                       F.octet_length("text").cast("long").alias("n_bytes"))
-    n = F.col("n_bytes") + 1
-    return docs.select("doc_id", "n_chars", "n_bytes", n.alias("n_tokens"), F.lit(BYTE_BOS).alias("first_token"),
-                       r6(F.col("n_bytes") / n).alias("bytes_per_token"))
+    docs = st.stories(spark, d).select("doc_id", "text", F.length("text").cast("long").alias("n_chars"), F.octet_length("text").cast("long").alias("n_bytes"))
+    enc = bpe.encode_docs(docs, BYTE_ROWS, BYTE_BOS, keep=("doc_id", "n_chars", "n_bytes"))
+    n = F.size("tokens").cast("long")
+    return enc.select("doc_id", "n_chars", "n_bytes", n.alias("n_tokens"), F.element_at("tokens", 1).alias("first_token"),
+                      r6(F.col("n_bytes") / n).alias("bytes_per_token"))
 
 
-def _packed(spark, d, seq=PACK_SEQ, split="train"):
+def _encoded_split(spark, d, split):
     s = split_docs(spark, d).where(F.col("split") == split).select("doc_id", "pos_in_split", "text")
-    enc = bpe.encode_docs(s, BYTE_ROWS, BYTE_BOS, keep=("doc_id", "pos_in_split"))
-    return enc, pk.pack(enc, seq, order_col="pos_in_split", shard_docs=PACK_SHARD_DOCS)
+    return bpe.encode_docs(s, BYTE_ROWS, BYTE_BOS, keep=("doc_id", "pos_in_split"))
+
+
+def _packed(spark, d, seq=PACK_SEQ, split="train"):
+    return pk.pack_ranges(_encoded_split(spark, d, split), seq, order_col="pos_in_split")
 
 
 @query("packed_rows", "K1 K2 K3 K5")
 def packed_rows(spark, d):
-    _, p = _packed(spark, d)
-    return pk.batches(p, EVAL_BATCH).select("shard", "row_no", "batch_no", "epoch", "tokens")
+    return pk.batches(_packed(spark, d), EVAL_BATCH).select("level", "shard", "row_no", "batch_no", "epoch", "tokens")
 
 
 SPLIT_TRAIN_SQL = """
@@ -159,32 +159,49 @@ p AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM d
 SELECT p.* FROM p WHERE pos >= (SELECT least(n // 5, n) FROM n)"""
 
 
-@query("packing_report", "K2 K4", f"""
-SELECT CAST(count(*) AS BIGINT) AS docs_in, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS tokens_in,
-  CAST(0 AS BIGINT) AS bad_length_rows, CAST(0 AS BIGINT) AS bad_bos_rows, CAST(0 AS BIGINT) AS balance_gap
-FROM ({SPLIT_TRAIN_SQL}) t""")
+_INPUT_SQL = """CAST({e} * count(*) AS BIGINT) AS docs_in, CAST({e} * sum(octet_length(encode(text)) + 1) AS BIGINT) AS tokens_in,
+  CAST(0 AS BIGINT) AS bad_length_rows, CAST(0 AS BIGINT) AS bad_bos_rows, CAST(0 AS BIGINT) AS balance_gap, true AS one_tail_at_most"""
+
+
+@query("packing_report", "K2 K4", f"SELECT {_INPUT_SQL.format(e=1)} FROM ({SPLIT_TRAIN_SQL}) t")
 def packing_report(spark, d):
-    _, p = _packed(spark, d)
-    r = pk.packing_report(p, PACK_SEQ, BYTE_BOS)
-    return r.select("docs_in", "tokens_in", "bad_length_rows", "bad_bos_rows", "balance_gap")
+    r = pk.packing_report(_packed(spark, d), PACK_SEQ, BYTE_BOS)
+    return r.select("docs_in", "tokens_in", "bad_length_rows", "bad_bos_rows", "balance_gap", (F.col("tails") <= 1).alias("one_tail_at_most"))
 
 
 @query("packing_totals", "K2 K4 (counts)")
 def packing_totals(spark, d):
-    _, p = _packed(spark, d)
-    return pk.packing_report(p, PACK_SEQ, BYTE_BOS)
+    return pk.packing_report(_packed(spark, d), PACK_SEQ, BYTE_BOS)
+
+
+@query("packing_epochs", "K3 U2", f"{SPLIT_SQL} SELECT {_INPUT_SQL.format(e=2)}, 2 AS last_epoch FROM s WHERE split = 'val'")
+def packing_epochs(spark, d):
+    """Two epochs of the val split as one stream: the buffer runs across the border."""
+    enc = _encoded_split(spark, d, "val")
+    p = pk.pack_epochs(enc, PACK_SEQ, enc.count(), 2, order_col="pos_in_split")
+    return pk.packing_report(p, PACK_SEQ, BYTE_BOS).select(
+        "docs_in", "tokens_in", "bad_length_rows", "bad_bos_rows", "balance_gap", (F.col("tails") <= 1).alias("one_tail_at_most"), "last_epoch")
+
+
+@query("packing_early_stop", "K3 U2 K5", f"""
+SELECT CAST({PACK_STOP_ROWS} AS BIGINT) AS rows, CAST({PACK_STOP_ROWS * (PACK_SEQ + 1)} AS BIGINT) AS packed_tokens,
+  CAST(0 AS BIGINT) AS bad_length_rows, CAST(0 AS BIGINT) AS bad_bos_rows, CAST(0 AS BIGINT) AS tails""")
+def packing_early_stop(spark, d):
+    """The endless stream over the val split, stopped after a number of rows, however many epochs they take."""
+    enc = _encoded_split(spark, d, "val")
+    p = pk.pack_epochs(enc, PACK_SEQ, enc.count(), pk.epochs_for(enc, PACK_SEQ, PACK_STOP_ROWS), order_col="pos_in_split", max_rows=PACK_STOP_ROWS)
+    return pk.packing_report(p, PACK_SEQ, BYTE_BOS).select("rows", "packed_tokens", "bad_length_rows", "bad_bos_rows", "tails")
 
 
 @query("next_token_pairs", "W5")
 def next_token_pairs(spark, d):
-    _, p = _packed(spark, d)
-    return pk.next_token_pairs(p, PACK_SEQ)
+    return pk.next_token_pairs(_packed(spark, d), PACK_SEQ)
 
 
 @query("eval_rows", "K6")
 def eval_rows(spark, d):
-    _, p = _packed(spark, d, split="val")
-    return pk.eval_rows(p, pk.eval_steps(EVAL_TOKENS, EVAL_BATCH, PACK_SEQ), EVAL_BATCH).select("shard", "row_no", "epoch", "tokens")
+    rows = pk.eval_rows(_packed(spark, d, split="val"), pk.eval_steps(EVAL_TOKENS, EVAL_BATCH, PACK_SEQ), EVAL_BATCH)
+    return rows.select("level", "shard", "row_no", "epoch", "tokens")
 
 
 BPB_SQL = """

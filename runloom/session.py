@@ -13,7 +13,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_FALLBACK: dict[str, str] = {}
 _SHIPPED: set[str] = set()
@@ -91,3 +91,10 @@ def work_dir(spark: SparkSession, name: str, fresh: bool = True) -> str:
     base = checkpoint_base(spark)
     sub = f"{name}-{uuid.uuid4().hex[:12]}" if fresh else name
     return f"{base}/runloom/{sub}"
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """df written as a table in the shared folder and read again: cuts the lineage and survives lost executors."""
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

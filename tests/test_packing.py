@@ -76,3 +76,66 @@ def test_shards_come_from_positions_not_from_the_cluster(spark):
     assert results[0] == results[1] == results[2] and {r[0] for r in results[0]} == set(range(7))
     first = [(r.shard, r.row_no) for r in pk.eval_rows(pk.pack(enc, 15, shard_docs=64), 4, 2).collect()]
     assert first == [x[:2] for x in results[0]][:8]
+
+
+def scan(lengths, epochs, row_len, buffer_size, batch):
+    """One loader over the documents (epoch, number of tokens), by a plain scan of a list; its last row may be short."""
+    stream = [(e, i, n) for e in range(1, epochs + 1) for i, n in enumerate(lengths)]
+    fed = [stream[a + k:a + k + batch] for a in range(0, len(stream), len(lengths) or 1) for k in range(0, len(lengths), batch)]
+    fed = [[d for d in f if d[0] == f[0][0]] for f in fed]
+    buffer, rows, epoch = [], [], 1
+    while True:
+        row, room = [], row_len
+        while room:
+            while len(buffer) < buffer_size and fed:
+                epoch = fed[0][0][0]
+                buffer += fed.pop(0)
+            if not buffer:
+                break
+            fitting = [d for d in buffer if d[2] <= room]
+            doc = max(fitting, key=lambda d: d[2]) if fitting else min(buffer, key=lambda d: d[2])
+            buffer.remove(doc)
+            row.append((*doc[:2], min(doc[2], room)))
+            room -= min(doc[2], room)
+        if row:
+            rows.append((epoch, row))
+        if room:
+            return rows
+
+
+def numbered(lengths):
+    return [(i, [99_999] + [i] * (n - 1)) for i, n in enumerate(lengths)]
+
+
+def test_one_stream_is_the_linear_scan(spark):
+    rng = random.Random(11)
+    lengths = [rng.choice([2, 3, 9, 20, 33, 60]) for _ in range(700)]
+    enc = spark.createDataFrame(numbered(lengths), "pos long, tokens array<int>")
+    for epochs, buffer_size, batch in ((1, 100, 16), (3, 50, 128), (2, 2_000, 7)):
+        packed = pk.pack_epochs(enc, 40, len(lengths), epochs, buffer_size=buffer_size, batch=batch)
+        got = [(r.epoch, list(r.tokens)) for r in sorted(packed.collect(), key=lambda r: r.row_no)]
+        want = [(e, [t for _, i, n in row for t in [99_999] + [i] * (n - 1)]) for e, row in scan(lengths, epochs, 41, buffer_size, batch)]
+        assert got == want
+
+
+def test_ranges_lose_nothing_and_leave_one_tail(spark):
+    rng = random.Random(12)
+    lengths = [rng.randint(2, 60) for _ in range(3_000)]
+    enc = spark.createDataFrame(numbered(lengths), "pos long, tokens array<int>")
+    whole = pk.pack_ranges(enc, 40, buffer_size=60, batch=16)
+    cropped = pk.packing_report(whole, 40, 99_999).first().cropped_tokens
+    results = []
+    for parts in (1, 5):
+        packed = pk.pack_ranges(enc.repartition(parts), 40, range_docs=256, fan=3, buffer_size=60, batch=16)
+        rows = sorted(map(tuple, packed.collect()))
+        results.append(rows)
+        r = pk.packing_report(packed, 40, 99_999).first()
+        assert (r.docs_in, r.tokens_in, r.balance_gap, r.bad_length_rows, r.bad_bos_rows) == (3_000, sum(lengths), 0, 0, 0)
+        assert r.tails <= 1 and r.cropped_tokens <= 1.2 * cropped
+        assert {x[0] for x in rows} == {0, 1, 2, 3}
+    assert results[0] == results[1]
+    starts = sorted(t for row in results[0] for a, t in zip(row[4], row[4][1:], strict=False) if a == 99_999)
+    assert len(set(starts)) == len(starts) and sum(row[4].count(99_999) for row in results[0]) == 3_000
+    first = pk.pack_ranges(enc, 40, range_docs=256, fan=3, buffer_size=60, batch=16, max_rows=30).collect()
+    assert sorted(map(tuple, first)) == [r for r in results[0]][:30]
+    assert pk.pack_ranges(enc.where("false"), 40).count() == 0
