@@ -7,9 +7,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from runloom.plans import standins as st
-from runloom.plans.catalog import q6, query, r6
+from runloom.plans.catalog import q6, query, r6, sql_q6
 from runloom.plans.q_registry import SUMMARY, _overview_sql
-from runloom.plans.q_telemetry import EMA_SQL
+from runloom.plans.q_telemetry import EMA_CTE, EMA_SQL, STOP_CTE, TINCL
 from runloom.plans.oracle_views import with_views as W
 from runloom.session import work_dir
 from runloom.sources import registry_io
@@ -85,6 +85,34 @@ def stream_loss_ema(spark, d):
     return out.select("experiment_id", "step", q6("smooth_loss").alias("smooth_loss"), q6("ema_loss").alias("ema_loss"))
 
 
+def _deliver_shuffled(spark, d, deliveries=4):
+    """Step telemetry in deliveries that take no account of its order: every run's steps come late and with gaps."""
+    src = work_dir(spark, "steps-shuffled")
+    steps = st.training_steps(spark, d).withColumn("_d", F.pmod(F.xxhash64("experiment_id", "step"), F.lit(deliveries)))
+    for i in range(deliveries):
+        steps.where(F.col("_d") == i).drop("_d").coalesce(1).write.mode("append").parquet(src)
+    return src
+
+
+STATE_SQL = W(["training_steps"], f"""
+SELECT e.experiment_id, e.step, {sql_q6("e.s")} AS smooth_loss, round(t.t_incl, 6) AS training_time,
+  {sql_q6("min(CASE WHEN NOT isnan(e.s) THEN e.s / (1 - pow(CAST(0.9 AS DOUBLE), e.step + 1)) END) OVER (PARTITION BY e.experiment_id ORDER BY e.step ROWS UNBOUNDED PRECEDING)")} AS best_loss,
+  CASE WHEN x.stop_reason = 'fail' AND e.step = x.fail_step THEN 'fail' WHEN x.stop_reason = 'time' AND e.step = x.time_step THEN 'time' END AS stop_reason,
+  e.step > CASE x.stop_reason WHEN 'fail' THEN x.fail_step WHEN 'time' THEN x.time_step ELSE x.max_step END AS after_stop
+FROM e JOIN (SELECT *, {TINCL} AS t_incl FROM training_steps) t ON t.experiment_id = e.experiment_id AND t.step = e.step
+JOIN (SELECT s.*, m.max_step FROM stops s JOIN (SELECT experiment_id, max(step) AS max_step FROM training_steps GROUP BY 1) m USING (experiment_id)) x
+  ON x.experiment_id = e.experiment_id""", recursive=True, extra=[EMA_CTE, STOP_CTE])
+
+
+@query("stream_step_state", "M4 W3 W4 W8 (late and shuffled deliveries)", STATE_SQL)
+def stream_step_state(spark, d):
+    src = _deliver_shuffled(spark, d)
+    sink, cp = work_dir(spark, "state-sink"), work_dir(spark, "state-cp")
+    sts.start_loss_ema(spark, src, sink, cp)
+    return spark.read.parquet(sink).select("experiment_id", "step", q6("smooth_loss").alias("smooth_loss"), r6("training_time").alias("training_time"),
+                                           q6("best_loss").alias("best_loss"), "stop_reason", "after_stop")
+
+
 @query("stream_failures", "M5 P14", W(["training_steps"], """
 SELECT experiment_id, step, loss FROM training_steps WHERE isnan(loss) OR loss > 100"""))
 def stream_failures(spark, d):

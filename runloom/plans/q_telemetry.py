@@ -16,14 +16,14 @@ _T = "sum(CASE WHEN step > 10 THEN dt ELSE 0 END) OVER (PARTITION BY experiment_
 TINCL = _T.format(end="CURRENT ROW")
 TBEFORE = f"coalesce({_T.format(end='1 PRECEDING')}, 0)"
 
-EMA_SQL = W(["training_steps"], """
-SELECT experiment_id, step, """ + sql_q6("s") + " AS smooth_loss, " + sql_q6("s / (1 - pow(CAST(0.9 AS DOUBLE), step + 1))")
-            + " AS ema_loss FROM e",
-            recursive=True, extra=[("e", """
+EMA_CTE = ("e", """
 SELECT experiment_id, step, (CAST(1 AS DOUBLE) - CAST(0.9 AS DOUBLE)) * loss AS s FROM training_steps WHERE step = 0
 UNION ALL
 SELECT t.experiment_id, t.step, e.s * CAST(0.9 AS DOUBLE) + (CAST(1 AS DOUBLE) - CAST(0.9 AS DOUBLE)) * t.loss FROM e JOIN training_steps t
-  ON t.experiment_id = e.experiment_id AND t.step = e.step + 1""")])
+  ON t.experiment_id = e.experiment_id AND t.step = e.step + 1""")
+EMA_SQL = W(["training_steps"], """
+SELECT experiment_id, step, """ + sql_q6("s") + " AS smooth_loss, " + sql_q6("s / (1 - pow(CAST(0.9 AS DOUBLE), step + 1))")
+            + " AS ema_loss FROM e", recursive=True, extra=[EMA_CTE])
 
 
 @query("loss_ema", "W3", EMA_SQL)

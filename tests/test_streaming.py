@@ -68,3 +68,41 @@ def test_stream_quarantines_bad_payloads(spark):
     assert runs["exp_2"].completed_at is not None          # no arrival time: the batch's processing time
     q = {r.reason for r in registry_io.read_table(spark, base, "quarantine").collect()}
     assert q == {"missing_experiment_id", "not_json"}
+
+
+def test_shuffled_and_repeated_deliveries_equal_batch(spark):
+    import math
+    import random
+    rng = random.Random(6)
+    steps = []
+    for run, n in (("a", 60), ("b", 25), ("c", 1)):
+        steps += [(run, i, rng.random() * 3 if (run, i) not in (("a", 40), ("b", 7)) else (math.nan if run == "a" else 200.0), 20.0 + i, i) for i in range(n)]
+    frame = spark.createDataFrame(steps, "experiment_id string, step int, loss double, dt double, vram_bytes long")
+    src, sink, cp = work_dir(spark, "t-late"), work_dir(spark, "t-late-sink"), work_dir(spark, "t-late-cp")
+    shuffled = steps[:]
+    rng.shuffle(shuffled)
+    for i in range(5):
+        part = shuffled[i::5] + rng.sample(steps, 10)  # delivered again
+        spark.createDataFrame(part, frame.schema).coalesce(1).write.mode("append").parquet(src)
+    sts.start_loss_ema(spark, src, sink, cp)
+    got = {(r.experiment_id, r.step): r for r in spark.read.parquet(sink).collect()}
+    assert len(got) == spark.read.parquet(sink).count() == len(steps) and not any(r.late for r in got.values())
+    for r in tel.loss_ema(frame).collect():
+        g = got[r.experiment_id, r.step]
+        assert (math.isnan(g.ema_loss) and math.isnan(r.ema_loss)) or abs(g.ema_loss - r.ema_loss) < 1e-9
+    for r in tel.training_progress(frame).collect():
+        assert abs(got[r.experiment_id, r.step].training_time - r.training_time if r.training_time is not None else got[r.experiment_id, r.step].training_time) < 1e-9
+    for r in tel.stop_steps(frame).collect():
+        stops = {k[1]: g.stop_reason for k, g in got.items() if k[0] == r.experiment_id and g.stop_reason}
+        assert stops == ({} if r.stop_reason == "end" else {r.fail_step if r.stop_reason == "fail" else r.time_step: r.stop_reason})
+        at = min(stops, default=10**9)
+        assert all(g.after_stop == (k[1] > at) for k, g in got.items() if k[0] == r.experiment_id)
+
+
+def test_a_gap_given_up_loses_no_step():
+    state = sts.RunState()
+    assert [r[0] for r in state.take(0, 1.0, 1.0)] == [0] and state.take(2, 1.0, 1.0) == [] and state.take(3, 2.0, 1.0) == []
+    state = sts.RunState(state.held())
+    assert [r[0] for r in state.give_up()] == [2, 3] and state.give_up() == []
+    assert state.take(1, 9.0, 1.0) == [(1, None, None, None, None, None, None, True)] and state.take(1, 9.0, 1.0) == []
+    assert [r[0] for r in state.take(4, 1.0, 1.0)] == [4] and state.take(4, 1.0, 1.0) == []
