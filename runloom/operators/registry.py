@@ -363,13 +363,13 @@ def verify_registration(source: DataFrame, runs: DataFrame, checkpoints: DataFra
 def keep_discard(runs: DataFrame) -> DataFrame:
     """In time order, a scored run is kept iff its val_bpb is strictly below every earlier
     scored run (the first is the baseline and kept); unscored runs are crashes. The running
-    minimum is computed in two levels (chunks of time, then inside a chunk)."""
+    minimum is computed in two levels (chunks of about equally many runs, then inside a chunk)."""
     from runloom.operators.ordered import prefix_agg
     d = runs.select("experiment_id", "created_at", "val_bpb").withColumn(
         "_t", cfg.epoch_micros(F.col("created_at")))
     scored = is_scored(F.col("val_bpb"))
     d = prefix_agg(d, order_col="_t", tiebreak=["experiment_id"], value=F.when(scored, F.col("val_bpb")),
-                   how="min", out="best_before", inclusive=False, width=86_400_000_000 * 30)
+                   how="min", out="best_before", inclusive=False)
     decision = (F.when(~scored, F.lit("crash"))
                 .when(F.col("best_before").isNull() | (F.col("val_bpb") < F.col("best_before")), F.lit("keep"))
                 .otherwise(F.lit("discard")))

@@ -3,8 +3,8 @@
 ``training_steps(experiment_id, step, loss, dt, vram_bytes)``.
 
 Per-run order matters, but no run is ever sorted in one task: running sums go through
-:func:`runloom.operators.ordered.prefix_agg` (chunks of steps) and the EMA through the exact
-composition of chunks.
+:func:`runloom.operators.ordered.prefix_agg` (chunks of steps) and the EMA through a tree of
+affine maps, one for each chunk.
 """
 
 from __future__ import annotations
@@ -27,28 +27,47 @@ def counted_dt():
     return F.when(F.col("step") > WARMUP_STEPS_EXCLUDED, F.col("dt"))
 
 
-def loss_ema(steps: DataFrame, beta: float = EMA_BETA, width: int = 256) -> DataFrame:
+def loss_ema(steps: DataFrame, beta: float = EMA_BETA, width: int = 64, fan: int = 64) -> DataFrame:
     """s = beta*s + (1-beta)*loss from s = 0, debiased by 1 - beta^(step+1). Inside a chunk of steps the recursion
-    is folded step by step; it is linear, so a whole chunk is summed up by its length and its fold from 0, and chunks
-    compose exactly: no history is dropped and a NaN stays."""
+    is folded step by step; it is linear, so a whole chunk is one affine map, given by its length and its fold from 0.
+    Maps of ``fan`` neighbouring chunks are composed into one, level by level, and the value before each chunk comes
+    down the same tree: no row holds more than ``width`` losses or ``fan`` maps, no history is dropped and a NaN stays."""
     key = ["experiment_id", "_ch"]
+    order = Window.partitionBy(*key).orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    d = steps.select("experiment_id", "step", "loss").withColumn("_ch", F.floor(F.col("step") / width))
 
     def fold(losses, start):
         return F.aggregate(losses, start, lambda acc, x: acc * F.lit(beta) + F.lit(1.0 - beta) * x)
 
-    order = Window.partitionBy(*key).orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    d = steps.select("experiment_id", "step", "loss").withColumn("_ch", F.floor(F.col("step") / width))
-    d = d.withColumn("_seen", F.collect_list("loss").over(order))
-    chunks = d.groupBy(*key).agg(F.max_by("_seen", "step").alias("all"))
-    chunks = chunks.select(*key, F.size("all").alias("n"), fold(F.col("all"), F.lit(0.0)).alias("tail"))
-    past = Window.partitionBy("experiment_id").orderBy("_ch").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.aggregate(F.collect_list(F.struct("n", "tail")).over(past), F.lit(0.0),
-                         lambda acc, c: acc * F.pow(F.lit(beta), c["n"]) + c["tail"])
-    out = d.join(chunks.select(*key, before.alias("_before")), key)
-    out = out.select("experiment_id", "step", "loss", fold(F.col("_seen"), F.col("_before")).alias("smooth_loss"))
+    chunks = d.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("step", "loss"))).alias("all"))
+    chunks = chunks.select(*key, F.size("all").alias("n"), fold(F.col("all.loss"), F.lit(0.0)).alias("tail"))
+    top = (steps.agg(F.max("step")).first()[0] or 0) // width
+    d = d.withColumn("_seen", F.collect_list("loss").over(order)).join(_before(chunks, top, beta, fan), key)
+    out = d.select("experiment_id", "step", "loss", fold(F.col("_seen"), F.col("_before")).alias("smooth_loss"))
     return out.withColumn("ema_loss", F.col("smooth_loss") / (F.lit(1.0) - F.pow(F.lit(beta), F.col("step") + 1)))
 
 
+def _before(maps: DataFrame, top: int, beta: float, fan: int) -> DataFrame:
+    """(experiment_id, _ch, n, tail), _ch up to ``top`` -> experiment_id, _ch, _before: the value that the maps before a
+    map lead to from 0."""
+    def compose(found, start):
+        return F.aggregate(found, start, lambda acc, c: acc * F.pow(F.lit(beta), c["n"]) + c["tail"])
+
+    group = ["experiment_id", "_up"]
+    maps = maps.withColumn("_up", F.floor(F.col("_ch") / fan))
+    earlier = F.collect_list(F.struct("n", "tail")).over(Window.partitionBy(*group).orderBy("_ch").rowsBetween(Window.unboundedPreceding, -1))
+    own = maps.withColumn("_earlier", earlier)
+    if top < fan:
+        start = F.lit(0.0)
+    else:
+        above = maps.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_ch", "n", "tail"))).alias("all"))
+        above = above.select("experiment_id", F.col("_up").alias("_ch"), F.aggregate("all", F.lit(0).cast("long"), lambda acc, c: acc + c["n"]).alias("n"),
+                             compose(F.col("all"), F.lit(0.0)).alias("tail"))
+        own = own.join(_before(above, top // fan, beta, fan).select("experiment_id", F.col("_ch").alias("_up"), F.col("_before").alias("_start")), group)
+        start = F.col("_start")
+    return own.select("experiment_id", "_ch", compose(F.col("_earlier"), start).alias("_before"))
+
+
 def with_training_time(steps: DataFrame, width: int = 4096) -> DataFrame:
     """W4 running training time: ``t_incl`` through this step, ``t_before`` before it."""
     d = prefix_agg(steps, order_col="step", partition_cols=["experiment_id"], value=counted_dt(), how="sum",

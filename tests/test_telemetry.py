@@ -66,3 +66,25 @@ def test_ema_is_the_recursion_for_any_beta_and_after_nan(spark):
         got = {r.step: r.ema_loss for r in tel.loss_ema(frame, beta=beta).collect()}
         assert all(abs(got[i] - 1.0) < 1e-9 for i in (0, 1, 900, 2185, 4999))
         assert all(got[i] != got[i] for i in (5000, 5001, 5999))
+
+
+def test_ema_tree_of_several_levels(spark):
+    rows = [(r, i, float((i * 37) % 11), 0.1, 1) for r, n in (("long", 3_000), ("short", 5)) for i in range(n)]
+    frame = steps_df(spark, rows)
+    deep = {(r.experiment_id, r.step): r.ema_loss for r in tel.loss_ema(frame, width=8, fan=3).collect()}
+    s = 0.0
+    for r, i, x, _, _ in rows:
+        s = 0.9 * (s if i else 0.0) + (1 - 0.9) * x
+        assert abs(deep[r, i] - s / (1 - 0.9 ** (i + 1))) < 1e-9
+
+
+def test_chunks_of_sparse_ids_and_a_busy_day_are_even(spark):
+    from runloom.operators import ordered
+    busy = [i * 10**9 for i in range(500)] + [77 * 10**9 + i for i in range(1, 9_500)]
+    df = spark.createDataFrame([(v,) for v in busy], "k long")
+    bounds = ordered.split_bounds(df, "k", 100)
+    chunks = [r["count"] for r in df.groupBy(ordered.split_of(F.col("k"), bounds).alias("c")).count().collect()]
+    assert len(chunks) > 90 and max(chunks) < 300
+    got = {r.k: (r.pos, r.low) for r in prefix_agg(with_position(df, order_col="k", width=100), order_col="k", value=-F.col("k"), how="min", out="low", width=64, inclusive=False).collect()}
+    assert got == {k: (i, -sorted(busy)[i - 1] if i else None) for i, k in enumerate(sorted(busy))}
+    assert with_position(df.where("false"), order_col="k").count() == 0
