@@ -36,12 +36,9 @@ def _payload_fields(v) -> dict:
     return {f.name: F.try_variant_get(v, f"$.{f.name}", f.dataType.simpleString()) for f in RESULT_SCHEMA}
 
 
-def validate_payload_text(df: DataFrame, text_col: str) -> DataFrame:
-    """V1 + V2 + P13 over raw JSON text: adds ``experiment_id``, ``status``, ``reason`` (NULL when the payload is accepted
-    for ingest: an object with id and status whose fields all have their types) and ``accepted`` (status ok with a numeric
-    val_bpb). The reason of a payload with several faults is the first: not_json, missing_<field>, bad_<field> in the
-    order of the result's columns."""
-    d = df.withColumn("_v", F.try_parse_json(F.col(text_col)))
+def checked(df: DataFrame, text_col: str) -> DataFrame:
+    """df with `_p`: the payload's fields (`got`), reason and accepted. The text is parsed once a row: a generator's output is
+    no alias that a filter on it could be pushed through, with a parse for each of its fields."""
     v = F.col("_v")
     got = _payload_fields(v)
     reason = F.when(v.isNull(), F.lit("not_json"))
@@ -49,18 +46,32 @@ def validate_payload_text(df: DataFrame, text_col: str) -> DataFrame:
         reason = reason.when(got[name].isNull(), F.lit(f"missing_{name}"))
     for f in RESULT_SCHEMA:
         reason = reason.when(~_accepts(v, f.name, f.dataType.simpleString()), F.lit(f"bad_{f.name}"))
-    d = d.select("*", got["experiment_id"].alias("experiment_id"), got["status"].alias("status"), reason.alias("reason"))
-    ok = F.col("reason").isNull() & (F.col("status") == STATUS_OK) & got["val_bpb"].isNotNull()
-    return d.withColumn("accepted", F.coalesce(ok, F.lit(False))).drop("_v")
+    row = F.struct(F.struct(*(c.alias(n) for n, c in got.items())).alias("got"), reason.alias("reason"))
+    d = df.withColumn("_v", F.try_parse_json(F.col(text_col)))
+    return d.select(*df.columns, F.explode(F.array(row)).alias("_p"))
+
+
+def validate_payload_text(df: DataFrame, text_col: str) -> DataFrame:
+    """V1 + V2 + P13 over raw JSON text: adds ``experiment_id``, ``status``, ``reason`` (NULL when the payload is accepted
+    for ingest: an object with id and status whose fields all have their types) and ``accepted`` (status ok with a numeric
+    val_bpb). The reason of a payload with several faults is the first: not_json, missing_<field>, bad_<field> in the
+    order of the result's columns."""
+    p = F.col("_p")
+    ok = p["reason"].isNull() & (p["got"]["status"] == STATUS_OK) & p["got"]["val_bpb"].isNotNull()
+    return checked(df, text_col).select(*df.columns, p["got"]["experiment_id"].alias("experiment_id"), p["got"]["status"].alias("status"),
+                                         p["reason"].alias("reason"), F.coalesce(ok, F.lit(False)).alias("accepted"))
 
 
 def split_valid(df: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Good payloads parsed into the result schema, and the quarantine (with ``reason``)."""
-    v = validate_payload_text(df, text_col)
-    rest = [c for c in df.columns if c != text_col]
-    good = v.where(F.col("reason").isNull()).withColumn("_v", F.try_parse_json(F.col(text_col)))
-    good = good.select(*[c.alias(n) for n, c in _payload_fields(F.col("_v")).items()], *rest)
-    return good, v.where(F.col("reason").isNotNull())
+    return split_checked(checked(df, text_col), text_col)
+
+
+def split_checked(d: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """:func:`split_valid` of a frame that :func:`checked` made (and the caller may have persisted)."""
+    own = [c for c in d.columns if c != "_p"]
+    good = d.where("_p.reason is null").select("_p.got.*", *(c for c in own if c != text_col))
+    return good, d.where("_p.reason is not null").select(*own, "_p.got.experiment_id", "_p.got.status", "_p.reason")
 
 
 def key_violations(runs: DataFrame, metrics: DataFrame) -> DataFrame:

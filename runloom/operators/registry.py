@@ -108,19 +108,15 @@ def first_submission(payloads: DataFrame, arrival: list[str], key: str = "experi
 
 
 def ingest(payloads: DataFrame, existing_runs: DataFrame | None, arrival: list[str],
-           ingest_ts: Column | str = "ingest_ts", bounded_batch: bool = False) -> dict[str, DataFrame]:
+           ingest_ts: Column | str = "ingest_ts") -> dict[str, DataFrame]:
     """Register each experiment once. Later payloads for a known id are ignored.
 
     Returns new ``runs``, ``metrics``, ``checkpoints`` and ``created`` (one row per submitted id with
-    the ``created`` flag: True when this batch registered it). With ``bounded_batch`` (a micro-batch
-    whose size the stream caps) the batch's ids are broadcast and the registry is only scanned and
-    semi-joined, never shuffled, before the anti-join."""
+    the ``created`` flag: True when this batch registered it). ``existing_runs`` needs only the keys that the batch may
+    have; which side of the joins is broadcast is left to the planner's size check."""
     first = first_submission(payloads, arrival)
     if existing_runs is not None:
-        ids = first.select("experiment_id")
-        if bounded_batch:
-            ids = F.broadcast(ids)
-        known = existing_runs.select("experiment_id").join(ids, "experiment_id", "left_semi").distinct()
+        known = existing_runs.select("experiment_id").join(first.select("experiment_id"), "experiment_id", "left_semi").distinct()
         new = first.join(known, "experiment_id", "left_anti")
         created = (first.select("experiment_id")
                    .join(known.withColumn("_hit", F.lit(True)), "experiment_id", "left")

@@ -279,7 +279,7 @@ def _fault_sql(field) -> str:
     return f"WHEN {kind} <> 'NULL' AND ({rule.format(c=field.name).replace('t <>', kind + ' <>')}) THEN 'bad_{field.name}'"
 
 
-@query("payload_quarantine", "V1 V2 P13", f"""
+QUARANTINE_SQL = f"""
 WITH p AS (SELECT event_id, CASE
     WHEN event_type = 'error' THEN '{{"status": "ok", "val_bpb": ' || CAST(value AS VARCHAR) || '}}'
     WHEN event_type = 'signup' THEN '{{"experiment_id": "exp_e' || CAST(event_id AS VARCHAR) || '"}}'
@@ -294,10 +294,11 @@ j AS (SELECT event_id, CASE WHEN json_valid(payload) THEN payload END AS payload
 v AS (SELECT *, json_extract_string(payload, '$.experiment_id') AS experiment_id, json_extract_string(payload, '$.status') AS status FROM j),
 r AS (SELECT *, CASE WHEN payload IS NULL THEN 'not_json' WHEN experiment_id IS NULL THEN 'missing_experiment_id'
        WHEN status IS NULL THEN 'missing_status' {" ".join(_fault_sql(f) for f in RESULT_SCHEMA)} END AS reason FROM v)
-SELECT event_id, experiment_id, reason,
-  (reason IS NULL AND status = 'ok' AND {_NUMBER.format(c="val_bpb")} IS NOT NULL) AS accepted
-FROM r""")
-def payload_quarantine(spark, d):
+"""
+
+
+def event_payloads(spark, d):
+    """(event_id, payload): payload texts from events, some of them with a fault."""
     from runloom.sources.tables import read_table
     e = read_table(spark, d, "events").select("event_id", "event_type", "value")
     key = F.col("event_id").cast("string")
@@ -313,7 +314,15 @@ def payload_quarantine(spark, d):
                               F.when(turn == 3, F.lit("")).otherwise(F.lit('"status": "ok", ')), wrong, F.lit("}")))
                .otherwise(F.concat(F.lit("{"), eid, F.lit(', "status": "'), F.when(F.col("value") > 20, F.lit("ok")).otherwise(F.lit("fail")),
                                    F.lit('", "val_bpb": '), val, F.lit(', "depth": 4, "num_steps": 12.0, "git_dirty": false, "configuration": {"n": 1}}'))))
-    v = checks.validate_payload_text(e.select("event_id", payload.alias("payload")), "payload")
+    return e.select("event_id", payload.alias("payload"))
+
+
+@query("payload_quarantine", "V1 V2 P13", QUARANTINE_SQL + f"""
+SELECT event_id, experiment_id, reason,
+  (reason IS NULL AND status = 'ok' AND {_NUMBER.format(c="val_bpb")} IS NOT NULL) AS accepted
+FROM r""")
+def payload_quarantine(spark, d):
+    v = checks.validate_payload_text(event_payloads(spark, d), "payload")
     return v.select("event_id", "experiment_id", "reason", "accepted")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from runloom.plans import standins as st
 from runloom.plans.catalog import q6, query, r6, sql_q6
-from runloom.plans.q_registry import SUMMARY, _overview_sql
+from runloom.plans.q_registry import QUARANTINE_SQL, SUMMARY, _overview_sql, event_payloads
 from runloom.plans.q_telemetry import EMA_CTE, EMA_SQL, STOP_CTE, TINCL
 from runloom.plans.oracle_views import with_views as W
 from runloom.session import work_dir
@@ -50,6 +50,18 @@ def stream_ingest(spark, d):
     return runs.select(*SUMMARY.split(", "))
 
 
+@query("stream_quarantine", "M1 V1 V2", QUARANTINE_SQL + """
+SELECT r.reason, p.payload AS payload FROM r JOIN p USING (event_id) WHERE reason IS NOT NULL
+UNION ALL SELECT 'registered', experiment_id FROM r WHERE reason IS NULL""")
+def stream_quarantine(spark, d):
+    """The payload texts of the batch validator as a stream of files: the same reasons, the rest registered."""
+    src, base, cp = work_dir(spark, "quarantine-src"), work_dir(spark, "quarantine-registry"), work_dir(spark, "quarantine-cp")
+    event_payloads(spark, d).select("payload").write.text(src)
+    sing.start_ingest(spark, src, base, cp, max_files=8)
+    bad = registry_io.read_table(spark, base, "quarantine").select("reason", F.col("value").alias("payload"))
+    return bad.unionByName(registry_io.read_table(spark, base, "experiments").select(F.lit("registered").alias("reason"), F.col("experiment_id").alias("payload")))
+
+
 @query("stream_overview", "M3", _overview_sql("runs"))
 def stream_overview(spark, d):
     base = _ingested(spark, d)

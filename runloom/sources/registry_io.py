@@ -1,29 +1,63 @@
 """Registry tables at rest.
 
-Three tables are appended per batch. There is no transaction over tables, so children are written
-first and runs last (readers start from runs), ids are deterministic, and every batch writes its
-own ``batch_id`` partition with dynamic partition overwrite: replaying a batch rewrites the same
-rows instead of adding copies.
+Three tables are appended per batch. There is no transaction over tables, so a batch ends with its commit mark, and
+readers take the rows of marked batches only: a half-written batch shows nowhere. Ids are deterministic, and every batch
+writes its own ``batch_id`` partition with dynamic partition overwrite: replaying a batch rewrites the same rows instead of
+adding copies.
+
+Beside the runs lies a table of their keys alone, in folders by hash bucket of the key: whether a batch's runs are known
+(J3) is looked up in the buckets of its own keys.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TABLES = ("experiment_metrics", "checkpoints", "experiments")
+KEYS, COMMITS = "run_keys", "commits"
+KEY_BUCKETS = 64
+#: Tables whose columns are known before a batch has written a row.
+_SCHEMAS = {KEYS: "experiment_id string, bucket int, batch_id long", COMMITS: "done boolean, batch_id long"}
+
+
+def bucket_of(key: Column | str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS)).cast("int")
+
+
+def append_part(df: DataFrame, base: str, name: str, batch_id: int, *by: str) -> None:
+    """One table's part of a batch; a part written before is replaced."""
+    (df.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(*by, "batch_id").parquet(f"{base}/{name}"))
 
 
 def append_tables(runs: DataFrame, metrics: DataFrame, checkpoints: DataFrame, base: str, batch_id: int) -> None:
-    """Children first, runs last; idempotent per batch id."""
+    """Children, runs, keys, and the mark that makes them visible; idempotent per batch id."""
     for name, df in (("experiment_metrics", metrics), ("checkpoints", checkpoints), ("experiments", runs)):
-        (df.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{base}/{name}"))
+        append_part(df, base, name, batch_id)
+    append_part(runs.select("experiment_id", bucket_of("experiment_id").alias("bucket")).repartition("bucket"), base, KEYS, batch_id, "bucket")
+    append_part(runs.sparkSession.range(1).select(F.lit(True).alias("done")), base, COMMITS, batch_id)
+
+
+def _rows(spark: SparkSession, base: str, name: str) -> DataFrame:
+    reader = spark.read.schema(_SCHEMAS[name]) if name in _SCHEMAS else spark.read
+    return reader.parquet(f"{base}/{name}")
 
 
 def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
-    """S9."""
-    return spark.read.parquet(f"{base}/{name}")
+    """The rows of the batches that are written whole."""
+    rows = _rows(spark, base, name)
+    if not table_exists(spark, base, COMMITS):
+        return rows.where(F.lit(False))
+    return rows.join(_rows(spark, base, COMMITS).select("batch_id"), "batch_id", "left_semi").select(rows.columns)
+
+
+def known_runs(spark: SparkSession, base: str, ids: DataFrame, batch_id: int) -> DataFrame | None:
+    """Keys of the runs of earlier batches, from the buckets that ``ids`` fall into; None before the first batch."""
+    if not table_exists(spark, base, KEYS):
+        return None
+    buckets = [r[0] for r in ids.select(bucket_of("experiment_id")).distinct().collect()]  # at most KEY_BUCKETS
+    return read_table(spark, base, KEYS).where(F.col("bucket").isin(buckets) & (F.col("batch_id") < batch_id)).select("experiment_id")
 
 
 def table_exists(spark: SparkSession, base: str, name: str) -> bool:

@@ -1,9 +1,9 @@
 """M1 + M2: run results arrive as files and are registered exactly once.
 
-Each micro-batch: validate (payloads without id or status are dropped into the quarantine), keep
-the first payload per run in arrival order (W9), drop runs the registry already has (J3,
-anti-join against the runs of *earlier* batches), and append runs / metrics / checkpoints into this
-batch's own ``batch_id`` partition (children first, runs last, dynamic overwrite). A replayed batch
+Files are read as text, so every payload meets the validator of the batch path (V1, V2): rejected ones go to the quarantine
+with their reason and their text. Each micro-batch keeps the first payload per run in arrival order (W9), drops runs that
+*earlier* batches registered (J3: looked up in the key buckets of the batch's own runs), and appends runs / metrics /
+checkpoints into this batch's own ``batch_id`` partition; its commit mark comes last. A replayed batch
 therefore rewrites the same partition, and a restart or a duplicate delivery adds nothing.
 """
 
@@ -11,45 +11,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
+from runloom.operators import checks
 from runloom.operators import registry as reg
 from runloom.sources import registry_io
-from runloom.sources.results import RESULT_FILE_SCHEMA
-
-STREAM_SCHEMA = StructType(list(RESULT_FILE_SCHEMA.fields) + [StructField("_corrupt_record", StringType())])
-
-
-def registry_runs_before(spark: SparkSession, base: str, batch_id: int) -> DataFrame | None:
-    if not registry_io.table_exists(spark, base, "experiments"):
-        return None
-    return registry_io.read_table(spark, base, "experiments").where(F.col("batch_id") < batch_id)
 
 
 def ingest_batch(batch: DataFrame, batch_id: int, base: str, arrival: list[str]) -> None:
+    """``batch``: value (a payload's text), _mtime and _path of its file."""
     spark = batch.sparkSession
-    # completed_at is the ingest time; without an arrival time in the payload it is the
-    # micro-batch's processing time (one value per batch)
-    batch = batch.withColumn("ingest_ts", F.coalesce(F.col("ingest_ts"), F.current_timestamp().cast("timestamp_ntz")))
-    batch = batch.persist()  # four writes below read the micro-batch; read its files once
+    given = F.try_variant_get(F.try_parse_json("value"), "$.ingest_ts", "timestamp_ntz")
+    texts = batch.where(F.trim("value") != "").withColumn("ingest_ts", given).select(
+        "value", "ingest_ts", F.when(F.col("ingest_ts").isNull(), F.col("_mtime")).alias("_arrived"),
+        F.when(F.col("ingest_ts").isNull(), F.col("_path")).alias("_file"))
+    parsed = checks.checked(texts, "value").persist()  # the writes below read the micro-batch; read and parse its files once
     try:
-        corrupt = F.col("_corrupt_record").isNotNull()
-        reason = (F.when(corrupt, F.lit("not_json")).when(F.col("experiment_id").isNull(), F.lit("missing_experiment_id"))
-                  .when(F.col("status").isNull(), F.lit("missing_status")))
-        good = batch.where(reason.isNull()).drop("_corrupt_record")
-        bad = batch.where(reason.isNotNull()).withColumn("reason", reason)
-        bad.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-            .partitionBy("batch_id").parquet(f"{base}/quarantine")
-        existing = registry_runs_before(spark, base, batch_id)
-        accepted = reg.ingest(good, existing, arrival, "ingest_ts", bounded_batch=True)["accepted"].persist()
+        good, bad = checks.split_checked(parsed, "value")
+        registry_io.append_part(bad.select("value", "experiment_id", "status", "reason"), base, "quarantine", batch_id)
+        # completed_at is the ingest time; without an arrival time in the payload it is the
+        # micro-batch's processing time (one value per batch)
+        good = good.withColumn("ingest_ts", F.coalesce("ingest_ts", F.current_timestamp().cast("timestamp_ntz"))).persist()
+        existing = registry_io.known_runs(spark, base, good, batch_id)
+        accepted = reg.ingest(good, existing, arrival, "ingest_ts")["accepted"].persist()
         try:
             registry_io.append_tables(reg.payload_to_runs(accepted, "ingest_ts"),
                                       reg.payload_to_metrics(accepted, "ingest_ts"),
                                       reg.payload_to_checkpoints(accepted, "ingest_ts"), base, batch_id)
         finally:
             accepted.unpersist()
+            good.unpersist()
     finally:
-        batch.unpersist()
+        parsed.unpersist()
 
 
 def start_ingest(spark: SparkSession, source: str, base: str, checkpoint: str, max_files: int = 2,
@@ -57,10 +49,8 @@ def start_ingest(spark: SparkSession, source: str, base: str, checkpoint: str, m
     """Run the file stream until the files present now are processed (``availableNow``). ``multiline``: files of one
     pretty-printed object each, as the training job writes them; else JSON lines. Payloads without an ingest time arrive
     in order of their file's modification time, then its name."""
-    src = (spark.readStream.schema(STREAM_SCHEMA).option("maxFilesPerTrigger", max_files)
-           .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").option("multiLine", multiline).json(source))
-    late = F.col("ingest_ts").isNull()
-    src = src.select("*", F.when(late, F.col("_metadata.file_modification_time")).alias("_arrived"), F.when(late, F.col("_metadata.file_path")).alias("_file"))
+    src = spark.readStream.option("maxFilesPerTrigger", max_files).text(source, wholetext=multiline)
+    src = src.select("value", F.col("_metadata.file_modification_time").alias("_mtime"), F.col("_metadata.file_path").alias("_path"))
     q = (src.writeStream.foreachBatch(lambda df, bid: ingest_batch(df, bid, base, list(arrival)))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()

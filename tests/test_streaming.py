@@ -106,3 +106,58 @@ def test_a_gap_given_up_loses_no_step():
     assert [r[0] for r in state.give_up()] == [2, 3] and state.give_up() == []
     assert state.take(1, 9.0, 1.0) == [(1, None, None, None, None, None, None, True)] and state.take(1, 9.0, 1.0) == []
     assert [r[0] for r in state.take(4, 1.0, 1.0)] == [4] and state.take(4, 1.0, 1.0) == []
+
+
+def test_stream_has_the_rules_of_the_batch(spark):
+    import os
+    from runloom.operators import checks
+    src, base, cp = work_dir(spark, "t-rules-src"), work_dir(spark, "t-rules-reg"), work_dir(spark, "t-rules-cp")
+    os.makedirs(src.replace("file:", ""))
+    texts = ['{"experiment_id": "a", "status": "ok", "val_bpb": "0.8"}', '{"experiment_id": 5, "status": "ok"}', '{"experiment_id": "b"}', "[1]", "{",
+             '{"experiment_id": "c", "status": "ok", "configuration": {"vocab_size": 7}, "depth": 4.0, "ingest_ts": "2026-01-01T00:00:00"}', '{"experiment_id": "d", "status": "ok", "depth": 4.5}']
+    with open(os.path.join(src.replace("file:", ""), "lines.json"), "w") as f:
+        f.write("\n\n".join(texts))
+    sing.start_ingest(spark, src, base, cp)
+    batch = {r.value: (r.experiment_id, r.reason) for r in checks.validate_payload_text(spark.createDataFrame([(t,) for t in texts], "value string"), "value").collect()}
+    bad = {r.value: (r.experiment_id, r.reason) for r in registry_io.read_table(spark, base, "quarantine").collect()}
+    assert bad == {k: v for k, v in batch.items() if v[1] is not None} and len(bad) == 5
+    runs = {r.experiment_id: r for r in registry_io.read_table(spark, base, "experiments").collect()}
+    assert set(runs) == {"a", "c"} and runs["a"].val_bpb == 0.8 and (runs["c"].vocab_size, runs["c"].depth, str(runs["c"].completed_at)) == (7, 4, "2026-01-01 00:00:00")
+
+
+def test_pretty_printed_files_in_the_stream(spark):
+    import json
+    import os
+    from shared_values import SAMPLE_RESULT
+    src, base, cp = work_dir(spark, "t-pretty-src"), work_dir(spark, "t-pretty-reg"), work_dir(spark, "t-pretty-cp")
+    os.makedirs(src.replace("file:", ""))
+    with open(os.path.join(src.replace("file:", ""), SAMPLE_RESULT["experiment_id"] + ".json"), "w") as f:
+        json.dump(SAMPLE_RESULT, f, indent=2)
+    sing.start_ingest(spark, src, base, cp, multiline=True)
+    run = registry_io.read_table(spark, base, "experiments").first()
+    assert (run.experiment_id, run.val_bpb, run.vocab_size) == (SAMPLE_RESULT["experiment_id"], SAMPLE_RESULT["val_bpb"], 1024)
+
+
+def test_a_half_written_batch_shows_nowhere(spark):
+    base = work_dir(spark, "t-half")
+    runs, m, c = st.runs(spark, SF_SMALL), st.metrics(spark, SF_SMALL), st.checkpoints(spark, SF_SMALL)
+    registry_io.append_part(m, base, "experiment_metrics", 1)
+    registry_io.append_part(runs, base, "experiments", 1)
+    assert registry_io.read_table(spark, base, "experiment_metrics").count() == registry_io.read_table(spark, base, "experiments").count() == 0
+    registry_io.append_tables(runs.limit(3), m.limit(3), c.limit(3), base, 2)
+    assert registry_io.read_table(spark, base, "experiment_metrics").count() == registry_io.read_table(spark, base, "experiments").count() == 3
+    registry_io.append_tables(runs, m, c, base, 1)  # the batch again, whole
+    assert registry_io.read_table(spark, base, "experiment_metrics").count() == m.count() + 3
+
+
+def test_known_runs_read_the_batch_buckets_only(spark):
+    base = work_dir(spark, "t-buckets")
+    runs = st.runs(spark, SF_SMALL)
+    registry_io.append_tables(runs, st.metrics(spark, SF_SMALL), st.checkpoints(spark, SF_SMALL), base, 0)
+    ids = runs.orderBy("experiment_id").limit(2).select("experiment_id")
+    known = registry_io.known_runs(spark, base, ids, 1)
+    plan = spark._jvm.PythonSQLUtils.explainString(known._jdf.queryExecution(), "formatted")
+    assert "PartitionFilters" in plan and "bucket#" in plan.split("PartitionFilters", 1)[1].split("\n")[0]
+    assert 2 <= known.count() < runs.count() / 4
+    assert known.join(ids, "experiment_id", "left_semi").count() == 2
+    assert registry_io.known_runs(spark, base, ids, 0).count() == 0
