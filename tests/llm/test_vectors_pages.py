@@ -42,3 +42,17 @@ def test_main_text_and_host_boilerplate(spark):
     assert sorted(got)[:5] == sorted([(0, f"{words[0]} {words[0][::-1]}")] * 2 + [(i, f"{words[i]} {words[i][::-1]}") for i in (1, 2, 3)])
     assert dict(got)[10].startswith("Start page") and dict(got)[11] == "" and dict(got)[12] == ""
     assert all(dict(got)[20 + i] == "The same article on many pages of it" for i in range(4))
+
+
+def test_equal_words_with_other_marks_are_judged_apart(spark):
+    words = "Hello big world text"
+    rows = [(1, "http://c.org/1", f"<div>{words}</div>"), (2, "http://c.org/2", f"<nav>{words}</nav>"), (3, "http://c.org/2", f"<nav>{words}</nav>"), (4, "http://c.org/2", f"<div>{words}</div>")]
+    got = {r.page_id: r.text for r in html_main.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: words, 2: "", 3: "", 4: words}
+
+
+def test_repeats_count_pages_on_hosts_of_any_size(spark):
+    notice = "<div>One two three four five six seven</div>"
+    rows = [(i, f"http://d.org/{i}", f"<body>{notice if i < 5 else ''}<p>{' '.join(f'w{i}x{k}' for k in range(8))}</p></body>") for i in range(200)]
+    got = {r.page_id: r.text for r in html_main.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == " ".join(f"w{i}x{k}" for k in range(8)) for i in range(200))
