@@ -7,6 +7,8 @@ callers may ask for.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -391,6 +393,55 @@ def cascade_delete(runs: DataFrame, metrics: DataFrame, checkpoints: DataFrame,
     }
 
 
+#: Child table, its reference, parent table and key, and what a deleted parent does to the child; parents come
+#: before their children.
+FOREIGN_KEYS = (
+    ("experiments", "parent_experiment_id", "experiments", "experiment_id", "set null"),
+    ("experiment_metrics", "experiment_uuid", "experiments", "id", "cascade"),
+    ("checkpoints", "experiment_uuid", "experiments", "id", "cascade"),
+    ("evaluations", "checkpoint_id", "checkpoints", "id", "cascade"),
+    ("evaluations", "experiment_uuid", "experiments", "id", "set null"),
+    ("inference_runs", "checkpoint_id", "checkpoints", "id", "cascade"),
+)
+
+
+def _refers(rows: DataFrame, column: str, gone: DataFrame, key: str, how: str) -> DataFrame:
+    return rows.join(gone.select(F.col(key).alias(column)).distinct(), column, how).select(rows.columns)
+
+
+def delete_propagated(tables: dict[str, DataFrame], doomed: DataFrame) -> dict[str, DataFrame]:
+    """J9 over all tables of FOREIGN_KEYS that are given: the runs in ``doomed`` (column ``experiment_id``) and, parent by
+    parent, the rows that refer to a deleted one go (CASCADE); other references to deleted rows become NULL (SET NULL)."""
+    gone = {"experiments": _refers(tables["experiments"], "experiment_id", doomed, "experiment_id", "left_semi")}
+    kept = {"experiments": _refers(tables["experiments"], "experiment_id", doomed, "experiment_id", "left_anti")}
+    for name in dict.fromkeys(child for child, *_ in FOREIGN_KEYS if child in tables):
+        rules = [r for r in FOREIGN_KEYS if r[0] == name]
+        cascades = [r for r in rules if r[4] == "cascade"]
+        if cascades:
+            lost = [_refers(tables[name], column, gone[parent], key, "left_semi") for _, column, parent, key, _ in cascades]
+            gone[name] = functools.reduce(DataFrame.unionByName, lost)
+            kept[name] = tables[name]
+            for _, column, parent, key, _ in cascades:
+                kept[name] = _refers(kept[name], column, gone[parent], key, "left_anti")
+        for _, column, parent, key, rule in rules:
+            if rule == "set null":
+                mark = gone[parent].select(F.col(key).alias("_key")).distinct()
+                marked = kept[name].join(mark, F.col(column) == F.col("_key"), "left")
+                kept[name] = marked.withColumn(column, F.when(F.col("_key").isNull(), F.col(column))).select(tables[name].columns)
+    return kept
+
+
+def reference_violations(tables: dict[str, DataFrame]) -> DataFrame:
+    """J4 + V5: references of any table of FOREIGN_KEYS to rows that don't exist: (table_name, id, column_name, missing_ref)."""
+    found = []
+    for child, column, parent, key, _ in FOREIGN_KEYS:
+        if child in tables and parent in tables:
+            rows = tables[child].where(F.col(column).isNotNull()).select("id", F.col(column).alias("missing_ref"))
+            known = tables[parent].select(F.col(key).alias("missing_ref"))
+            found.append(rows.join(known, "missing_ref", "left_anti").select(F.lit(child).alias("table_name"), "id", F.lit(column).alias("column_name"), "missing_ref"))
+    return functools.reduce(DataFrame.unionByName, found)
+
+
 def key_set_diff(expected: DataFrame, present: DataFrame, name: str = "name") -> DataFrame:
     """Names missing from ``present`` and names unexpected in it (full outer join)."""
     e = expected.select(F.col(name).alias("_e")).distinct()

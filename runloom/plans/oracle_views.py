@@ -60,6 +60,14 @@ SELECT md5('ckpt:' || experiment_id) AS id, md5(experiment_id) AS experiment_uui
   ingest_ts AS created_at
 FROM payloads WHERE checkpoint_path IS NOT NULL AND checkpoint_path <> ''""")
 
+_v("evaluations", (), """
+SELECT md5(concat_ws(':', 'eval', l_orderkey, l_linenumber)) AS id, md5('ckpt:exp_' || CAST(l_orderkey AS VARCHAR)) AS checkpoint_id,
+  CASE WHEN l_linenumber % 2 = 0 THEN md5('exp_' || CAST(l_orderkey - 1 AS VARCHAR)) END AS experiment_uuid FROM lineitem""")
+
+_v("inference_runs", (), """
+SELECT md5(concat_ws(':', 'inf', l_orderkey, l_linenumber)) AS id, md5('ckpt:exp_' || CAST(l_orderkey AS VARCHAR)) AS checkpoint_id
+FROM lineitem WHERE l_linenumber % 3 = 0""")
+
 _v("metrics_wide_src", (), """
 SELECT 'exp_' || CAST(l_orderkey AS VARCHAR) AS experiment_id, l_linenumber AS step, l_shipdate AS recorded_at,
   l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem""")

@@ -390,6 +390,36 @@ def cascade_delete_children(spark, d):
     return out["metrics"].select("experiment_uuid", "metric_name", "step", "metric_value")
 
 
+def _tables(spark, d):
+    return {"experiments": st.runs(spark, d), "checkpoints": st.checkpoints(spark, d), "evaluations": st.evaluations(spark, d),
+            "inference_runs": st.inference_runs(spark, d)}
+
+
+@query("cascade_delete_grandchildren", "J9", W(["runs", "checkpoints", "evaluations", "inference_runs"], """
+SELECT 'evaluations' AS table_name, e.id, CASE WHEN x.id IS NULL THEN e.experiment_uuid END AS experiment_uuid
+FROM evaluations e LEFT JOIN (SELECT id FROM runs WHERE depth = 3) x ON x.id = e.experiment_uuid
+WHERE e.checkpoint_id NOT IN (SELECT c.id FROM checkpoints c JOIN runs r ON r.id = c.experiment_uuid WHERE r.depth = 3)
+UNION ALL SELECT 'inference_runs', i.id, NULL FROM inference_runs i
+WHERE i.checkpoint_id NOT IN (SELECT c.id FROM checkpoints c JOIN runs r ON r.id = c.experiment_uuid WHERE r.depth = 3)"""))
+def cascade_delete_grandchildren(spark, d):
+    """Runs of depth 3 are deleted: what is left of evaluations and inference runs."""
+    t = _tables(spark, d)
+    kept = reg.delete_propagated(t, t["experiments"].where(F.col("depth") == 3))
+    return kept["evaluations"].select(F.lit("evaluations").alias("table_name"), "id", "experiment_uuid").unionByName(
+        kept["inference_runs"].select(F.lit("inference_runs").alias("table_name"), "id", F.lit(None).cast("string").alias("experiment_uuid")))
+
+
+@query("reference_violations", "J4 V5", W(["runs", "checkpoints", "evaluations", "inference_runs"], """
+SELECT 'experiments' AS table_name, id, 'parent_experiment_id' AS column_name, parent_experiment_id AS missing_ref FROM runs
+WHERE parent_experiment_id IS NOT NULL AND parent_experiment_id NOT IN (SELECT experiment_id FROM runs)
+UNION ALL SELECT 'evaluations', id, 'checkpoint_id', checkpoint_id FROM evaluations WHERE checkpoint_id NOT IN (SELECT id FROM checkpoints)
+UNION ALL SELECT 'evaluations', id, 'experiment_uuid', experiment_uuid FROM evaluations
+WHERE experiment_uuid IS NOT NULL AND experiment_uuid NOT IN (SELECT id FROM runs)
+UNION ALL SELECT 'inference_runs', id, 'checkpoint_id', checkpoint_id FROM inference_runs WHERE checkpoint_id NOT IN (SELECT id FROM checkpoints)"""))
+def reference_violations(spark, d):
+    return reg.reference_violations(_tables(spark, d))
+
+
 @query("key_set_diff", "J10", """
 SELECT coalesce(e.name, p.name) AS name, CASE WHEN p.name IS NULL THEN 'missing' ELSE 'unexpected' END AS side
 FROM (SELECT DISTINCT 'exp_' || CAST(o_orderkey AS VARCHAR) AS name FROM orders) e

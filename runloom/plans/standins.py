@@ -107,6 +107,22 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "experiment_uuid", "metric_name", "metric_value", "step", "recorded_at")
 
 
+def evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From lineitem: an evaluation of the order's checkpoint; every second line also refers to the run before."""
+    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    key, line = F.col("l_orderkey"), F.col("l_linenumber")
+    return li.select(F.md5(F.concat_ws(":", F.lit("eval"), key, line)).alias("id"),
+                     reg.checkpoint_uuid(F.concat(F.lit("exp_"), key)).alias("checkpoint_id"),
+                     F.when(line % 2 == 0, reg.run_uuid(F.concat(F.lit("exp_"), key - 1))).alias("experiment_uuid"))
+
+
+def inference_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From lineitem: every third line is a prompt to the order's checkpoint."""
+    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").where(F.col("l_linenumber") % 3 == 0)
+    return li.select(F.md5(F.concat_ws(":", F.lit("inf"), "l_orderkey", "l_linenumber")).alias("id"),
+                     reg.checkpoint_uuid(F.concat(F.lit("exp_"), F.col("l_orderkey"))).alias("checkpoint_id"))
+
+
 SUBMISSION_ARRIVAL = ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 
 

@@ -199,3 +199,15 @@ def test_latest_result_goes_by_file_name(spark, tmp_path):
     none = results.read_results(spark, str(tmp_path), multiline=True).where("false")
     with pytest.raises(Exception, match="no result files"):
         results.latest_result(none, one_per_file=True).collect()
+
+
+def test_deletes_reach_grandchildren(spark):
+    frame = spark.createDataFrame
+    tables = {"experiments": frame([("u1", "a", None), ("u2", "b", "a"), ("u3", "c", "b")], "id string, experiment_id string, parent_experiment_id string"),
+              "checkpoints": frame([("c1", "u1"), ("c2", "u2")], "id string, experiment_uuid string"),
+              "evaluations": frame([("e1", "c1", "u2"), ("e2", "c2", "u1"), ("e3", "c2", "u3"), ("e4", "c2", None)], "id string, checkpoint_id string, experiment_uuid string"),
+              "inference_runs": frame([("i1", "c1"), ("i2", "c2"), ("i3", "c9")], "id string, checkpoint_id string")}
+    kept = {k: sorted(map(tuple, v.collect()), key=str) for k, v in reg.delete_propagated(tables, frame([("a",), ("zz",)], "experiment_id string")).items()}
+    assert kept == {"experiments": [("u2", "b", None), ("u3", "c", "b")], "checkpoints": [("c2", "u2")],
+                    "evaluations": [("e2", "c2", None), ("e3", "c2", "u3"), ("e4", "c2", None)], "inference_runs": [("i2", "c2"), ("i3", "c9")]}
+    assert [tuple(r) for r in reg.reference_violations(tables).collect()] == [("inference_runs", "i3", "checkpoint_id", "c9")]
