@@ -35,11 +35,11 @@ def _combine(how: str, before: Column, local: Column) -> Column:
 
 
 def split_bounds(df: DataFrame, order_col: str, width: int) -> list[int]:
-    """Values of the order column that cut df into chunks of about `width` rows or more, SPLITS chunks at most."""
+    """Values of the order column that cut df into chunks of about `width` rows or more, 2 chunks at least and SPLITS at most."""
     shares = [i / SPLITS for i in range(1, SPLITS)]
     r = df.agg(F.count(order_col).alias("n"), F.percentile_approx(order_col, shares, ACCURACY).alias("q")).first()
-    chunks = min(SPLITS, -(-r.n // width))
-    return sorted({r.q[SPLITS * i // chunks - 1] for i in range(1, chunks)}) if chunks > 1 else []
+    chunks = min(SPLITS, max(2, -(-r.n // width)))
+    return sorted({r.q[SPLITS * i // chunks - 1] for i in range(1, chunks)}) if r.n else []
 
 
 def split_of(value: Column, bounds: list[int]) -> Column:
