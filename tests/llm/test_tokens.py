@@ -1,24 +1,74 @@
+import random
+
 import public_tokenizers
 import pytest
 
 from runloom.llm import pieces, token_counts
 
 
-def test_counts_and_prefixes_are_the_librarys(spark, odd_docs, no_docs):
+@pytest.fixture(scope="module")
+def words():
+    return token_counts.Words(public_tokenizers.path(token_counts.VOCABULARY))
+
+
+def library_counts(words, text):
+    """Tokens of the first 0, 1, ... code points, each prefix encoded by the library."""
+    return [len(c.ids) for c in words.tokenizer.encode_batch([text[:i] for i in range(len(text) + 1)], add_special_tokens=False)]
+
+
+ODD_WORDS = ["it's", "they're", "!!'re", "a'll'd", "''s", "x<|endoftext|>y", "<|endoftext|><|startoftext|>'s", "!<|endoftex", "café", "cafe\u0301s", "e\u0301e\u0302x\u0323\u0307",
+             "\u0130stanbul", "a\u3000\u3000b\u00a0", "ΑΣ", "日本語テキスト", "한국어", "\u1112\u1161\u11ab\u1100", "\U0001d4b3\U0001f600\U0001f600a1b22", "don't!!!...", "\0\x1c\x1fz",
+             "\ufb01x", "é" * 20, "\u0915\u093cx", "\u0301a", "x" * 300, "ab" * 100, "supercalifragilisticexpialidocious", "http://www.example.com/a?b=1&c=2", "AbCÉ" * 30]
+
+
+@pytest.mark.parametrize("word", ODD_WORDS)
+def test_every_prefix_of_a_word_counts_as_the_library_says(words, word):
+    assert words.counts(word) == library_counts(words, word)
+
+
+def test_every_prefix_of_many_words(words):
+    rng = random.Random(4)
+    made = ["".join(rng.choice("aeinrst" if rng.random() < 0.7 else "abcdefghijklmnopqrstuvwxyz'!é12E\u0301") for _ in range(rng.randint(1, 24))) for _ in range(1500)]
+    for word in made:
+        assert words.counts(word) == library_counts(words, word), word
+
+
+def test_neighbours_are_those_of_the_merges(words):
+    rng, units = random.Random(5), words.units
+    inner = sorted(t for t, kind in units.begins.items() if kind & token_counts.INNER)
+    final = sorted(t for t, kind in units.begins.items() if kind & token_counts.FINAL)
+    for _ in range(4000):
+        a, b = rng.choice(inner), rng.choice(inner)
+        assert units.follows(a, b) == (units.merged(a + b, False)[0] == [a, b])
+        b = rng.choice(final)
+        assert units.follows(a, b + units.mark) == (units.merged(a + b, True)[0] == [a, b + units.mark])
+
+
+def test_memory_that_starts_anew_changes_no_count(words, monkeypatch):
+    monkeypatch.setattr(token_counts, "REMEMBERED", 3)
+    few = [w.encode() for w in ODD_WORDS]
+    for part in (few[:9], few[5:], few):
+        at = words.look_up(part)
+        assert [words.table[words.first[k]:words.first[k] + words.chars[k]].tolist() for k in at] == [library_counts(words, w.decode())[1:] for w in part]
+
+
+def test_counts_and_cuts_of_texts_are_the_librarys(spark, words, odd_docs, no_docs):
     from pyspark.sql import functions as F
-    from tokenizers import Tokenizer
-    lib = Tokenizer.from_file(public_tokenizers.path(token_counts.VOCABULARY))
-    got = token_counts.prefix_counts(odd_docs)
-    texts = {(r.doc_id, r.text) for r in odd_docs.collect()}
-    want = sorted(len(lib.encode(t or "", add_special_tokens=False).ids) for _, t in texts)
-    assert sorted(len(r.token_ends) for r in got.dropDuplicates(["doc_id"]).collect()) == want
-    text = "it's FOO<|endoftext|>bar  café Été 12345"
-    row = token_counts.prefix_counts(spark.createDataFrame([(1, text)], "doc_id long, text string")).select(
-        "*", *(token_counts.truncate_at(k).alias(f"t{k}") for k in (0, 1, 4, 99)), token_counts.count_at(4).alias("c4"), F.size("token_ends").alias("n")).first()
-    assert row.n == len(lib.encode(text, add_special_tokens=False).ids)
-    assert (row.t0, row.t99, row.c4) == (0, len(text.encode()), 2)
-    for k in (1, 4):  # no tokens are lost by cutting at a token's end
-        assert len(lib.encode(text.encode()[:row[f"t{k}"]].decode(), add_special_tokens=False).ids) <= k
+    got = token_counts.prefix_counts(odd_docs).withColumn("n_tokens", token_counts.token_count()).collect()
+    texts = {r.doc_id: r.text or "" for r in odd_docs.collect()}
+    assert len(got) == 11
+    for r in got:
+        text = texts[r.doc_id]
+        assert (r.n_tokens, r.n_bytes, r.n_chars) == (words.library(text), len(text.encode()), len(text))
+    rows = list(enumerate([" \t", "", " ".join(ODD_WORDS[:20]), "  it's FOO<|endoftext|>bar \n café Été 12345 \u3000 x ", "a" * 50 + "\u3000"]))
+    docs = token_counts.prefix_counts(spark.createDataFrame(rows, "doc_id long, text string"))
+    cuts = (-1, 0, 1, 2, 5, 9, 20, 1000)
+    at = {n: token_counts.count_at(n).alias(f"c{n}") for n in range(max(len(t) for _, t in rows) + 2)}
+    for r in docs.select("doc_id", *at.values(), *(token_counts.truncate_at(k).alias(f"t{k}") for k in cuts)).collect():
+        want = library_counts(words, rows[r.doc_id][1])
+        assert [r[f"c{n}"] for n in range(len(want))] == want
+        assert [r[f"t{k}"] for k in cuts] == [max(i for i, n in enumerate(want) if n <= max(k, 0)) for k in cuts]
+    assert docs.where(F.size("change_at") != F.size("change_to")).count() == 0
     assert token_counts.prefix_counts(no_docs).count() == 0
 
 
