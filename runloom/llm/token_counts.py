@@ -29,7 +29,7 @@ import re
 import string
 import unicodedata
 from collections.abc import Iterator
-from itertools import accumulate, repeat
+from itertools import accumulate, chain, repeat
 
 import numpy as np
 import public_tokenizers
@@ -44,8 +44,10 @@ from runloom.llm.common import flat, read, settle, steps, word_spans
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
 #: Distinct words, units and pairs of tokens that a worker remembers, and entries of its tables; beyond, the memory starts anew.
-REMEMBERED, ENTRIES = 300_000, 6_000_000
+REMEMBERED, ENTRIES = 500_000, 6_000_000
 INNER, FINAL = 1, 2
+#: ASCII letters, then marks other than the apostrophe.
+SIMPLE = re.compile(r"([A-Za-z]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 class Units:
@@ -72,7 +74,9 @@ class Units:
         self.forget()
 
     def forget(self) -> None:
-        self.pairs: dict[tuple[str, str], bool] = {}
+        #: Of a token (before) the tokens, plain and marked, that are known to follow it or not to.
+        self.pairs: dict[str, tuple[dict[str, bool], dict[str, bool]]] = {"": ({}, {})}
+        self.n_pairs = 0
         self.units: dict[str, list[int]] = {}
         self.recent: tuple[str, list[int], list[int], list[str]] = ("", [0], [0], [""])
 
@@ -91,17 +95,12 @@ class Units:
 
     def follows(self, before: str, token: str) -> bool:
         """Whether the token may stand after the other one: undoing both, the latest merge first, never shows two
-        neighbours across the border that would have merged before they went into their tokens."""
-        known = self.pairs.get((before, token))
-        if known is not None:
-            return known
+        neighbours across the border that would have merged before they went into their tokens. Any token may begin a unit."""
         x, y, x_goes, y_goes = before, token, len(self.rank), len(self.rank)
-        stays = True
-        while True:
+        while before:
             meets = self.rank.get((x, y))
             if meets is not None and meets < x_goes and meets <= y_goes:
-                stays = False
-                break
+                return False
             x_made, y_made = (self.rank[self.parts[t]] if t in self.parts else -1 for t in (x, y))
             if x_made < 0 and y_made < 0:
                 break
@@ -109,8 +108,7 @@ class Units:
                 x_goes, x = x_made, self.parts[x][1]
             else:
                 y_goes, y = y_made, self.parts[y][0]
-        self.pairs[before, token] = stays
-        return stays
+        return True
 
     def counts(self, unit: str) -> list[int]:
         """Tokens of the first 0, 1, ... len(unit) symbols, each prefix a unit of its own. Units that come in order
@@ -125,21 +123,34 @@ class Units:
                 break
             same += 1
         out, inside, last = ([*x[:same + 1], *[empty] * (size - same)] for x, empty in ((out, 0), (inside, 0), (last, "")))
-        begins, follows, mark = self.begins, self.follows, self.mark
+        begins, follows, mark, pairs = self.begins, self.follows, self.mark, self.pairs
         for begin in range(size):
             before, count = last[begin], inside[begin] + 1
+            plain, marked = pairs.get(before) or pairs.setdefault(before, ({}, {}))
             for end in range(max(begin, same) + 1, size + 1):
+                if inside[end] and out[end]:
+                    continue
                 token = unit[begin:end]
                 kind = begins.get(token)
                 if kind is None:
                     break
-                if kind & INNER and not inside[end] and (not begin or follows(before, token)):
-                    last[end], inside[end] = token, count
-                if kind & FINAL and not out[end] and (not begin or follows(before, token + mark)):
-                    out[end] = count
+                if kind & INNER and not inside[end]:
+                    stays = plain.get(token)
+                    if stays is None:
+                        stays = plain[token] = follows(before, token)
+                        self.n_pairs += 1
+                    if stays:
+                        last[end], inside[end] = token, count
+                if kind & FINAL and not out[end]:
+                    stays = marked.get(token)
+                    if stays is None:
+                        stays = marked[token] = follows(before, token + mark)
+                        self.n_pairs += 1
+                    if stays:
+                        out[end] = count
         if not all(out[1:]):
             raise ValueError(f"the vocabulary has no tokens for {unit!r}")
-        if len(self.units) > REMEMBERED or len(self.pairs) > REMEMBERED:
+        if len(self.units) > REMEMBERED or self.n_pairs > REMEMBERED:
             self.forget()
         if size <= 64:
             self.units[unit] = out
@@ -161,14 +172,15 @@ class Words:
         self.units = Units(model["model"])
         special = [t["content"] for t in model["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
-        letters = string.ascii_letters
-        #: Whether ASCII letters are lower-cased and stay together, so that words of them are units as they are.
-        self.letters = [u for u, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(letters))] == [letters.lower()]
+        letters, marks = string.ascii_letters, string.punctuation.replace("'", "")
+        #: Whether ASCII letters are lower-cased and stay together, and so do marks, so that such words are units as they are.
+        self.simple = [u for u, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(letters + marks))] == [letters.lower(), marks]
+        self.shapes: dict[str, str] = {}
         self.forget()
 
     def forget(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.chars, self.first, self.table = (np.zeros(0, np.int64) for _ in range(3))
+        self.chars, self.first, self.table = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def library(self, text: str) -> int:
         return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -176,10 +188,10 @@ class Words:
     def normal(self, text: str) -> list[int]:
         """Token counts of the prefixes of a normalised text, from 0 code points on."""
         out = [0] * (len(text) + 1)
-        before = done = 0
+        before, done, units = 0, 0, self.units.counts
         for unit, (start, stop) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text):
             out[done + 1:start + 1] = [before] * (start - done)
-            own = self.units.counts(unit)
+            own = units(unit)
             if len(unit) == stop - start:
                 out[start + 1:stop + 1] = [before + c for c in own[1:]]
             else:
@@ -198,7 +210,7 @@ class Words:
         if text.isascii() and len(whole) == len(text):
             return own
         if unicodedata.is_normalized("NFC", text):
-            shapes = [normalize(c) for c in text]
+            shapes = [self.shapes.get(c) or self.shapes.setdefault(c, normalize(c)) for c in text]
             sizes = [0 if s == " " and i and shapes[i - 1] == " " else len(s) for i, s in enumerate(shapes)]
             if sum(sizes) == len(whole):
                 return [own[b] for b in accumulate(sizes, initial=0)]
@@ -213,8 +225,9 @@ class Words:
 
     def counts(self, word: str) -> list[int]:
         """Token counts of the prefixes of a word, from 0 code points on."""
-        if self.letters and word.isascii() and word.isalpha():
-            return self.units.counts(word.lower())
+        if self.simple and (parts := SIMPLE.fullmatch(word)):
+            out = self.units.counts(parts[1].lower())
+            return [*out, *(out[-1] + c for c in self.units.counts(parts[2])[1:])] if parts[2] else out
         out, base, begin = [0], 0, 0
         for hit in self.special.finditer(word):
             own = self.plain(word[begin:hit.end()])
@@ -231,12 +244,13 @@ class Words:
         lost = np.flatnonzero(at < 0)
         if len(lost):
             new = sorted({words[i] for i in lost.tolist()})
-            tables = [np.array(self.counts(w.decode())[1:], np.int64) for w in new]
-            sizes = np.array([len(t) for t in tables], np.int64)
+            tables = [self.counts(w.decode()) for w in new]  # from 0 code points on: first is the entry of 1
+            sizes = np.array([len(t) for t in tables], np.int64) - 1
+            fresh = np.fromiter(chain.from_iterable(tables), np.int32, int(sizes.sum()) + len(new))
             self.index.update(zip(new, range(len(self.chars), len(self.chars) + len(new)), strict=True))
-            self.first = np.concatenate([self.first, len(self.table) + np.cumsum(sizes) - sizes])
+            self.first = np.concatenate([self.first, len(self.table) + np.cumsum(sizes + 1) - sizes])
             self.chars = np.concatenate([self.chars, sizes])
-            self.table = np.concatenate([self.table, *tables])
+            self.table = np.concatenate([self.table, fresh])
             at[lost] = [self.index[words[i]] for i in lost.tolist()]
         return at
 
