@@ -3,6 +3,7 @@ import math
 import numpy as np
 from runloom.llm import dedup_embeddings as de
 from runloom.llm import html_main
+from shared_values import SF_SMALL
 
 
 def test_near_duplicates_are_brute_force(spark):
@@ -56,3 +57,35 @@ def test_repeats_count_pages_on_hosts_of_any_size(spark):
     rows = [(i, f"http://d.org/{i}", f"<body>{notice if i < 5 else ''}<p>{' '.join(f'w{i}x{k}' for k in range(8))}</p></body>") for i in range(200)]
     got = {r.page_id: r.text for r in html_main.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i] == " ".join(f"w{i}x{k}" for k in range(8)) for i in range(200))
+
+
+def test_main_beside_articles_and_headers_of_articles(spark):
+    rows = [(1, "http://e.org/1", "<main><h1>Title</h1><p>Story one</p><article class=card><p>Teaser</p></article></main>"),
+            (2, "http://e.org/2", "<header>Site</header><article><header><h1>Head</h1></header><p>Text</p><header class=banner>Buy</header></article>"),
+            (3, "http://e.org/3", "<main><h1>Title</h1><p>Story one</p><article class=card><p>Another</p></article></main>"),
+            (4, "http://e.org/4", "<main><article><p>Teaser</p></article><h1>Title</h1><p>Story one</p></main>")]
+    notice = "<p>Please read the rules of this house first</p>"
+    rows += [(10 + i, f"http://e.org/n{i}", f"<main>{notice}<article><p>Own words {i}</p></article><p>Beside u{i} v{i} w{i} x{i} y{i} z{i}</p></main>") for i in range(4)]
+    rows += [(20, None, "<main><article></article></main>"), (21, None, "<article><article><p>in</p></article><p>out</p></article>")]
+    got = {r.page_id: r.text for r in html_main.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "Title\n\nStory one\n\nTeaser" and got[3] == "Title\n\nStory one\n\nAnother" and got[4] == "Teaser\n\nTitle\n\nStory one"
+    assert got[2] == "Head\n\nText" and got[20] == "" and got[21] == "in\n\nout"
+    assert [got[10 + i] for i in range(4)] == [f"Own words {i}\n\nBeside u{i} v{i} w{i} x{i} y{i} z{i}" for i in range(4)]
+
+
+def test_given_articles_against_a_plain_reading(spark):
+    """Every given page has one article of its own with nothing foreign in it: its blocks, read by splitting at tags."""
+    import html
+    import re
+    pages = spark.read.parquet(f"{SF_SMALL}/pages.parquet")
+    got = {r.page_id: r.text for r in html_main.main_text(pages).collect()}
+    seen = 0
+    for r in pages.collect():
+        inner = re.search(r"<article[^>]*>(.*?)</article>", r.html or "", re.S)
+        if inner is None or re.search(r"<(nav|footer|aside|form|script|style|div|section|header)\b|<!--", inner[1]):
+            continue
+        parts = re.split(r"(?:</?(?:p|h[1-6]|li|ul|ol|blockquote|pre|table|tr|td|th|dl|dt|dd|figure|figcaption|hr)\b[^>]*>)+", re.sub(r"<br\s*/?>", " ", inner[1]))
+        parts = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in parts]
+        assert got[r.page_id] == "\n\n".join(x for x in parts if x), r.page_id
+        seen += 1
+    assert seen > 10
