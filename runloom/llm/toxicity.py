@@ -1,14 +1,17 @@
 """Toxicity (operator 8): a weighted finite-state pattern grammar over clauses.
 
 Words are read as symbols of small classes: insult, threat, target, negation, reporting verb, quotation mark. A clause
-(up to a sentence mark or line end) with an insult or threat is run through five transducers composed in this order:
-  target    an insult or threat within NEAR words of a target becomes an aimed one,
-  insult    writes one mark for each insult, plain or aimed,
-  threat    writes one mark for each threat, plain or aimed,
+(up to a sentence mark or line end) with an insult or threat is run through weighted finite-state transducers:
+  ahead     reads from the clause's end: an insult or threat at most NEAR words before a target becomes an aimed one,
+  target    the same for a target before it,
+  insult    writes a mark for each insult, plain or aimed,
+  threat    writes a mark for each threat, plain or aimed,
   negation  a negation at most NEAR words before turns the mark into a negated one,
-  report    a reporting verb or an open quotation before turns it into a reported one.
-The outputs of all clauses are counted per kind; the score is a logistic function of the capped counts. Isolated words
-get no score of their own: only what the clause's last state writes counts.
+  report    a reporting verb or an open quotation before turns it into a reported one, and weighs what is left.
+The last five are composed into one machine, whose states are theirs in combination; ahead stands apart since it reads the other
+way. An arc's weight is a vector with a place for each kind of mark; weights along a path and over the clauses of a text add
+up. The score is a logistic function of log2(1 + sum) of each kind. Isolated words get no score of their own: only the
+weights of the arcs that a clause takes count.
 
 Word classes start from short fixed lists. The insult class is extended by words that the learning rows show far more
 often in toxic than in other texts: at LEAST_RATIO times the rate, and more often than chance allows. The test asks how
@@ -27,7 +30,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +45,6 @@ from runloom.llm.common import fold, read, settle, steps, written
 
 TRAIN_DOCS = 10_000
 NEAR = 4
-CAP = 3
 #: Learned insults: at LEAST_RATIO times the rate of other texts, and at most this share of them expected to be there by chance.
 LEAST_RATIO, FALSE_SHARE = 15.0, 0.05
 
@@ -57,7 +61,10 @@ REPORTS = ("said says say called calls wrote told claimed claims quoted accordin
            "écrit dijo dice llamó escribió").split()
 
 KINDS = ("insult", "aimed_insult", "threat_plain", "aimed_threat", "negated", "reported")
-PRIOR = np.array([-3.0, 2.5, 3.5, 0.2, 3.0, 0.3, 0.3])  # of a text without marks, then of each kind's capped count
+#: Classes of words, the aimed ones (i, k), and marks. The weight of an arc that weighs nothing.
+SYMBOLS = (*".IKTNRQik", *KINDS)
+NOTHING = (0,) * len(KINDS)
+PRIOR = np.array([-3.0, 2.5, 3.5, 0.2, 3.0, 0.3, 0.3])  # of a text without marks, then of log2(1 + count) of each kind
 PRIOR_STRENGTH = 0.5
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -75,30 +82,98 @@ def grammar(insults: list[str]) -> dict[str, str]:
     return out
 
 
+class Transducer(NamedTuple):
+    """A deterministic weighted transducer: arcs of each state by the symbol read, as (next state, symbol written, weight)."""
+    start: Hashable
+    arcs: dict[Hashable, dict[str, tuple[Hashable, str, tuple[int, ...]]]]
+
+    def run(self, symbols: Iterable[str]) -> tuple[list[str], list[int]]:
+        """What is written, and the sum of the weights on the way."""
+        state, out, total = self.start, [], [0] * len(KINDS)
+        for symbol in symbols:
+            state, written_symbol, weight = self.arcs[state][symbol]
+            out.append(written_symbol)
+            if weight is not NOTHING:
+                total = [a + b for a, b in zip(total, weight, strict=True)]
+        return out, total
+
+
+def reached(start: Hashable, arcs_of: Callable) -> Transducer:
+    """The transducer of all states that can be reached from the start."""
+    arcs, ahead = {}, [start]
+    while ahead:
+        state = ahead.pop()
+        if state not in arcs:
+            arcs[state] = arcs_of(state)
+            ahead += [to for to, _, _ in arcs[state].values()]
+    return Transducer(start, arcs)
+
+
+def rewriter(start: Hashable, step: Callable, weight: dict[str, tuple[int, ...]] | None = None) -> Transducer:
+    """A transducer from a rule (state, symbol) -> (state, symbol written); weights by the symbol written."""
+    def arcs_of(state: Hashable) -> dict:
+        moves = {x: step(state, x) for x in SYMBOLS}
+        return {x: (to, y, (weight or {}).get(y, NOTHING)) for x, (to, y) in moves.items()}
+    return reached(start, arcs_of)
+
+
+def compose(first: Transducer, then: Transducer) -> Transducer:
+    """The transducer that writes what `then` writes for what `first` writes; weights add up."""
+    def arcs_of(state: tuple) -> dict:
+        out = {}
+        for x, (to, y, weight) in first.arcs[state[0]].items():
+            to_then, z, more = then.arcs[state[1]][y]
+            both = weight if more is NOTHING else more if weight is NOTHING else tuple(a + b for a, b in zip(weight, more, strict=True))
+            out[x] = ((to, to_then), z, both)
+        return out
+    return reached((first.start, then.start), arcs_of)
+
+
+def numbered(machine: Transducer) -> Transducer:
+    """The same with numbers for states."""
+    number = {state: i for i, state in enumerate(machine.arcs)}
+    return Transducer(number[machine.start], {number[s]: {x: (number[to], y, w) for x, (to, y, w) in arcs.items()} for s, arcs in machine.arcs.items()})
+
+
+def near(symbol: str, change: dict[str, str]) -> Transducer:
+    """Changes what stands at most NEAR symbols after the symbol. State: symbols read since then, NEAR for more or none."""
+    def step(since: int, x: str) -> tuple[int, str]:
+        return 0 if x == symbol else min(since + 1, NEAR), change.get(x, x) if since < NEAR else x
+    return rewriter(NEAR, step)
+
+
+def parts() -> list[Transducer]:
+    """ahead, target, insult, threat, negation, report."""
+    aim = {"I": "i", "K": "k"}
+
+    def report(state: tuple[bool, bool], x: str) -> tuple[tuple[bool, bool], str]:
+        told, quoted = state
+        return (told or x == "R", quoted != (x == "Q")), "reported" if x in KINDS and (told or quoted) else x
+
+    def write(marks: dict[str, str]) -> Transducer:
+        return rewriter(0, lambda state, x: (state, marks.get(x, x)))
+
+    one = {kind: tuple(int(k == kind) for k in KINDS) for kind in KINDS}
+    return [near("T", aim), near("T", aim), write({"I": "insult", "i": "aimed_insult"}), write({"K": "threat_plain", "k": "aimed_threat"}),
+            near("N", dict.fromkeys(KINDS, "negated")), rewriter((False, False), report, one)]
+
+
+#: The machine that reads a clause from its end, and the composed one that reads what it wrote from the begin.
+AHEAD, GRAMMAR = parts()[0], numbered(reduce(compose, parts()[1:]))
+
+
 def clause_marks(symbols: list[str]) -> list[str]:
-    """Run the composed transducers over the symbols of one clause ('.' is any other word)."""
-    targets = [i for i, s in enumerate(symbols) if s == "T"]
-    marks, denied, told, quoted = [], -NEAR - 1, False, False
-    for i, s in enumerate(symbols):
-        if s == "N":
-            denied = i
-        elif s == "R":
-            told = True
-        elif s == "Q":
-            quoted = not quoted
-        elif s in "IK":
-            aimed = any(abs(i - t) <= NEAR for t in targets)
-            kind = ("aimed_insult" if aimed else "insult") if s == "I" else ("aimed_threat" if aimed else "threat_plain")
-            if i - denied <= NEAR:
-                kind = "negated"
-            if told or quoted:
-                kind = "reported"
-            marks.append(kind)
-    return marks
+    """The marks that the grammar writes for a clause."""
+    return [x for x in GRAMMAR.run(AHEAD.run(reversed(symbols))[0][::-1])[0] if x in KINDS]
+
+
+def clause_weight(symbols: list[str]) -> list[int]:
+    """Weight of a clause ('.' is any other word): how many marks of each kind the grammar finds in it."""
+    return GRAMMAR.run(AHEAD.run(reversed(symbols))[0][::-1])[1]
 
 
 class Scanner:
-    """Counts of mark kinds of whole texts. Only clauses with an insult or threat word are read word by word."""
+    """Sums of the clauses' weights of whole texts. Only clauses with an insult or threat word are read word by word."""
 
     def __init__(self, insults: list[str]):
         self.kind = grammar(insults)
@@ -107,18 +182,17 @@ class Scanner:
     def counts(self, text: str) -> tuple[int, ...]:
         text = text.lower()
         if self.hot.isdisjoint(LETTERS.findall(text)):
-            return (0,) * len(KINDS)
-        total: Counter[str] = Counter()
-        done = 0
+            return NOTHING
+        total, done = NOTHING, 0
         for hit in LETTERS.finditer(text):
             if hit.start() < done or hit.group() not in self.hot:
                 continue
             begin = max(text.rfind(c, done, hit.start()) for c in ENDS) + 1 or done
             end = min((e for c in ENDS if (e := text.find(c, hit.end())) >= 0), default=len(text))
             symbols = ["Q" if w in QUOTES else self.kind.get(w, ".") for w in WORDS.findall(text[begin:end])]
-            total.update(clause_marks(symbols))
+            total = tuple(a + b for a, b in zip(total, clause_weight(symbols), strict=True))
             done = end
-        return tuple(min(CAP, total[k]) for k in KINDS)
+        return total
 
 
 def _learning(docs: DataFrame, labels: DataFrame, train_docs: int) -> DataFrame:
@@ -161,7 +235,7 @@ def least_surprise(found: list[tuple[float, int]], tested: int) -> float:
 
 def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str], list[float]]:
     """(insults, weights). What reaches the driver: the learned words, the distinct pairs of text counts of words above
-    the ratio, at most the square of train_docs over the ratio, and the distinct vectors of capped counts."""
+    the ratio, at most the square of train_docs over the ratio, and the distinct sums of marks, at most the learning rows."""
     rows = written(_learning(docs, labels, train_docs), "toxic-learning")
     words = written(rows.mapInArrow(_word_tally, "word string, toxic int, n long").groupBy("word").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b")), "toxic-words")
@@ -183,7 +257,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> t
 
 def fit(marks: list[list[int]], toxic: list[int], n: list[int]) -> list[float]:
     """Weights by Newton steps on the log posterior of a logistic model with Gaussian prior around PRIOR."""
-    x = np.column_stack([np.ones(len(marks)), np.array(marks, float).reshape(len(marks), len(KINDS))])
+    x = np.column_stack([np.ones(len(marks)), np.log2(1 + np.array(marks, float).reshape(len(marks), len(KINDS)))])
     y, c, w = np.array(toxic, float), np.array(n, float), PRIOR.copy()
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -197,7 +271,7 @@ def fit(marks: list[list[int]], toxic: list[int], n: list[int]) -> list[float]:
 def _judge(insults: list[str], weights: list[float], batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     scan, w = Scanner(insults), np.array(weights)
     for batch in steps(batches, "text"):
-        marks = np.array([scan.counts(t or "") for t in batch.column("text").to_pylist()], float)
+        marks = np.log2(1 + np.array([scan.counts(t or "") for t in batch.column("text").to_pylist()], float))
         yield batch, 1 / (1 + np.exp(-np.clip(w[0] + marks @ w[1:], -30, 30)))
     settle()
 

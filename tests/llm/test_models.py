@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 import pytest
 from runloom.llm import fingerprints as fp
@@ -89,6 +91,40 @@ def test_clause_marks():
     assert toxicity.clause_marks(list("T.KT")) == ["aimed_threat"]
 
 
+def plain_marks(symbols):
+    """The grammar by distances between positions, without machines."""
+    out = [0] * len(toxicity.KINDS)
+    for i, s in enumerate(symbols):
+        if s not in "IK":
+            continue
+        aimed = any(x == "T" and abs(i - j) <= toxicity.NEAR for j, x in enumerate(symbols))
+        kind = {"I": ("insult", "aimed_insult"), "K": ("threat_plain", "aimed_threat")}[s][aimed]
+        kind = "negated" if "N" in symbols[max(0, i - toxicity.NEAR):i] else kind
+        kind = "reported" if "R" in symbols[:i] or symbols[:i].count("Q") % 2 else kind
+        out[toxicity.KINDS.index(kind)] += 1
+    return out
+
+
+def test_composed_grammar_is_its_parts_and_the_plain_rule():
+    draw = random.Random(8)
+    ahead, *rest = toxicity.parts()
+    for _ in range(3000):
+        symbols = draw.choices("......IKTNRQ", k=draw.randint(0, 18))
+        got, weight = ahead.run(symbols[::-1])[0][::-1], [0] * len(toxicity.KINDS)
+        for machine in rest:
+            got, more = machine.run(got)
+            weight = [a + b for a, b in zip(weight, more, strict=True)]
+        assert toxicity.clause_weight(symbols) == weight == plain_marks(symbols), symbols
+        assert toxicity.clause_marks(symbols) == [x for x in got if x in toxicity.KINDS]
+    assert len(toxicity.GRAMMAR.arcs) <= (toxicity.NEAR + 1) ** 2 * 4
+
+
+def test_each_further_insult_counts(spark):
+    rows = [(n, "You idiot. " * n) for n in (0, 1, 3, 30)]
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), [], toxicity.PRIOR.tolist()).collect()}
+    assert got[0] < got[1] < got[3] < got[30]
+
+
 def test_mix_is_its_sql(spark):
     load_all()
     con = duckdb.connect()
