@@ -45,9 +45,11 @@ VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
 #: Distinct words, units and pairs of tokens that a worker remembers, and entries of its tables; beyond, the memory starts anew.
 REMEMBERED, ENTRIES = 500_000, 6_000_000
-INNER, FINAL = 1, 2
-#: ASCII letters, then marks other than the apostrophe.
-SIMPLE = re.compile(r"([A-Za-z]+)([!-&(-/:-@\[-`{-~]*)")
+Node = tuple[dict, str | None, str | None]
+#: What stands for the merge of a token that is one symbol.
+SINGLE = (-1, "", "")
+#: Letters of ASCII and Latin-1, then ASCII marks other than the apostrophe.
+SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 class Units:
@@ -57,9 +59,13 @@ class Units:
         self.mark = model["end_of_word_suffix"]
         self.rank = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}
         made = {a + b for a, b in self.rank}
-        #: Of each token the pair that it is merged from; of each begin of a token whether it is one itself (INNER, FINAL: a marked one).
-        self.parts: dict[str, tuple[str, str]] = {}
-        self.begins: dict[str, int] = {}
+        #: Of each token the rank of its merge and the pair it joins.
+        self.parts: dict[str, tuple[int, str, str]] = {}
+        #: A tree of the tokens' symbols. A node: the next nodes, the token that ends there as it stands plain, and marked.
+        self.tree: Node = ({}, None, None)
+        #: Of each begin of a token its node.
+        self.begins: dict[str, Node] = {"": self.tree}
+        found: dict[str, list[str | None]] = {}
         for token in model["vocab"]:
             marked = token.endswith(self.mark) and len(token) > len(self.mark)
             plain = token[:-len(self.mark)] if marked else token
@@ -67,15 +73,17 @@ class Units:
                 own, pair = self.merged(plain, marked) if token in made else ([], None)
                 if own != [token]:
                     continue  # no text has it
-                self.parts[token] = pair
-            self.begins[plain] = self.begins.get(plain, 0) | (FINAL if marked else INNER)
+                self.parts[token] = (self.rank[pair], *pair)
+            found.setdefault(plain, [None, None])[marked] = token
             for i in range(1, len(plain)):
-                self.begins.setdefault(plain[:i], 0)
+                found.setdefault(plain[:i], [None, None])
+        for plain in sorted(found):
+            self.begins[plain] = self.begins[plain[:-1]][0][plain[-1]] = ({}, *found[plain])
         self.forget()
 
     def forget(self) -> None:
-        #: Of a token (before) the tokens, plain and marked, that are known to follow it or not to.
-        self.pairs: dict[str, tuple[dict[str, bool], dict[str, bool]]] = {"": ({}, {})}
+        #: Of a token (before) the tokens that are known to follow it or not to.
+        self.pairs: dict[str, dict[str, bool]] = {}
         self.n_pairs = 0
         self.units: dict[str, list[int]] = {}
         self.recent: tuple[str, list[int], list[int], list[str]] = ("", [0], [0], [""])
@@ -96,18 +104,19 @@ class Units:
     def follows(self, before: str, token: str) -> bool:
         """Whether the token may stand after the other one: undoing both, the latest merge first, never shows two
         neighbours across the border that would have merged before they went into their tokens. Any token may begin a unit."""
-        x, y, x_goes, y_goes = before, token, len(self.rank), len(self.rank)
+        rank, parts = self.rank, self.parts
+        x, y, x_goes, y_goes = before, token, len(rank), len(rank)
         while before:
-            meets = self.rank.get((x, y))
+            meets = rank.get((x, y))
             if meets is not None and meets < x_goes and meets <= y_goes:
                 return False
-            x_made, y_made = (self.rank[self.parts[t]] if t in self.parts else -1 for t in (x, y))
-            if x_made < 0 and y_made < 0:
+            x_made, y_made = parts.get(x, SINGLE), parts.get(y, SINGLE)
+            if x_made is SINGLE and y_made is SINGLE:
                 break
-            if x_made > y_made:
-                x_goes, x = x_made, self.parts[x][1]
+            if x_made[0] > y_made[0]:
+                x_goes, _, x = x_made
             else:
-                y_goes, y = y_made, self.parts[y][0]
+                y_goes, y, _ = y_made
         return True
 
     def counts(self, unit: str) -> list[int]:
@@ -123,31 +132,36 @@ class Units:
                 break
             same += 1
         out, inside, last = ([*x[:same + 1], *[empty] * (size - same)] for x, empty in ((out, 0), (inside, 0), (last, "")))
-        begins, follows, mark, pairs = self.begins, self.follows, self.mark, self.pairs
+        begins, follows, pairs, judged = self.begins, self.follows, self.pairs, 0
         for begin in range(size):
+            first = begin if begin > same else same
+            node = begins.get(unit[begin:first])
+            if node is None:
+                continue
             before, count = last[begin], inside[begin] + 1
-            plain, marked = pairs.get(before) or pairs.setdefault(before, ({}, {}))
-            for end in range(max(begin, same) + 1, size + 1):
-                if inside[end] and out[end]:
-                    continue
-                token = unit[begin:end]
-                kind = begins.get(token)
-                if kind is None:
+            known = pairs.get(before)
+            if known is None:
+                known = pairs[before] = {}
+            for end, symbol in enumerate(unit[first:], first + 1):
+                node = node[0].get(symbol)
+                if node is None:
                     break
-                if kind & INNER and not inside[end]:
-                    stays = plain.get(token)
+                _, plain, marked = node
+                if plain is not None and not inside[end]:
+                    stays = known.get(plain)
                     if stays is None:
-                        stays = plain[token] = follows(before, token)
-                        self.n_pairs += 1
+                        stays = known[plain] = follows(before, plain)
+                        judged += 1
                     if stays:
-                        last[end], inside[end] = token, count
-                if kind & FINAL and not out[end]:
-                    stays = marked.get(token)
+                        last[end], inside[end] = plain, count
+                if marked is not None and not out[end]:
+                    stays = known.get(marked)
                     if stays is None:
-                        stays = marked[token] = follows(before, token + mark)
-                        self.n_pairs += 1
+                        stays = known[marked] = follows(before, marked)
+                        judged += 1
                     if stays:
                         out[end] = count
+        self.n_pairs += judged
         if not all(out[1:]):
             raise ValueError(f"the vocabulary has no tokens for {unit!r}")
         if len(self.units) > REMEMBERED or self.n_pairs > REMEMBERED:
@@ -172,9 +186,14 @@ class Words:
         self.units = Units(model["model"])
         special = [t["content"] for t in model["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
-        letters, marks = string.ascii_letters, string.punctuation.replace("'", "")
-        #: Whether ASCII letters are lower-cased and stay together, and so do marks, so that such words are units as they are.
-        self.simple = [u for u, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(letters + marks))] == [letters.lower(), marks]
+        units = lambda text: [u for u, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+        latin = "".join(c for c in map(chr, range(0xC0, 0x100)) if c.isalpha())
+        letters, marks = string.ascii_letters + latin, string.punctuation.replace("'", "")
+        #: The two byte symbols of each Latin-1 letter.
+        self.symbols = {ord(c): "".join(units(c)) for c in latin.lower()}
+        #: Whether letters are lower-cased and stay together, and so do marks, so that such words are units as they are.
+        self.simple = units(self.tokenizer.normalizer.normalize_str(letters + marks)) == [letters.lower().translate(self.symbols), marks]
+        self.simple &= {len(x) for x in self.symbols.values()} == {2}
         self.shapes: dict[str, str] = {}
         self.forget()
 
@@ -226,7 +245,11 @@ class Words:
     def counts(self, word: str) -> list[int]:
         """Token counts of the prefixes of a word, from 0 code points on."""
         if self.simple and (parts := SIMPLE.fullmatch(word)):
-            out = self.units.counts(parts[1].lower())
+            if word.isascii():
+                out = self.units.counts(parts[1].lower())
+            else:
+                own = self.units.counts(parts[1].lower().translate(self.symbols))
+                out = [own[b] for b in accumulate((1 if c < "\x80" else 2 for c in parts[1]), initial=0)]
             return [*out, *(out[-1] + c for c in self.units.counts(parts[2])[1:])] if parts[2] else out
         out, base, begin = [0], 0, 0
         for hit in self.special.finditer(word):
@@ -243,7 +266,7 @@ class Words:
         at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
         lost = np.flatnonzero(at < 0)
         if len(lost):
-            new = sorted({words[i] for i in lost.tolist()})
+            new = sorted({words[i] for i in lost.tolist()}, key=bytes.lower)  # units of a common begin come together
             tables = [self.counts(w.decode()) for w in new]  # from 0 code points on: first is the entry of 1
             sizes = np.array([len(t) for t in tables], np.int64) - 1
             fresh = np.fromiter(chain.from_iterable(tables), np.int32, int(sizes.sum()) + len(new))
