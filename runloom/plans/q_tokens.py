@@ -12,7 +12,7 @@ from runloom.operators import packing as pk
 from runloom.plans import standins as st
 from runloom.plans.catalog import query, r6
 from runloom.plans.q_corpus import SPLIT_SQL, split_docs, train_docs
-from runloom.schemas import EVAL_TOKENS, SIMPLE_SPLIT_PATTERN, SPECIAL_TOKENS, SPLIT_PATTERN
+from runloom.schemas import EVAL_TOKENS, SPECIAL_TOKENS, SPLIT_PATTERN
 from runloom.session import checkpoint_base
 
 N_MERGES = bpe.merges_for_vocab()  # merges of the full vocabulary
@@ -51,21 +51,31 @@ def trained_vocab(spark: SparkSession, d: str, n_merges: int = N_MERGES, rebuild
     return vocab, rows
 
 
-@query("pretoken_counts", "T1 A9", r"""
-SELECT word, count(*) AS cnt FROM (SELECT unnest(regexp_extract_all(text, '\p{L}+|\p{N}{1,2}')) AS word FROM documents) w
-GROUP BY word""")
+# T1 in SQL: an engine without look-ahead takes the pattern in two steps. White space is the Unicode property, as (?U) has it. A
+# mark goes before the last blank of a run that a word follows (the look-ahead gives that blank back); no piece spans a mark.
+# The possessive parts need no step: what they could give back never lets a later part match.
+_BLANK = r"\t\x{0B}\f \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_SPACE, _MARK = rf"\r\n{_BLANK}", r"\x{E000}"
+_MARKED_SQL = rf"regexp_replace(text, '([{_SPACE}])([{_BLANK}][^{_SPACE}])', '\1' || chr(57344) || '\2', 'g')"
+_PIECES_SQL = "|".join([r"\x27(?i:[sdmt]|ll|ve|re)", rf"[^\r\n\p{{L}}\p{{N}}{_MARK}]?\p{{L}}+", r"\p{N}{1,2}",
+                        rf" ?[^{_SPACE}\p{{L}}\p{{N}}{_MARK}]+[\r\n]*", rf"[{_SPACE}]*[\r\n]", rf"[{_SPACE}]+"])
+WORD_COUNTS_SQL = f"""SELECT word, count(*) AS cnt FROM (
+  SELECT unnest(regexp_extract_all({_MARKED_SQL}, '{_PIECES_SQL}')) AS word FROM documents) w GROUP BY word"""
+
+
+@query("pretoken_counts", "T1 A9", WORD_COUNTS_SQL)
 def pretoken_counts(spark, d):
-    return bpe.word_counts(st.stories(spark, d), pattern=SIMPLE_SPLIT_PATTERN)
+    return bpe.word_counts(st.stories(spark, d))
 
 
-@query("byte_pair_counts", "A10", r"""
-WITH w AS (SELECT word, count(*) AS cnt FROM (SELECT unnest(regexp_extract_all(text, '\p{L}+|\p{N}{1,2}')) AS word FROM documents) x GROUP BY word),
+@query("byte_pair_counts", "A10", f"""
+WITH w AS ({WORD_COUNTS_SQL}),
 h AS (SELECT hex(encode(word)) AS h, cnt FROM w),
 p AS (SELECT substr(h, 2 * i + 1, 2) AS left_hex, substr(h, 2 * i + 3, 2) AS right_hex, cnt
       FROM (SELECT h, cnt, unnest(range(0, length(h) // 2 - 1)) AS i FROM h WHERE length(h) >= 4) y)
 SELECT left_hex, right_hex, CAST(sum(cnt) AS BIGINT) AS pair_count FROM p GROUP BY left_hex, right_hex""")
 def byte_pair_counts(spark, d):
-    w = bpe.word_counts(st.stories(spark, d), pattern=SIMPLE_SPLIT_PATTERN).select(
+    w = bpe.word_counts(st.stories(spark, d)).select(
         bpe.utf8_bytes(F.col("word")).alias("syms"), "cnt")
     pc = bpe.pair_counts(w)
     hx = lambda c: F.lpad(F.hex(c), 2, "0")

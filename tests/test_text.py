@@ -2,6 +2,8 @@ import collections
 import random
 import time
 
+import duckdb
+import pandas as pd
 import regex
 import tiktoken
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from shared_values import SF_SMALL
 from runloom.operators import bpe
 from runloom.operators.corpus import smoke_stories
+from runloom.plans.q_tokens import WORD_COUNTS_SQL
 from runloom.schemas import SIMPLE_SPLIT_PATTERN, SPLIT_PATTERN
 
 
@@ -133,3 +136,15 @@ def test_decode_never_throws_on_cut_characters(spark):
     rows = bpe.vocab_rows([])
     df = spark.createDataFrame([(0, [0xC3])], "doc_id LONG, tokens ARRAY<INT>")
     assert bpe.decode_docs(df, rows).first().decoded == "�"
+
+
+def test_word_counts_sql_is_the_split_pattern(spark):
+    """Spark, the two-step SQL and the pattern itself agree on texts full of white space, marks and short forms."""
+    draw = random.Random(3)
+    letters = "abÀ1 23  \n\n\r\t 　\x0b\x85.!'’sLlvVeé٣ "
+    rows = [(i, "".join(draw.choices(letters, k=draw.randint(0, 14)))) for i in range(4000)] + [(-1, None), (-2, "")]
+    want = collections.Counter(w for _, t in rows if t for w in regex.findall(SPLIT_PATTERN, t))
+    assert {tuple(r) for r in bpe.word_counts(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == set(want.items())
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    assert set(con.execute(WORD_COUNTS_SQL).fetchall()) == set(want.items())
