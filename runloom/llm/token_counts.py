@@ -45,6 +45,7 @@ VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
 #: Distinct words, units and pairs of tokens that a worker remembers, and entries of its tables; beyond, the memory starts anew.
 REMEMBERED, ENTRIES = 500_000, 6_000_000
+INNER, FINAL = 1, 2
 Node = tuple[dict, str | None, str | None]
 #: What stands for the merge of a token that is one symbol.
 SINGLE = (-1, "", "")
@@ -61,11 +62,10 @@ class Units:
         made = {a + b for a, b in self.rank}
         #: Of each token the rank of its merge and the pair it joins.
         self.parts: dict[str, tuple[int, str, str]] = {}
-        #: A tree of the tokens' symbols. A node: the next nodes, the token that ends there as it stands plain, and marked.
-        self.tree: Node = ({}, None, None)
-        #: Of each begin of a token its node.
-        self.begins: dict[str, Node] = {"": self.tree}
-        found: dict[str, list[str | None]] = {}
+        #: Of each begin of a token whether it is one itself (INNER, FINAL: a marked one).
+        self.begins: dict[str, int] = {}
+        #: Of each begin its node in a tree of symbols: the next nodes, the token that ends there as it stands plain, and marked.
+        self.nodes: dict[str, Node] = {"": ({}, None, None)}
         for token in model["vocab"]:
             marked = token.endswith(self.mark) and len(token) > len(self.mark)
             plain = token[:-len(self.mark)] if marked else token
@@ -74,11 +74,12 @@ class Units:
                 if own != [token]:
                     continue  # no text has it
                 self.parts[token] = (self.rank[pair], *pair)
-            found.setdefault(plain, [None, None])[marked] = token
+            self.begins[plain] = self.begins.get(plain, 0) | (FINAL if marked else INNER)
             for i in range(1, len(plain)):
-                found.setdefault(plain[:i], [None, None])
-        for plain in sorted(found):
-            self.begins[plain] = self.begins[plain[:-1]][0][plain[-1]] = ({}, *found[plain])
+                self.begins.setdefault(plain[:i], 0)
+        for plain, kind in sorted(self.begins.items()):
+            node = ({}, plain if kind & INNER else None, plain + self.mark if kind & FINAL else None)
+            self.nodes[plain] = self.nodes[plain[:-1]][0][plain[-1]] = node
         self.forget()
 
     def forget(self) -> None:
@@ -132,10 +133,10 @@ class Units:
                 break
             same += 1
         out, inside, last = ([*x[:same + 1], *[empty] * (size - same)] for x, empty in ((out, 0), (inside, 0), (last, "")))
-        begins, follows, pairs, judged = self.begins, self.follows, self.pairs, 0
+        nodes, follows, pairs, judged = self.nodes, self.follows, self.pairs, 0
         for begin in range(size):
             first = begin if begin > same else same
-            node = begins.get(unit[begin:first])
+            node = nodes.get(unit[begin:first])
             if node is None:
                 continue
             before, count = last[begin], inside[begin] + 1
