@@ -5,8 +5,8 @@ frequent first. A document's distance to a language is the sum, over its own pro
 place in the language's profile; an n-gram that the language lacks costs the profile length. The nearest language
 wins, ties go to the smaller name. The score is 1 - distance / largest possible distance.
 
-Profiles are learned from at most about TRAIN_DOCS documents of each language, drawn evenly by a hash of the id;
-prediction reads whole texts. Nothing but text and the language of learning rows is used.
+Profiles and limits are learned from all learning rows; learning and prediction read whole texts. Nothing but text and
+the language of learning rows is used.
 
 What scores below the limit of its nearest language is far from every learned language. The limit is MARGIN of the score
 that all but LOW of that language's learning rows reach, learned like the profiles. A text of fewer than SHORT distinct
@@ -30,7 +30,6 @@ from pyspark.sql import Window as W
 from runloom.llm.catalog import query
 from runloom.llm.common import fold, read, steps
 
-TRAIN_DOCS = 2_000
 PROFILE = 300
 UNDETERMINED = "und"
 #: The limit of a language: a quantile of its learning rows' scores, the part of it that must be reached, n-grams from which on all of it.
@@ -76,22 +75,14 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes.view(np.int64)), pa.array(n)], ["lang", "code", "n"])
 
 
-def _drawn(labelled: DataFrame, train_docs: int) -> DataFrame | None:
-    """(text, lang) of the learning rows, about train_docs of each language at most; None if there are none."""
-    rows = labelled.where("lang is not null and text is not null")
-    share = {r.lang: min(1.0, train_docs / r["count"]) for r in rows.groupBy("lang").count().collect()}  # one row a language
-    if not share:
-        return None
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return rows.where(draw < F.create_map(*(F.lit(x) for pair in share.items() for x in pair))[F.col("lang")]).select("text", "lang")
+def _learning(labelled: DataFrame) -> DataFrame:
+    """(text, lang) of the rows that teach: those with a text and a language."""
+    return labelled.where("lang is not null and text is not null").select("text", "lang")
 
 
-def learn(labelled: DataFrame, train_docs: int = TRAIN_DOCS, size: int = PROFILE) -> dict[str, list[int]]:
-    """(doc_id, text, lang) -> profile of each language; its size is bounded by languages times profile length."""
-    drawn = _drawn(labelled, train_docs)
-    if drawn is None:
-        return {}
-    counts = drawn.mapInArrow(_tally, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+def learn(labelled: DataFrame, size: int = PROFILE) -> dict[str, list[int]]:
+    """(text, lang) -> profile of each language; its size is bounded by languages times profile length."""
+    counts = _learning(labelled).mapInArrow(_tally, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     best = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "code"))
     kept = counts.withColumn("place", best).where(F.col("place") <= size)
     out: dict[str, list[int]] = {}
@@ -100,12 +91,10 @@ def learn(labelled: DataFrame, train_docs: int = TRAIN_DOCS, size: int = PROFILE
     return out
 
 
-def limits(labelled: DataFrame, profiles: dict[str, list[int]], train_docs: int = TRAIN_DOCS, size: int = PROFILE) -> dict[str, float]:
-    """Least score of each language, from the learning rows that are nearest to it and labelled so."""
-    drawn = _drawn(labelled, train_docs)
-    if drawn is None:
-        return {}
-    scores = predict(drawn, profiles, size, "lang").where("lang = lang_pred and score > 0")
+def limits(labelled: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE) -> dict[str, float]:
+    """Least score of each language, from the learning rows that are nearest to it and labelled so. The quantile counts distinct
+    scores: whole distances over a profile's length, whose number the profile size bounds, not the rows."""
+    scores = predict(_learning(labelled), profiles, size, "lang").where("lang = lang_pred and score > 0")
     rows = scores.groupBy("lang").agg(F.percentile("score", F.lit(LOW)).alias("low")).collect()  # one row a language
     return {r.lang: MARGIN * r.low for r in rows}
 

@@ -17,8 +17,8 @@ Word classes start from short fixed lists. The insult class is extended by words
 often in toxic than in other texts: at LEAST_RATIO times the rate, and more often than chance allows. The test asks how
 likely so many of a word's texts are toxic if the word says nothing; it needs no share of all toxic texts, so that the
 words of a rare language count by their own texts. The weights of the marks are fitted on the learning rows by maximum a
-posteriori with the prior weights below (an aimed insult weighs more, a negated or reported one less). At most about TRAIN_DOCS
-rows of each label are learned from, drawn evenly by a hash of the id. Scoring reads whole texts.
+posteriori with the prior weights below (an aimed insult weighs more, a negated or reported one less). All labelled learning rows are learned from. Learning and
+scoring read whole texts.
 
 Cases: null or empty text has no marks and gets the score of a text without marks; labels that are null or neither 0
 nor 1, and labels without a document, teach nothing; several labels of one document: 1 wins; without learning rows the
@@ -43,7 +43,6 @@ from pyspark.sql import types as T
 from runloom.llm.catalog import query
 from runloom.llm.common import fold, read, settle, steps, written
 
-TRAIN_DOCS = 10_000
 NEAR = 4
 #: Learned insults: at LEAST_RATIO times the rate of other texts, and at most this share of them expected to be there by chance.
 LEAST_RATIO, FALSE_SHARE = 15.0, 0.05
@@ -195,13 +194,10 @@ class Scanner:
         return total
 
 
-def _learning(docs: DataFrame, labels: DataFrame, train_docs: int) -> DataFrame:
-    """(text, toxic) of the learning rows, about train_docs of each label at most: their ids are broadcast."""
+def _learning(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(text, toxic) of the learning rows."""
     y = labels.where("toxic in (0, 1) and doc_id is not null").where(fold("doc_id") != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    share = {r.toxic: min(1.0, train_docs / r["count"]) for r in y.groupBy("toxic").count().collect()}
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = y.where(draw < F.when(F.col("toxic") == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0)))
-    return docs.select("doc_id", "text").where("text is not null").where(fold("doc_id") != 0).join(F.broadcast(drawn), "doc_id").select("text", "toxic")
+    return docs.select("doc_id", "text").where("text is not null").where(fold("doc_id") != 0).join(y, "doc_id").select("text", "toxic")
 
 
 def _word_tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,10 +229,10 @@ def least_surprise(found: list[tuple[float, int]], tested: int) -> float:
     return least
 
 
-def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str], list[float]]:
+def learn(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[float]]:
     """(insults, weights). What reaches the driver: the learned words, the distinct pairs of text counts of words above
-    the ratio, at most the square of train_docs over the ratio, and the distinct sums of marks, at most the learning rows."""
-    rows = written(_learning(docs, labels, train_docs), "toxic-learning")
+    the ratio, at most those words, and the sums of each step of the fit."""
+    rows = written(_learning(docs, labels), "toxic-learning")
     words = written(rows.mapInArrow(_word_tally, "word string, toxic int, n long").groupBy("word").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b")), "toxic-words")
     total = words.where("word = ''").first()
@@ -251,17 +247,32 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> t
     least = least_surprise([(r.surprise, r.n) for r in found.groupBy("a", "b").agg(F.first("surprise").alias("surprise"), F.count("*").alias("n")).collect()], tested.count())
     picked = found.where(F.col("surprise") >= least - 1e-9)
     insults = sorted(r.word for r in picked.select("word").collect())
-    kinds = rows.mapInArrow(lambda it: _marks(insults, it), "marks array<int>, n long").groupBy("marks").agg(F.sum("n").alias("n")).collect()
-    return insults, fit([r.marks[:-1] for r in kinds], [r.marks[-1] for r in kinds], [r.n for r in kinds])
-
-
-def fit(marks: list[list[int]], toxic: list[int], n: list[int]) -> list[float]:
-    """Weights by Newton steps on the log posterior of a logistic model with Gaussian prior around PRIOR."""
-    x = np.column_stack([np.ones(len(marks)), np.log2(1 + np.array(marks, float).reshape(len(marks), len(KINDS)))])
-    y, c, w = np.array(toxic, float), np.array(n, float), PRIOR.copy()
+    kinds = rows.mapInArrow(lambda it: _marks(insults, it), "marks array<int>, n long").groupBy("marks").agg(F.sum("n").alias("n"))
+    return insults, fit(written(kinds, "toxic-marks"))
+
+
+def _sums(w: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Gradient and curvature of the likelihood at w, summed over a partition's distinct marks: one row."""
+    k = len(w)
+    total = np.zeros(k + k * k)
+    for batch in batches:
+        if batch.num_rows:
+            marks = np.array(batch.column("marks").to_pylist(), float)
+            x, y, c = np.column_stack([np.ones(len(marks)), np.log2(1 + marks[:, :-1])]), marks[:, -1], batch.column("n").to_numpy().astype(float)
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            total += np.concatenate([x.T @ (c * (y - p)), ((x * (c * p * (1 - p))[:, None]).T @ x).ravel()])
+    yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["sums"])
+
+
+def fit(kinds: DataFrame) -> list[float]:
+    """Weights by Newton steps on the log posterior of a logistic model with Gaussian prior around PRIOR. kinds: the marks of a
+    text and behind them its label, n texts that have them."""
+    w, k = PRIOR.copy(), len(PRIOR)
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (c * p * (1 - p))[:, None]).T @ x + PRIOR_STRENGTH * np.eye(len(w)), x.T @ (c * (y - p)) - PRIOR_STRENGTH * (w - PRIOR))
+        at = w.copy()
+        total = np.sum([r.sums for r in kinds.mapInArrow(lambda it: _sums(at, it), "sums array<double>").collect()], axis=0)  # noqa: B023
+        curve = total[k:].reshape(k, k) + PRIOR_STRENGTH * np.eye(k)
+        step = np.linalg.solve(curve, total[:k] - PRIOR_STRENGTH * (w - PRIOR))
         w = w + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-9:
             break

@@ -26,6 +26,34 @@ def test_language_on_held_out_rows(spark, odd_docs, no_docs):
     assert langid.keep(odd_docs, profiles).columns == odd_docs.columns
 
 
+def test_languages_are_learned_from_every_row(spark):
+    """4,000 texts, whose other words differ: profile and limit are those of all texts, counted here one by one."""
+    texts = [f"same words here {chr(97 + i % 26)}{chr(97 + i * i % 23)}{chr(97 + i % 19)}" for i in range(4_000)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    counts: dict[int, int] = {}
+    for codes, n in map(langid.grams, texts):
+        for code, k in zip(codes.view("int64").tolist(), n.tolist(), strict=True):
+            counts[code] = counts.get(code, 0) + k
+    profiles = langid.learn(docs)
+    assert profiles["en"] == sorted(counts, key=lambda c: (-counts[c], c))[:langid.PROFILE]
+    weak = docs.unionByName(spark.createDataFrame([(-1, "zqx zqx here", "en")] * 45, docs.schema))
+    scores = sorted(r.score for r in langid.predict(weak, profiles).collect())
+    at = langid.LOW * (len(scores) - 1)
+    low = scores[int(at)] + (at - int(at)) * (scores[int(at) + 1] - scores[int(at)])
+    assert abs(langid.limits(weak, profiles)["en"] - langid.MARGIN * low) < 1e-12
+
+
+def test_insults_are_learned_from_every_labelled_row(spark):
+    """15,000 texts of each label; the insult stands in 40 of the toxic ones, all of which count."""
+    rows = [(i, f"word{i % 7} and more" + (" zwonk" if i % 2 and i % 749 < 2 else ""), i % 2) for i in range(37_500)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    learned = toxicity._learning(docs, labels)
+    mine = docs.where(toxicity.fold("doc_id") != 0)
+    assert learned.count() == mine.count() and learned.where("toxic = 1").count() > 14_000
+    assert toxicity.learn(docs, labels)[0] == ["zwonk"]
+
+
 def test_toxicity_on_held_out_rows(spark, odd_docs, no_docs):
     got = {r.doc_id: r for r in labelled("op8_toxicity")(spark, SF).collect()}
     labels = [r for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r.doc_id in got]
