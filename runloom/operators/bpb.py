@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
+from runloom.operators.bpe import slices
+
 
 def explode_tokens(encoded: DataFrame, keep: tuple[str, ...] = ("doc_id",), with_pos: bool = True) -> DataFrame:
     if with_pos:
@@ -24,15 +26,13 @@ def explode_tokens(encoded: DataFrame, keep: tuple[str, ...] = ("doc_id",), with
 
 
 def count_tokens(encoded: DataFrame, group_cols: tuple[str, ...] = ()) -> DataFrame:
-    """(group..., token_id, n) over token arrays. Each Arrow batch is counted as a whole before any row is made, so a
-    batch gives at most (its groups x vocabulary) rows, however long its documents are."""
+    """(group..., token_id, n) over token arrays. Each step of an Arrow batch is counted as a whole before any row is made, so a
+    step gives at most (its groups x vocabulary) rows, however long its documents are, and holds about STEP_ITEMS tokens."""
     fields = [encoded.schema[c] for c in group_cols]
     schema = StructType([*fields, StructField("token_id", IntegerType()), StructField("n", LongType())])
 
     def counted(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches, "tokens"):
             tokens = batch.column("tokens")
             sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
             group = np.zeros(batch.num_rows, dtype=np.int64)

@@ -15,14 +15,14 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from runloom.schemas import SPECIAL_TOKENS, SPLIT_PATTERN, VOCAB_SCHEMA, VOCAB_SIZE
 
@@ -301,9 +301,25 @@ def encode_word(word: str, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[data[i:e]] for i, e in enumerate(end) if e]
 
 
-_WORKER_CACHE: dict[str, dict[str, np.ndarray]] = {}
-_CACHE_LIMIT = 1 << 20
-_EMPTY = np.zeros(0, dtype=np.int32)
+_WORKER_CACHE: dict[str, dict[str, bytes]] = {}
+#: Words that a worker remembers; a full memory starts anew. Changes no result.
+_CACHE_LIMIT = 1 << 18
+#: Elements (bytes of text, words, tokens) that one step of a Python worker takes from an Arrow batch.
+STEP_ITEMS = 1 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = STEP_ITEMS) -> Iterator[pa.RecordBatch]:
+    """Slices of Arrow batches whose strings or lists in ``column`` hold about ``most`` bytes or elements, at least one row each:
+    what a worker makes of a step is bounded by it (or one long row), whatever the batch holds."""
+    for batch in batches:
+        sizes = batch.column(column)
+        sizes = pc.binary_length(sizes) if pa.types.is_string(sizes.type) or pa.types.is_large_string(sizes.type) else pc.list_value_length(sizes)
+        ends = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            yield batch.slice(at, to - at)
+            at = to
 
 
 def is_byte_level(rows: list[tuple]) -> bool:
@@ -311,39 +327,49 @@ def is_byte_level(rows: list[tuple]) -> bool:
     return all(l is None for _, _, l, _, s in rows if not s)
 
 
-def doc_encoder(rows: list[tuple]):
-    """An Arrow-batched column function array<word> -> array<int> for a fixed vocabulary. The ranks
-    (at most vocabulary-size entries) travel with the function; every Python worker keeps a cache of
-    words it has already encoded, so frequent words are encoded once per worker, not per use."""
+def _byte_ids(texts: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(t, dtype=np.uint8) for t in pc.fill_null(texts, "").cast(pa.binary()).to_pylist()]
+
+
+def _word_ids(rows: list[tuple]):
+    """array<word> -> ids for a fixed vocabulary. The ranks (at most vocabulary-size entries) travel with the function; every
+    Python worker remembers words it has already encoded, so frequent words are encoded once per worker, not per use."""
     ranks = _ranks(rows)
     key = vocab_key(*sorted(ranks.items()))
 
-    @pandas_udf(INT_ARRAY)
-    def enc(docs: pd.Series) -> pd.Series:
+    def ids(docs: pa.Array) -> list[np.ndarray]:
         cache = _WORKER_CACHE.setdefault(key, {})
         out = []
-        for words in docs:
+        for words in docs.to_pylist():
             parts = []
-            for w in words:
+            for w in words or ():
                 t = cache.get(w)
                 if t is None:
-                    t = np.asarray(encode_word(w, ranks), dtype=np.int32)
-                    if len(cache) < _CACHE_LIMIT:
-                        cache[w] = t
+                    t = np.asarray(encode_word(w, ranks), dtype=np.int32).tobytes()
+                    if len(cache) >= _CACHE_LIMIT:
+                        cache.clear()
+                    cache[w] = t
                 parts.append(t)
-            out.append(np.concatenate(parts) if parts else _EMPTY)
-        return pd.Series(out)
-    # marked non-deterministic only so that Catalyst never duplicates the call (an inferred
-    # `size(tokens) > 0` filter of a later explode would otherwise evaluate it twice)
-    return enc.asNondeterministic()
+            out.append(np.frombuffer(b"".join(parts), dtype=np.int32))
+        return out
+    return ids
 
 
-@pandas_udf(INT_ARRAY)
-def _utf8_ids_fn(texts: pd.Series) -> pd.Series:
-    return pd.Series([np.frombuffer(t.encode("utf-8"), dtype=np.uint8).astype(np.int32) for t in texts])
+#: Name of the column that is encoded.
+_IN = "_encoder_input"
 
 
-_utf8_ids = _utf8_ids_fn.asNondeterministic()
+def _encoded(ids, bos_id: int | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ids of the last column in its place, BOS first when given; rows without text have null."""
+    first = [] if bos_id is None else [bos_id]
+    for batch in slices(batches, _IN):
+        docs = batch.column(_IN)
+        found = ids(docs)
+        offsets = np.zeros(len(found) + 1, dtype=np.int32)
+        np.cumsum([len(t) + len(first) for t in found], out=offsets[1:])
+        flat = np.concatenate([part for t in found for part in (np.array(first, dtype=np.int32), t)]).astype(np.int32, copy=False)
+        tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=docs.is_null() if docs.null_count else None)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], tokens], names=[*batch.schema.names[:-1], "tokens"])
 
 
 def encode_docs(docs: DataFrame, rows: list[tuple], bos_id: int | None, text_col: str = "text",
@@ -352,15 +378,14 @@ def encode_docs(docs: DataFrame, rows: list[tuple], bos_id: int | None, text_col
     regex; the words of each document are mapped to ids by an Arrow-batched helper with a per-worker
     word cache. A byte-level vocabulary needs no pretokens under the standard pattern, which covers every
     character: ids are the UTF-8 bytes. A narrow
-    plan: no shuffle, every document encoded where it was read."""
+    plan: no shuffle, every document encoded where it was read, a bounded step of a batch at a time."""
     if is_byte_level(rows) and pattern == SPLIT_PATTERN:
-        toks = _utf8_ids(F.col(text_col))
+        given, ids = F.col(text_col), _byte_ids
     else:
-        words = F.regexp_extract_all(F.col(text_col), F.lit("(?U)" + pattern), F.lit(0))
-        toks = doc_encoder(rows)(words)
-    if bos_id is not None:
-        toks = F.concat(F.array(F.lit(bos_id)), toks)
-    return docs.select(*keep, toks.alias("tokens"))
+        given, ids = F.regexp_extract_all(F.col(text_col), F.lit("(?U)" + pattern), F.lit(0)), _word_ids(rows)
+    source = docs.select(*keep, given.alias(_IN))
+    schema = StructType([*source.schema.fields[:-1], StructField("tokens", INT_ARRAY)])
+    return source.mapInArrow(lambda it: _encoded(ids, bos_id, it), schema)
 
 
 # ---- T8 / T9 -------------------------------------------------------------------------------------

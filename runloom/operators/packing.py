@@ -24,10 +24,11 @@ from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from runloom.schemas import DOC_BATCH, PACK_BUFFER, PACKED_SCHEMA
 from runloom.session import saved
@@ -133,18 +134,23 @@ def pack_stream(docs: Iterator[tuple[int, np.ndarray]], row_len: int, buffer_siz
         yield epoch, np.concatenate(row), cropped, pos == row_len
 
 
-_COLUMNS = [f.name for f in PACKED_SCHEMA.fields]
+_PACKED = T.StructType([*PACKED_SCHEMA.fields, T.StructField("left", T.IntegerType())])
+#: Packed rows, or documents that are left, of one Arrow batch that a worker gives back.
+PACK_STEP = 256
 
 
 def _pack_partitions(row_len: int, buffer_size: int, batch: int, drain: bool = True, max_rows: int | None = None):
     """Packed rows of each shard of a sorted partition, with ``left`` null; without ``drain``, behind them the documents that
     are left (one a row, ``left`` counting from 0)."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows arrive sorted by (shard, epoch, order): each shard is one contiguous run, streamed
         def rows():
             for b in batches:
-                for s, e, t in zip(b["shard"].to_numpy(), b["epoch"].to_numpy(), b["tokens"]):
-                    yield int(s), int(e), np.asarray(t, dtype=np.int32)
+                tokens = b.column("tokens")
+                for i, (s, e) in enumerate(zip(b.column("shard").to_pylist(), b.column("epoch").to_pylist(), strict=True)):
+                    t = tokens[i].values  # None: no tokens
+                    # a copy of its own: what waits in the buffer must not hold its whole batch
+                    yield s, e, np.zeros(0, np.int32) if t is None else t.to_numpy(zero_copy_only=False).astype(np.int32)
 
         def records():
             for shard, grp in itertools.groupby(rows(), key=lambda x: x[0]):
@@ -158,15 +164,15 @@ def _pack_partitions(row_len: int, buffer_size: int, batch: int, drain: bool = T
                     yield shard, 0, e, t, 0, False, 0, 0, i
 
         found = records()
-        while out := list(itertools.islice(found, 2_048)):
-            frame = pd.DataFrame(out, columns=[*_COLUMNS, "left"])
-            yield frame.assign(left=frame["left"].astype("Int32"))
+        while out := list(itertools.islice(found, PACK_STEP)):
+            columns = dict(zip(_PACKED.names, zip(*out, strict=True), strict=True))
+            offsets = np.cumsum([0, *map(len, columns["tokens"])]).astype(np.int32)
+            columns["tokens"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(columns["tokens"])))
+            yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+    schema = to_arrow_schema(_PACKED)
     return run
 
 
-_PACKED = T.StructType([*PACKED_SCHEMA.fields, T.StructField("left", T.IntegerType())])
-
-
 def pack_ranges(encoded: DataFrame, seq_len: int, order_col: str = "pos", epoch_col: str | None = None, range_docs: int = PACK_RANGE,
                 fan: int = PACK_FAN, buffer_size: int = PACK_BUFFER, batch: int = DOC_BATCH, max_rows: int | None = None) -> DataFrame:
     """K1-K5 over one stream: ``encoded`` has (order_col, tokens[, epoch]), order_col counting documents from 0 over all epochs.
@@ -180,7 +186,7 @@ def pack_ranges(encoded: DataFrame, seq_len: int, order_col: str = "pos", epoch_
     level = 0
     while True:
         packed = (d.repartition("shard").sortWithinPartitions("shard", "epoch", "_o").drop("_o")
-                  .mapInPandas(_pack_partitions(seq_len + 1, buffer_size, batch, shards == 1, max_rows), _PACKED))
+                  .mapInArrow(_pack_partitions(seq_len + 1, buffer_size, batch, shards == 1, max_rows), _PACKED))
         packed = packed.select(F.lit(level).alias("level"), "*")
         if shards > 1:
             packed = saved(packed, "packed")
@@ -223,7 +229,7 @@ def pack(encoded: DataFrame, seq_len: int, shards: int | None = None, order_col:
     d = encoded.select(shard.cast("int").alias("shard"),
                        e.cast("int").alias("epoch"), F.col(order_col).alias("_o"), "tokens")
     d = (d.repartition(shards, "shard") if shards else d.repartition("shard")).sortWithinPartitions("shard", "epoch", "_o").drop("_o")
-    return d.mapInPandas(_pack_partitions(seq_len + 1, buffer_size, batch), _PACKED).drop("left")
+    return d.mapInArrow(_pack_partitions(seq_len + 1, buffer_size, batch), _PACKED).drop("left")
 
 
 def packing_report(packed: DataFrame, seq_len: int, bos_id: int) -> DataFrame:
