@@ -187,11 +187,13 @@ def lookup_checkpoint(checkpoints: DataFrame, checkpoint_id: str) -> DataFrame:
     return checkpoints.where(F.col("id") == F.lit(checkpoint_id))
 
 
-def detail_nested(runs: DataFrame, metrics: DataFrame, checkpoints: DataFrame) -> DataFrame:
+def detail_nested(runs: DataFrame, metrics: DataFrame, checkpoints: DataFrame, few: bool = False) -> DataFrame:
     """P5 + J1 + J2 for a *selected* set of runs (filter ``runs`` first, e.g. with :func:`lookup`):
     children are semi-joined to the selection, aggregated per run, then left-joined, one relation
-    at a time so metrics never multiply with checkpoints. Empty arrays, not NULL."""
-    ids = runs.select(F.col("id").alias("experiment_uuid"))
+    at a time so metrics never multiply with checkpoints. Empty arrays, not NULL. ``few``: the selection is known to be a few
+    runs; their ids and children are broadcast, so that no child table is shuffled whole."""
+    small = F.broadcast if few else lambda df: df
+    ids = small(runs.select(F.col("id").alias("experiment_uuid")).distinct())
     m = (metrics.join(ids, "experiment_uuid", "left_semi")
          .groupBy("experiment_uuid")
          .agg(F.array_sort(F.collect_list(F.struct("metric_name", "step", "metric_value", "id", "recorded_at")))
@@ -200,8 +202,8 @@ def detail_nested(runs: DataFrame, metrics: DataFrame, checkpoints: DataFrame) -
          .groupBy("experiment_uuid")
          .agg(F.array_sort(F.collect_list(F.struct("created_at", "checkpoint_path", "id", "metadata")))
               .alias("checkpoints")))
-    out = (runs.join(m, runs["id"] == m["experiment_uuid"], "left").drop("experiment_uuid")
-           .join(c, runs["id"] == c["experiment_uuid"], "left").drop("experiment_uuid"))
+    out = (runs.join(small(m), runs["id"] == m["experiment_uuid"], "left").drop("experiment_uuid")
+           .join(small(c), runs["id"] == c["experiment_uuid"], "left").drop("experiment_uuid"))
     empty_m = F.array().cast(m.schema["metrics"].dataType)
     empty_c = F.array().cast(c.schema["checkpoints"].dataType)
     return (out.withColumn("metrics", F.coalesce("metrics", empty_m))
@@ -381,11 +383,7 @@ def cascade_delete(runs: DataFrame, metrics: DataFrame, checkpoints: DataFrame,
     gone = doomed.select("experiment_id").distinct()
     keep_runs = runs.join(gone, "experiment_id", "left_anti")
     gone_ids = runs.join(gone, "experiment_id", "left_semi").select(F.col("id").alias("experiment_uuid"))
-    gone_parent = gone.select(F.col("experiment_id").alias("parent_experiment_id"), F.lit(True).alias("_gone"))
-    keep_runs = (keep_runs.join(gone_parent, "parent_experiment_id", "left")
-                 .withColumn("parent_experiment_id",
-                             F.when(F.col("_gone").isNull(), F.col("parent_experiment_id")))
-                 .drop("_gone"))
+    keep_runs = _set_null(keep_runs, "parent_experiment_id", gone, "experiment_id")
     return {
         "runs": keep_runs,
         "metrics": metrics.join(gone_ids, "experiment_uuid", "left_anti"),
@@ -405,8 +403,26 @@ FOREIGN_KEYS = (
 )
 
 
+#: Parts over which the rows without a reference are spread.
+NULL_PARTS = 1024
+
+
+def _by_reference(rows: DataFrame, column: str, gone: DataFrame, key: str, how: str) -> DataFrame:
+    """rows joined with the distinct keys of ``gone`` (as ``_key``). Rows without a reference match nothing; a part number by
+    their id, which is 0 for all others, keeps them from coming together in one task."""
+    mark = gone.select(F.col(key).alias("_key")).where("_key is not null").distinct()
+    mark = mark.withColumn("_key_part", F.when(F.col("_key").isNotNull(), F.lit(0)))
+    part = F.when(F.col(column).isNull(), F.pmod(F.xxhash64("id"), F.lit(NULL_PARTS)).cast("int")).otherwise(F.lit(0))
+    return rows.withColumn("_part", part).join(mark, (F.col(column) == F.col("_key")) & (F.col("_part") == F.col("_key_part")), how)
+
+
 def _refers(rows: DataFrame, column: str, gone: DataFrame, key: str, how: str) -> DataFrame:
-    return rows.join(gone.select(F.col(key).alias(column)).distinct(), column, how).select(rows.columns)
+    return _by_reference(rows, column, gone, key, how).select(rows.columns)
+
+
+def _set_null(rows: DataFrame, column: str, gone: DataFrame, key: str) -> DataFrame:
+    marked = _by_reference(rows, column, gone, key, "left")
+    return marked.withColumn(column, F.when(F.col("_key").isNull(), F.col(column))).select(rows.columns)
 
 
 def delete_propagated(tables: dict[str, DataFrame], doomed: DataFrame) -> dict[str, DataFrame]:
@@ -425,9 +441,7 @@ def delete_propagated(tables: dict[str, DataFrame], doomed: DataFrame) -> dict[s
                 kept[name] = _refers(kept[name], column, gone[parent], key, "left_anti")
         for _, column, parent, key, rule in rules:
             if rule == "set null":
-                mark = gone[parent].select(F.col(key).alias("_key")).distinct()
-                marked = kept[name].join(mark, F.col(column) == F.col("_key"), "left")
-                kept[name] = marked.withColumn(column, F.when(F.col("_key").isNull(), F.col(column))).select(tables[name].columns)
+                kept[name] = _set_null(kept[name], column, gone[parent], key)
     return kept
 
 
