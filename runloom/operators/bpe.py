@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
 from runloom.schemas import SPECIAL_TOKENS, SPLIT_PATTERN, VOCAB_SCHEMA, VOCAB_SIZE
 
@@ -411,10 +411,24 @@ def decode_docs(encoded: DataFrame, rows: list[tuple], keep: tuple[str, ...] = (
 
 
 def roundtrip(docs: DataFrame, rows: list[tuple], text_col: str = "text", pattern: str = SPLIT_PATTERN) -> DataFrame:
-    """Encode without BOS, decode, compare with the text, in one projection per document."""
+    """Encode without BOS, decode, compare with the text. Ids are decoded in steps of Arrow batches: bytes concatenated in
+    order, invalid UTF-8 replaced."""
     enc = encode_docs(docs.select("doc_id", F.col(text_col).alias("_text"), F.col(text_col)), rows, None,
                       text_col, pattern, keep=("doc_id", "_text"))
-    return enc.select("doc_id", (decode_tokens(F.col("tokens"), rows) == F.col("_text")).alias("roundtrip_ok"))
+    by_id = {t: b for t, b, *_ in rows}
+    table = np.array([by_id.get(i, b"") for i in range(max(by_id) + 1)], dtype=object)
+
+    def compared(batches):
+        for batch in slices(batches, "tokens"):
+            tokens = batch.column("tokens")
+            flat, sizes = table[tokens.flatten().to_numpy(zero_copy_only=False)], pc.fill_null(pc.list_value_length(tokens), 0).to_pylist()
+            same, at = [], 0
+            for n, text in zip(sizes, batch.column("_text").to_pylist(), strict=True):
+                same.append(None if text is None else b"".join(flat[at:at + n]).decode("utf-8", "replace") == text)
+                at += n
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(same, pa.bool_())], names=["doc_id", "roundtrip_ok"])
+
+    return enc.mapInArrow(compared, StructType([enc.schema["doc_id"], StructField("roundtrip_ok", BooleanType())]))
 
 
 def vocab_key(*parts) -> str:
