@@ -97,13 +97,19 @@ def stream_loss_ema(spark, d):
     return out.select("experiment_id", "step", q6("smooth_loss").alias("smooth_loss"), q6("ema_loss").alias("ema_loss"))
 
 
+#: Rows of a file of a shuffled delivery, about.
+DELIVERY_ROWS = 1_000_000
+
+
 def _deliver_shuffled(spark, d, deliveries=4):
-    """Step telemetry in deliveries that take no account of its order: every run's steps come late and with gaps."""
+    """Step telemetry in deliveries that take no account of its order: every run's steps come late and with gaps. The folder, and
+    the files of a delivery, which one micro-batch takes; the steps are computed in the tasks of their own stage."""
     src = work_dir(spark, "steps-shuffled")
     steps = st.training_steps(spark, d).withColumn("_d", F.pmod(F.xxhash64("experiment_id", "step"), F.lit(deliveries)))
+    files = -(-max(1, steps.count()) // (deliveries * DELIVERY_ROWS))  # of a delivery
     for i in range(deliveries):
-        steps.where(F.col("_d") == i).drop("_d").coalesce(1).write.mode("append").parquet(src)
-    return src
+        steps.where(F.col("_d") == i).drop("_d").repartition(files, "experiment_id", "step").write.mode("append").parquet(src)
+    return src, files
 
 
 STATE_SQL = W(["training_steps"], f"""
@@ -118,9 +124,9 @@ JOIN (SELECT s.*, m.max_step FROM stops s JOIN (SELECT experiment_id, max(step)
 
 @query("stream_step_state", "M4 W3 W4 W8 (late and shuffled deliveries)", STATE_SQL)
 def stream_step_state(spark, d):
-    src = _deliver_shuffled(spark, d)
+    src, files = _deliver_shuffled(spark, d)
     sink, cp = work_dir(spark, "state-sink"), work_dir(spark, "state-cp")
-    sts.start_loss_ema(spark, src, sink, cp)
+    sts.start_loss_ema(spark, src, sink, cp, max_files=files)
     return spark.read.parquet(sink).select("experiment_id", "step", q6("smooth_loss").alias("smooth_loss"), r6("training_time").alias("training_time"),
                                            q6("best_loss").alias("best_loss"), "stop_reason", "after_stop")
 
