@@ -89,8 +89,9 @@ SELECT r.experiment_id, r.status, r.val_bpb,
 FROM runs r WHERE r.experiment_id = (SELECT experiment_id FROM best)""", extra=[BEST_CTE]))
 def run_detail(spark, d):
     runs = st.runs(spark, d)
-    sel = runs.join(reg.best_run(runs).select("experiment_id"), "experiment_id", "left_semi")
-    det = reg.detail_nested(sel, st.metrics(spark, d), st.checkpoints(spark, d))
+    best = F.broadcast(reg.best_run(runs).select("experiment_id"))  # one row at most
+    sel = runs.join(best, "experiment_id", "left_semi")
+    det = reg.detail_nested(sel, st.metrics(spark, d), st.checkpoints(spark, d), few=True)
     mtext = F.array_join(F.transform("metrics", lambda m: F.concat(
         m["metric_name"], F.lit("@"), m["step"].cast("string"), F.lit("="), F.format_string("%.2f", m["metric_value"]))), ";")
     ctext = F.array_join(F.transform("checkpoints", lambda c: c["checkpoint_path"]), ";")
