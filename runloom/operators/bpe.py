@@ -22,6 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
 from runloom.schemas import SPECIAL_TOKENS, SPLIT_PATTERN, VOCAB_SCHEMA, VOCAB_SIZE
@@ -355,21 +356,16 @@ def _word_ids(rows: list[tuple]):
     return ids
 
 
-#: Name of the column that is encoded.
-_IN = "_encoder_input"
-
-
-def _encoded(ids, bos_id: int | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The ids of the last column in its place, BOS first when given; rows without text have null."""
-    first = [] if bos_id is None else [bos_id]
-    for batch in slices(batches, _IN):
-        docs = batch.column(_IN)
+def _encoded(ids, bos_id: int | None, columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The ids of each text, BOS first when given, in steps; rows without text have null."""
+    first = np.array([] if bos_id is None else [bos_id], dtype=np.int32)
+    for batch in slices((pa.RecordBatch.from_arrays([c], names=["docs"]) for c in columns), "docs"):
+        docs = batch.column("docs")
         found = ids(docs)
         offsets = np.zeros(len(found) + 1, dtype=np.int32)
         np.cumsum([len(t) + len(first) for t in found], out=offsets[1:])
-        flat = np.concatenate([part for t in found for part in (np.array(first, dtype=np.int32), t)]).astype(np.int32, copy=False)
-        tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=docs.is_null() if docs.null_count else None)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], tokens], names=[*batch.schema.names[:-1], "tokens"])
+        flat = np.concatenate([part for t in found for part in (first, t)]).astype(np.int32, copy=False)
+        yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=docs.is_null() if docs.null_count else None)
 
 
 def encode_docs(docs: DataFrame, rows: list[tuple], bos_id: int | None, text_col: str = "text",
@@ -383,9 +379,12 @@ def encode_docs(docs: DataFrame, rows: list[tuple], bos_id: int | None, text_col
         given, ids = F.col(text_col), _byte_ids
     else:
         given, ids = F.regexp_extract_all(F.col(text_col), F.lit("(?U)" + pattern), F.lit(0)), _word_ids(rows)
-    source = docs.select(*keep, given.alias(_IN))
-    schema = StructType([*source.schema.fields[:-1], StructField("tokens", INT_ARRAY)])
-    return source.mapInArrow(lambda it: _encoded(ids, bos_id, it), schema)
+
+    def enc(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return _encoded(ids, bos_id, columns)
+    # marked non-deterministic only so that Catalyst never duplicates the call (an inferred
+    # `size(tokens) > 0` filter of a later explode would otherwise evaluate it twice)
+    return docs.select(*keep, arrow_udf(enc, INT_ARRAY).asNondeterministic()(given).alias("tokens"))
 
 
 # ---- T8 / T9 -------------------------------------------------------------------------------------
