@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runloom.llm.catalog import query
-from runloom.llm.common import fold, read, settle, steps, written
+from runloom.llm.common import fold, may_match, read, settle, steps, written
 
 NEAR = 4
 #: Learned insults: at LEAST_RATIO times the rate of other texts, and at most this share of them expected to be there by chance.
@@ -195,9 +195,12 @@ class Scanner:
 
 
 def _learning(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of the learning rows."""
-    y = labels.where("toxic in (0, 1) and doc_id is not null").where(fold("doc_id") != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").where("text is not null").where(fold("doc_id") != 0).join(y, "doc_id").select("text", "toxic")
+    """(text, toxic) of the learning rows. Texts without a label are left out before the join, which shuffles the others at
+    any size: the labels grow with the documents."""
+    known = labels.where("toxic in (0, 1) and doc_id is not null").where(fold("doc_id") != 0)
+    y = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    texts = docs.select("doc_id", "text").where("text is not null").where(fold("doc_id") != 0)
+    return may_match(texts, known, "doc_id").join(y.hint("merge"), "doc_id").select("text", "toxic")
 
 
 def _word_tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
