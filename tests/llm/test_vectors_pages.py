@@ -89,3 +89,25 @@ def test_given_articles_against_a_plain_reading(spark):
         assert got[r.page_id] == "\n\n".join(x for x in parts if x), r.page_id
         seen += 1
     assert seen > 10
+
+
+def test_boilerplate_inside_marked_articles(spark):
+    """What the host prints in most of its articles goes, at any place; what some of them share, short blocks and copies stay."""
+    ask = "Subscribe to the paper of this town today"
+    share = "A passage that eight of the articles quote alike"
+
+    def story(i, n=20):
+        return " ".join(f"w{i}x{k}" for k in range(n))
+    page = "<article><p>{}</p><p>{}</p><p>Read more</p><p>{} <b>{}</b> and never miss our news again</p><p>{}</p></article>"
+    rows = [(i, f"http://f.org/{i}", page.format(story(i), share if i < 8 else story(100 + i), ask, f"n{i}", story(200 + i))) for i in range(20)]
+    rows += [(30 + i, f"http://f.org/m{i}", f"<main><p>Beside {story(300 + i)}</p><article><p>{ask} n and never miss our news again</p><p>{story(400 + i)}</p></article></main>") for i in range(3)]
+    rows += [(40, "http://f.org/short", f"<article><p>{ask} n and never miss our news again</p><p>Three more words</p></article>"), (41, *rows[0][1:])]
+    rows += [(50 + i, f"http://g.org/{i}", page.format(story(0), share, ask, f"n{i}", f"edit{i}")) for i in range(30)]  # revisions of one article
+    rows += [(90 + i, f"http://h.org/{i}", page.format(story(i), share, ask, "n", story(50 + i))) for i in range(9)]  # fewer than LEAST_ARTICLES
+    got = {r.page_id: r.text for r in html_main.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(20):
+        assert got[i] == "\n\n".join([story(i), share if i < 8 else story(100 + i), "Read more", story(200 + i)])
+    assert all(got[30 + i] == f"Beside {story(300 + i)}\n\n{story(400 + i)}" for i in range(3))
+    assert got[40].startswith(ask) and got[41] == got[0]
+    assert all(got[50 + i] == f"{story(0)}\n\n{share}\n\nRead more\n\n{ask} n{i} and never miss our news again\n\nedit{i}" for i in range(30))
+    assert all(ask in got[90 + i] and share in got[90 + i] for i in range(9)) and len(got) == len(rows)
