@@ -31,15 +31,24 @@ def _deliver_payloads(spark, d, src):
     return p
 
 
+#: Micro-batches of a start of the ingest stream, about, however many files there are: each has jobs of its own.
+INGEST_BATCHES = 4
+
+
+def _files_of_a_batch(spark, src):
+    return max(2, -(-len(spark.read.text(src).inputFiles()) // INGEST_BATCHES))
+
+
 def _ingested(spark, d):
     src, base, cp = work_dir(spark, "stream-src"), work_dir(spark, "stream-registry"), work_dir(spark, "stream-cp")
     p = _deliver_payloads(spark, d, src)
-    sing.start_ingest(spark, src, base, cp)
+    files = _files_of_a_batch(spark, src)
+    sing.start_ingest(spark, src, base, cp, max_files=files)
     # a second delivery of known runs with other values, then a restart from the checkpoint
     dup = (p.where(F.col("status") == "ok").withColumn("status", F.lit("fail"))
            .withColumn("val_bpb", F.lit(None).cast("double")))
     dup.write.mode("append").option("ignoreNullFields", False).json(src)
-    sing.start_ingest(spark, src, base, cp)
+    sing.start_ingest(spark, src, base, cp, max_files=files)
     return base
 
 

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from shared_values import SF_SMALL
 from runloom.operators import telemetry as tel
+from runloom.plans import q_streams
 from runloom.plans import standins as st
 from runloom.plans.q_streams import _deliver_payloads, _deliver_steps
 from runloom.session import work_dir
@@ -30,6 +31,20 @@ def test_stream_ingest_equals_batch_and_survives_restart(spark):
     assert registry_io.read_table(spark, base, "experiment_metrics").count() == n_metrics
 
 
+def test_micro_batches_do_not_grow_with_the_files(spark, monkeypatch):
+    """40 files of deliveries are taken in about as many micro-batches as 4 are."""
+    took = []
+
+    def deliver(spark, d, src):
+        p = spark.createDataFrame([(f"exp_{i}", "ok", 1.0) for i in range(80)], "experiment_id string, status string, val_bpb double")
+        p.repartition(40).write.mode("append").json(src)
+        return p
+    monkeypatch.setattr(q_streams, "_deliver_payloads", deliver)
+    monkeypatch.setattr(sing, "start_ingest", lambda spark, src, base, cp, max_files=2: took.append((len(spark.read.text(src).inputFiles()), max_files)))
+    q_streams._ingested(spark, SF_SMALL)
+    assert took[0][0] >= 30 and all(4 * n >= 30 for _, n in took)
+
+
 def test_replayed_batch_is_idempotent(spark):
     base = work_dir(spark, "t-replay")
     runs, m, c = st.runs(spark, SF_SMALL), st.metrics(spark, SF_SMALL), st.checkpoints(spark, SF_SMALL)
