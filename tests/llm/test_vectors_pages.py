@@ -111,3 +111,22 @@ def test_boilerplate_inside_marked_articles(spark):
     assert got[40].startswith(ask) and got[41] == got[0]
     assert all(got[50 + i] == f"{story(0)}\n\n{share}\n\nRead more\n\n{ask} n{i} and never miss our news again\n\nedit{i}" for i in range(30))
     assert all(ask in got[90 + i] and share in got[90 + i] for i in range(9)) and len(got) == len(rows)
+
+
+def test_all_suffixes_of_marked_articles_are_looked_up(spark, monkeypatch):
+    """A repeated run goes wherever it lies in its block, also between words of the article's own; half a block must be covered."""
+    ask = "Subscribe to the paper of this town today and never miss our news"
+
+    def story(i, n=40):
+        return " ".join(f"w{i}x{k}" for k in range(n))
+    page = "<article><p>{}</p><p>by{} {} until{}</p><p>{} {}</p></article>"
+    rows = [(i, f"http://i.org/{i}", page.format(story(i), i, ask, i, story(100 + i), ask)) for i in range(24)]
+    rows += [(50, *rows[0][1:]), (60, "http://j.org/1", page.format(story(0), 0, ask, 0, story(1), ask))]
+    rows += [(70 + i, f"http://k.org/{i}", f"<main><p>Beside {story(300 + i)}</p>{rows[i][2]}</main>") for i in range(12)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for group in (500, 5):  # hosts of one group and of several
+        monkeypatch.setattr(html_main, "GROUP", group)
+        got = {r.page_id: r.text for r in html_main.main_text(frame).collect()}
+        assert all(got[i] == f"{story(i)}\n\n{story(100 + i)} {ask}" for i in range(24)) and got[50] == got[0]
+        assert got[60] == f"{story(0)}\n\nby0 {ask} until0\n\n{story(1)} {ask}"
+        assert all(got[70 + i] == f"Beside {story(300 + i)}\n\n{story(i)}\n\n{story(100 + i)} {ask}" for i in range(12)) and len(got) == len(rows)
