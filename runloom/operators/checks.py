@@ -36,19 +36,24 @@ def _payload_fields(v) -> dict:
     return {f.name: F.try_variant_get(v, f"$.{f.name}", f.dataType.simpleString()) for f in RESULT_SCHEMA}
 
 
-def checked(df: DataFrame, text_col: str) -> DataFrame:
-    """df with `_p`: the payload's fields (`got`), reason and accepted. The text is parsed once a row: a generator's output is
-    no alias that a filter on it could be pushed through, with a parse for each of its fields."""
-    v = F.col("_v")
-    got = _payload_fields(v)
-    reason = F.when(v.isNull(), F.lit("not_json"))
+def checked(df: DataFrame, text_col: str, more: dict[str, str] | None = None) -> DataFrame:
+    """df with `_p`: the payload's fields (`got`) and reason; ``more``: columns of further fields by name and type, null where a
+    payload has no such value. The text is parsed once a row, and what fields and
+    checks have in common is read once, in a projection: a generator shares nothing, but its output is no alias that a filter
+    on it could be pushed through, with a parse for each of its fields."""
+    v, c = F.col("_v"), F.col("_c")
+    got = F.struct(*(x.alias(n) for n, x in _payload_fields(v).items()))
+    fits = F.struct(*(_accepts(v, f.name, f.dataType.simpleString()).alias(f.name) for f in RESULT_SCHEMA))
+    others = [F.try_variant_get(v, f"$.{n}", kind).alias(n) for n, kind in (more or {}).items()]
+    read = df.withColumn("_v", F.try_parse_json(F.col(text_col)))
+    read = read.select(*df.columns, *others, F.struct(got.alias("got"), fits.alias("fits"), v.isNull().alias("none")).alias("_c"))
+    kept = read.columns[:-1]
+    reason = F.when(c["none"], F.lit("not_json"))
     for name in NOT_NULL:
-        reason = reason.when(got[name].isNull(), F.lit(f"missing_{name}"))
+        reason = reason.when(c["got"][name].isNull(), F.lit(f"missing_{name}"))
     for f in RESULT_SCHEMA:
-        reason = reason.when(~_accepts(v, f.name, f.dataType.simpleString()), F.lit(f"bad_{f.name}"))
-    row = F.struct(F.struct(*(c.alias(n) for n, c in got.items())).alias("got"), reason.alias("reason"))
-    d = df.withColumn("_v", F.try_parse_json(F.col(text_col)))
-    return d.select(*df.columns, F.explode(F.array(row)).alias("_p"))
+        reason = reason.when(~c["fits"][f.name], F.lit(f"bad_{f.name}"))
+    return read.select(*kept, F.explode(F.array("_c")).alias("_c")).select(*kept, F.struct(c["got"].alias("got"), reason.alias("reason")).alias("_p"))
 
 
 def validate_payload_text(df: DataFrame, text_col: str) -> DataFrame:

@@ -64,14 +64,14 @@ def payload_to_runs(payloads: DataFrame, ingest_ts: Column | str = "ingest_ts")
 def payload_to_metrics(payloads: DataFrame, recorded_ts: Column | str = "ingest_ts") -> DataFrame:
     """The eight summary values as long rows; NULL skipped, 0 kept, all at step = num_steps."""
     ts = F.col(recorded_ts) if isinstance(recorded_ts, str) else recorded_ts
-    wide = payloads.select("experiment_id", F.col("num_steps").cast("int").alias("step"), ts.alias("recorded_at"),
-                           *[F.col(k).cast("double").alias(k) for k in SUMMARY_METRIC_KEYS])
-    long = wide.unpivot(["experiment_id", "step", "recorded_at"], list(SUMMARY_METRIC_KEYS),
+    # the run's uuid is computed once a payload, before the unpivot
+    wide = payloads.select("experiment_id", run_uuid(F.col("experiment_id")).alias("experiment_uuid"), F.col("num_steps").cast("int").alias("step"),
+                           ts.alias("recorded_at"), *[F.col(k).cast("double").alias(k) for k in SUMMARY_METRIC_KEYS])
+    long = wide.unpivot(["experiment_id", "experiment_uuid", "step", "recorded_at"], list(SUMMARY_METRIC_KEYS),
                         "metric_name", "metric_value").where(F.col("metric_value").isNotNull())
     return long.select(
         metric_uuid(F.col("experiment_id"), F.col("metric_name"), F.col("step")).alias("id"),
-        run_uuid(F.col("experiment_id")).alias("experiment_uuid"),
-        "metric_name", "metric_value", "step", "recorded_at")
+        "experiment_uuid", "metric_name", "metric_value", "step", "recorded_at")
 
 
 def checkpoint_metadata(payloads: DataFrame) -> Column:
