@@ -16,6 +16,14 @@ from runloom.sources import registry_io
 from runloom.streaming import ingest as sing
 from runloom.streaming import telemetry_state as sts
 
+#: Payloads of a delivered file at most: packed files can't be split, so a task reads one whole.
+FILE_ROWS = 50_000
+
+
+def _write_payloads(p, src):
+    (p.write.mode("append").option("ignoreNullFields", False).option("compression", "gzip").option("maxRecordsPerFile", FILE_ROWS).json(src))
+
+
 DELIVERIES = ((None, "1995-01-01"), ("1995-01-01", "1998-01-01"), ("1998-01-01", None))
 
 
@@ -27,16 +35,17 @@ def _deliver_payloads(spark, d, src):
             part = part.where(F.col("ingest_ts") >= F.lit(lo).cast("timestamp_ntz"))
         if hi:
             part = part.where(F.col("ingest_ts") < F.lit(hi).cast("timestamp_ntz"))
-        part.write.mode("append").option("ignoreNullFields", False).json(src)
+        _write_payloads(part, src)
     return p
 
 
-#: Micro-batches of a start of the ingest stream, about, however many files there are: each has jobs of its own.
-INGEST_BATCHES = 4
+#: Micro-batches of a start of the ingest stream, about: each has jobs of its own. A batch's payloads are held until they are
+#: registered, so it takes BATCH_FILES files at most.
+INGEST_BATCHES, BATCH_FILES = 4, 80
 
 
 def _files_of_a_batch(spark, src):
-    return max(2, -(-len(spark.read.text(src).inputFiles()) // INGEST_BATCHES))
+    return min(BATCH_FILES, max(2, -(-len(spark.read.text(src).inputFiles()) // INGEST_BATCHES)))
 
 
 def _ingested(spark, d):
@@ -47,7 +56,7 @@ def _ingested(spark, d):
     # a second delivery of known runs with other values, then a restart from the checkpoint
     dup = (p.where(F.col("status") == "ok").withColumn("status", F.lit("fail"))
            .withColumn("val_bpb", F.lit(None).cast("double")))
-    dup.write.mode("append").option("ignoreNullFields", False).json(src)
+    _write_payloads(dup, src)
     sing.start_ingest(spark, src, base, cp, max_files=files)
     return base
 

@@ -20,17 +20,18 @@ from runloom.sources import registry_io
 def ingest_batch(batch: DataFrame, batch_id: int, base: str, arrival: list[str]) -> None:
     """``batch``: value (a payload's text), _mtime and _path of its file."""
     spark = batch.sparkSession
-    given = F.try_variant_get(F.try_parse_json("value"), "$.ingest_ts", "timestamp_ntz")
-    texts = batch.where(F.trim("value") != "").withColumn("ingest_ts", given).select(
-        "value", "ingest_ts", F.when(F.col("ingest_ts").isNull(), F.col("_mtime")).alias("_arrived"),
-        F.when(F.col("ingest_ts").isNull(), F.col("_path")).alias("_file"))
-    parsed = checks.checked(texts, "value").persist()  # the writes below read the micro-batch; read and parse its files once
+    parsed = checks.checked(batch.where(F.trim("value") != ""), "value", {"ingest_ts": "timestamp_ntz"})
+    late = F.col("ingest_ts").isNull()
+    # the writes below read the micro-batch; read and parse its files once, and keep the text of rejected payloads only
+    parsed = parsed.select(F.when(F.col("_p.reason").isNotNull(), F.col("value")).alias("value"), "ingest_ts", F.when(late, F.col("_mtime")).alias("_arrived"),
+                           F.when(late, F.col("_path")).alias("_file"), "_p").persist()
     try:
         good, bad = checks.split_checked(parsed, "value")
         registry_io.append_part(bad.select("value", "experiment_id", "status", "reason"), base, "quarantine", batch_id)
         # completed_at is the ingest time; without an arrival time in the payload it is the
         # micro-batch's processing time (one value per batch)
-        good = good.withColumn("ingest_ts", F.coalesce("ingest_ts", F.current_timestamp().cast("timestamp_ntz"))).persist()
+        now = spark.range(1).select(F.current_timestamp().cast("timestamp_ntz").cast("string")).first()[0]
+        good = good.withColumn("ingest_ts", F.coalesce("ingest_ts", F.lit(now).cast("timestamp_ntz")))
         existing = registry_io.known_runs(spark, base, good, batch_id)
         accepted = reg.ingest(good, existing, arrival, "ingest_ts")["accepted"].persist()
         try:
@@ -39,7 +40,6 @@ def ingest_batch(batch: DataFrame, batch_id: int, base: str, arrival: list[str])
                                       reg.payload_to_checkpoints(accepted, "ingest_ts"), base, batch_id)
         finally:
             accepted.unpersist()
-            good.unpersist()
     finally:
         parsed.unpersist()
 
