@@ -1,10 +1,14 @@
 """Steps that were changed to scale give the same rows: references that are null, few runs, small splits."""
 
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
-from runloom.operators import bpe
+from runloom.operators import bpe, checks
 from runloom.operators import registry as reg
 from runloom.plans import q_streams
+from runloom.session import discard, work_dir
 from runloom.sources import registry_io
 
 
@@ -64,3 +68,49 @@ def test_shuffled_deliveries_are_spread_over_files(spark, monkeypatch):
     written = spark.read.parquet(src)
     assert files > 1 and 4 <= written.select(F.input_file_name()).distinct().count() <= 4 * files
     assert written.count() == steps.count() and written.exceptAll(steps).isEmpty()
+
+
+def test_a_replay_holds_no_part_twice_and_shows_nothing_until_it_is_whole(spark, monkeypatch):
+    base = work_dir(spark, "t-twice")
+    tables = [spark.createDataFrame([(f"r{i}", f"e{i}")], "id string, experiment_id string") for i in range(3)]
+    registry_io.append_tables(*tables, base, 5)
+    registry_io.append_tables(*tables, base, 6)
+    append, there = registry_io.append_part, []
+
+    def watched(df, base, name, batch_id, *by):
+        there.append((name, registry_io.table_exists(spark, base, f"{name}/batch_id={batch_id}"), registry_io.table_exists(spark, base, "commits/batch_id=6")))
+        if name == "experiments" and len(there) < 4:
+            raise RuntimeError("lost")
+        append(df, base, name, batch_id, *by)
+    monkeypatch.setattr(registry_io, "append_part", watched)
+    with pytest.raises(RuntimeError):
+        registry_io.append_tables(*tables, base, 6)
+    assert there == [("experiment_metrics", False, False), ("checkpoints", False, False), ("experiments", False, False)]
+    assert [registry_io.read_table(spark, base, name).count() for name in registry_io.TABLES] == [1, 1, 1]
+    registry_io.append_tables(*tables, base, 6)
+    assert [registry_io.read_table(spark, base, name).count() for name in registry_io.TABLES] == [2, 2, 2]
+    assert all(".zstd." in f for name in registry_io.TABLES for f in spark.read.parquet(f"{base}/{name}").inputFiles())
+    discard(spark, base)
+    assert not registry_io.table_exists(spark, base, "experiments")
+
+
+def test_deliveries_are_packed_files_and_batches_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(q_streams, "FILE_ROWS", 7)
+    src = work_dir(spark, "t-packed")
+    q_streams._write_payloads(spark.range(100).coalesce(1), src)
+    files = spark.read.text(src).withColumn("file", F.input_file_name()).groupBy("file").count().collect()
+    assert all(r.file.endswith(".json.gz") and r["count"] <= 7 for r in files) and sum(r["count"] for r in files) == 100
+    monkeypatch.setattr(q_streams, "BATCH_FILES", 3)
+    assert len(files) == 15 and q_streams._files_of_a_batch(spark, src) == 3
+
+
+def test_fields_and_checks_of_a_payload_are_read_once(spark):
+    texts = [('{"experiment_id": "a", "status": "ok", "val_bpb": "0.5", "ingest_ts": "2026-01-01T00:00:00"}',), ('{"experiment_id": 1, "status": "ok"}',), ("[]",), ("{",), (None,)]
+    d = checks.checked(spark.createDataFrame(texts, "value string"), "value", {"ingest_ts": "timestamp_ntz"})
+    assert d.columns == ["value", "ingest_ts", "_p"]
+    assert [r.reason for r in d.select("_p.reason").collect()] == [None, "bad_experiment_id", "missing_experiment_id", "not_json", "not_json"]
+    assert [r.n for r in d.select(F.col("ingest_ts").cast("string").alias("n")).collect()] == ["2026-01-01 00:00:00", None, None, None, None]
+    plan = checks.split_checked(d, "value")[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parse_json") + plan.count("parseJson") == 1
+    generate = next(x for x in plan.split("\n") if "Generate" in x)
+    assert "variant_get" not in generate
